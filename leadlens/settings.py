@@ -125,5 +125,4 @@ def contacts_settings() -> Settings:
         numerical=CONTACTS_NUMERICAL,
         categorical=CONTACTS_CATEGORICAL,
         ordinal={"priority": list(PRIORITY_ORDER)},
-        drop_cols=("customer_id",),
     )
