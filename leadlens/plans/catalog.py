@@ -618,3 +618,97 @@ def q_labels(spark, sf):
     df = contacts(spark, sf)
     out = with_labels(df, {"month": MONTH_LABELS, "day_of_week": DAY_LABELS})
     return out.select("contact_id", F.col("month_label"), F.col("day_of_week_label").alias("day_label"))
+
+
+# --- step 7: retrieval ---------------------------------------------------------
+from ..operators import retrieval  # noqa: E402
+
+CHUNK, OVERLAP, DIMS, TOP_K = 512, 64, 256, 5
+STEP = CHUNK - OVERLAP
+TOKENS_SQL = r"""CASE WHEN s = '' THEN []::VARCHAR[] ELSE string_split_regex(s, '\s+') END"""
+CHUNKS_CTE = rf"""WITH t AS (SELECT doc_id, {TOKENS_SQL} AS tok
+           FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents)),
+c AS (SELECT doc_id, tok, unnest(generate_series(0, greatest(len(tok) - {OVERLAP} - 1, 0), {STEP})) AS st
+      FROM t WHERE len(tok) > 0),
+chunks AS (SELECT doc_id, CAST(st // {STEP} AS BIGINT) AS chunk_id, CAST(st AS BIGINT) AS start_token,
+                  CAST(len(list_slice(tok, st + 1, st + {CHUNK})) AS BIGINT) AS n_tokens,
+                  array_to_string(list_slice(tok, st + 1, st + {CHUNK}), ' ') AS text FROM c)"""
+
+
+def doc_chunks(spark, sf):
+    return retrieval.chunk_documents(read_table(spark, sf, "documents"), "doc_id", "text", CHUNK, OVERLAP)
+
+
+@query("chunks", f"{CHUNKS_CTE} SELECT * FROM chunks")
+def q_chunks(spark, sf):
+    return doc_chunks(spark, sf)
+
+
+@query("vector_top_k", r"""WITH
+cen AS (SELECT label, list(m ORDER BY i) AS q FROM (
+          SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m
+          FROM embeddings, range(1, 65) r(i) GROUP BY label, i) GROUP BY label),
+s AS (SELECT cen.label AS query_label, e.vec_id,
+             list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: cen.q[i] * CAST(e.embedding[i] AS DOUBLE)))
+             / (sqrt(list_sum(list_transform(cen.q, lambda x: x * x)))
+                * sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))) AS sim
+      FROM cen, embeddings e),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_label ORDER BY sim DESC NULLS LAST, vec_id) AS rank FROM s)
+SELECT query_label, rank, vec_id, round(sim, 6) AS similarity FROM r WHERE rank <= 5""")
+def q_vector_top_k(spark, sf):
+    emb = read_table(spark, sf, "embeddings")
+    queries = retrieval.centroids(emb, "label").withColumnRenamed("label", "query_label")
+    top = retrieval.vector_top_k(queries, emb, "query_label", ["vec_id"], "embedding", TOP_K)
+    return top.select("query_label", "rank", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+def _bucket_sql(text: str) -> str:
+    return (f"SELECT *, CAST(('0x' || substr(md5(tk), 1, 8)) AS BIGINT) % {DIMS} AS b FROM "
+            f"(SELECT *, unnest(tok) AS tk FROM (SELECT *, {TOKENS_SQL} AS tok FROM "
+            rf"(SELECT *, regexp_replace(lower({text}), '^\s+|\s+$', '', 'g') AS s FROM __src)))")
+
+
+RETRIEVAL_CTE = rf"""{CHUNKS_CTE},
+cb AS (SELECT doc_id, chunk_id, b, count(*) AS n FROM ({_bucket_sql('text').replace('__src', 'chunks')}) GROUP BY ALL),
+qb AS (SELECT item_id, b, count(*) AS n FROM ({_bucket_sql('text').replace('__src', 'benchmark')}) GROUP BY ALL),
+cn AS (SELECT c.doc_id, c.chunk_id, coalesce(sum(CAST(n AS DOUBLE) * n), 0.0) AS n2
+       FROM chunks c LEFT JOIN cb USING (doc_id, chunk_id) GROUP BY ALL),
+qn AS (SELECT item_id, coalesce(sum(CAST(n AS DOUBLE) * n), 0.0) AS n2 FROM benchmark LEFT JOIN qb USING (item_id) GROUP BY ALL),
+d AS (SELECT qb.item_id, cb.doc_id, cb.chunk_id, sum(CAST(qb.n AS DOUBLE) * cb.n) AS dot
+      FROM qb JOIN cb ON qb.b = cb.b GROUP BY ALL),
+s AS (SELECT qn.item_id, cn.doc_id, cn.chunk_id,
+             CASE WHEN qn.n2 * cn.n2 = 0 THEN NULL ELSE coalesce(d.dot, 0.0) / (sqrt(qn.n2) * sqrt(cn.n2)) END AS sim
+      FROM qn CROSS JOIN cn LEFT JOIN d ON d.item_id = qn.item_id AND d.doc_id = cn.doc_id AND d.chunk_id = cn.chunk_id),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC NULLS LAST, doc_id, chunk_id) AS rank FROM s)
+        WHERE rank <= {TOP_K})"""
+
+
+def retrieve_benchmark(spark, sf):
+    idx = retrieval.embed_chunks(doc_chunks(spark, sf), None, "text", DIMS, "md5")
+    qs = retrieval.embed_chunks(read_table(spark, sf, "benchmark"), ["item_id"], "text", DIMS, "md5")
+    top = retrieval.vector_top_k(qs, idx, "item_id", ["doc_id", "chunk_id"], "embedding", TOP_K)
+    return idx, top
+
+
+@query("doc_retrieval", f"{RETRIEVAL_CTE} SELECT item_id, rank, doc_id, chunk_id, round(sim, 6) AS similarity FROM top")
+def q_doc_retrieval(spark, sf):
+    _, top = retrieve_benchmark(spark, sf)
+    return top.select("item_id", "rank", "doc_id", "chunk_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("retrieved_context", f"""{RETRIEVAL_CTE}
+SELECT top.item_id, CAST(count(*) AS INTEGER) AS n_chunks, string_agg(chunks.text, '\n\n' ORDER BY rank) AS context
+FROM top JOIN chunks USING (doc_id, chunk_id) GROUP BY top.item_id""")
+def q_context(spark, sf):
+    idx, top = retrieve_benchmark(spark, sf)
+    return retrieval.assemble_context(top, idx, "item_id", ["doc_id", "chunk_id"])
+
+
+@query("conversation_history", """
+SELECT conv_id, turn, role, text,
+       row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position,
+       CAST(coalesce(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prior_user_turns
+FROM conversations""")
+def q_history(spark, sf):
+    return retrieval.conversation_history(read_table(spark, sf, "conversations"))
