@@ -712,3 +712,110 @@ SELECT conv_id, turn, role, text,
 FROM conversations""")
 def q_history(spark, sf):
     return retrieval.conversation_history(read_table(spark, sf, "conversations"))
+
+
+# --- step 8-10: models, scoring, attributions, streams (row-count checks) ------
+from ..operators import models as model_ops  # noqa: E402
+from ..operators import scoring  # noqa: E402
+
+
+def model_data(spark, sf):
+    """Encoded contacts with features/label/split (encoder fitted on train only)."""
+    split = split_contacts(spark, sf)
+    enc = encoder_for(split.where(F.col("split") == "train"))
+    data = model_ops.assemble(enc.transform(split, keep=["contact_id", "split", "y"]),
+                              enc.feature_names(), "y")
+    return enc, data
+
+
+def _fit(spark, sf, name):
+    enc, data = model_data(spark, sf)
+    return enc, data, model_ops.train_one(name, data, contacts_settings(), SEED)
+
+
+@query("train_logistic")
+def q_train_lr(spark, sf):
+    _, _, r = _fit(spark, sf, "LogisticRegression")
+    return model_ops.model_comparison(spark, [r])
+
+
+@query("model_comparison")
+def q_compare(spark, sf):
+    enc, data = model_data(spark, sf)
+    data = data.cache()
+    results = model_ops.train_all(data, contacts_settings(), seed=SEED)
+    out = model_ops.model_comparison(spark, results)
+    best = model_ops.select_best(results)
+    return out.withColumn("selected", F.col("name") == best["name"])
+
+
+@query("feature_importance")
+def q_importance(spark, sf):
+    enc, _, r = _fit(spark, sf, "LogisticRegression")
+    return model_ops.feature_importance(r["model"], enc.feature_names(), 20)
+
+
+@query("score_contacts")
+def q_score(spark, sf):
+    enc, _, r = _fit(spark, sf, "LogisticRegression")
+    return scoring.score_batch(clean_contacts(spark, sf), enc, r["model"], r["threshold"],
+                               id_cols=["contact_id"])
+
+
+def _attributions(spark, sf):
+    enc, data, r = _fit(spark, sf, "LogisticRegression")
+    names = enc.feature_names()
+    train = data.where(F.col("split") == "train")
+    means_row = model_ops.assemble  # noqa: F841  (keeps imports explicit)
+    enc_train = enc.transform(split_contacts(spark, sf).where(F.col("split") == "train"))
+    row = enc_train.agg(*[F.avg(F.col(f"`{n}`")).alias(f"m{i}") for i, n in enumerate(names)]).first()
+    means = {n: row[f"m{i}"] for i, n in enumerate(names)}
+    m = r["model"]
+    attr = scoring.linear_attributions(split_contacts(spark, sf).where(F.col("split") == "test"),
+                                       enc, m.coefficients.toArray().tolist(), m.intercept,
+                                       means, "contact_id")
+    del train
+    return attr
+
+
+@query("attribution_rank")
+def q_attr_rank(spark, sf):
+    return scoring.attribution_rank(_attributions(spark, sf))
+
+
+@query("explain_row")
+def q_explain(spark, sf):
+    attr = _attributions(spark, sf)
+    first_id = attr.select(F.min("contact_id")).first()[0]
+    return scoring.explain_row(attr, "contact_id", first_id).limit(10)
+
+
+@query("stream_tier_counts", f"""{LOG_CTE}
+SELECT tier, count(*) AS n FROM (
+  SELECT CASE WHEN round(probability, 4) * 100 >= 60 THEN 'high'
+              WHEN round(probability, 4) * 100 >= 30 THEN 'medium' ELSE 'low' END AS tier
+  FROM plog WHERE probability IS NOT NULL) GROUP BY tier""")
+def q_stream_tiers(spark, sf):
+    from ..streaming.scoring import tier_counts_from_table
+    import os
+
+    prob = F.get_json_object("props", "$.k").cast("int").cast("double") / F.lit(100.0)
+    return tier_counts_from_table(spark, os.path.join(sf, "events.parquet"), prob)
+
+
+@query("stream_scored_contacts")
+def q_stream_score(spark, sf):
+    """Contacts written as a table, replayed as a file stream and scored."""
+    import os
+
+    from ..session import scratch_path
+    from ..streaming.scoring import file_stream, run_to_completion, score_stream
+
+    enc, _, r = _fit(spark, sf, "LogisticRegression")
+    base = scratch_path(spark, "score-stream")
+    clean_contacts(spark, sf).write.parquet(os.path.join(base, "src"))
+    src = file_stream(spark, os.path.join(base, "src"))
+    q = score_stream(src, enc, r["model"], r["threshold"], os.path.join(base, "sink"),
+                     os.path.join(base, "ckpt"), id_cols=["contact_id"])
+    run_to_completion(q)
+    return spark.read.parquet(os.path.join(base, "sink")).drop("timestamp", "logged_at")
