@@ -32,6 +32,10 @@ def get_session(master: str | None = None, app_name: str = "leadlens",
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local") and "spark_driver_memory" not in conf:
+            # local mode runs every task in the driver JVM; only effective when
+            # this call starts the JVM
+            builder = builder.config("spark.driver.memory", "12g")
     for key, value in _DEFAULTS.items():
         builder = builder.config(key, value)
     if shuffle_partitions:

@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as entry_mod  # noqa: E402
 from .oracle_util import compare, duck  # noqa: E402
 
-SLOW = {"model_comparison"}
+SLOW = set()
 
 
 def test_entry_smoke(spark):
