@@ -155,14 +155,20 @@ def classification_report(df: DataFrame, label: str, score: str, threshold: floa
 def _grid_counts(df: DataFrame, label: str, score: str, grid: list[float]) -> DataFrame:
     """For each grid index i: threshold t_i and the confusion counts at score >= t_i.
 
-    Each row is bucketed by how many grid points are <= its score (one JVM-side
-    expression over the literal grid), so one aggregation to len(grid)+1 buckets
-    serves every threshold.  The bucket table is bounded by the grid size.
+    Each row is bucketed by how many grid points are <= its score (Spark ML's
+    ``Bucketizer``: a binary search in the JVM), so one aggregation to
+    len(grid)+1 buckets serves every threshold.  The bucket table is bounded by
+    the grid size.
     """
+    from pyspark.ml.feature import Bucketizer
+
     spark = df.sparkSession
-    arr = F.array(*[F.lit(float(t)) for t in grid])
     p = _prepared(df, label, score)
-    buckets = p.groupBy(F.size(F.filter(arr, lambda t: t <= F.col("__s"))).alias("b")).agg(
+    # bucket b = number of grid points <= score (a JVM binary search per row)
+    splits = [float("-inf")] + [float(t) for t in grid] + [float("inf")]
+    bucketed = Bucketizer(splits=splits, inputCol="__s", outputCol="__b",
+                          handleInvalid="keep").transform(p.where(F.col("__s").isNotNull()))
+    buckets = bucketed.groupBy(F.col("__b").cast("int").alias("b")).agg(
         F.sum("__y").cast("long").alias("pos"), F.sum(1 - F.col("__y")).cast("long").alias("neg"))
     idx = spark.createDataFrame([(i, float(t)) for i, t in enumerate(grid)] + [(len(grid), None)],
                                 "b int, t double")
