@@ -172,3 +172,33 @@ def with_weights(df: DataFrame, target: str, weight_col: str = "weight") -> Data
 def positive_weight(target: str, weight: float = 8.0) -> Column:
     """fixed weight for the positive class."""
     return F.when(_q(target) == 1, F.lit(float(weight))).otherwise(F.lit(1.0))
+
+
+def build_features(df: DataFrame, settings, id_col: str, out_path: str | None = None,
+                   smote: bool | None = None):
+    """clean -> stratified split -> encoder fitted on train only -> encoded
+    table with ``split`` (-> SMOTE on the train rows) (-> Parquet partitioned by
+    split).  Returns (encoder, encoded DataFrame)."""
+    from .cleaning import clean
+
+    cleaned = clean(df, settings)
+    split = stratified_split(cleaned, settings.target, id_col, settings.seed,
+                             settings.test_size, settings.val_size)
+    nominal = [c for c in settings.categorical if c not in settings.ordinal]
+    enc = FeatureEncoder(numerical=list(settings.numerical), ordinal=dict(settings.ordinal),
+                         nominal=nominal).fit(split.where(F.col("split") == "train"))
+    encoded = enc.transform(split, keep=[id_col, "split", settings.target])
+    use_smote = settings.smote_enabled if smote is None else smote
+    if use_smote:
+        from .smote import smote as smote_op
+
+        train = encoded.where(F.col("split") == "train")
+        rest = encoded.where(F.col("split") != "train")
+        balanced = smote_op(train, enc.feature_names(), settings.target, id_col,
+                            k=settings.smote_k, seed=settings.seed)
+        encoded = balanced.unionByName(rest, allowMissingColumns=True)
+    if out_path:
+        from ..sources.files import write_splits
+
+        write_splits(encoded, out_path)
+    return enc, encoded

@@ -108,3 +108,10 @@ def relative_rate(df: DataFrame, key: str, target: str, decimals: int = 4) -> Da
 def head(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
     """First rows in a stated order (a deterministic ``head()``)."""
     return df.orderBy(*order).limit(n)
+
+
+def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
+    """A fixed-size reproducible sample -- the n rows with the smallest
+    md5(seed:id).  Planned as TakeOrderedAndProject (per-task top n, then merge)."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), _q(id_col).cast("string")))
+    return df.orderBy(key, _q(id_col)).limit(n)

@@ -82,3 +82,22 @@ def attribution_dependence(attr: DataFrame, id_col: str, feature: str, other: st
 def explain_row(attr: DataFrame, id_col: str, row_id) -> DataFrame:
     """One row's contributions ordered by absolute size."""
     return attr.where(F.col(id_col) == row_id).orderBy(F.desc(F.abs("attribution")), "feature")
+
+
+def score_and_log(df: DataFrame, encoder: FeatureEncoder, model, threshold: float,
+                  input_cols: Sequence[str], log_path: str | None = None,
+                  id_cols: Sequence[str] = ()) -> DataFrame:
+    """Q3: score, and append the log records {input, output, timestamp, logged_at}
+    when ``log_path`` is given (single-request logging in the original)."""
+    from ..functions.scalar import utc_text
+
+    keep = list(dict.fromkeys(list(id_cols) + list(input_cols)))
+    scored = score_batch(df, encoder, model, threshold, id_cols=keep)
+    out_cols = ["probability_of_subscription", "prediction_class", "recommendation", "threshold_used"]
+    if log_path:
+        ts = F.current_timestamp()
+        rec = scored.select(F.struct(*[F.col(f"`{c}`") for c in input_cols]).alias("input"),
+                            F.struct(*out_cols).alias("output"), ts.alias("timestamp"),
+                            utc_text(ts).alias("logged_at"))
+        rec.write.mode("append").parquet(log_path)
+    return scored.select(*id_cols, *out_cols)

@@ -821,3 +821,79 @@ def q_stream_score(spark, sf):
                      os.path.join(base, "ckpt"), id_cols=["contact_id"])
     run_to_completion(q)
     return spark.read.parquet(os.path.join(base, "sink")).drop("timestamp", "logged_at")
+
+
+# --- sources round trips and sampling -------------------------------------------
+
+@query("sample_contacts", f"""{WITH_CONTACTS}
+SELECT * FROM contacts ORDER BY md5('{SEED}:' || CAST(contact_id AS VARCHAR)), contact_id LIMIT 1500""")
+def q_sample(spark, sf):
+    return profiling.sample_n(contacts(spark, sf), 1500, "contact_id", SEED)
+
+
+@query("contacts_csv_roundtrip", CONTACTS_SQL)
+def q_csv(spark, sf):
+    """The contacts table written as ';'-delimited CSV with a header and read
+    back with a declared schema."""
+    import os
+
+    from pyspark.sql import types as T
+
+    from ..session import scratch_path
+    from ..sources.files import read_contacts, write_contacts_csv
+
+    df = contacts(spark, sf)
+    path = os.path.join(scratch_path(spark, "contacts-csv"), "csv")
+    write_contacts_csv(df, path)
+    return read_contacts(spark, path, schema=T.StructType(df.schema.fields))
+
+
+@query("active_features")
+def q_active(spark, sf):
+    """Per test contact, the first ten encoded features with a value > 0."""
+    split = split_contacts(spark, sf)
+    enc = encoder_for(split.where(F.col("split") == "train"))
+    encoded = enc.transform(split.where(F.col("split") == "test"), keep=["contact_id"])
+    return cleaning.active_features(encoded, "contact_id", enc.feature_names(), 10)
+
+
+def _kendall_sql() -> str:
+    cols = _CORR
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    sums = ", ".join(f"sum(CAST(sign(CAST(p.{a} AS DOUBLE) - q.{a}) * sign(CAST(p.{b} AS DOUBLE) - q.{b}) AS DOUBLE)) AS s_{a}_{b}"
+                     for a, b in pairs)
+    ties = ", ".join(f"(SELECT sum(CAST(t AS DOUBLE) * (t - 1) / 2) FROM (SELECT count(*) AS t FROM clean GROUP BY {c})) AS t_{c}"
+                     for c in cols)
+    rows = []
+    for a in cols:
+        for b in cols:
+            if a == b:
+                rows.append(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, 1.0 AS corr")
+            else:
+                x, y = (a, b) if cols.index(a) < cols.index(b) else (b, a)
+                rows.append(f"SELECT '{a}', '{b}', round(s_{x}_{y} / sqrt((n0 - t_{a}) * (n0 - t_{b})), 4) FROM k")
+    return f"""{CLEAN_CTE},
+s AS (SELECT {sums} FROM clean p JOIN clean q ON p.contact_id < q.contact_id),
+k AS (SELECT *, {ties}, (SELECT CAST(count(*) AS DOUBLE) * (count(*) - 1) / 2 FROM clean) AS n0 FROM s)
+""" + _union(rows)
+
+
+@query("corr_kendall", _kendall_sql())
+def q_corr_kendall(spark, sf):
+    return multivariate.correlation_matrix(clean_contacts(spark, sf), _CORR, "kendall")
+
+
+@query("smote_train_counts", f"""{SPLIT_CTE},
+c AS (SELECT y, count(*) AS n FROM split WHERE split = 'train' GROUP BY y)
+SELECT y, false AS synthetic, n FROM c
+UNION ALL
+SELECT (SELECT y FROM c ORDER BY n, CAST(y AS VARCHAR) LIMIT 1), true, max(n) - min(n) FROM c""")
+def q_smote(spark, sf):
+    """F7 on the encoded training split: original and synthetic rows per class."""
+    from ..operators.smote import smote
+
+    split = split_contacts(spark, sf)
+    enc = encoder_for(split.where(F.col("split") == "train"))
+    train = enc.transform(split.where(F.col("split") == "train"), keep=["contact_id", "y"])
+    out = smote(train, enc.feature_names(), "y", "contact_id", k=5, seed=SEED)
+    return out.groupBy("y", "synthetic").agg(F.count("*").alias("n"))

@@ -87,7 +87,43 @@ def test_vif_drops_constant(spark):
     assert [r["feature"] for r in multivariate.compute_vif(df, ["a", "k"]).collect()] == ["a"]
 
 
-def test_kendall_is_reported_missing(spark):
-    df = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0)], "a double, b double")
-    with pytest.raises(NotImplementedError):
-        multivariate.correlation_matrix(df, ["a", "b"], "kendall")
+def _tau_b_brute(x, y):
+    n = len(x)
+    s = n1 = n2 = 0
+    for i in range(n):
+        for j in range(i + 1, n):
+            dx, dy = np.sign(x[i] - x[j]), np.sign(y[i] - y[j])
+            s += dx * dy
+            n1 += dx == 0
+            n2 += dy == 0
+    n0 = n * (n - 1) / 2
+    return s / np.sqrt((n0 - n1) * (n0 - n2))
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_kendall_tau_b_matches_pairs(spark, parts):
+    from leadlens.operators.kendall import tau_b
+
+    rng = np.random.default_rng(parts)
+    x = rng.integers(0, 6, size=300).astype(float)          # many ties
+    y = np.round(x * 0.5 + rng.normal(size=300), 1)
+    y[:40] = 2.0                                           # a hot tie group
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "a double, b double")
+    assert tau_b(df, "a", "b", num_partitions=parts) == pytest.approx(_tau_b_brute(x, y), abs=1e-12)
+
+
+def test_count_earlier_smaller():
+    from leadlens.operators.kendall import count_earlier_smaller
+
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 20, size=257)
+    want = sum(1 for j in range(len(a)) for i in range(j) if a[i] < a[j])
+    assert count_earlier_smaller(a) == want
+
+
+def test_kendall_matrix(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0), (3.0, 4.0), (4.0, 3.0)], "a double, b double")
+    m = {(r["feature_a"], r["feature_b"]): r["corr"]
+         for r in multivariate.correlation_matrix(df, ["a", "b"], "kendall").collect()}
+    assert m[("a", "b")] == pytest.approx(round(_tau_b_brute([1, 2, 3, 4], [2, 1, 4, 3]), 4))
+    assert m[("a", "a")] == 1.0
