@@ -897,3 +897,25 @@ def q_smote(spark, sf):
     train = enc.transform(split.where(F.col("split") == "train"), keep=["contact_id", "y"])
     out = smote(train, enc.feature_names(), "y", "contact_id", k=5, seed=SEED)
     return out.groupBy("y", "synthetic").agg(F.count("*").alias("n"))
+
+
+def _tree_attributions(spark, sf):
+    from ..operators.attribution import tree_attributions
+
+    enc, data = model_data(spark, sf)
+    r = model_ops.train_one("XGBoost", data, contacts_settings(), SEED)
+    test = data.where(F.col("split") == "test")
+    return tree_attributions(test, r["model"], enc.feature_names(), "contact_id")
+
+
+@query("tree_attribution_rank")
+def q_tree_rank(spark, sf):
+    """M10 for the boosted model: mean |TreeSHAP| per feature on the test split."""
+    return scoring.attribution_rank(_tree_attributions(spark, sf))
+
+
+@query("attribution_dependence")
+def q_dependence(spark, sf):
+    """Total price, its attribution and the account balance per test contact."""
+    attr = _tree_attributions(spark, sf)
+    return scoring.attribution_dependence(attr, "contact_id", "num__total_price", "num__acct_balance")
