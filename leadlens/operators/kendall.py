@@ -27,9 +27,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import checkpoint_dir, shuffle_partitions
+from ..session import materialize, shuffle_partitions
 
 
 def count_earlier_smaller(a: np.ndarray) -> int:
@@ -60,11 +59,6 @@ def _dense_rank(values: pd.Series) -> np.ndarray:
     return inv.astype(np.int64)
 
 
-def _pairs(t: pd.Series | np.ndarray) -> int:
-    t = np.asarray(t, dtype=np.int64)
-    return int((t * (t - 1) // 2).sum())
-
-
 def tau_b(df: DataFrame, x: str, y: str, num_partitions: int | None = None) -> float:
     spark = df.sparkSession
     n_parts = num_partitions or shuffle_partitions(spark)
@@ -72,10 +66,12 @@ def tau_b(df: DataFrame, x: str, y: str, num_partitions: int | None = None) -> f
              .dropna().where(~F.isnan("x") & ~F.isnan("y"))
     data = data.withColumn("h", F.xxhash64("x", "y", F.monotonically_increasing_id()))
 
-    # tie counts: one aggregation each over group counts
-    tx = data.groupBy("x").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
-    ty = data.groupBy("y").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
-    txy = data.groupBy("x", "y").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
+    # tie counts: one aggregation each over group counts (exact integer sums)
+    def tied(*keys):
+        c = F.col("count")
+        return (data.groupBy(*keys).count().agg(F.sum(c * (c - 1))).first()[0] or 0) // 2
+
+    tx, ty, txy = tied("x"), tied("y"), tied("x", "y")
 
     # pass 1: local inversions per (x, y)-range partition, rows tagged with the partition
     ranged = data.repartitionByRange(n_parts, "x", "y", "h").sortWithinPartitions("x", "y", "h")
@@ -94,14 +90,13 @@ def tau_b(df: DataFrame, x: str, y: str, num_partitions: int | None = None) -> f
         out.loc[len(out) - 1, "inv"] = inv
         yield out
 
-    checkpoint_dir(spark)
-    tagged = ranged.mapInPandas(local, "y double, h long, part int, inv long").checkpoint(eager=True)
+    tagged = materialize(ranged.mapInPandas(local, "y double, h long, part int, inv long"), "kendall")
     local_inv = tagged.agg(F.sum("inv")).first()[0] or 0
 
     # pairs with equal y and different parts (counted in pass-2 order, not discordant)
-    same_y = tagged.groupBy("y", "part").count().groupBy("y").agg(
-        F.sum("count").alias("t"), F.sum(F.col("count") * F.col("count")).alias("s2")) \
-        .agg(F.sum((F.col("t") * F.col("t") - F.col("s2")) / 2)).first()[0] or 0
+    same_y = (tagged.groupBy("y", "part").count().groupBy("y").agg(
+        F.sum("count").alias("t"), F.sum(F.col("count") * F.col("count")).alias("s2"))
+        .agg(F.sum(F.col("t") * F.col("t") - F.col("s2"))).first()[0] or 0) // 2
 
     # pass 2: y-descending scan, counting earlier rows with a smaller part
     ranged2 = tagged.repartitionByRange(n_parts, F.col("y").desc(), "part", "h") \

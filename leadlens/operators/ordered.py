@@ -8,7 +8,7 @@ third of the rows, that task becomes the job.  ``ordered_scan`` instead:
    many partitions (one shuffle, sampled bounds);
 2. scans every partition in order inside ``mapInPandas`` (numpy cumulative sums
    on Arrow batches), tagging rows of the partition's first group, and writes the
-   result once as a reliable checkpoint;
+   result once as Parquet in the shared checkpoint folder;
 3. builds a carry table with one row per partition (the last group's running
    totals and last values) and broadcasts it -- its size is bounded by the
    partition count, not by the data -- to finish the groups that cross a
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir, shuffle_partitions
+from ..session import materialize, shuffle_partitions
 
 _PID, _HEAD, _P0, _TAIL, _GK = "__pid", "__head", "__p0", "__tail", "__g0"
 
@@ -124,10 +124,11 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]
     ``row_number()/sum()/lag() OVER (PARTITION BY by ORDER BY order)`` without the
     one-task-per-group hazard.
 
-    The locally scanned data is checkpointed (reliable checkpoint in the session's
-    checkpoint folder) once, because the range partitioner samples with a seed tied
-    to the RDD id: two evaluations could cut the partitions differently.  Both the
-    carry table and the final join read the same checkpoint.
+    The locally scanned data is written once (Parquet in the session's checkpoint
+    folder), because the range partitioner samples with a seed tied to the RDD id:
+    two evaluations could cut the partitions differently.  The carry table (a
+    ``__tail`` filter that Parquet statistics mostly prune) and the final join
+    read the same files.
     """
     running = dict(running or {})
     lags = dict(lags or {})
@@ -157,10 +158,9 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]
     out_fields += [T.StructField(o, fields[s].dataType) for o, s in zip(lag_out, lag_src)]
     out_fields += [T.StructField(_PID, T.IntegerType()), T.StructField(_HEAD, T.BooleanType()),
                    T.StructField(_P0, T.BooleanType()), T.StructField(_TAIL, T.BooleanType())]
-    checkpoint_dir(spark)
-    local = ranged.mapInPandas(
+    local = materialize(ranged.mapInPandas(
         _scan_partitions(by, run_src, run_out, lag_src, lag_out, rn_out),
-        T.StructType(out_fields)).checkpoint(eager=True)
+        T.StructType(out_fields)), "ordered-scan")
 
     # carry table: one row per non-empty partition, so single-task windows are bounded
     summ = local.where(F.col(_TAIL)).select(

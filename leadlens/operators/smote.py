@@ -18,7 +18,7 @@ Rows meet their candidates through a cogroup on (query block, candidate block):
 a group holds at most ``block_size`` rows on each side, the distances are computed
 with numpy in bounded chunks and only k rows per query leave the task; the final
 k per query come from ``row_number() <= k``.  Every round's result is
-checkpointed, so lineage stays short.
+written once to the shared checkpoint folder, so lineage stays short.
 
 Synthetic rows follow the usual rule x + u * (neighbour - x) with u in [0, 1);
 the number of copies per minority row, the neighbour picked for each copy and u
@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import materialize
 from .ordered import ordered_scan
 
 
@@ -53,15 +53,15 @@ def exact_knn(df: DataFrame, id_col: str, vec: str, k: int, block_size: int = 51
     """(id, nb_rank, nb_id, distance) -- the k nearest other rows of every row,
     ties broken by neighbour id."""
     spark = df.sparkSession
-    checkpoint_dir(spark)
     pts = df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
     u = principal_direction(pts, "v")
     proj = F.aggregate(F.zip_with("v", F.array(*[F.lit(float(c)) for c in u]), lambda a, b: a * b),
                        F.lit(0.0), lambda acc, x: acc + x)
     ranked = ordered_scan(pts.withColumn("s", proj), by=[], order=["s", "id"], row_number="rn")
-    blocks = ranked.select("id", "v", "s", ((F.col("rn") - 1) / block_size).cast("long").alias("blk")) \
-                   .checkpoint(eager=True)
-    stats = blocks.groupBy("blk").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).checkpoint(eager=True)
+    blocks = materialize(ranked.select("id", "v", "s", ((F.col("rn") - 1) / block_size).cast("long")
+                                       .alias("blk")), "knn-blocks")
+    stats = materialize(blocks.groupBy("blk").agg(F.min("s").alias("lo"), F.max("s").alias("hi")),
+                        "knn-block-stats")
     n_blocks = stats.count()
     need = min(k, blocks.count() - 1)          # neighbours that exist at all
 
@@ -93,13 +93,14 @@ def exact_knn(df: DataFrame, id_col: str, vec: str, k: int, block_size: int = 51
         below_ok = F.col("hi_below").isNull() | (F.col("qs") - F.col("hi_below") > F.col("theta"))
         above_ok = F.col("lo_above").isNull() | (F.col("lo_above") - F.col("qs") > F.col("theta"))
         gap_ok = (F.col("found") >= need) & below_ok & above_ok
-        cert = cert.withColumn("ok", F.lit(True) if covers_all else gap_ok).select("qid", "ok").checkpoint(eager=True)
-        good = top.join(cert.where("ok"), "qid", "left_semi") \
-                  .select(F.col("qid").alias("id"), "nb_rank", F.col("cid").alias("nb_id"), "distance") \
-                  .checkpoint(eager=True)
+        cert = materialize(cert.withColumn("ok", F.lit(True) if covers_all else gap_ok)
+                           .select("qid", "ok"), "knn-cert")
+        good = materialize(top.join(cert.where("ok"), "qid", "left_semi")
+                           .select(F.col("qid").alias("id"), "nb_rank", F.col("cid").alias("nb_id"),
+                                   "distance"), "knn-round")
         done = good if done is None else done.unionByName(good)
         bad = cert.where(~F.col("ok")).select(F.col("qid").alias("id"))
-        pending = blocks.join(bad, "id", "left_semi").checkpoint(eager=True)
+        pending = materialize(blocks.join(bad, "id", "left_semi"), "knn-pending")
         if covers_all or pending.isEmpty():
             break
         w *= 2
