@@ -33,6 +33,10 @@ from ..session import materialize, shuffle_partitions
 _PID, _HEAD, _P0, _TAIL, _GK = "__pid", "__head", "__p0", "__tail", "__g0"
 
 
+def _qc(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
 def _key_change(cols: list[pd.Series], carry: tuple | None, first_in_partition: bool) -> np.ndarray:
     n = len(cols[0])
     new = np.zeros(n, dtype=bool)
@@ -133,15 +137,29 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]
     running = dict(running or {})
     lags = dict(lags or {})
     by = list(by)
+    unsafe = [c for c in df.columns if not c.replace("_", "a").isalnum()]
+    if unsafe:
+        # mapInPandas cannot resolve names such as "emp.var.rate": scan under safe
+        # aliases and restore the names afterwards
+        alias = {c: (f"__c{i}" if c in unsafe else c) for i, c in enumerate(df.columns)}
+        back = {v: k for k, v in alias.items()}
+        inner = ordered_scan(df.select([_qc(c).alias(alias[c]) for c in df.columns]),
+                             [alias[b] for b in by],
+                             [alias.get(o, o) if isinstance(o, str) else o for o in order],
+                             row_number=row_number,
+                             running={k: alias[v] for k, v in running.items()},
+                             lags={k: alias[v] for k, v in lags.items()},
+                             num_partitions=num_partitions)
+        return inner.select([_qc(c).alias(back.get(c, c)) for c in inner.columns])
     work = df
     if not by:
         work = work.withColumn(_GK, F.lit(0))
         by = [_GK]
-    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    order_cols = [_qc(o) if isinstance(o, str) else o for o in order]
     spark = df.sparkSession
     n = num_partitions or shuffle_partitions(spark)
-    ranged = work.repartitionByRange(n, *[F.col(b) for b in by], *order_cols) \
-                 .sortWithinPartitions(*[F.col(b) for b in by], *order_cols)
+    ranged = work.repartitionByRange(n, *[_qc(b) for b in by], *order_cols) \
+                 .sortWithinPartitions(*[_qc(b) for b in by], *order_cols)
 
     fields = {f.name: f for f in work.schema.fields}
     run_src, run_out = list(running.values()), list(running.keys())
@@ -164,12 +182,12 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]
 
     # carry table: one row per non-empty partition, so single-task windows are bounded
     summ = local.where(F.col(_TAIL)).select(
-        *by, _PID, F.col(rn_out).alias("__cnt"),
+        *[_qc(b) for b in by], _PID, F.col(rn_out).alias("__cnt"),
         *[F.col(o).alias("__s_" + o) for o in run_out],
-        *[F.col(s).alias("__v_" + o) for o, s in zip(lag_out, lag_src)])
-    run_w = Window.partitionBy(*by).orderBy(_PID).rowsBetween(Window.unboundedPreceding, 0)
+        *[_qc(s).alias("__v_" + o) for o, s in zip(lag_out, lag_src)])
+    run_w = Window.partitionBy(*[_qc(b) for b in by]).orderBy(_PID).rowsBetween(Window.unboundedPreceding, 0)
     carry = summ.select(
-        *[F.col(b).alias("__k_" + b) for b in by],
+        *[_qc(b).alias("__k_" + b) for b in by],
         F.lead(_PID).over(Window.orderBy(_PID)).alias("__next"),
         F.sum("__cnt").over(run_w).alias("__off_rn"),
         *[F.sum("__s_" + o).over(run_w).alias("__off_" + o) for o in run_out],
@@ -183,7 +201,7 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]
         return F.when(F.col(_HEAD) & F.col(off).isNotNull(), F.col(name) + F.col(off)) \
                 .otherwise(F.col(name))
 
-    sel = [F.col(c) for c in work.columns if c != _GK]
+    sel = [_qc(c) for c in work.columns if c != _GK]
     if row_number:
         sel.append(fix(rn_out, "__off_rn").alias(row_number))
     sel += [fix(o, "__off_" + o).alias(o) for o in run_out]
