@@ -59,75 +59,111 @@ def _dense_rank(values: pd.Series) -> np.ndarray:
     return inv.astype(np.int64)
 
 
-def tau_b(df: DataFrame, x: str, y: str, num_partitions: int | None = None) -> float:
+def _segments(keys: np.ndarray):
+    """(start, stop) of runs of equal consecutive keys."""
+    if len(keys) == 0:
+        return []
+    cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+    bounds = np.concatenate([[0], cut, [len(keys)]])
+    return list(zip(bounds[:-1], bounds[1:]))
+
+
+def tau_b_pairs(df: DataFrame, pairs: list[tuple[str, str]],
+                num_partitions: int | None = None) -> dict[tuple[str, str], float]:
+    """tau-b for several column pairs in one pipeline: the pairs are stacked as
+    (pair, x, y) rows and every pass partitions by the pair first, so the job
+    count does not grow with the number of pairs."""
     spark = df.sparkSession
     n_parts = num_partitions or shuffle_partitions(spark)
-    data = df.select(F.col(f"`{x}`").cast("double").alias("x"), F.col(f"`{y}`").cast("double").alias("y")) \
-             .dropna().where(~F.isnan("x") & ~F.isnan("y"))
-    data = data.withColumn("h", F.xxhash64("x", "y", F.monotonically_increasing_id()))
-
-    # tie counts: one aggregation each over group counts (exact integer sums)
+    cols = sorted({c for p in pairs for c in p})
+    base = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    idx = {c: f"c{i}" for i, c in enumerate(cols)}
+    stacked = F.explode(F.array(*[
+        F.struct(F.lit(j).alias("pair"), F.col(idx[a]).alias("x"), F.col(idx[b]).alias("y"))
+        for j, (a, b) in enumerate(pairs)]))
+    data = base.select(stacked.alias("r")).select("r.*") \
+               .where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
+    data = data.withColumn("h", F.xxhash64("pair", "x", "y", F.monotonically_increasing_id()))
+
+    # tie counts per pair (complete cases of that pair), exact integer sums
     def tied(*keys):
         c = F.col("count")
-        return (data.groupBy(*keys).count().agg(F.sum(c * (c - 1))).first()[0] or 0) // 2
+        rows = data.groupBy("pair", *keys).count().groupBy("pair").agg(F.sum(c * (c - 1)).alias("t")).collect()
+        return {r["pair"]: r["t"] // 2 for r in rows}
 
     tx, ty, txy = tied("x"), tied("y"), tied("x", "y")
 
-    # pass 1: local inversions per (x, y)-range partition, rows tagged with the partition
-    ranged = data.repartitionByRange(n_parts, "x", "y", "h").sortWithinPartitions("x", "y", "h")
+    # pass 1: inversions of y inside each (pair, x, y)-range partition
+    ranged = data.repartitionByRange(n_parts, "pair", "x", "y", "h") \
+                 .sortWithinPartitions("pair", "x", "y", "h")
 
     def local(batches):
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        frames = [b[["y", "h"]] for b in batches if len(b)]
+        frames = [b[["pair", "y", "h"]] for b in batches if len(b)]
         if not frames:
             return
         part = pd.concat(frames, ignore_index=True)
-        inv = count_earlier_smaller(-_dense_rank(part["y"]) + len(part))
-        out = pd.DataFrame({"y": part["y"], "h": part["h"], "part": np.int32(pid),
-                            "inv": np.int64(0)})
-        out.loc[len(out) - 1, "inv"] = inv
-        yield out
-
-    tagged = materialize(ranged.mapInPandas(local, "y double, h long, part int, inv long"), "kendall")
-    local_inv = tagged.agg(F.sum("inv")).first()[0] or 0
-
-    # pairs with equal y and different parts (counted in pass-2 order, not discordant)
-    same_y = (tagged.groupBy("y", "part").count().groupBy("y").agg(
-        F.sum("count").alias("t"), F.sum(F.col("count") * F.col("count")).alias("s2"))
-        .agg(F.sum(F.col("t") * F.col("t") - F.col("s2"))).first()[0] or 0) // 2
-
-    # pass 2: y-descending scan, counting earlier rows with a smaller part
-    ranged2 = tagged.repartitionByRange(n_parts, F.col("y").desc(), "part", "h") \
-                    .sortWithinPartitions(F.col("y").desc(), "part", "h")
+        inv = np.zeros(len(part), dtype=np.int64)
+        keys = part["pair"].to_numpy()
+        for lo, hi in _segments(keys):
+            seg = part["y"].iloc[lo:hi]
+            inv[hi - 1] = count_earlier_smaller(-_dense_rank(seg) + (hi - lo))
+        yield pd.DataFrame({"pair": keys.astype(np.int32), "y": part["y"], "h": part["h"],
+                            "part": np.int32(pid), "inv": inv})
+
+    tagged = materialize(ranged.mapInPandas(local, "pair int, y double, h long, part int, inv long"),
+                         "kendall")
+    local_inv = {r["pair"]: r["s"] for r in tagged.groupBy("pair").agg(F.sum("inv").alias("s")).collect()}
+    n_rows = {r["pair"]: r["n"] for r in tagged.groupBy("pair").agg(F.count("*").alias("n")).collect()}
+    # pairs with equal y in different parts (counted in pass-2 order, not discordant)
+    same_y = {r["pair"]: r["d"] // 2 for r in (
+        tagged.groupBy("pair", "y", "part").count()
+              .groupBy("pair", "y").agg(F.sum("count").alias("t"),
+                                        F.sum(F.col("count") * F.col("count")).alias("s2"))
+              .groupBy("pair").agg(F.sum(F.col("t") * F.col("t") - F.col("s2")).alias("d"))).collect()}
+
+    # pass 2: per pair, y-descending order, earlier rows with a smaller part
+    ranged2 = tagged.repartitionByRange(n_parts, "pair", F.col("y").desc(), "part", "h") \
+                    .sortWithinPartitions("pair", F.col("y").desc(), "part", "h")
 
     def cross(batches):
         from pyspark import TaskContext
 
         qid = TaskContext.get().partitionId()
-        frames = [b["part"] for b in batches if len(b)]
+        frames = [b[["pair", "part"]] for b in batches if len(b)]
         if not frames:
             return
-        parts = pd.concat(frames, ignore_index=True).to_numpy().astype(np.int64)
-        within = count_earlier_smaller(parts)
-        hist = np.bincount(parts, minlength=n_parts).astype(np.int64)
-        yield pd.DataFrame({"q": [qid], "within": [within], "hist": [hist.tolist()]})
-
-    summ = ranged2.mapInPandas(cross, "q int, within long, hist array<long>").collect()
-    summ = sorted(summ, key=lambda r: r["q"])
-    carry = np.zeros(n_parts, dtype=np.int64)
-    cross_pairs = 0
-    for r in summ:
-        h = np.asarray(r["hist"], dtype=np.int64)
-        # rows of this partition with part p pair with earlier rows of any smaller part
-        smaller = np.concatenate([[0], np.cumsum(carry)[:-1]])
-        cross_pairs += int(r["within"]) + int((h * smaller).sum())
-        carry += h
-    nd = int(local_inv) + cross_pairs - int(same_y)
-
-    n = int(carry.sum())
-    n0 = n * (n - 1) // 2
-    s = n0 - int(tx) - int(ty) + int(txy) - 2 * nd
-    den = (n0 - int(tx)) * (n0 - int(ty))
-    return float(s / np.sqrt(float(den))) if den > 0 else float("nan")
+        part = pd.concat(frames, ignore_index=True)
+        keys = part["pair"].to_numpy()
+        parts = part["part"].to_numpy().astype(np.int64)
+        out = []
+        for lo, hi in _segments(keys):
+            seg = parts[lo:hi]
+            out.append((qid, int(keys[lo]), count_earlier_smaller(seg),
+                        np.bincount(seg, minlength=n_parts).astype(np.int64).tolist()))
+        yield pd.DataFrame(out, columns=["q", "pair", "within", "hist"])
+
+    summ = ranged2.mapInPandas(cross, "q int, pair int, within long, hist array<long>").collect()
+    result = {}
+    for j, key in enumerate(pairs):
+        carry = np.zeros(n_parts, dtype=np.int64)
+        cross_pairs = 0
+        for r in sorted((r for r in summ if r["pair"] == j), key=lambda r: r["q"]):
+            h = np.asarray(r["hist"], dtype=np.int64)
+            smaller = np.concatenate([[0], np.cumsum(carry)[:-1]])
+            cross_pairs += int(r["within"]) + int((h * smaller).sum())
+            carry += h
+        nd = int(local_inv.get(j, 0)) + cross_pairs - int(same_y.get(j, 0))
+        n = int(n_rows.get(j, 0))
+        n0 = n * (n - 1) // 2
+        t1, t2, t3 = int(tx.get(j, 0)), int(ty.get(j, 0)), int(txy.get(j, 0))
+        sval = n0 - t1 - t2 + t3 - 2 * nd
+        den = (n0 - t1) * (n0 - t2)
+        result[key] = float(sval / np.sqrt(float(den))) if den > 0 else float("nan")
+    return result
+
+
+def tau_b(df: DataFrame, x: str, y: str, num_partitions: int | None = None) -> float:
+    return tau_b_pairs(df, [(x, y)], num_partitions)[(x, y)]

@@ -95,10 +95,14 @@ def correlation_matrix(df: DataFrame, features: Sequence[str], method: str = "pe
         m = Correlation.corr(vec, "__v", "spearman").first()[0].toArray()
         return _long_matrix(spark, features, m, decimals)
     if method == "kendall":
+        from .kendall import tau_b_pairs
+
+        pairs = [(features[i], features[j]) for i in range(k) for j in range(i + 1, k)]
+        taus = tau_b_pairs(clean, pairs) if pairs else {}
         m = np.eye(k)
-        for i in range(k):
-            for j in range(i + 1, k):
-                m[i, j] = m[j, i] = kendall_tau_b(clean, features[i], features[j])
+        for (a, b), v in taus.items():
+            i, j = features.index(a), features.index(b)
+            m[i, j] = m[j, i] = v
         return _long_matrix(spark, features, m, decimals)
     raise ValueError(f"unknown method {method!r}")
 
