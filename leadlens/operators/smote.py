@@ -6,13 +6,13 @@ Exact kNN without a pair list over the whole class:
    Spark ML ``PCA``), so |u.x - u.z| <= ||x - z||;
 2. rank rows by the projection (skew-safe ``ordered_scan``) and cut the ranks
    into blocks of ``block_size`` rows;
-3. round w = 1, 2, 4, ...: every still-uncertified row is joined (equi-join on
-   the block key) with the rows of blocks b-w .. b+w, distances are computed and
-   the k best kept (``row_number() <= k``);
-4. a row is certified when the projection gap to the first block outside the
-   window is larger than its k-th distance -- no row outside can then be
-   closer, so the neighbours are exact.  Only uncertified rows go to the next,
-   wider round; the last round covers every block.
+3. round 1: every row meets the rows of its own and the two adjacent blocks;
+   its k-th distance there, theta, bounds the true k-th distance from above;
+4. round 2: a row can only have a closer neighbour in a block whose projection
+   range lies within theta of its own projection, because |u.x - u.z| <=
+   ||x - z||.  Those blocks are found by binary search over the per-block
+   (min, max) projection table (one row per block, broadcast), visited, and the
+   k best of both rounds kept -- exact after two rounds.
 
 Rows meet their candidates through a cogroup on (query block, candidate block):
 a group holds at most ``block_size`` rows on each side, the distances are computed
@@ -30,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,79 +59,102 @@ def exact_knn(df: DataFrame, id_col: str, vec: str, k: int, block_size: int = 51
     proj = F.aggregate(F.zip_with("v", F.array(*[F.lit(float(c)) for c in u]), lambda a, b: a * b),
                        F.lit(0.0), lambda acc, x: acc + x)
     ranked = ordered_scan(pts.withColumn("s", proj), by=[], order=["s", "id"], row_number="rn")
-    blocks = materialize(ranked.select("id", "v", "s", ((F.col("rn") - 1) / block_size).cast("long")
+    n = ranked.count()
+    # keep the block table (one row per block) small enough to broadcast
+    block = max(block_size, -(-n // 50_000))
+    blocks = materialize(ranked.select("id", "v", "s", ((F.col("rn") - 1) / block).cast("long")
                                        .alias("blk")), "knn-blocks")
-    stats = materialize(blocks.groupBy("blk").agg(F.min("s").alias("lo"), F.max("s").alias("hi")),
-                        "knn-block-stats")
-    n_blocks = stats.count()
-    need = min(k, blocks.count() - 1)          # neighbours that exist at all
-
-    pending = blocks.select("id", "v", "s", "blk")
-    done = None
-    w = 1
-    while True:
-        width = max(w, 1)
-        q = pending.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("s").alias("qs"),
-                           F.col("blk").alias("qblk"),
-                           F.explode(F.sequence(F.col("blk") - width, F.col("blk") + width)).alias("cblk"))
-        # candidates go only to query blocks that still have pending rows; each
-        # cogroup is one (query block, candidate block) pair: <= block_size rows a side
-        need_blk = pending.select(F.col("blk").alias("qblk")).distinct()
-        cand = blocks.select(F.col("id").alias("cid"), F.col("v").alias("cv"), F.col("blk").alias("cblk"),
-                             F.explode(F.sequence(F.col("blk") - width, F.col("blk") + width)).alias("qblk"))
-        cand = cand.join(need_blk, "qblk", "left_semi")
-        local = q.groupBy("qblk", "cblk").cogroup(cand.groupBy("qblk", "cblk")).applyInPandas(
-            _block_top_k(k), "qid long, qs double, qblk long, cid long, distance double")
+    stats = blocks.groupBy("blk").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).orderBy("blk").collect()
+    lo = np.array([r["lo"] for r in stats])
+    hi = np.array([r["hi"] for r in stats])
+    need = min(k, n - 1)
+    if need <= 0:
+        return spark.createDataFrame([], "id long, nb_rank int, nb_id long, distance double")
+
+    def pairs_top(queries: DataFrame) -> DataFrame:
+        """queries: (qid, qv, qblk, cblk); k best candidates of the listed blocks."""
+        need_pairs = queries.select(F.col("qblk").alias("__nq"), F.col("cblk").alias("__nc")).distinct()
+        cand = blocks.join(need_pairs, blocks["blk"] == need_pairs["__nc"]).select(
+            F.col("id").alias("cid"), F.col("v").alias("cv"), F.col("__nc").alias("cblk"),
+            F.col("__nq").alias("qblk"))
+        local = queries.groupBy("qblk", "cblk").cogroup(cand.groupBy("qblk", "cblk")).applyInPandas(
+            _block_top_k(k), "qid long, cid long, distance double")
         rnk = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "cid"))
-        top = local.withColumn("nb_rank", rnk).where(F.col("nb_rank") <= k)
-        theta = top.groupBy("qid", "qs", "qblk").agg(F.max("distance").alias("theta"),
-                                                     F.count("*").alias("found"))
-        below = stats.select(F.col("blk").alias("b_lo"), F.col("hi").alias("hi_below"))
-        above = stats.select(F.col("blk").alias("b_hi"), F.col("lo").alias("lo_above"))
-        cert = (theta.withColumn("b_lo", F.col("qblk") - width - 1).withColumn("b_hi", F.col("qblk") + width + 1)
-                     .join(below, "b_lo", "left").join(above, "b_hi", "left"))
-        covers_all = width >= n_blocks
-        below_ok = F.col("hi_below").isNull() | (F.col("qs") - F.col("hi_below") > F.col("theta"))
-        above_ok = F.col("lo_above").isNull() | (F.col("lo_above") - F.col("qs") > F.col("theta"))
-        gap_ok = (F.col("found") >= need) & below_ok & above_ok
-        cert = materialize(cert.withColumn("ok", F.lit(True) if covers_all else gap_ok)
-                           .select("qid", "ok"), "knn-cert")
-        good = materialize(top.join(cert.where("ok"), "qid", "left_semi")
-                           .select(F.col("qid").alias("id"), "nb_rank", F.col("cid").alias("nb_id"),
-                                   "distance"), "knn-round")
-        done = good if done is None else done.unionByName(good)
-        bad = cert.where(~F.col("ok")).select(F.col("qid").alias("id"))
-        pending = materialize(blocks.join(bad, "id", "left_semi"), "knn-pending")
-        if covers_all or pending.isEmpty():
-            break
-        w *= 2
-    return done
-
-
-def _block_top_k(k: int, chunk: int = 256):
+        return local.withColumn("nb_rank", rnk).where(F.col("nb_rank") <= k).drop("nb_rank")
+
+    # round 1: own block and its neighbours -> an upper bound on the k-th distance
+    q1 = blocks.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("blk").alias("qblk"),
+                       F.explode(F.sequence(F.col("blk") - 1, F.col("blk") + 1)).alias("cblk")) \
+               .where((F.col("cblk") >= 0) & (F.col("cblk") < len(stats)))
+    top1 = materialize(pairs_top(q1), "knn-round1")
+    bound = top1.groupBy("qid").agg(F.max("distance").alias("theta"), F.count("*").alias("found"))
+
+    # round 2: every block whose projection range lies within theta of the row
+    # (|u.x - u.z| <= ||x - z||), minus the blocks already seen -> exact
+    lo_b = spark.sparkContext.broadcast(lo)
+    hi_b = spark.sparkContext.broadcast(hi)
+
+    @F.pandas_udf("array<long>")
+    def window(s_, blk, theta, found):
+        lo_, hi_ = lo_b.value, hi_b.value
+        out = []
+        for sv, b, t, f in zip(s_, blk, theta, found):
+            if f is None or f < need or not np.isfinite(t):
+                first, last = 0, len(lo_) - 1
+            else:
+                first = int(np.searchsorted(hi_, sv - t, side="left"))
+                last = int(np.searchsorted(lo_, sv + t, side="right")) - 1
+            out.append([c for c in range(first, last + 1) if abs(c - b) > 1])
+        return pd.Series(out)
+
+    pend = blocks.join(bound, blocks["id"] == bound["qid"], "left") \
+                 .select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("blk").alias("qblk"),
+                         F.explode(window("s", "blk", "theta", "found")).alias("cblk"))
+    top2 = pairs_top(pend)
+    both = top1.unionByName(top2)
+    rnk = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "cid"))
+    final = both.withColumn("nb_rank", rnk).where(F.col("nb_rank") <= k)
+    return materialize(final.select(F.col("qid").alias("id"), F.col("nb_rank").cast("int"),
+                                    F.col("cid").alias("nb_id"), "distance"), "knn")
+
+
+def _block_top_k(k: int, chunk: int = 1024):
+    """k best candidates of one block for each query: squared distances screened
+    with a matrix product, the survivors re-ranked by exact differences (so ties
+    break by id exactly as a direct computation would)."""
     def fn(qp, cp):
-        import pandas as pd
-
         if len(qp) == 0 or len(cp) == 0:
-            return pd.DataFrame({"qid": [], "qs": [], "qblk": [], "cid": [], "distance": []})
+            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "cid": pd.Series([], dtype="int64"),
+                                 "distance": pd.Series([], dtype="float64")})
         cv = np.vstack(cp["cv"].to_numpy()).astype(np.float64)
         cid = cp["cid"].to_numpy().astype(np.int64)
-        out = []
+        cn = (cv * cv).sum(1)
+        out_q, out_c, out_d = [], [], []
+        qids_all = qp["qid"].to_numpy().astype(np.int64)
         for lo in range(0, len(qp), chunk):
-            part = qp.iloc[lo:lo + chunk]
-            qv = np.vstack(part["qv"].to_numpy()).astype(np.float64)
-            d = np.sqrt(((qv[:, None, :] - cv[None, :, :]) ** 2).sum(-1))
-            d[part["qid"].to_numpy()[:, None] == cid[None, :]] = np.inf      # not its own neighbour
-            order = np.lexsort((np.broadcast_to(cid, d.shape), d), axis=-1)[:, :k]
-            rows = np.repeat(np.arange(len(part)), order.shape[1])
-            cols = order.ravel()
-            dist = d[rows, cols]
-            keep = np.isfinite(dist)
-            out.append(pd.DataFrame({
-                "qid": part["qid"].to_numpy()[rows][keep], "qs": part["qs"].to_numpy()[rows][keep],
-                "qblk": part["qblk"].to_numpy()[rows][keep], "cid": cid[cols][keep],
-                "distance": dist[keep]}))
-        return pd.concat(out, ignore_index=True)
+            qv = np.vstack(qp["qv"].iloc[lo:lo + chunk].to_numpy()).astype(np.float64)
+            qids = qids_all[lo:lo + chunk]
+            qn = (qv * qv).sum(1)
+            approx = qn[:, None] + cn[None, :] - 2.0 * (qv @ cv.T)
+            approx[qids[:, None] == cid[None, :]] = np.inf          # not its own neighbour
+            kk = min(k, approx.shape[1])
+            kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
+            tol = 1e-9 * (1.0 + qn[:, None] + cn[None, :])
+            for r in range(len(qids)):
+                sel = np.flatnonzero(approx[r] <= kth[r] + tol[r])
+                sel = sel[np.isfinite(approx[r, sel])]
+                if len(sel) == 0:
+                    continue
+                d = np.sqrt(((cv[sel] - qv[r]) ** 2).sum(1))
+                order = np.lexsort((cid[sel], d))[:k]
+                out_q.append(np.full(len(order), qids[r]))
+                out_c.append(cid[sel][order])
+                out_d.append(d[order])
+        if not out_q:
+            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "cid": pd.Series([], dtype="int64"),
+                                 "distance": pd.Series([], dtype="float64")})
+        return pd.DataFrame({"qid": np.concatenate(out_q), "cid": np.concatenate(out_c),
+                             "distance": np.concatenate(out_d)})
     return fn
 
 
