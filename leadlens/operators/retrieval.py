@@ -7,10 +7,11 @@
   ``numpy.bincount`` in an Arrow-batched pandas UDF): it runs offline and is
   reproducible across engines.  A real sentence model would be another function
   returning the same (ids..., embedding) shape.
-* ``vector_top_k`` -- exact cosine top-k.  The query side is broadcast only in
-  batches of a checked size; the corpus is never broadcast.  ``row_number() <= k``
-  plans a partial ``WindowGroupLimit`` before the shuffle, so each task forwards
-  at most k candidates per query.
+* ``vector_top_k`` -- exact cosine top-k.  The query side is shipped in batches
+  of a checked size; the corpus is never broadcast.  Each corpus Arrow batch is
+  scored with one matrix product and keeps k rows per query, and
+  ``row_number() <= k`` (a partial ``WindowGroupLimit`` before the shuffle)
+  merges them.
 """
 
 from __future__ import annotations
@@ -83,42 +84,74 @@ def embed_chunks(df: DataFrame, id_cols: Sequence[str], text_col: str = "text",
     return df.select(*keep, emb.alias("embedding"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
-                       F.lit(0.0), lambda acc, x: acc + x)
-
-
-def _norm2(v: Column) -> Column:
-    return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-
-
 def vector_top_k(queries: DataFrame, corpus: DataFrame, query_id: str, doc_ids: Sequence[str],
                  vec: str = "embedding", k: int = 5,
                  max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
     """For every query the k most cosine-similar corpus rows.
 
-    Output: query_id, rank, doc ids..., similarity.  Ties are broken by the doc
-    ids.  Queries are broadcast in batches of at most ``max_broadcast`` rows
-    (counted first); each batch is one pass over the corpus.
+    Output: query_id, rank, doc ids..., similarity (NULL for zero vectors).
+    Ties are broken by the doc ids.  The queries are shipped to the tasks in
+    batches of at most ``max_broadcast`` rows (counted first); every corpus Arrow
+    batch is scored against a query batch with one matrix product and keeps k
+    rows per query, so no (query, document) pair is materialised as a row; the
+    final ``row_number() <= k`` merges the per-batch candidates.
     """
+    spark = queries.sparkSession
     q = queries.select(F.col(query_id).alias("__qid"), F.col(vec).alias("__qv"))
-    q = q.withColumn("__qn", _norm2(F.col("__qv")))
-    c = corpus.select(*doc_ids, F.col(vec).alias("__cv")).withColumn("__cn", _norm2(F.col("__cv")))
     n_q = q.count()
     n_batches = max(1, math.ceil(n_q / max_broadcast))
+    id_fields = [corpus.schema[d] for d in doc_ids]
+    qid_type = queries.schema[query_id].dataType
+    out_schema = T.StructType([T.StructField("__qid", qid_type)] + id_fields +
+                              [T.StructField("similarity", T.DoubleType())])
     results = None
     for b in range(n_batches):
         qb = q if n_batches == 1 else q.where(F.pmod(F.xxhash64("__qid"), F.lit(n_batches)) == b)
-        pairs = c.join(F.broadcast(qb), how="inner", on=F.lit(True))
-        sim = F.try_divide(dot(F.col("__qv"), F.col("__cv")), F.sqrt("__qn") * F.sqrt("__cn"))
-        scored = pairs.select("__qid", *doc_ids, sim.alias("similarity"))
+        rows = qb.collect()                       # at most max_broadcast query vectors
+        if not rows:
+            continue
+        qids = [r["__qid"] for r in rows]
+        qmat = np.array([np.asarray(r["__qv"], dtype=np.float64) for r in rows])
+        bc = spark.sparkContext.broadcast((qids, qmat))
+        scored = corpus.select(*doc_ids, F.col(vec).alias("__cv")).mapInPandas(
+            _batch_top_k(bc, list(doc_ids), k), out_schema)
         w = Window.partitionBy("__qid").orderBy(F.desc_nulls_last("similarity"),
                                                 *[F.asc(d) for d in doc_ids])
         top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         results = top if results is None else results.unionByName(top)
+    if results is None:
+        return spark.createDataFrame([], T.StructType([T.StructField(query_id, qid_type),
+                                                       T.StructField("rank", T.IntegerType())] + id_fields +
+                                                      [T.StructField("similarity", T.DoubleType())]))
     return results.select(F.col("__qid").alias(query_id), "rank", *doc_ids, "similarity")
 
 
+def _batch_top_k(bc, doc_ids: list[str], k: int):
+    def fn(batches):
+        qids, qmat = bc.value
+        qn = np.sqrt((qmat * qmat).sum(1))
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            cmat = np.vstack(pdf["__cv"].to_numpy()).astype(np.float64)
+            cn = np.sqrt((cmat * cmat).sum(1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                sim = (qmat @ cmat.T) / (qn[:, None] * cn[None, :])
+            sim = np.where(np.isfinite(sim), sim, np.nan)
+            keys = [pdf[d].to_numpy() for d in doc_ids]
+            kk = min(k, sim.shape[1])
+            out = []
+            for i, qid in enumerate(qids):
+                s_ = sim[i]
+                order = np.lexsort(tuple(reversed(keys)) + (np.where(np.isnan(s_), np.inf, -s_),))[:kk]
+                part = {d: keys[j][order] for j, d in enumerate(doc_ids)}
+                part["__qid"] = np.full(kk, qid, dtype=object)
+                part["similarity"] = s_[order]
+                out.append(pd.DataFrame(part))
+            yield pd.concat(out, ignore_index=True)[["__qid", *doc_ids, "similarity"]]
+    return fn
+
+
 def centroids(df: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
     """Per-key mean vector (element-wise), e.g. one query per label."""
     ex = df.select(key, F.posexplode(vec).alias("__pos", "__x"))

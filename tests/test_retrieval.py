@@ -52,3 +52,16 @@ def test_conversation_history(spark):
     out = retrieval.conversation_history(df).orderBy("conv_id", "turn").collect()
     assert [r["position"] for r in out] == [1, 2, 3, 1]
     assert [r["prior_user_turns"] for r in out] == [0, 1, 1, 0]
+
+
+def test_build_and_read_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "alpha beta gamma " * 300), (2, "delta epsilon")], "doc_id long, text string")
+    path = str(tmp_path / "index")
+    built = retrieval.build_index(docs, path, size=128, overlap=16, dims=32)
+    back = retrieval.read_index(spark, path)
+    assert back.count() == built.count() == 8 + 1
+    assert set(back.columns) >= {"doc_id", "chunk_id", "text", "embedding"}
+    q = retrieval.embed_chunks(spark.createDataFrame([(0, "delta epsilon")], "qid long, text string"),
+                               ["qid"], dims=32)
+    top = retrieval.vector_top_k(q, back, "qid", ["doc_id", "chunk_id"], k=1).first()
+    assert top["doc_id"] == 2 and top["similarity"] == pytest.approx(1.0)
