@@ -332,9 +332,12 @@ _DOMAINS = {
 }
 
 
-def _encoder_sql() -> str:
+def _encoder_sql(digits: int | None = 6) -> str:
     stats = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}" for c in NUM)
-    nums = ", ".join(f"round((CAST({c} AS DOUBLE) - m_{c}) / CASE WHEN s_{c} = 0 THEN 1.0 ELSE s_{c} END, 6) AS num__{c}"
+    def r(e):
+        return f"round({e}, {digits})" if digits is not None else e
+
+    nums = ", ".join(r(f"(CAST({c} AS DOUBLE) - m_{c}) / CASE WHEN s_{c} = 0 THEN 1.0 ELSE s_{c} END") + f" AS num__{c}"
                      for c in NUM)
     order = ", ".join(f"'{v}'" for v in PRIORITY_ORDER)
     ordc = f"CAST(coalesce(list_position([{order}], priority), 0) - 1 AS DOUBLE) AS ord__priority"
@@ -767,8 +770,6 @@ def q_score(spark, sf):
 def _attributions(spark, sf):
     enc, data, r = _fit(spark, sf, "LogisticRegression")
     names = enc.feature_names()
-    train = data.where(F.col("split") == "train")
-    means_row = model_ops.assemble  # noqa: F841  (keeps imports explicit)
     enc_train = enc.transform(split_contacts(spark, sf).where(F.col("split") == "train"))
     row = enc_train.agg(*[F.avg(F.col(f"`{n}`")).alias(f"m{i}") for i, n in enumerate(names)]).first()
     means = {n: row[f"m{i}"] for i, n in enumerate(names)}
@@ -776,7 +777,6 @@ def _attributions(spark, sf):
     attr = scoring.linear_attributions(split_contacts(spark, sf).where(F.col("split") == "test"),
                                        enc, m.coefficients.toArray().tolist(), m.intercept,
                                        means, "contact_id")
-    del train
     return attr
 
 
@@ -848,13 +848,26 @@ def q_csv(spark, sf):
     return read_contacts(spark, path, schema=T.StructType(df.schema.fields))
 
 
-@query("active_features")
+def _active_sql() -> str:
+    names = ([f"num__{c}" for c in NUM] + ["ord__priority"]
+             + [f"ohe__{c}_{v}" for c in _NOMINAL for v in _DOMAINS[c]])
+    items = ", ".join(f"{{'pos': {i}, 'feature': '{n}', 'value': \"{n}\"}}" for i, n in enumerate(names))
+    return f"""WITH enc AS ({_encoder_sql(None)}),
+e AS (SELECT contact_id, unnest([{items}]) AS f FROM enc WHERE split = 'test'),
+p AS (SELECT contact_id, f.pos AS pos, f.feature AS feature, f.value AS value FROM e WHERE f.value > 0)
+SELECT contact_id, rank, feature, round(value, 6) AS value FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY contact_id ORDER BY pos) AS INTEGER) AS rank FROM p)
+WHERE rank <= 10"""
+
+
+@query("active_features", _active_sql())
 def q_active(spark, sf):
     """Per test contact, the first ten encoded features with a value > 0."""
     split = split_contacts(spark, sf)
     enc = encoder_for(split.where(F.col("split") == "train"))
     encoded = enc.transform(split.where(F.col("split") == "test"), keep=["contact_id"])
-    return cleaning.active_features(encoded, "contact_id", enc.feature_names(), 10)
+    act = cleaning.active_features(encoded, "contact_id", enc.feature_names(), 10)
+    return act.withColumn("value", F.round("value", 6))
 
 
 def _kendall_sql() -> str:

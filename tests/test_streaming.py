@@ -46,3 +46,21 @@ def test_tier_counts_stream(spark, tmp_path):
     live = {r["tier"]: r["n"] for r in latest_tier_counts(spark, str(tmp_path / "sink")).collect()}
     batch = {r["tier"]: r["n"] for r in tier_distribution(probs).collect()}
     assert live == batch == {"high": 120, "medium": 90, "low": 90}
+
+
+def test_prediction_log_stream_appends_once(spark, tmp_path):
+    from leadlens.sources.logs import log_records
+    from leadlens.streaming.scoring import append_prediction_log
+
+    src = str(tmp_path / "req")
+    spark.createDataFrame([(i, i / 10.0) for i in range(10)], "id long, p double").repartition(2).write.parquet(src)
+    stream = file_stream(spark, src)
+    recs = log_records(stream.withColumn("probability_of_subscription", F.round("p", 4)),
+                       ["probability_of_subscription"], ["id", "p"])
+    sink, ck = str(tmp_path / "log"), str(tmp_path / "ck")
+    run_to_completion(append_prediction_log(recs, sink, ck))
+    run_to_completion(append_prediction_log(recs, sink, ck))      # restart: nothing new to log
+    out = spark.read.parquet(sink)
+    assert out.count() == 10
+    assert out.where(F.col("logged_at").endswith(" UTC")).count() == 10
+    assert {r["input"]["id"] for r in out.collect()} == set(range(10))
