@@ -14,7 +14,7 @@ nd = discordant pairs = pairs ordered by (x, y) whose y is strictly decreasing
    range-partitioned again by (y desc, part, row hash); each partition counts, in
    order, earlier rows with a smaller part, and emits one histogram of its parts.
    Earlier partitions enter through prefix sums of those histograms (Q x P
-   numbers, bounded by the partition counts).  Pairs with equal y and different
+   numbers; the partition count is capped at 1024, so at most 8 MB a pair).  Pairs with equal y and different
    parts were counted in order and are subtracted with a group-count formula.
 
 Hot keys are split by the row hash, every pass is linear-logarithmic per
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, shuffle_partitions
 
+MAX_PARTS = 1024
+
 
 def count_earlier_smaller(a: np.ndarray) -> int:
     """Total of #{i < j : a_i < a_j} over j, for non-negative integers a
@@ -74,7 +76,10 @@ def tau_b_pairs(df: DataFrame, pairs: list[tuple[str, str]],
     (pair, x, y) rows and every pass partitions by the pair first, so the job
     count does not grow with the number of pairs."""
     spark = df.sparkSession
-    n_parts = num_partitions or shuffle_partitions(spark)
+    # the pass-2 summary is n_parts x n_parts counts per pair: cap the partition
+    # count so it stays small (1024 -> 8 MB a pair); a partition then holds
+    # n / 1024 rows of three columns in the pandas pass
+    n_parts = min(num_partitions or shuffle_partitions(spark), MAX_PARTS)
     cols = sorted({c for p in pairs for c in p})
     base = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
     idx = {c: f"c{i}" for i, c in enumerate(cols)}
