@@ -93,7 +93,8 @@ def parse_iso(text: Column | str) -> Column:
 
 def elapsed_seconds(ts: Column | str, now: Column | str) -> Column:
     """Whole seconds from ts to now, truncated like ``int(delta.total_seconds())``."""
-    micros = F.unix_micros(_c(now).cast("timestamp")) - F.unix_micros(_c(ts).cast("timestamp"))
+    # microsecond difference without a detour through the session time zone
+    micros = F.timestamp_diff("MICROSECOND", _c(ts), _c(now))
     return F.when(micros >= 0, F.floor(micros / 1_000_000)) \
             .otherwise(F.ceil(micros / 1_000_000)).cast("long")
 
