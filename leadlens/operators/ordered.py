@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize, shuffle_partitions
+from ..session import materialize
 
 _PID, _HEAD, _P0, _TAIL, _GK = "__pid", "__head", "__p0", "__tail", "__g0"
 
@@ -156,10 +156,12 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]
         work = work.withColumn(_GK, F.lit(0))
         by = [_GK]
     order_cols = [_qc(o) if isinstance(o, str) else o for o in order]
-    spark = df.sparkSession
-    n = num_partitions or shuffle_partitions(spark)
-    ranged = work.repartitionByRange(n, *[_qc(b) for b in by], *order_cols) \
-                 .sortWithinPartitions(*[_qc(b) for b in by], *order_cols)
+    keys = [_qc(b) for b in by] + order_cols
+    # without an explicit count, AQE may merge adjacent ranges of small data
+    # (order is preserved); the scan output is written once, so the cut only has
+    # to be consistent within that single execution
+    ranged = (work.repartitionByRange(num_partitions, *keys) if num_partitions
+              else work.repartitionByRange(*keys)).sortWithinPartitions(*keys)
 
     fields = {f.name: f for f in work.schema.fields}
     run_src, run_out = list(running.values()), list(running.keys())

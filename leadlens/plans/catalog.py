@@ -747,7 +747,6 @@ def q_train_gbt(spark, sf):
     """Boosted trees with validation early stopping, compared with the logistic
     model; the random forest at 300 x depth 15 is left to ``train_all`` callers."""
     enc, data = model_data(spark, sf)
-    data = data.cache()
     results = model_ops.train_all(data, contacts_settings(), ["LogisticRegression", "XGBoost"], SEED)
     out = model_ops.model_comparison(spark, results)
     best = model_ops.select_best(results)
