@@ -120,15 +120,18 @@ def exact_knn(df: DataFrame, id_col: str, vec: str, k: int, block_size: int = 51
 
 def _block_top_k(k: int, chunk: int = 1024):
     """k best candidates of one block for each query: squared distances screened
-    with a matrix product, the survivors re-ranked by exact differences (so ties
-    break by id exactly as a direct computation would)."""
+    with a matrix product, a shortlist of 2k re-ranked by exact differences (so
+    ties break by id exactly as a direct computation would).  Rows whose ties
+    could reach past the shortlist take a per-row path over every tied candidate."""
     def fn(qp, cp):
+        empty = pd.DataFrame({"qid": pd.Series([], dtype="int64"), "cid": pd.Series([], dtype="int64"),
+                              "distance": pd.Series([], dtype="float64")})
         if len(qp) == 0 or len(cp) == 0:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "cid": pd.Series([], dtype="int64"),
-                                 "distance": pd.Series([], dtype="float64")})
+            return empty
         cv = np.vstack(cp["cv"].to_numpy()).astype(np.float64)
         cid = cp["cid"].to_numpy().astype(np.int64)
         cn = (cv * cv).sum(1)
+        n_c = len(cid)
         out_q, out_c, out_d = [], [], []
         qids_all = qp["qid"].to_numpy().astype(np.int64)
         for lo in range(0, len(qp), chunk):
@@ -137,22 +140,34 @@ def _block_top_k(k: int, chunk: int = 1024):
             qn = (qv * qv).sum(1)
             approx = qn[:, None] + cn[None, :] - 2.0 * (qv @ cv.T)
             approx[qids[:, None] == cid[None, :]] = np.inf          # not its own neighbour
-            kk = min(k, approx.shape[1])
-            kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-            tol = 1e-9 * (1.0 + qn[:, None] + cn[None, :])
-            for r in range(len(qids)):
+            kk = min(k, n_c)
+            m2 = min(2 * k, n_c)
+            short = np.argpartition(approx, m2 - 1, axis=1)[:, :m2]
+            pa = np.take_along_axis(approx, short, 1)
+            kth = np.partition(pa, kk - 1, axis=1)[:, kk - 1]
+            tol = 1e-9 * (1.0 + qn + cn.max())
+            # a candidate outside the shortlist could tie the k-th one
+            spill = (m2 < n_c) & (pa.max(1) <= kth + tol)
+            d = np.sqrt(((qv[:, None, :] - cv[short]) ** 2).sum(-1))
+            d[~np.isfinite(pa)] = np.inf
+            order = np.lexsort((cid[short], d), axis=1)[:, :kk]
+            top_c = np.take_along_axis(short, order, 1)
+            top_d = np.take_along_axis(d, order, 1)
+            fast = ~spill
+            keep = np.isfinite(top_d) & fast[:, None]
+            out_q.append(np.repeat(qids, kk).reshape(-1, kk)[keep])
+            out_c.append(cid[top_c][keep])
+            out_d.append(top_d[keep])
+            for r in np.flatnonzero(spill):
                 sel = np.flatnonzero(approx[r] <= kth[r] + tol[r])
                 sel = sel[np.isfinite(approx[r, sel])]
-                if len(sel) == 0:
-                    continue
-                d = np.sqrt(((cv[sel] - qv[r]) ** 2).sum(1))
-                order = np.lexsort((cid[sel], d))[:k]
-                out_q.append(np.full(len(order), qids[r]))
-                out_c.append(cid[sel][order])
-                out_d.append(d[order])
+                dd = np.sqrt(((cv[sel] - qv[r]) ** 2).sum(1))
+                o = np.lexsort((cid[sel], dd))[:kk]
+                out_q.append(np.full(len(o), qids[r]))
+                out_c.append(cid[sel][o])
+                out_d.append(dd[o])
         if not out_q:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "cid": pd.Series([], dtype="int64"),
-                                 "distance": pd.Series([], dtype="float64")})
+            return empty
         return pd.DataFrame({"qid": np.concatenate(out_q), "cid": np.concatenate(out_c),
                              "distance": np.concatenate(out_d)})
     return fn

@@ -44,3 +44,18 @@ def test_smote_balances_classes(spark):
         assert np.all(v >= lo - 1e-9) and np.all(v <= hi + 1e-9)
     again = smote(df, cols, "y", "id", k=5, seed=42, block_size=8).where("synthetic")
     assert syn.exceptAll(again).count() == 0
+
+
+def test_exact_knn_with_heavy_ties(spark):
+    # 40 identical rows plus a lattice: every row has many equally distant neighbours
+    rows = [(i, [1.0, 1.0, 0.0]) for i in range(40)]
+    rows += [(100 + i, [float(i % 5), float(i // 5), 1.0]) for i in range(30)]
+    pts = spark.createDataFrame(rows, "id long, v array<double>")
+    x = {i: np.array(v) for i, v in rows}
+    ids = sorted(x)
+    got = {}
+    for r in exact_knn(pts, "id", "v", 5, block_size=8).collect():
+        got.setdefault(r["id"], {})[r["nb_rank"]] = r["nb_id"]
+    for i in ids:
+        cand = sorted((float(np.sqrt(((x[j] - x[i]) ** 2).sum())), j) for j in ids if j != i)
+        assert [got[i][r] for r in range(1, 6)] == [j for _, j in cand[:5]]
