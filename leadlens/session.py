@@ -9,6 +9,7 @@ no ``spark.checkpoint.dir`` (tests, laptops).
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
@@ -62,10 +63,40 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_written: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the checkpoint folder for one written table."""
+    """A fresh sub-folder of the checkpoint folder for one written table; it is
+    removed by :func:`cleanup_scratch` (also run when the interpreter exits)."""
     base = checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{next(_counter)}-{os.getpid()}")
+    path = os.path.join(base, f"{name}-{next(_counter)}-{os.getpid()}")
+    _written.append(path)
+    return path
+
+
+def cleanup_scratch(spark: SparkSession | None = None) -> int:
+    """Delete the scratch tables this process wrote (through the Hadoop file
+    system, so shared storage works too).  Call it once results are consumed."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return 0
+    removed = 0
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        while _written:
+            path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+            fs = path.getFileSystem(conf)
+            if fs.exists(path):
+                fs.delete(path, True)
+                removed += 1
+    except Exception:  # pragma: no cover - best effort (JVM may already be gone)
+        return removed
+    return removed
+
+
+atexit.register(cleanup_scratch)
 
 
 def _count():

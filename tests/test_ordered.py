@@ -56,3 +56,17 @@ def test_top_k_plans_partial_group_limit(spark, lines):
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert top.count() == 9
     assert "WindowGroupLimit" in plan or "AdaptiveSparkPlan" in plan
+
+
+def test_scratch_tables_are_removed(spark):
+    import os
+
+    from leadlens import session
+
+    df = spark.range(100).select(F.lit(1).alias("g"), "id")
+    out = ordered_scan(df, ["g"], ["id"], row_number="rn")
+    assert out.count() == 100
+    paths = list(session._written)
+    assert paths and all(os.path.exists(p.replace("file:", "")) for p in paths if p.startswith("/"))
+    assert session.cleanup_scratch(spark) >= 1
+    assert not any(os.path.exists(p) for p in paths if p.startswith("/"))
