@@ -220,7 +220,7 @@ m AS (SELECT feature, priority, count(*) AS n, avg(value) AS mean, var_samp(valu
 w AS (SELECT *, sum(n * mean) OVER (PARTITION BY feature) / sum(n) OVER (PARTITION BY feature) AS grand FROM m),
 a AS (SELECT feature, count(*) AS k, sum(n) AS N, sum(n * power(mean - grand, 2)) AS ssb,
              sum((n - 1) * coalesce(var, 0.0)) AS ssw FROM w GROUP BY feature)
-SELECT feature, k AS n_groups, k - 1 AS df_between, N - k AS df_within,
+SELECT feature, k AS n_groups, k - 1 AS df_between, CAST(N - k AS BIGINT) AS df_within,
        round((ssb / (k - 1)) / (ssw / (N - k)), 4) AS f_statistic FROM a""")
 def q_anova(spark, sf):
     st = hypothesis.anova_statistics(clean_contacts(spark, sf), ["total_price", "acct_balance"], "priority")
@@ -657,7 +657,7 @@ s AS (SELECT cen.label AS query_label, e.vec_id,
                 * sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))) AS sim
       FROM cen, embeddings e),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_label ORDER BY sim DESC NULLS LAST, vec_id) AS rank FROM s)
-SELECT query_label, rank, vec_id, round(sim, 6) AS similarity FROM r WHERE rank <= 5""")
+SELECT query_label, CAST(rank AS INTEGER) AS rank, vec_id, round(sim, 6) AS similarity FROM r WHERE rank <= 5""")
 def q_vector_top_k(spark, sf):
     emb = read_table(spark, sf, "embeddings")
     queries = retrieval.centroids(emb, "label").withColumnRenamed("label", "query_label")
@@ -693,7 +693,7 @@ def retrieve_benchmark(spark, sf):
     return idx, top
 
 
-@query("doc_retrieval", f"{RETRIEVAL_CTE} SELECT item_id, rank, doc_id, chunk_id, round(sim, 6) AS similarity FROM top")
+@query("doc_retrieval", f"{RETRIEVAL_CTE} SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, chunk_id, round(sim, 6) AS similarity FROM top")
 def q_doc_retrieval(spark, sf):
     _, top = retrieve_benchmark(spark, sf)
     return top.select("item_id", "rank", "doc_id", "chunk_id", F.round("similarity", 6).alias("similarity"))
