@@ -188,10 +188,9 @@ def write_index(chunks_with_vectors: DataFrame, path: str) -> None:
 
 def read_index(spark, path: str) -> DataFrame:
     """Load a persisted index; a missing index is an error, not an empty table."""
-    from py4j.protocol import Py4JJavaError  # noqa: F401
-    import os
+    from ..session import path_exists
 
-    if path.startswith("/") and not os.path.exists(path):
+    if not path_exists(spark, path):
         raise FileNotFoundError(f"No index found at '{path}'. Build it with build_index first.")
     return spark.read.parquet(path)
 

@@ -66,10 +66,9 @@ def load_encoder(spark: SparkSession, path: str) -> FeatureEncoder:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
+    from ..session import path_exists
+
+    return path_exists(spark, path)
 
 
 def save_scorer(spark: SparkSession, base: str, model, encoder: FeatureEncoder, card: dict) -> None:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import tier, utc_text
 from ..operators.scoring import score_batch
-from ..session import scratch_path
+from ..session import is_file, scratch_path
 
 
 def file_stream(spark: SparkSession, path: str, schema=None, max_files: int | None = None) -> DataFrame:
@@ -32,9 +32,9 @@ def file_stream(spark: SparkSession, path: str, schema=None, max_files: int | No
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    if path.endswith(".parquet") and os.path.isfile(path):
-        reader = reader.option("pathGlobFilter", os.path.basename(path))
-        path = os.path.dirname(path)
+    if is_file(spark, path):
+        reader = reader.option("pathGlobFilter", path.rstrip("/").rsplit("/", 1)[-1])
+        path = path.rstrip("/").rsplit("/", 1)[0]
     return reader.parquet(path)
 
 
