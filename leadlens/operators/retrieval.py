@@ -126,29 +126,52 @@ def vector_top_k(queries: DataFrame, corpus: DataFrame, query_id: str, doc_ids:
     return results.select(F.col("__qid").alias(query_id), "rank", *doc_ids, "similarity")
 
 
-def _batch_top_k(bc, doc_ids: list[str], k: int):
+def _batch_top_k(bc, doc_ids: list[str], k: int, slice_rows: int = 1024):
+    """Per corpus slice (<= ``slice_rows`` rows): one matrix product against the
+    query batch, then the k best per query under (similarity desc, ids asc).
+    A 2k shortlist is ordered exactly; rows whose ties reach past it are sorted
+    in full, so the per-slice candidates always contain the global top k."""
+    def order_keys(keys, neg, cols):
+        return tuple(reversed([kk[cols] for kk in keys])) + (neg,)
+
     def fn(batches):
         qids, qmat = bc.value
         qn = np.sqrt((qmat * qmat).sum(1))
+        qid_arr = np.asarray(qids, dtype=object)
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            cmat = np.vstack(pdf["__cv"].to_numpy()).astype(np.float64)
-            cn = np.sqrt((cmat * cmat).sum(1))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                sim = (qmat @ cmat.T) / (qn[:, None] * cn[None, :])
-            sim = np.where(np.isfinite(sim), sim, np.nan)
-            keys = [pdf[d].to_numpy() for d in doc_ids]
-            kk = min(k, sim.shape[1])
-            out = []
-            for i, qid in enumerate(qids):
-                s_ = sim[i]
-                order = np.lexsort(tuple(reversed(keys)) + (np.where(np.isnan(s_), np.inf, -s_),))[:kk]
-                part = {d: keys[j][order] for j, d in enumerate(doc_ids)}
-                part["__qid"] = np.full(kk, qid, dtype=object)
-                part["similarity"] = s_[order]
-                out.append(pd.DataFrame(part))
-            yield pd.concat(out, ignore_index=True)[["__qid", *doc_ids, "similarity"]]
+            for lo in range(0, len(pdf), slice_rows):
+                part = pdf.iloc[lo:lo + slice_rows]
+                cmat = np.vstack(part["__cv"].to_numpy()).astype(np.float64)
+                cn = np.sqrt((cmat * cmat).sum(1))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    sim = (qmat @ cmat.T) / (qn[:, None] * cn[None, :])
+                sim = np.where(np.isfinite(sim), sim, np.nan)
+                neg = np.where(np.isnan(sim), np.inf, -sim)          # NULL similarity sorts last
+                keys = [part[d].to_numpy() for d in doc_ids]
+                m = sim.shape[1]
+                kk = min(k, m)
+                m2 = min(2 * k, m)
+                short = np.argpartition(neg, m2 - 1, axis=1)[:, :m2]
+                vals = np.take_along_axis(neg, short, 1)
+                kth = np.partition(vals, kk - 1, axis=1)[:, kk - 1]
+                spill = (m2 < m) & (vals.max(1) <= kth)
+                # rows without spill: one row-wise lexsort over the shortlist
+                o = np.lexsort(order_keys(keys, vals, short), axis=1)[:, :kk]
+                best = np.take_along_axis(short, o, 1)
+                fast = np.flatnonzero(~spill)
+                rows_q = [np.repeat(fast, kk)]
+                rows_c = [best[fast].ravel()]
+                for r in np.flatnonzero(spill):
+                    cols = np.arange(m)
+                    o1 = np.lexsort(order_keys(keys, neg[r, cols], cols))[:kk]
+                    rows_q.append(np.full(kk, r))
+                    rows_c.append(cols[o1])
+                rq = np.concatenate(rows_q)
+                rc = np.concatenate(rows_c)
+                out = {d: keys[j][rc] for j, d in enumerate(doc_ids)}
+                out["__qid"] = qid_arr[rq]
+                out["similarity"] = sim[rq, rc]
+                yield pd.DataFrame(out)[["__qid", *doc_ids, "similarity"]]
     return fn
 
 

@@ -65,3 +65,14 @@ def test_build_and_read_index(spark, tmp_path):
                                ["qid"], dims=32)
     top = retrieval.vector_top_k(q, back, "qid", ["doc_id", "chunk_id"], k=1).first()
     assert top["doc_id"] == 2 and top["similarity"] == pytest.approx(1.0)
+
+
+def test_vector_top_k_ties_break_by_id(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(40, 0, -1)] + [(100 + i, [0.0, 1.0]) for i in range(5)]
+    cdf = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    qdf = spark.createDataFrame([(0, [2.0, 0.0]), (1, [0.0, 0.0])], "qid long, embedding array<double>")
+    top = retrieval.vector_top_k(qdf, cdf, "qid", ["vec_id"], k=3)
+    got = {(r["qid"], r["rank"]): (r["vec_id"], r["similarity"]) for r in top.collect()}
+    assert [got[(0, i)][0] for i in (1, 2, 3)] == [1, 2, 3]
+    # a zero query vector has no similarity: NULLs, still k rows ordered by id
+    assert [got[(1, i)] for i in (1, 2, 3)] == [(1, None), (2, None), (3, None)]
