@@ -81,3 +81,21 @@ def test_encoder_and_scorer_round_trip(spark, tmp_path):
     assert a == b
     with pytest.raises(FileNotFoundError):
         files.load_scorer(spark, str(tmp_path / "missing"))
+
+
+def test_score_and_log_appends_records(spark, tmp_path):
+    from pyspark.ml.classification import LogisticRegression
+
+    from leadlens.operators import models, scoring
+
+    df = spark.createDataFrame([(i, float(i), ["a", "b"][i % 2], i % 2) for i in range(20)],
+                               "id long, x double, c string, y int")
+    enc = FeatureEncoder(numerical=["x"], nominal=["c"]).fit(df)
+    model = LogisticRegression(maxIter=10).fit(models.assemble(enc.transform(df, keep=["y"]), enc.feature_names()))
+    log = str(tmp_path / "log")
+    out = scoring.score_and_log(df, enc, model, 0.5, ["x", "c"], log, id_cols=["id"])
+    assert out.count() == 20 and set(out.columns) >= {"id", "prediction_class", "recommendation"}
+    logged = spark.read.parquet(log)
+    assert logged.count() == 20
+    assert set(logged.select("input.*").columns) == {"x", "c"}
+    assert logged.where(F.col("output.threshold_used") == 0.5).count() == 20
