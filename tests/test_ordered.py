@@ -51,11 +51,13 @@ def test_one_hot_key_spanning_all_partitions(spark):
     assert per_task > 1
 
 
-def test_top_k_plans_partial_group_limit(spark, lines):
-    top = top_k_per_group(lines, ["l_returnflag"], [F.desc("l_quantity"), "rid"], 3)
+def test_top_k_plans_partial_group_limit(spark):
+    li = spark.read.parquet(f"{SF_ORACLE}/lineitem.parquet")
+    top = top_k_per_group(li, ["l_returnflag"], [F.desc("l_quantity"), "l_orderkey", "l_linenumber"], 3)
+    assert len(top.collect()) == 9
     plan = top._jdf.queryExecution().executedPlan().toString()
-    assert top.count() == 9
-    assert "WindowGroupLimit" in plan or "AdaptiveSparkPlan" in plan
+    # each map task keeps at most k rows per group before the shuffle
+    assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
 def test_scratch_tables_are_removed(spark):
