@@ -54,8 +54,17 @@ class FeatureEncoder:
     means: dict = field(default_factory=dict)
     stds: dict = field(default_factory=dict)
     categories: dict = field(default_factory=dict)
+    max_categories: int = 100_000
 
     def fit(self, df: DataFrame) -> "FeatureEncoder":
+        if self.nominal:
+            # one-hot needs one column per category: refuse an id-like column before
+            # collecting its category set (HyperLogLog sketch, one cheap pass)
+            approx = df.agg(*[F.approx_count_distinct(_q(c)).alias(f"a{i}")
+                              for i, c in enumerate(self.nominal)]).first()
+            wide = [c for i, c in enumerate(self.nominal) if approx[f"a{i}"] > self.max_categories]
+            if wide:
+                raise ValueError(f"too many categories to one-hot encode: {wide}")
         aggs = []
         for i, c in enumerate(self.numerical):
             x = _q(c).cast("double")
@@ -90,7 +99,7 @@ class FeatureEncoder:
         return json.dumps({"numerical": self.numerical, "ordinal": self.ordinal,
                            "nominal": self.nominal, "drop_first": self.drop_first,
                            "means": self.means, "stds": self.stds,
-                           "categories": self.categories})
+                           "categories": self.categories, "max_categories": self.max_categories})
 
     @classmethod
     def from_json(cls, text: str) -> "FeatureEncoder":

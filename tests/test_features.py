@@ -79,3 +79,9 @@ def test_balanced_weights(spark):
     df = spark.createDataFrame([(1,)] * 10 + [(0,)] * 30, "y int")
     w = {r["y"]: r["weight"] for r in features.balanced_weights(df, "y").collect()}
     assert w[1] == pytest.approx(40 / (2 * 10)) and w[0] == pytest.approx(40 / (2 * 30))
+
+
+def test_encoder_refuses_id_like_columns(spark):
+    df = spark.range(500).select(F.col("id").cast("string").alias("c"))
+    with pytest.raises(ValueError):
+        features.FeatureEncoder(nominal=["c"], max_categories=50).fit(df)
