@@ -90,7 +90,8 @@ def tau_b_pairs(df: DataFrame, pairs: list[tuple[str, str]],
                .where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
     data = data.withColumn("h", F.xxhash64("pair", "x", "y", F.monotonically_increasing_id()))
 
-    # tie counts per pair (complete cases of that pair), exact integer sums
+    # tie counts per pair (complete cases of that pair), exact integer sums;
+    # every collect below returns one row per pair
     def tied(*keys):
         c = F.col("count")
         rows = data.groupBy("pair", *keys).count().groupBy("pair").agg(F.sum(c * (c - 1)).alias("t")).collect()
@@ -150,6 +151,7 @@ def tau_b_pairs(df: DataFrame, pairs: list[tuple[str, str]],
                         np.bincount(seg, minlength=n_parts).astype(np.int64).tolist()))
         yield pd.DataFrame(out, columns=["q", "pair", "within", "hist"])
 
+    # one row per (partition, pair) with a partition-count histogram: bounded by MAX_PARTS
     summ = ranged2.mapInPandas(cross, "q int, pair int, within long, hist array<long>").collect()
     result = {}
     for j, key in enumerate(pairs):

@@ -186,6 +186,7 @@ def smote(df: DataFrame, feature_cols: Sequence[str], target: str, id_col: str,
     hash of (seed, id, copy)); other non-feature columns of synthetic rows are
     copied from their source row.
     """
+    # one row per class
     counts = {r[target]: r["n"] for r in df.groupBy(target).agg(F.count("*").alias("n")).collect()}
     if len(counts) != 2:
         raise ValueError("SMOTE needs exactly two classes")

@@ -49,7 +49,7 @@ def test_json_object_and_array(spark, tmp_path):
     assert df.count() == 2 and df.first()["nr.employed"] == 5099.1
 
 
-def test_build_features_pipeline_and_split_files(spark, tmp_path):
+def test_build_features_and_split_files(spark, tmp_path):
     rows = _bank_rows()
     df = spark.createDataFrame([tuple(r[f.name] for f in files.CONTACT_SCHEMA.fields) for r in rows],
                                files.CONTACT_SCHEMA).withColumn("cid", F.monotonically_increasing_id())
