@@ -2,8 +2,8 @@
 
 VIF and Pearson correlations need only k x k sums, computed in one aggregation
 pass; the k x k algebra (k = number of features) runs on the driver.  Spearman
-uses Spark ML's distributed ranking.  The logit summary is Spark ML's binomial
-GLM.
+ranks distinct values with the skew-safe scan.  The logit summary is Spark ML's
+binomial GLM.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ def correlation_matrix(df: DataFrame, features: Sequence[str], method: str = "pe
     complete cases, rounded to ``decimals``.
 
     pearson  -- one aggregation of k(k-1)/2 ``corr`` (numerically stable updates);
-    spearman -- Spark ML ``Correlation`` (distributed average ranks, then Pearson);
+    spearman -- Pearson of average ranks (:func:`average_ranks`, skew-safe);
     kendall  -- tau-b from distributed inversion counts (:func:`kendall_tau_b`).
     """
     spark = df.sparkSession
@@ -87,12 +87,15 @@ def correlation_matrix(df: DataFrame, features: Sequence[str], method: str = "pe
                 m[i, j] = m[j, i] = np.nan if v is None else v
         return _long_matrix(spark, features, m, decimals)
     if method == "spearman":
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-
-        vec = VectorAssembler(inputCols=[f"`{f}`" if "." in f else f for f in features],
-                              outputCol="__v").transform(clean)
-        m = Correlation.corr(vec, "__v", "spearman").first()[0].toArray()
+        ranked = average_ranks(clean, features)
+        names = [f"__r{i}" for i in range(k)]
+        aggs = [F.corr(names[i], names[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(i + 1, k)]
+        row = ranked.agg(*aggs).first() if aggs else None
+        m = np.eye(k)
+        for i in range(k):
+            for j in range(i + 1, k):
+                v = row[f"c{i}_{j}"]
+                m[i, j] = m[j, i] = np.nan if v is None else v
         return _long_matrix(spark, features, m, decimals)
     if method == "kendall":
         from .kendall import tau_b_pairs
@@ -107,6 +110,30 @@ def correlation_matrix(df: DataFrame, features: Sequence[str], method: str = "pe
     raise ValueError(f"unknown method {method!r}")
 
 
+def average_ranks(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Adds ``__r{i}``: the average rank (ties share the mean of their positions)
+    of every feature value.  Values are counted first, so a value held by a third
+    of the rows is one row of the rank table; ranks are running counts over the
+    distinct values (skew-safe scan) and are attached by a join per column, which
+    AQE turns into a broadcast when the rank table is small or splits when a key
+    is skewed."""
+    from .ordered import ordered_scan
+
+    feats = list(features)
+    long = df.select(*[_q(f).cast("double").alias(f"c{i}") for i, f in enumerate(feats)]) \
+             .unpivot([], [f"c{i}" for i in range(len(feats))], "__f", "__val")
+    counts = long.groupBy("__f", "__val").agg(F.count("*").alias("__n"))
+    # one scan ranks every feature: running counts over each feature's distinct values
+    scan = ordered_scan(counts, by=["__f"], order=["__val"], running={"__cum": "__n"})
+    ranks = scan.select("__f", "__val", (F.col("__cum") - F.col("__n") + (F.col("__n") + 1) / 2.0)
+                        .alias("__rank"))
+    out = df
+    for i, f in enumerate(feats):
+        r = ranks.where(F.col("__f") == f"c{i}").select(F.col("__val"), F.col("__rank").alias(f"__r{i}"))
+        out = out.join(r, _q(f).cast("double") == r["__val"]).drop("__val")
+    return out
+
+
 def kendall_tau_b(df: DataFrame, x: str, y: str) -> float:
     """Kendall's tau-b of two columns, exact, without enumerating pairs
     (two range-partitioned inversion-count passes, see ``operators.kendall``)."""

@@ -127,3 +127,21 @@ def test_kendall_matrix(spark):
          for r in multivariate.correlation_matrix(df, ["a", "b"], "kendall").collect()}
     assert m[("a", "b")] == pytest.approx(round(_tau_b_brute([1, 2, 3, 4], [2, 1, 4, 3]), 4))
     assert m[("a", "a")] == 1.0
+
+
+def test_spearman_average_ranks_with_ties(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(11)
+    a = rng.integers(0, 5, size=400).astype(float)
+    b = a + rng.normal(size=400)
+    b[:150] = 1.0                                    # a value held by over a third of rows
+    c = rng.normal(size=400)
+    df = spark.createDataFrame([(float(x), float(y), float(z)) for x, y, z in zip(a, b, c)],
+                               "a double, b double, c double")
+    got = {(r["feature_a"], r["feature_b"]): r["corr"]
+           for r in multivariate.correlation_matrix(df, ["a", "b", "c"], "spearman").collect()}
+    want = pd.DataFrame({"a": a, "b": b, "c": c}).rank().corr()
+    for x in "abc":
+        for y in "abc":
+            assert got[(x, y)] == pytest.approx(round(want.loc[x, y], 4), abs=1e-4)
