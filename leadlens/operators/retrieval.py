@@ -31,9 +31,11 @@ MAX_BROADCAST_QUERIES = 4096
 
 
 def tokens(text: Column) -> Column:
-    """Whitespace tokens of the whole text (leading/trailing blanks ignored)."""
+    """Whitespace tokens of the whole text (leading/trailing blanks ignored; a NULL
+    text has no tokens)."""
     stripped = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, r"\s+"))
+    return F.when(stripped.isNull() | (stripped == ""), F.array().cast("array<string>")) \
+            .otherwise(F.split(stripped, r"\s+"))
 
 
 def chunk_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
