@@ -22,8 +22,9 @@ def latest(df: DataFrame, n: int = 100, ts: str = "ts", tie: str = "event_id",
 
 def recent_activity(df: DataFrame, prob: str = "probability", ts: str = "ts",
                     tie: str = "event_id", n: int = 10) -> DataFrame:
-    """L3: ten newest predictions listed oldest first: probability x 100 (1 dp), ISO time."""
-    top = latest(df.where(F.col(prob).isNotNull()), n, ts, tie)
+    """L3: the ten newest log entries, those holding a probability, listed oldest
+    first: probability x 100 (1 dp), ISO time."""
+    top = latest(df, n, ts, tie).where(F.col(prob).isNotNull())
     return top.select(F.col(tie), F.round(F.col(prob) * 100, 1).alias("probability"),
                       iso_text(ts).alias("timestamp"), F.col(ts).alias("__ts")) \
               .orderBy(F.asc("__ts"), F.asc(tie)).drop("__ts")

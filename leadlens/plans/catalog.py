@@ -545,7 +545,8 @@ def q_usage(spark, sf):
 SELECT event_id, probability, timestamp FROM (
   SELECT event_id, round(probability * 100, 1) AS probability,
          strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, ts
-  FROM plog ORDER BY ts DESC, event_id DESC LIMIT 10)""")
+  FROM plog ORDER BY ts DESC, event_id DESC LIMIT 10)
+WHERE probability IS NOT NULL""")
 def q_recent(spark, sf):
     return logs.recent_activity(_plog(spark, sf))
 
