@@ -71,8 +71,15 @@ def token_buckets(text: Column, dims: int, hash_fn: str = "xxhash64") -> Column:
 def _bincounter(dims: int):
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def bincount(buckets: pd.Series) -> pd.Series:
-        return pd.Series([np.bincount(np.asarray(b, dtype=np.int64), minlength=dims).astype(np.int64)
-                          if b is not None else None for b in buckets])
+        # one bincount for the whole Arrow batch: key = row * dims + bucket
+        valid = buckets.notna().to_numpy()
+        lists = [np.asarray(b, dtype=np.int64) if v else np.empty(0, dtype=np.int64)
+                 for b, v in zip(buckets, valid)]
+        lengths = np.fromiter((len(x) for x in lists), dtype=np.int64, count=len(lists))
+        flat = np.concatenate(lists) if lists else np.empty(0, dtype=np.int64)
+        rows = np.repeat(np.arange(len(lists), dtype=np.int64), lengths)
+        counts = np.bincount(rows * dims + flat, minlength=len(lists) * dims).reshape(len(lists), dims)
+        return pd.Series([c if v else None for c, v in zip(counts, valid)])
     return bincount
 
 
