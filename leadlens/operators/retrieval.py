@@ -68,6 +68,27 @@ def token_buckets(text: Column, dims: int, hash_fn: str = "xxhash64") -> Column:
     return F.transform(toks, lambda t: F.pmod(F.xxhash64(t), F.lit(dims)).cast("int"))
 
 
+def _md5_bucket_counter(dims: int):
+    """Term counts per md5 bucket from token arrays: every distinct token of an
+    Arrow batch is hashed once, then one bincount covers the batch."""
+    import hashlib
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def counts(token_lists: pd.Series) -> pd.Series:
+        valid = token_lists.notna().to_numpy()
+        lists = [t if v else [] for t, v in zip(token_lists, valid)]
+        lengths = np.fromiter((len(t) for t in lists), dtype=np.int64, count=len(lists))
+        flat = np.concatenate([np.asarray(t, dtype=object) for t in lists]) if lengths.sum() else \
+            np.empty(0, dtype=object)
+        codes, uniques = pd.factorize(flat)
+        buckets = np.fromiter((int(hashlib.md5(u.encode("utf-8")).hexdigest()[:8], 16) % dims
+                               for u in uniques), dtype=np.int64, count=len(uniques))
+        rows = np.repeat(np.arange(len(lists), dtype=np.int64), lengths)
+        mat = np.bincount(rows * dims + buckets[codes], minlength=len(lists) * dims).reshape(len(lists), dims)
+        return pd.Series([m if v else None for m, v in zip(mat, valid)])
+    return counts
+
+
 def _bincounter(dims: int):
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def bincount(buckets: pd.Series) -> pd.Series:
@@ -87,8 +108,10 @@ def embed_chunks(df: DataFrame, id_cols: Sequence[str], text_col: str = "text",
                  dims: int = 256, hash_fn: str = "xxhash64") -> DataFrame:
     """R2: ``id_cols`` + ``embedding`` (term counts per hashed bucket).  Row-local:
     no shuffle.  Pass ``id_cols=None`` to keep every input column."""
-    b = token_buckets(F.col(text_col), dims, hash_fn)
-    emb = _bincounter(dims)(b)
+    if hash_fn == "md5":
+        emb = _md5_bucket_counter(dims)(tokens(F.lower(F.col(text_col))))
+    else:
+        emb = _bincounter(dims)(token_buckets(F.col(text_col), dims, hash_fn))
     keep = [F.col(c) for c in id_cols] if id_cols is not None else [F.col("*")]
     return df.select(*keep, emb.alias("embedding"))
 

@@ -77,3 +77,14 @@ def test_vector_top_k_ties_break_by_id(spark):
     assert [got[(0, i)][0] for i in (1, 2, 3)] == [1, 2, 3]
     # a zero query vector has no similarity: NULLs, still k rows ordered by id
     assert [got[(1, i)] for i in (1, 2, 3)] == [(1, None), (2, None), (3, None)]
+
+
+def test_md5_bucket_counts_match_spark_expression(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "Ça va? Très bien, merci. ça VA"), (2, "x y z x"), (3, None)],
+                               "id long, text string")
+    fast = {r["id"]: r["embedding"] for r in retrieval.embed_chunks(df, ["id"], dims=64, hash_fn="md5").collect()}
+    slow = {r["id"]: r["e"] for r in df.select(
+        "id", retrieval._bincounter(64)(retrieval.token_buckets(F.col("text"), 64, "md5")).alias("e")).collect()}
+    assert fast == slow
