@@ -88,3 +88,17 @@ def test_md5_bucket_counts_match_spark_expression(spark):
     slow = {r["id"]: r["e"] for r in df.select(
         "id", retrieval._bincounter(64)(retrieval.token_buckets(F.col("text"), 64, "md5")).alias("e")).collect()}
     assert fast == slow
+
+
+def test_read_documents_whole_files(spark, tmp_path):
+    d = tmp_path / "docs"
+    d.mkdir()
+    (d / "a.md").write_text("# Title\n\nfirst line\nsecond line\n")
+    (d / "b.txt").write_text("another document")
+    docs = retrieval.read_documents(spark, str(d)).orderBy("path").collect()
+    assert len(docs) == 2
+    assert docs[0]["text"].startswith("# Title") and "second line" in docs[0]["text"]
+    assert docs[0]["doc_id"] != docs[1]["doc_id"]
+    idx = retrieval.build_index(spark.createDataFrame([(r["doc_id"], r["text"]) for r in docs],
+                                                      "doc_id long, text string"), size=4, overlap=1, dims=16)
+    assert idx.count() == 3            # a: 6 tokens -> windows at 0 and 3; b: 2 tokens -> one window
