@@ -105,3 +105,11 @@ def active_features(df: DataFrame, id_col: str, feature_cols: Sequence[str],
     return (df.select(id_col, F.posexplode(kept).alias("rank0", "f"))
               .select(id_col, (F.col("rank0") + 1).alias("rank"),
                       F.col("f.feature").alias("feature"), F.col("f.value").alias("value")))
+
+
+def split_valid(df: DataFrame, fields=CUSTOMER_FIELDS) -> tuple[DataFrame, DataFrame]:
+    """(valid rows without ``_errors``, invalid rows with their ``_errors``)."""
+    checked = validate_customers(df, fields)
+    good = checked.where(F.size("_errors") == 0).drop("_errors")
+    bad = checked.where(F.size("_errors") > 0)
+    return good, bad

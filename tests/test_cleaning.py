@@ -65,3 +65,24 @@ def test_canonical_names(spark):
     df = spark.createDataFrame([(1.0, 2.0)], "`emp.var.rate` double, euribor3m double")
     assert scalar.canonical_names(df).columns == ["emp_var_rate", "euribor3m"]
     assert scalar.canonical_names(scalar.canonical_names(df), "dotted").columns == ["emp.var.rate", "euribor3m"]
+
+
+def test_split_valid(spark):
+    full = {n: (1 if t == "int" else 1.5 if t == "double" else "x") for n, t in cleaning.CUSTOMER_FIELDS}
+    df = spark.createDataFrame([dict(full), {**full, "age": None}, {**full, "campaign": None}])
+    good, bad = cleaning.split_valid(df)
+    assert good.count() == 1 and bad.count() == 2 and "_errors" not in good.columns
+
+
+def test_research_log_append_and_latest(spark, tmp_path):
+    from leadlens.operators.logs import latest
+    from leadlens.sources.logs import append_research_log, research_records
+
+    qs = spark.createDataFrame([(f"q{i}", f"a{i}", i) for i in range(15)], "query string, answer string, i int") \
+              .withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("i")))
+    path = str(tmp_path / "research")
+    append_research_log(research_records(qs, ts_col="ts"), path)
+    log = spark.read.parquet(path).withColumn("rid", F.monotonically_increasing_id())
+    assert log.count() == 15 and log.first()["logged_at"].endswith(" UTC")
+    recent = latest(log, 10, ts="timestamp", tie="rid", cols=("query", "timestamp")).collect()
+    assert [r["query"] for r in recent] == [f"q{i}" for i in range(14, 4, -1)]
