@@ -145,3 +145,29 @@ def test_spearman_average_ranks_with_ties(spark):
     for x in "abc":
         for y in "abc":
             assert got[(x, y)] == pytest.approx(round(want.loc[x, y], 4), abs=1e-4)
+
+
+def test_logit_summary_matches_newton(spark):
+    rng = np.random.default_rng(2)
+    n = 800
+    x = rng.normal(size=(n, 2))
+    eta = -0.3 + 1.2 * x[:, 0] - 0.7 * x[:, 1]
+    y = (rng.uniform(size=n) < 1 / (1 + np.exp(-eta))).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), int(t)) for (a, b), t in zip(x, y)],
+                               "a double, b double, y int")
+    got = {r["term"]: r for r in multivariate.logit_summary(df, ["a", "b"], "y").collect()}
+    X = np.column_stack([np.ones(n), x])
+    beta = np.zeros(3)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-X @ beta))
+        W = p * (1 - p)
+        H = X.T @ (X * W[:, None])
+        step = np.linalg.solve(H, X.T @ (y - p))
+        beta += step
+        if np.abs(step).max() < 1e-12:
+            break
+    se = np.sqrt(np.diag(np.linalg.inv(H)))
+    for name, b, s in zip(["const", "a", "b"], beta, se):
+        assert got[name]["coef"] == pytest.approx(b, abs=1e-6)
+        assert got[name]["std_err"] == pytest.approx(s, rel=1e-4)
+        assert got[name]["z"] == pytest.approx(b / s, rel=1e-4)
