@@ -154,8 +154,9 @@ def stratified_split(df: DataFrame, target: str, id_col: str, seed: int = 42,
     n_test = F.floor(F.col("__n") * F.lit(test_size) + F.lit(0.5))
     n_val = F.floor((F.col("__n") - n_test) * F.lit(ratio) + F.lit(0.5))
     quotas = counts.select(target, n_test.alias("__t"), n_val.alias("__v"))
-    # one row per class value
-    out = ranked.join(F.broadcast(quotas), target)
+    # one row per class value: no broadcast hint, so AQE broadcasts it only when
+    # its measured size is small (a wide stratification key stays a shuffle join)
+    out = ranked.join(quotas, target)
     return out.select(
         *[_q(c) for c in df.columns],
         F.when(F.col("__r") <= F.col("__t"), "test")
@@ -173,9 +174,10 @@ def balanced_weights(df: DataFrame, target: str) -> DataFrame:
 
 
 def with_weights(df: DataFrame, target: str, weight_col: str = "weight") -> DataFrame:
-    """Attach balanced class weights (the weight table has one row per class)."""
+    """Attach balanced class weights (one row per class; AQE broadcasts it when
+    its measured size is small)."""
     w = balanced_weights(df, target).select(target, F.col("weight").alias(weight_col))
-    return df.join(F.broadcast(w), target)
+    return df.join(w, target)
 
 
 def positive_weight(target: str, weight: float = 8.0) -> Column:
