@@ -86,3 +86,11 @@ def test_research_log_append_and_latest(spark, tmp_path):
     assert log.count() == 15 and log.first()["logged_at"].endswith(" UTC")
     recent = latest(log, 10, ts="timestamp", tie="rid", cols=("query", "timestamp")).collect()
     assert [r["query"] for r in recent] == [f"q{i}" for i in range(14, 4, -1)]
+
+
+def test_tier_distribution_keeps_empty_tiers(spark):
+    from leadlens.operators.logs import tier_distribution
+
+    df = spark.createDataFrame([(0.9,), (0.95,), (None,)], "probability double")
+    got = {r["tier"]: r["n"] for r in tier_distribution(df).collect()}
+    assert got == {"high": 2, "medium": 0, "low": 0}
