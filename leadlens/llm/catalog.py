@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import packing, token_output
 
 QUERIES = {
+    "op1_token_output": token_output.query,
     "op6_packing": packing.query,
 }
 
