@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, token_output
+from . import minhash, packing, token_output
 
 QUERIES = {
     "op1_token_output": token_output.query,
     "op6_packing": packing.query,
+    "op10_near_duplicates": minhash.query,
 }
 
 ORACLES: dict[str, str] = {}
