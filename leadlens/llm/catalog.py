@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import minhash, packing, token_output
+from . import minhash, packing, token_output, topk
 
 QUERIES = {
     "op1_token_output": token_output.query,
+    "op4_top_k": topk.query,
     "op6_packing": packing.query,
     "op10_near_duplicates": minhash.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_top_k": topk.SQL,
+}
