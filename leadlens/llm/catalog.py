@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import minhash, packing, token_output, topk
+from . import minhash, packing, token_output, topk, urls
 
 QUERIES = {
     "op1_token_output": token_output.query,
     "op4_top_k": topk.query,
     "op6_packing": packing.query,
+    "op8_url_filter": urls.query,
     "op10_near_duplicates": minhash.query,
 }
 
