@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import minhash, packing, token_output, topk, urls
+from . import chat, minhash, packing, quality, token_output, topk, urls
 
 QUERIES = {
     "op1_token_output": token_output.query,
+    "op2_quality": quality.query,
+    "op3_chat_format": chat.query,
     "op4_top_k": topk.query,
     "op6_packing": packing.query,
     "op8_url_filter": urls.query,
