@@ -11,14 +11,13 @@ That distance is the join's threshold: a pair at the contract's similarity of 0.
 with a probability near 1e-9, at 0.8 near 1e-6.
 
 Candidates without all pairs.  First every document is paired with the smallest document of each
-of its buckets, at most 48 pairs a document; confirmed links give components.  Then only buckets
-that still hold several components are looked at: their documents outside the bucket's largest
-component are compared with the others, across components.  After that no pair under the
-threshold is left untested, unless already in one component, and a link inside a component
-changes nothing.
-
-Every candidate under the distance is confirmed on the full sets:
-``100 * intersection >= similarity * union``.
+of its buckets (its leaders), at most 48 pairs a document; those under the distance are confirmed
+on the full sets, ``100 * intersection >= similarity * union``, and give components.  Then only
+leaders' groups that still hold several components are looked at: the documents outside a group's
+largest component are compared with the others on the full sets, block against block, as matrix
+products inside a task.  A cell of that grid returns at most one link per component that it joins,
+never its pairs.  After that no pair of a bucket is left untested, unless already in one component,
+and a link inside a component changes nothing.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing (its
 component is its own doc_id); repeated rows are copies of each other; rows with a null doc_id have
@@ -53,6 +52,9 @@ _CHUNK_NAMES = [f"c{i}" for i in range(CHUNKS)]
 
 #: Rows of an Arrow batch that carries two whole sets.
 PAIR_BATCH = 500
+#: A block of a group's grid: about so many documents, or shingles of theirs.
+BLOCK_NODES = 1024
+BLOCK_SHINGLES = 1_500_000
 
 
 @contextmanager
@@ -180,39 +182,114 @@ def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _cells(groups: DataFrame) -> DataFrame:
+    """Rows (leader, node, component, n) dealt to the cells of their group's grid.
+
+    A group's nodes fall into blocks of about ``BLOCK_NODES`` nodes or ``BLOCK_SHINGLES`` shingles,
+    those of its largest component apart from the others.  A cell holds two blocks (``bi <= bj``);
+    cells of two blocks of the largest component are left out.  ``side`` tells a row's block."""
+    sizes = groups.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("sum_n"))
+    mixed = sizes.groupBy("leader").agg(
+        F.max(F.struct("size", "component", "sum_n")).alias("top"), F.count(F.lit(1)).alias("kinds"),
+        F.sum("size").alias("size"), F.sum("sum_n").alias("sum_n")).filter("kinds > 1")
+
+    def blocks(size, sum_n):
+        return F.ceil(F.greatest(size / BLOCK_NODES, sum_n / BLOCK_SHINGLES, F.lit(1e-9))).cast("int")
+
+    mixed = mixed.select("leader", F.col("top.component").alias("largest"),
+                         blocks(F.col("top.size"), F.col("top.sum_n")).alias("major"),
+                         blocks(F.col("size") - F.col("top.size"), F.col("sum_n") - F.col("top.sum_n")).alias("minor"))
+    rows = groups.join(mixed, "leader")
+    share = F.xxhash64("node")
+    block = F.when(F.col("component") == F.col("largest"), F.col("minor") + F.pmod(share, F.col("major"))).otherwise(
+        F.pmod(share, F.col("minor"))).cast("int")
+    rows = rows.withColumn("block", block)
+    partner = F.when(F.col("block") >= F.col("minor"), F.sequence(F.lit(0), F.col("minor") - 1)).otherwise(
+        F.sequence(F.lit(0), F.col("minor") + F.col("major") - 1))
+    rows = rows.withColumn("other", F.explode(partner))
+    return rows.select("leader", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
+                       "block", "node", "component")
+
+
+def cell_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, component: np.ndarray,
+               similarity: int) -> list[tuple[int, int]]:
+    """Links (row, row) between components, from rows ``left`` to rows ``right``: a spanning forest of
+    them.  Intersections of all pairs are a product of 0/1 matrices over the shingles that occur
+    in more than one set, some columns at a time."""
+    counts = np.array([len(s) for s in sets])
+    values, column_of = np.unique(np.concatenate(sets), return_inverse=True)
+    row_of = np.repeat(np.arange(len(sets)), counts)
+    shared = np.bincount(column_of, minlength=len(values)) > 1
+    rank = np.cumsum(shared) - 1
+    keep = shared[column_of]
+    row_of, column_of = row_of[keep], rank[column_of[keep]]
+    order = np.argsort(column_of, kind="stable")
+    row_of, column_of = row_of[order], column_of[order]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(shared.sum()), 1024):
+        a, b = np.searchsorted(column_of, (lo, lo + 1024))
+        ones = np.zeros((len(sets), 1024), np.float32)
+        ones[row_of[a:b], column_of[a:b] - lo] = 1
+        common += ones[left] @ ones[right].T  # sums under 2**24: exact
+    union = counts[left][:, None] + counts[right][None] - common
+    kinds, kind = np.unique(component, return_inverse=True)
+    linked = (100 * common >= similarity * union) & (kind[left][:, None] != kind[right][None])
+    x, y = np.nonzero(linked)
+    x, y = left[x], right[y]
+    _, first = np.unique(np.minimum(kind[x], kind[y]) * len(kinds) + np.maximum(kind[x], kind[y]), return_index=True)
+    parent = list(range(len(kinds)))
+    out = []
+    for i, j in zip(x[first].tolist(), y[first].tolist()):
+        a, b = int(kind[i]), int(kind[j])
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        while parent[b] != b:
+            parent[b] = b = parent[parent[b]]
+        if a != b:
+            parent[a] = b
+            out.append((i, j))
+    return out
+
+
+def _across(groups: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b) that join components of a group (leader, node, component, n)."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        shingle_sets = [np.frombuffer(s, np.uint64) for s in cell.column("shingles").to_pylist()]
+        block = np.asarray(cell.column("block"))
+        bi, bj = cell.column("bi")[0].as_py(), cell.column("bj")[0].as_py()
+        node = np.asarray(cell.column("node"))
+        found = cell_links(shingle_sets, np.flatnonzero(block == bi), np.flatnonzero(block == bj),
+                           np.asarray(cell.column("component")), similarity)
+        return pa.table({"a": pa.array([int(node[i]) for i, _ in found], pa.int64()),
+                         "b": pa.array([int(node[j]) for _, j in found], pa.int64())})
+
+    rows = _cells(groups).join(sets, "node")
+    return rows.groupBy("leader", "bi", "bj").applyInArrow(run, "a long, b long")
+
+
 def links(docs: DataFrame, nodes: DataFrame, similarity: int, shingle_words: int = SHINGLE_WORDS) -> DataFrame | None:
     """(node, component) of the representatives ``nodes`` (node, n, chunks) that have a link."""
     spark = docs.sparkSession
-    keyed = nodes.select("node", F.explode(_keys()).alias("key"))
+    keyed = nodes.select("node", "n", F.explode(_keys()).alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other"))
     buckets = buckets.filter("leader <> other").select("key", "leader")
-    members = materialize(keyed.join(buckets, "key"), "buckets")  # (key, node, leader)
-    sets = materialize(_sets(docs, members, shingle_words), "sets")
+    # all buckets of one leader form a group; two nodes of a bucket are in its leader's group
+    groups = materialize(keyed.join(buckets, "key").select("leader", "node", "n").distinct(), "groups")
+    sets = materialize(_sets(docs, groups, shingle_words), "sets")
 
-    star = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    star = groups.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     star = star.join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(
         nodes.alias("y"), F.col("b") == F.col("y.node")).filter(_close("x", "y", similarity)).select("a", "b")
     with arrow_rows(spark, PAIR_BATCH):
         linked = materialize(_confirm(star, sets, similarity), "links")
     if linked.isEmpty():
         labels = None
-        named = members.withColumn("component", F.col("node"))
+        named = groups.withColumn("component", F.col("node"))
     else:
         labels = components(linked)
-        named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-    # buckets that still hold several components: all but the largest one against the others
-    sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("kinds"))
-    mixed = mixed.filter("kinds > 1").select("key", F.col("top.component").alias("largest"))
-    rest = materialize(named.join(mixed, "key").join(nodes, "node"), "mixed")
-    x, y = rest.alias("x"), rest.filter("component <> largest").alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-                   & ((F.col("x.component") == F.col("x.largest")) | (F.col("x.node") < F.col("y.node")))
-                   & _close("x", "y", similarity))
-    cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    with arrow_rows(spark, PAIR_BATCH):
-        more = materialize(_confirm(cross, sets, similarity), "links")
+        named = groups.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = materialize(_across(named, sets, similarity), "links")
     if more.isEmpty():
         return labels
     return components(linked.unionByName(more))

@@ -63,8 +63,9 @@ def corpus(seed=5):
     return [(i * 3 + 1, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("similarity", [80, 85])
-def test_components_equal_brute_force(spark, similarity):
+@pytest.mark.parametrize("similarity,block", [(80, 1024), (85, 1024), (85, 3)])
+def test_components_equal_brute_force(spark, similarity, block, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_NODES", block)  # 3: many cells
     rows = corpus(similarity)
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id int, text string, node string, n int").repartition(4)
     got = sorted(tuple(r) for r in minhash.near_duplicates(docs, similarity).collect())
@@ -92,3 +93,17 @@ def test_query_on_documents(spark):
 
     rows = [tuple(r) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(tuple(r) for r in minhash.query(spark, SF_SMALL).collect()) == brute(rows, 85)
+
+
+def test_family_that_its_leader_does_not_join(spark):
+    """Copies with a few edits of a base that is no document itself: links go round the leader."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(60):
+        now = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            now[rng.randrange(90)] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(now)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in minhash.near_duplicates(docs, 85).collect()) == brute(rows, 85)
