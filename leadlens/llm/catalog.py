@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, minhash, packing, quality, token_output, topk, urls
+from . import chat, minhash, packing, pii, quality, token_output, topk, urls
 
 QUERIES = {
     "op1_token_output": token_output.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_top_k": topk.query,
     "op6_packing": packing.query,
     "op8_url_filter": urls.query,
+    "op9_pii": pii.query,
     "op10_near_duplicates": minhash.query,
 }
 
