@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, minhash, packing, pii, quality, token_output, topk, urls
+from . import chat, decontaminate, minhash, packing, pii, quality, token_output, topk, urls
 
 QUERIES = {
     "op1_token_output": token_output.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_chat_format": chat.query,
     "op4_top_k": topk.query,
     "op6_packing": packing.query,
+    "op7_decontaminate": decontaminate.query,
     "op8_url_filter": urls.query,
     "op9_pii": pii.query,
     "op10_near_duplicates": minhash.query,

@@ -28,8 +28,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return have[0][:n], have[1][:n]
 
 
-def words(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, first word of each text and the end) of a null-free string array."""
+BLANKS = np.zeros(256, bool)
+BLANKS[[9, 10, 11, 12, 13, 32]] = True
+#: All ASCII characters but letters and digits.
+SIGNS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
+
+def words(array: pa.Array, between: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, first word of each text and the end) of a null-free string array;
+    ``between`` marks the bytes that part words."""
     raw, offsets = utf8(array)
     if len(raw) == 0:
         return np.zeros(0, np.uint64), np.zeros(len(array) + 1, np.int64)
@@ -37,7 +44,7 @@ def words(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     low = raw + (upper.astype(np.uint8) << 5)
     inside = np.ones(len(raw) + 2, bool)
     inside[[0, -1]] = False
-    inside[1:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
+    inside[1:-1] = ~between[raw]
     first = inside[1:-1] & ~inside[:-2]
     last = inside[1:-1] & ~inside[2:]
     cuts = offsets[1:-1]
