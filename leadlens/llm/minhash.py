@@ -3,21 +3,19 @@
 A document's set is its distinct word shingles.  Documents with equal sets form a class; only
 class representatives (the smallest doc_id) go on.
 
-Signature and index.  A signature has ``CHUNKS`` chunks of 4 symbols, each the low 14 bits of a
-minimum over the set, packed into a long with a guard bit per symbol.  By the pigeonhole
-principle two signatures that differ in at most ``2 * CHUNKS - 1`` symbols agree in all but one
-symbol of some chunk, so a key per chunk and left-out symbol (48 keys) finds every such pair.
-That distance is the join's threshold: a pair at the contract's similarity of 0.85 exceeds it
-with a probability near 1e-9, at 0.8 near 1e-6.
-
-Candidates without all pairs.  First every document is paired with the smallest document of each
-of its buckets (its leaders), at most 48 pairs a document; those under the distance are confirmed
-on the full sets, ``100 * intersection >= similarity * union``, and give components.  Then only
-leaders' groups that still hold several components are looked at: the documents outside a group's
-largest component are compared with the others on the full sets, block against block, as matrix
-products inside a task.  A cell of that grid returns at most one link per component that it joins,
-never its pairs.  After that no pair of a bucket is left untested, unless already in one component,
-and a link inside a component changes nothing.
+Signature and index.  A signature has ``CHUNKS`` chunks of 4 symbols, each 14 bits of a minimum
+over the set.  By the pigeonhole principle two signatures that differ in at most ``2 * CHUNKS - 1``
+symbols differ in at most one symbol of some chunk, so a key per chunk and left-out symbol (48
+keys) puts every such pair into a common bucket.  A pair at the contract's similarity of 0.85
+exceeds that distance with a probability near 1e-9, at 0.8 near 1e-6.
+
+Links without all pairs.  The buckets of one smallest document (the leader) form a group.  Every
+document is first compared with its leaders, at most 48, on the full sets:
+``100 * intersection >= similarity * union``.  Then the documents that a leader is not linked with
+are compared with the others of its group on the full sets, block against block, as matrix
+products inside a task.  A cell of that grid returns at most one link per component that it
+joins, never its pairs; documents linked with the leader are not compared with each other, since
+they are connected already.  So no pair of a bucket is left out, and the components are exact.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing (its
 component is its own doc_id); repeated rows are copies of each other; rows with a null doc_id have
@@ -46,8 +44,6 @@ SHINGLE_WORDS = 5
 CHUNKS = 12
 _LANES, _BITS = 4, 15
 _LANE = (1 << _BITS) - 1
-_GUARDS = sum(1 << (_BITS * i + _BITS - 1) for i in range(_LANES))
-_ONES = sum(((1 << (_BITS - 1)) - 1) << (_BITS * i) for i in range(_LANES))
 _CHUNK_NAMES = [f"c{i}" for i in range(CHUNKS)]
 
 #: Rows of an Arrow batch that carries two whole sets.
@@ -125,21 +121,9 @@ def _keys() -> F.Column:
         for c, name in enumerate(_CHUNK_NAMES) for lane in range(_LANES)])
 
 
-def _distance(a: str, b: str) -> F.Column:
-    """Symbols in which two signatures differ: per chunk, the guard bits set by non-zero lanes."""
-    total = None
-    for name in _CHUNK_NAMES:
-        x = F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}"))
-        term = F.bit_count((x + F.lit(_ONES)).bitwiseAND(F.lit(_GUARDS)))
-        total = term if total is None else total + term
-    return total
-
-
-def _close(a: str, b: str, similarity: int) -> F.Column:
-    """Under the distance, and of sizes that allow the similarity (an exact bound)."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return ((F.least(na, nb) * 100 >= F.greatest(na, nb) * similarity)
-            & (_distance(a, b) <= 2 * CHUNKS - 1))
+def _sizes_allow(n, m, similarity: int) -> F.Column:
+    """Whether sets of these sizes can be similar enough (an exact bound)."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * similarity
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, shingle_words: int) -> DataFrame:
@@ -154,8 +138,9 @@ def _sets(docs: DataFrame, nodes: DataFrame, shingle_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(blobs, pa.binary())],
                                                  names=["node", "shingles"])
 
+    # the ids grow with the input: the smaller side is hashed by partition, never broadcast
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
-        nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        nodes.select(F.col("node").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
     return chosen.mapInArrow(run, "node long, shingles binary")
 
 
@@ -183,32 +168,27 @@ def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def _cells(groups: DataFrame) -> DataFrame:
-    """Rows (leader, node, component, n) dealt to the cells of their group's grid.
+    """Rows (leader, node, n, near) dealt to the cells of their group's grid.
 
     A group's nodes fall into blocks of about ``BLOCK_NODES`` nodes or ``BLOCK_SHINGLES`` shingles,
-    those of its largest component apart from the others.  A cell holds two blocks (``bi <= bj``);
-    cells of two blocks of the largest component are left out.  ``side`` tells a row's block."""
-    sizes = groups.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("sum_n"))
-    mixed = sizes.groupBy("leader").agg(
-        F.max(F.struct("size", "component", "sum_n")).alias("top"), F.count(F.lit(1)).alias("kinds"),
-        F.sum("size").alias("size"), F.sum("sum_n").alias("sum_n")).filter("kinds > 1")
-
-    def blocks(size, sum_n):
-        return F.ceil(F.greatest(size / BLOCK_NODES, sum_n / BLOCK_SHINGLES, F.lit(1e-9))).cast("int")
-
-    mixed = mixed.select("leader", F.col("top.component").alias("largest"),
-                         blocks(F.col("top.size"), F.col("top.sum_n")).alias("major"),
-                         blocks(F.col("size") - F.col("top.size"), F.col("sum_n") - F.col("top.sum_n")).alias("minor"))
+    those linked with the leader (near, the leader itself too) apart from the others.  A cell holds
+    two blocks (``bi <= bj``); cells of two near blocks are left out, and groups without others."""
+    def blocks(near):
+        size = F.sum(F.when(F.col("near") == near, 1).otherwise(0))
+        sum_n = F.sum(F.when(F.col("near") == near, F.col("n")).otherwise(0))
+        return F.ceil(F.greatest(size / BLOCK_NODES, sum_n / BLOCK_SHINGLES)).cast("int")
+
+    mixed = groups.groupBy("leader").agg(blocks(True).alias("major"), blocks(False).alias("minor")).filter("minor > 0")
     rows = groups.join(mixed, "leader")
     share = F.xxhash64("node")
-    block = F.when(F.col("component") == F.col("largest"), F.col("minor") + F.pmod(share, F.col("major"))).otherwise(
+    block = F.when(F.col("near"), F.col("minor") + F.pmod(share, F.col("major"))).otherwise(
         F.pmod(share, F.col("minor"))).cast("int")
     rows = rows.withColumn("block", block)
-    partner = F.when(F.col("block") >= F.col("minor"), F.sequence(F.lit(0), F.col("minor") - 1)).otherwise(
+    partner = F.when(F.col("near"), F.sequence(F.lit(0), F.col("minor") - 1)).otherwise(
         F.sequence(F.lit(0), F.col("minor") + F.col("major") - 1))
     rows = rows.withColumn("other", F.explode(partner))
     return rows.select("leader", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
-                       "block", "node", "component")
+                       "block", "node", F.when(F.col("near"), F.col("leader")).otherwise(F.col("node")).alias("component"))
 
 
 def cell_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, component: np.ndarray,
@@ -252,7 +232,7 @@ def cell_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, comp
 
 
 def _across(groups: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Links (a, b) that join components of a group (leader, node, component, n)."""
+    """Links (a, b) of nodes that their group's leader is not linked with (leader, node, n, near)."""
 
     def run(cell: pa.Table) -> pa.Table:
         shingle_sets = [np.frombuffer(s, np.uint64) for s in cell.column("shingles").to_pylist()]
@@ -268,31 +248,25 @@ def _across(groups: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return rows.groupBy("leader", "bi", "bj").applyInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, nodes: DataFrame, similarity: int, shingle_words: int = SHINGLE_WORDS) -> DataFrame | None:
-    """(node, component) of the representatives ``nodes`` (node, n, chunks) that have a link."""
+def links(docs: DataFrame, nodes: DataFrame, similarity: int, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """Links (a, b) between the representatives ``nodes`` (node, n, chunks): not every pair, but as
+    many as connect all that are similar."""
     spark = docs.sparkSession
     keyed = nodes.select("node", "n", F.explode(_keys()).alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other"))
-    buckets = buckets.filter("leader <> other").select("key", "leader")
+    buckets = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.max("node").alias("other"))
+    buckets = buckets.filter("first.node <> other").select(
+        "key", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n"))
     # all buckets of one leader form a group; two nodes of a bucket are in its leader's group
-    groups = materialize(keyed.join(buckets, "key").select("leader", "node", "n").distinct(), "groups")
+    groups = materialize(keyed.join(buckets, "key").select("leader", "leader_n", "node", "n").distinct(), "groups")
     sets = materialize(_sets(docs, groups, shingle_words), "sets")
 
-    star = groups.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    star = star.join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(
-        nodes.alias("y"), F.col("b") == F.col("y.node")).filter(_close("x", "y", similarity)).select("a", "b")
+    star = groups.filter("node <> leader").filter(_sizes_allow(F.col("n"), F.col("leader_n"), similarity))
     with arrow_rows(spark, PAIR_BATCH):
-        linked = materialize(_confirm(star, sets, similarity), "links")
-    if linked.isEmpty():
-        labels = None
-        named = groups.withColumn("component", F.col("node"))
-    else:
-        labels = components(linked)
-        named = groups.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = materialize(_across(named, sets, similarity), "links")
-    if more.isEmpty():
-        return labels
-    return components(linked.unionByName(more))
+        near = materialize(_confirm(star.select(F.col("leader").alias("a"), F.col("node").alias("b")), sets, similarity), "links")
+    flag = near.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.lit(True).alias("near"))
+    flagged = groups.join(flag, ["leader", "node"], "left").select(
+        "leader", "node", "n", (F.coalesce("near", F.lit(False)) | (F.col("node") == F.col("leader"))).alias("near"))
+    return near.unionByName(materialize(_across(flagged, sets, similarity), "links"))
 
 
 def near_duplicates(docs: DataFrame, similarity: int = 80, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -303,12 +277,8 @@ def near_duplicates(docs: DataFrame, similarity: int = 80, shingle_words: int =
     classes = some.groupBy("set_a", "set_b", F.col("n_shingles").alias("n")).agg(
         F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in _CHUNK_NAMES])
     classes = materialize(classes, "classes")
-    labels = links(docs, classes.select("node", "n", *_CHUNK_NAMES), similarity, shingle_words)
-    named = classes.select("set_a", "set_b", F.col("n").alias("n_shingles"), "node")
-    if labels is not None:
-        named = named.join(labels, "node", "left")
-    else:
-        named = named.withColumn("component", F.col("node"))
+    labels = components(links(docs, classes.select("node", "n", *_CHUNK_NAMES), similarity, shingle_words))
+    named = classes.select("set_a", "set_b", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left")
     named = named.select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component"))
     out = some.join(named, ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = sketch.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
