@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, minhash, packing, pii, quality, token_output, topk, urls
+from . import chat, decontaminate, minhash, packing, pii, quality, substrings, token_output, topk, urls
 
 QUERIES = {
     "op1_token_output": token_output.query,
     "op2_quality": quality.query,
     "op3_chat_format": chat.query,
     "op4_top_k": topk.query,
+    "op5_substrings": substrings.query,
     "op6_packing": packing.query,
     "op7_decontaminate": decontaminate.query,
     "op8_url_filter": urls.query,
