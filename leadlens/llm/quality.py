@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from leadlens.session import materialize
 
@@ -242,6 +243,19 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def annotate(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with all its columns and ``quality_score``, row by row."""
+    schema = StructType([*docs.schema.fields, StructField("quality_score", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = texts(batch)
+            scores = [model.score(statistics_of(text.slice(lo, hi - lo))) for lo, hi in slices(text)]
+            yield batch.append_column("quality_score", pa.array(np.concatenate(scores) if scores else np.zeros(0)))
+
+    return docs.mapInArrow(run, schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return classify(table(spark, sf_dir, "documents"), labels)
