@@ -40,8 +40,8 @@ from . import suffixes
 from .common import column, slices, table, texts, utf8
 from .suffixes import WINDOW, make_key, name_of
 
-CHUNK = 2 << 20  # bytes whose anchors are found at a time
-RUN_BYTES = 48 << 20
+CHUNK = 1 << 20  # bytes whose anchors are found at a time
+RUN_BYTES = 24 << 20
 RANGE_ENTRIES = 50_000
 HOT = 50_000
 
