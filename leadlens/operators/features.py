@@ -12,11 +12,9 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import ordered_scan
-
 
 def _q(c: str) -> Column:
     return F.col(f"`{c}`")
@@ -137,30 +135,56 @@ def split_key(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), _q(id_col).cast("string")))
 
 
+def split_cuts(df: DataFrame, target: str | None, id_col: str, seed: int, test_size: float,
+               val_size: float) -> DataFrame:
+    """Per class (``__c``) the last (key, id) of the test rows and of the validation rows.
+
+    Rows are counted per class and first four digits of the key (at most 65,536 buckets a
+    class); only the buckets that hold a quota's boundary are ranked."""
+    ratio = val_size / (1.0 - test_size)
+    cls = _q(target) if target else F.lit(0)
+    keyed = df.select(cls.alias("__c"), split_key(id_col, seed).alias("__key"), _q(id_col).alias("__id"))
+    keyed = keyed.withColumn("__b", F.substring("__key", 1, 4))
+    counts = keyed.groupBy("__c", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    per_class = Window.partitionBy("__c")
+    up_to = per_class.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.select("__c", "__b", "__n", F.sum("__n").over(up_to).alias("__hi"), F.sum("__n").over(per_class).alias("__all"))
+    n_test = F.floor(F.col("__all") * F.lit(test_size) + F.lit(0.5))
+    n_val = F.floor((F.col("__all") - n_test) * F.lit(ratio) + F.lit(0.5))
+    cuts = counts.select("*", F.inline(F.array(F.struct(F.lit("test").alias("__name"), n_test.alias("__at")),
+                                               F.struct(F.lit("val").alias("__name"), (n_test + n_val).alias("__at")))))
+    low = F.col("__hi") - F.col("__n")
+    cuts = cuts.where((low < F.col("__at")) & (F.col("__at") <= F.col("__hi"))).select(
+        F.col("__c").alias("__cc"), F.col("__b").alias("__cb"), "__name", (F.col("__at") - low).alias("__k"))
+    inside = keyed.join(cuts, F.col("__c").eqNullSafe(F.col("__cc")) & (F.col("__b") == F.col("__cb")))
+    place = F.row_number().over(Window.partitionBy("__c", "__b", "__name").orderBy("__key", "__id"))
+    edge = F.struct("__key", "__id")
+    found = inside.withColumn("__r", place).where(F.col("__r") == F.col("__k"))
+    last = [F.max(F.when(F.col("__name") == name, edge)).alias(f"__{name}") for name in ("test", "val")]
+    return found.groupBy("__c").agg(*last)
+
+
 def stratified_split(df: DataFrame, target: str, id_col: str, seed: int = 42,
                      test_size: float = 0.2, val_size: float = 0.1,
-                     split_col: str = "split") -> DataFrame:
+                     split_col: str = "split", stratify: bool = True) -> DataFrame:
     """exact per-class quotas -- test first, then validation from the rest.
 
     n_test = round(n_c * test_size), n_val = round((n_c - n_test) * val_size /
-    (1 - test_size)), half up.  Rows are ranked inside their class by
-    md5(seed:id) with the skew-safe ordered scan (a binary target is two hot
-    groups), then cut by the quotas.
+    (1 - test_size)), half up.  Rows are ordered inside their class by md5(seed:id) and cut
+    at the quotas; the split is a comparison with the class's cut keys (:func:`split_cuts`),
+    so nothing is ranked as a whole or written, and filters reach the scan.
+    ``stratify=False`` takes the quotas of the whole table.
     """
-    ratio = val_size / (1.0 - test_size)
-    ranked = ordered_scan(df.withColumn("__key", split_key(id_col, seed)),
-                          by=[target], order=["__key", id_col], row_number="__r")
-    counts = df.groupBy(target).agg(F.count("*").alias("__n"))
-    n_test = F.floor(F.col("__n") * F.lit(test_size) + F.lit(0.5))
-    n_val = F.floor((F.col("__n") - n_test) * F.lit(ratio) + F.lit(0.5))
-    quotas = counts.select(target, n_test.alias("__t"), n_val.alias("__v"))
+    cuts = split_cuts(df, target if stratify else None, id_col, seed, test_size, val_size)
     # one row per class value: no broadcast hint, so AQE broadcasts it only when
     # its measured size is small (a wide stratification key stays a shuffle join)
-    out = ranked.join(quotas, target)
+    cls = _q(target) if stratify else F.lit(0)
+    keyed = df.withColumn("__row", F.struct(split_key(id_col, seed).alias("__key"), _q(id_col).alias("__id"))).withColumn("__cls", cls)
+    out = keyed.join(cuts, F.col("__cls").eqNullSafe(F.col("__c")), "left")
     return out.select(
         *[_q(c) for c in df.columns],
-        F.when(F.col("__r") <= F.col("__t"), "test")
-         .when(F.col("__r") <= F.col("__t") + F.col("__v"), "val")
+        F.when(F.col("__row") <= F.col("__test"), "test")
+         .when(F.col("__row") <= F.col("__val"), "val")
          .otherwise("train").alias(split_col))
 
 
@@ -194,7 +218,7 @@ def build_features(df: DataFrame, settings, id_col: str, out_path: str | None =
 
     cleaned = clean(df, settings)
     split = stratified_split(cleaned, settings.target, id_col, settings.seed,
-                             settings.test_size, settings.val_size)
+                             settings.test_size, settings.val_size, stratify=settings.stratify)
     nominal = [c for c in settings.categorical if c not in settings.ordinal]
     enc = FeatureEncoder(numerical=list(settings.numerical), ordinal=dict(settings.ordinal),
                          nominal=nominal).fit(split.where(F.col("split") == "train"))

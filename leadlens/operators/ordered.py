@@ -4,118 +4,37 @@
 ``Window.orderBy(o)`` sends the whole table to one task.  Where one key may hold a
 third of the rows, that task becomes the job.  ``ordered_scan`` instead:
 
-1. range-partitions on ``(group keys, order keys)`` so a hot group is cut into
-   many partitions (one shuffle, sampled bounds);
-2. scans every partition in order inside ``mapInPandas`` (numpy cumulative sums
-   on Arrow batches), tagging rows of the partition's first group, and writes the
-   result once as Parquet in the shared checkpoint folder;
-3. builds a carry table with one row per partition (the last group's running
-   totals and last values) and broadcasts it -- its size is bounded by the
-   partition count, not by the data -- to finish the groups that cross a
-   partition boundary.
-
-The caller must give a *total* order (add a unique key as the last order column)
-so the result does not depend on how ties happen to be split.
+1. range-partitions on ``(group keys, order keys)``, so a hot group is cut into many
+   ranges (sampled bounds), and tags every row with its range;
+2. runs the engine's own window per (range, group), which is bounded by the range, and
+   writes the result once as Parquet in the shared checkpoint folder;
+3. builds a carry table with one row per range (the last group's running totals and
+   last values) and broadcasts it -- its size is bounded by the number of ranges, not by
+   the data -- to finish the groups that cross a boundary.
+
+Columns never leave the JVM, so every type passes through unchanged.  The caller must
+give a *total* order (add a unique key as the last order column) so the result does not
+depend on how ties happen to be split.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
 
-_PID, _HEAD, _P0, _TAIL, _GK = "__pid", "__head", "__p0", "__tail", "__g0"
+_RANGE, _ROW, _SIZE, _GROUP = "__range", "__row", "__size", "__g0"
+_WHOLE = (T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.BooleanType)
 
 
 def _qc(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _key_change(cols: list[pd.Series], carry: tuple | None, first_in_partition: bool) -> np.ndarray:
-    n = len(cols[0])
-    new = np.zeros(n, dtype=bool)
-    for s in cols:
-        prev = s.shift(1)
-        same = (s == prev) | (s.isna() & prev.isna())
-        new |= ~same.to_numpy(dtype=bool)
-    if first_in_partition:
-        new[0] = True
-    else:
-        row0 = tuple(s.iloc[0] for s in cols)
-        new[0] = not all((a == b) or (pd.isna(a) and pd.isna(b)) for a, b in zip(row0, carry))
-    return new
-
-
-def _scan_partitions(by: list[str], run_src: list[str], run_out: list[str],
-                     lag_src: list[str], lag_out: list[str], rn_out: str | None):
-    def scan(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        carry_key = None
-        carry_rn = 0
-        carry_run = [0] * len(run_src)
-        carry_lag = [None] * len(lag_src)
-        in_head = True
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            keys = [pdf[c] for c in by]
-            new = _key_change(keys, carry_key, carry_key is None)
-            idx = np.arange(n)
-            starts = np.maximum.accumulate(np.where(new, idx, 0))
-            cont = ~np.logical_or.accumulate(new)          # rows continuing the carried group
-            rn = idx - starts + 1 + np.where(cont, carry_rn, 0)
-            res = pdf.copy()
-            res[rn_out] = rn.astype("int64")
-            new_run = []
-            for src, name, c0 in zip(run_src, run_out, carry_run):
-                v = pdf[src].fillna(0).to_numpy()
-                cs = np.cumsum(v)
-                r = cs - (cs[starts] - v[starts]) + np.where(cont, c0, 0)
-                res[name] = r
-                new_run.append(r[-1])
-            for src, name, c0 in zip(lag_src, lag_out, carry_lag):
-                s = pdf[src].astype(object).shift(1)
-                s.iloc[0] = c0 if not new[0] else None
-                res[name] = s.where(~pd.Series(new, index=s.index), None)
-            breaks = np.flatnonzero(new[1:]) + 1 if carry_key is None else np.flatnonzero(new)
-            head = idx < (breaks[0] if len(breaks) else n) if in_head else np.zeros(n, dtype=bool)
-            p0 = np.zeros(n, dtype=bool)
-            if carry_key is None:
-                p0[0] = True
-            if len(breaks):
-                in_head = False
-            carry_key = tuple(s.iloc[-1] for s in keys)
-            carry_rn = int(rn[-1])
-            carry_run = new_run
-            carry_lag = [pdf[src].iloc[-1] for src in lag_src]
-            res[_PID] = pid
-            res[_HEAD] = head
-            res[_P0] = p0
-            res[_TAIL] = False
-            yield res
-
-    def fn(batches):
-        # one batch of look-ahead, so the partition's last row can be flagged
-        pending = None
-        for res in scan(batches):
-            if pending is not None:
-                yield pending
-            pending = res
-        if pending is not None:
-            pending.iloc[-1, pending.columns.get_loc(_TAIL)] = True
-            yield pending
-    return fn
-
-
 def ordered_scan(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], *,
                  row_number: str | None = None, running: dict[str, str] | None = None,
                  lags: dict[str, str] | None = None,
@@ -123,92 +42,65 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]
     """Add row numbers, running sums and previous-row values within ``by`` groups.
 
     ``running`` maps output name -> numeric source column (sum includes the current
-    row); ``lags`` maps output name -> source column (value of the previous row of
-    the same group, NULL for the group's first row).  Equivalent to
-    ``row_number()/sum()/lag() OVER (PARTITION BY by ORDER BY order)`` without the
-    one-task-per-group hazard.
-
-    The locally scanned data is written once (Parquet in the session's checkpoint
-    folder), because the range partitioner samples with a seed tied to the RDD id:
-    two evaluations could cut the partitions differently.  The carry table (a
-    ``__tail`` filter that Parquet statistics mostly prune) and the final join
-    read the same files.
+    row, NULL counts as 0; a long for whole numbers, else a double); ``lags`` maps output
+    name -> source column (value of the previous row of the same group, NULL for the
+    group's first row).  Equivalent to ``row_number()/sum()/lag() OVER (PARTITION BY by
+    ORDER BY order)`` without the one-task-per-group hazard.
+
+    The scan is written once, because the range partitioner samples with a seed tied to
+    the plan: two evaluations could cut the ranges differently.
     """
-    running = dict(running or {})
-    lags = dict(lags or {})
-    by = list(by)
-    unsafe = [c for c in df.columns if not c.replace("_", "a").isalnum()]
-    if unsafe:
-        # mapInPandas cannot resolve names such as "emp.var.rate": scan under safe
-        # aliases and restore the names afterwards
-        alias = {c: (f"__c{i}" if c in unsafe else c) for i, c in enumerate(df.columns)}
-        back = {v: k for k, v in alias.items()}
-        inner = ordered_scan(df.select([_qc(c).alias(alias[c]) for c in df.columns]),
-                             [alias[b] for b in by],
-                             [alias.get(o, o) if isinstance(o, str) else o for o in order],
-                             row_number=row_number,
-                             running={k: alias[v] for k, v in running.items()},
-                             lags={k: alias[v] for k, v in lags.items()},
-                             num_partitions=num_partitions)
-        return inner.select([_qc(c).alias(back.get(c, c)) for c in inner.columns])
+    running, lags, by = dict(running or {}), dict(lags or {}), list(by)
     work = df
     if not by:
-        work = work.withColumn(_GK, F.lit(0))
-        by = [_GK]
+        work = work.withColumn(_GROUP, F.lit(0))
+        by = [_GROUP]
     order_cols = [_qc(o) if isinstance(o, str) else o for o in order]
-    keys = [_qc(b) for b in by] + order_cols
+    group = [_qc(b) for b in by]
+    keys = [*group, *order_cols]
     # without an explicit count, AQE may merge adjacent ranges of small data
-    # (order is preserved); the scan output is written once, so the cut only has
-    # to be consistent within that single execution
-    ranged = (work.repartitionByRange(num_partitions, *keys) if num_partitions
-              else work.repartitionByRange(*keys)).sortWithinPartitions(*keys)
-
-    fields = {f.name: f for f in work.schema.fields}
-    run_src, run_out = list(running.values()), list(running.keys())
-    lag_src, lag_out = list(lags.values()), list(lags.keys())
-    rn_out = row_number or "__rn"
-
-    def run_type(src):
-        dt = fields[src].dataType
-        return T.LongType() if isinstance(dt, (T.IntegerType, T.LongType, T.ShortType,
-                                               T.ByteType, T.BooleanType)) else T.DoubleType()
-
-    out_fields = list(work.schema.fields) + [T.StructField(rn_out, T.LongType())]
-    out_fields += [T.StructField(o, run_type(s)) for o, s in zip(run_out, run_src)]
-    out_fields += [T.StructField(o, fields[s].dataType) for o, s in zip(lag_out, lag_src)]
-    out_fields += [T.StructField(_PID, T.IntegerType()), T.StructField(_HEAD, T.BooleanType()),
-                   T.StructField(_P0, T.BooleanType()), T.StructField(_TAIL, T.BooleanType())]
-    local = materialize(ranged.mapInPandas(
-        _scan_partitions(by, run_src, run_out, lag_src, lag_out, rn_out),
-        T.StructType(out_fields)), "ordered-scan")
-
-    # carry table: one row per non-empty partition, so single-task windows are bounded
-    summ = local.where(F.col(_TAIL)).select(
-        *[_qc(b) for b in by], _PID, F.col(rn_out).alias("__cnt"),
-        *[F.col(o).alias("__s_" + o) for o in run_out],
-        *[_qc(s).alias("__v_" + o) for o, s in zip(lag_out, lag_src)])
-    run_w = Window.partitionBy(*[_qc(b) for b in by]).orderBy(_PID).rowsBetween(Window.unboundedPreceding, 0)
-    carry = summ.select(
+    ranged = work.repartitionByRange(num_partitions, *keys) if num_partitions else work.repartitionByRange(*keys)
+    ranged = ranged.withColumn(_RANGE, F.spark_partition_id())
+
+    piece = Window.partitionBy(_RANGE, *group)
+    ordered = piece.orderBy(*order_cols)
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def number(src: str) -> Column:
+        whole = isinstance(work.schema[src].dataType, _WHOLE)
+        return F.coalesce(_qc(src).cast("long" if whole else "double"), F.lit(0).cast("long" if whole else "double"))
+
+    local = materialize(ranged.select(
+        "*", F.row_number().over(ordered).cast("long").alias(_ROW),
+        *[F.sum(number(s)).over(so_far).alias(o) for o, s in running.items()],
+        *[F.lag(_qc(s)).over(ordered).alias(o) for o, s in lags.items()],
+        F.count(F.lit(1)).over(piece).alias(_SIZE)), "ordered-scan")
+
+    # the last row of each range's last group: one row per range, so the windows over
+    # these rows and the broadcast are bounded
+    ends = local.where(F.col(_ROW) == F.col(_SIZE))
+    last = ends.groupBy(_RANGE).agg(F.max(F.struct(*group)).alias("__last"))
+    ends = ends.join(F.broadcast(last.withColumnRenamed(_RANGE, "__r")),
+                     (F.col(_RANGE) == F.col("__r")) & (F.struct(*group).eqNullSafe(F.col("__last"))))
+    same_group = Window.partitionBy(*group).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carry = ends.select(
         *[_qc(b).alias("__k_" + b) for b in by],
-        F.lead(_PID).over(Window.orderBy(_PID)).alias("__next"),
-        F.sum("__cnt").over(run_w).alias("__off_rn"),
-        *[F.sum("__s_" + o).over(run_w).alias("__off_" + o) for o in run_out],
-        *[F.col("__v_" + o) for o in lag_out],
+        F.lead(_RANGE).over(Window.orderBy(_RANGE)).alias("__next"),
+        F.sum(_SIZE).over(same_group).alias("__off_row"),
+        *[F.sum(_qc(o)).over(same_group).alias("__off_" + o) for o in running],
+        *[_qc(s).alias("__val_" + o) for o, s in lags.items()],
     ).where(F.col("__next").isNotNull())
-    cond = [local[_PID] == carry["__next"]] + \
-           [local[b].eqNullSafe(carry["__k_" + b]) for b in by]
+    cond = [F.col(_RANGE) == F.col("__next")] + [_qc(b).eqNullSafe(_qc("__k_" + b)) for b in by]
     joined = local.join(F.broadcast(carry), on=cond, how="left")
 
-    def fix(name, off):
-        return F.when(F.col(_HEAD) & F.col(off).isNotNull(), F.col(name) + F.col(off)) \
-                .otherwise(F.col(name))
-
-    sel = [_qc(c) for c in work.columns if c != _GK]
+    out = [_qc(c) for c in work.columns if c != _GROUP]
     if row_number:
-        sel.append(fix(rn_out, "__off_rn").alias(row_number))
-    sel += [fix(o, "__off_" + o).alias(o) for o in run_out]
-    sel += [F.when(F.col(_P0), F.col("__v_" + o)).otherwise(F.col(o)).alias(o) for o in lag_out]
-    return joined.select(*sel)
+        out.append((F.col(_ROW) + F.coalesce("__off_row", F.lit(0))).alias(row_number))
+    for o, s in running.items():
+        out.append((_qc(o) + F.coalesce(_qc("__off_" + o), F.lit(0))).alias(o))
+    for o in lags:
+        out.append(F.when((F.col(_ROW) == 1) & F.col("__next").isNotNull(), _qc("__val_" + o)).otherwise(_qc(o)).alias(o))
+    return joined.select(*out)
 
 
 def top_k_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], k: int,

@@ -38,8 +38,8 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def clean_contacts(spark: SparkSession, sf: str) -> DataFrame:
-    return cleaning.clean(contacts(spark, sf), contacts_settings())
+def clean_contacts(spark: SparkSession, sf: str, history: bool = True) -> DataFrame:
+    return cleaning.clean(contacts(spark, sf, history), contacts_settings())
 
 
 # --- shared SQL fragments ------------------------------------------------------
@@ -90,7 +90,7 @@ def q_clean_contacts(spark, sf):
 SELECT segment, y, count(*) AS n FROM clean
 WHERE segment IS NOT NULL AND y IS NOT NULL GROUP BY segment, y""")
 def q_crosstab(spark, sf):
-    return profiling.crosstab(clean_contacts(spark, sf), "segment", "y")
+    return profiling.crosstab(clean_contacts(spark, sf, history=False), "segment", "y")
 
 
 @query("value_share_priority", f"""{WITH_CONTACTS}
@@ -98,7 +98,7 @@ SELECT priority, count(*) AS n,
        round(CAST(count(*) AS DOUBLE) * 100.0 / (SELECT count(*) FROM contacts), 4) AS pct
 FROM contacts GROUP BY priority""")
 def q_value_share(spark, sf):
-    return profiling.value_share(contacts(spark, sf), "priority", decimals=4)
+    return profiling.value_share(contacts(spark, sf, history=False), "priority", decimals=4)
 
 
 _STRING_COLS = ["segment", "region", "priority", "month", "day_of_week", "poutcome", "y"]
@@ -139,13 +139,13 @@ def q_profile(spark, sf):
 @query("rate_by_weekday", f"""{CLEAN_CTE}
 SELECT day_of_week, count(*) AS n, round(avg(CAST(y AS DOUBLE)), 4) AS rate FROM clean GROUP BY day_of_week""")
 def q_rate_weekday(spark, sf):
-    return profiling.rate_by(clean_contacts(spark, sf), "day_of_week", "y")
+    return profiling.rate_by(clean_contacts(spark, sf, history=False), "day_of_week", "y")
 
 
 @query("rate_by_month", f"""{CLEAN_CTE}
 SELECT month, count(*) AS n, round(avg(CAST(y AS DOUBLE)), 4) AS rate FROM clean GROUP BY month""")
 def q_rate_month(spark, sf):
-    return profiling.rate_by(clean_contacts(spark, sf), "month", "y")
+    return profiling.rate_by(clean_contacts(spark, sf, history=False), "month", "y")
 
 
 @query("rate_by_contact_count", f"""{CLEAN_CTE}
@@ -223,7 +223,7 @@ a AS (SELECT feature, count(*) AS k, sum(n) AS N, sum(n * power(mean - grand, 2)
 SELECT feature, k AS n_groups, k - 1 AS df_between, CAST(N - k AS BIGINT) AS df_within,
        round((ssb / (k - 1)) / (ssw / (N - k)), 4) AS f_statistic FROM a""")
 def q_anova(spark, sf):
-    st = hypothesis.anova_statistics(clean_contacts(spark, sf), ["total_price", "acct_balance"], "priority")
+    st = hypothesis.anova_statistics(clean_contacts(spark, sf, history=False), ["total_price", "acct_balance"], "priority")
     return st.select("feature", "n_groups", "df_between", "df_within",
                      F.round("f_raw", 4).alias("f_statistic"))
 
@@ -236,7 +236,7 @@ def q_summarise(spark, sf):
 
 @query("anova_priority")
 def q_anova_full(spark, sf):
-    return hypothesis.anova_test(clean_contacts(spark, sf), ["total_price", "acct_balance"], "priority")
+    return hypothesis.anova_test(clean_contacts(spark, sf, history=False), ["total_price", "acct_balance"], "priority")
 
 
 _VIF = ["total_price", "acct_balance", "pdays"]
@@ -297,19 +297,19 @@ split AS (SELECT * EXCLUDE (r, n_c, t, v),
           FROM (SELECT *, floor((n_c - t) * CAST({VAL_SIZE / (1 - TEST_SIZE)} AS DOUBLE) + 0.5) AS v FROM q))"""
 
 
-def split_contacts(spark, sf) -> DataFrame:
-    return features.stratified_split(clean_contacts(spark, sf), "y", "contact_id", SEED,
+def split_contacts(spark, sf, history: bool = True) -> DataFrame:
+    return features.stratified_split(clean_contacts(spark, sf, history), "y", "contact_id", SEED,
                                      TEST_SIZE, VAL_SIZE)
 
 
 @query("stratified_split", f"{SPLIT_CTE} SELECT contact_id, y, split FROM split")
 def q_split(spark, sf):
-    return split_contacts(spark, sf).select("contact_id", "y", "split")
+    return split_contacts(spark, sf, history=False).select("contact_id", "y", "split")
 
 
 @query("split_sizes", f"{SPLIT_CTE} SELECT split, y, count(*) AS n FROM split GROUP BY split, y")
 def q_split_sizes(spark, sf):
-    return split_contacts(spark, sf).groupBy("split", "y").agg(F.count("*").alias("n"))
+    return split_contacts(spark, sf, history=False).groupBy("split", "y").agg(F.count("*").alias("n"))
 
 
 @query("scaler_params", f"""{SPLIT_CTE}

@@ -9,31 +9,32 @@ third of all orders is still spread over many tasks.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import ordered_scan
+from ..session import path_exists
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def register_tables(spark: SparkSession, sf_dir: str) -> None:
     for name in TABLES:
-        path = os.path.join(sf_dir, f"{name}.parquet")
-        if os.path.exists(path):
+        if path_exists(spark, f"{sf_dir}/{name}.parquet"):
             read_table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
-def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def contacts(spark: SparkSession, sf_dir: str, history: bool = True) -> DataFrame:
     """contact_id, customer_id, segment, region, priority, month, day_of_week,
-    total_price, acct_balance, previous, pdays, poutcome, y."""
+    total_price, acct_balance, previous, pdays, poutcome, y.
+
+    Without ``history`` the columns previous, pdays and poutcome are left out and the view is
+    a plain join that filters and pruning pass through."""
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
         "o_orderpriority")
@@ -45,11 +46,21 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
     cust = customer.join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
 
-    history = ordered_scan(
-        orders, by=["o_custkey"], order=["o_orderdate", "o_orderkey"],
-        row_number="__seq",
-        lags={"__prev_date": "o_orderdate", "__prev_status": "o_orderstatus"})
-    joined = history.join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    past = []
+    if history:
+        orders = ordered_scan(
+            orders, by=["o_custkey"], order=["o_orderdate", "o_orderkey"],
+            row_number="__seq",
+            lags={"__prev_date": "o_orderdate", "__prev_status": "o_orderstatus"})
+        past = [
+            (F.col("__seq") - 1).cast("int").alias("previous"),
+            F.coalesce(F.datediff(F.to_date("o_orderdate"), F.to_date("__prev_date")),
+                       F.lit(999)).cast("int").alias("pdays"),
+            F.when(F.col("__prev_status").isNull(), "nonexistent")
+             .when(F.col("__prev_status") == "F", "success")
+             .otherwise("failure").alias("poutcome"),
+        ]
+    joined = orders.join(cust, F.col("o_custkey") == F.col("c_custkey"))
     return joined.select(
         F.col("o_orderkey").alias("contact_id"),
         F.col("o_custkey").alias("customer_id"),
@@ -60,12 +71,7 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.date_format("o_orderdate", "EEE")).alias("day_of_week"),
         F.col("o_totalprice").alias("total_price"),
         F.col("c_acctbal").alias("acct_balance"),
-        (F.col("__seq") - 1).cast("int").alias("previous"),
-        F.coalesce(F.datediff(F.to_date("o_orderdate"), F.to_date("__prev_date")),
-                   F.lit(999)).cast("int").alias("pdays"),
-        F.when(F.col("__prev_status").isNull(), "nonexistent")
-         .when(F.col("__prev_status") == "F", "success")
-         .otherwise("failure").alias("poutcome"),
+        *past,
         F.when(F.col("o_orderstatus") == "F", "yes").otherwise("no").alias("y"),
     )
 

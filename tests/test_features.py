@@ -85,3 +85,20 @@ def test_encoder_refuses_id_like_columns(spark):
     df = spark.range(500).select(F.col("id").cast("string").alias("c"))
     with pytest.raises(ValueError):
         features.FeatureEncoder(nominal=["c"], max_categories=50).fit(df)
+
+
+def test_split_without_strata_takes_quotas_of_the_whole_table(spark):
+    import hashlib
+
+    df = _fx3(spark)
+    s = features.stratified_split(df, "y", "id", seed=7, test_size=0.25, val_size=0.15, stratify=False)
+    got = {r["id"]: r["split"] for r in s.collect()}
+    order = sorted(range(300), key=lambda i: hashlib.md5(f"7:{i}".encode()).hexdigest())
+    want = {i: "test" if k < 75 else "val" if k < 120 else "train" for k, i in enumerate(order)}
+    assert got == want
+
+
+def test_split_tiny_classes_and_null_class(spark):
+    df = spark.createDataFrame([(i, None if i == 5 else int(i > 3)) for i in range(6)], "id long, y int")
+    got = features.stratified_split(df, "y", "id").collect()
+    assert len(got) == 6 and {r["split"] for r in got} <= {"train", "test", "val"}

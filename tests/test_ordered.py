@@ -43,7 +43,12 @@ def test_one_hot_key_spanning_all_partitions(spark):
     # a single key holding every row: still spread over all partitions
     df = spark.range(0, 5000).select(F.lit("hot").alias("k"), F.col("id"),
                                      (F.col("id") % 3).alias("v"))
-    out = ordered_scan(df, ["k"], ["id"], row_number="rn", running={"s": "v"}, num_partitions=6)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = ordered_scan(df, ["k"], ["id"], row_number="rn", running={"s": "v"}, num_partitions=6)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     pdf = out.orderBy("id").toPandas()
     assert list(pdf["rn"]) == list(range(1, 5001))
     assert list(pdf["s"]) == list((pdf["id"] % 3).cumsum())
@@ -72,3 +77,20 @@ def test_scratch_tables_are_removed(spark):
     assert paths and all(os.path.exists(p.replace("file:", "")) for p in paths if p.startswith("/"))
     assert session.cleanup_scratch(spark) >= 1
     assert not any(os.path.exists(p) for p in paths if p.startswith("/"))
+
+
+def test_types_pass_through_unchanged(spark):
+    import datetime as dt
+    from decimal import Decimal
+
+    rows = [(1, 9007199254740993, True, Decimal("12345678901234567890.12"), dt.datetime(9999, 12, 30, 23, 59), 1),
+            (1, None, None, None, None, 2),
+            (1, 9007199254740995, False, Decimal("0.01"), dt.datetime(1900, 1, 1), 3),
+            (None, -9007199254740993, None, None, None, 4)]
+    df = spark.createDataFrame(rows, "g int, big long, flag boolean, dec decimal(38,2), ts timestamp, `o.1` int")
+    out = ordered_scan(df, ["g"], ["o.1"], row_number="rn", running={"s": "big", "f": "flag"}, lags={"prev": "big", "pf": "flag"},
+                       num_partitions=3).orderBy("`o.1`")
+    assert out.select(*[f"`{c}`" for c in df.columns]).collect() == df.orderBy("`o.1`").collect()
+    got = [tuple(r)[6:] for r in out.collect()]
+    assert got == [(1, 9007199254740993, 1, None, None), (2, 9007199254740993, 1, 9007199254740993, True),
+                   (3, 18014398509481988, 1, None, None), (1, -9007199254740993, 0, None, None)]

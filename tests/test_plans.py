@@ -18,9 +18,16 @@ def test_latest_is_take_ordered_with_pruned_scan(spark):
     assert "value" not in read.split("ReadSchema:")[-1]          # unused column not read
 
 
-def test_scan_tail_filter_pushed_to_parquet(spark):
-    plan = _plan(QUERIES["summarise_features"](spark, SF_SMALL))
-    assert "PushedFilters: [IsNotNull(__tail), EqualTo(__tail,true)]" in plan
+def test_rates_without_history_read_the_tables_directly(spark):
+    plan = _plan(QUERIES["rate_by_month"](spark, SF_SMALL))
+    assert "ordered-scan" not in plan and "Python" not in plan
+    read = [ln for ln in plan.splitlines() if "orders.parquet" in ln][0]
+    assert "o_totalprice" not in read.split("ReadSchema:")[-1]
+
+
+def test_split_is_a_comparison_with_cut_keys(spark):
+    plan = _plan(QUERIES["stratified_split"](spark, SF_SMALL))
+    assert "ordered-scan" not in plan and "Python" not in plan
 
 
 def test_dimension_tables_broadcast(spark):
