@@ -41,7 +41,7 @@ from .shingles import SIGNS, words
 
 PASSAGE = 64
 BLOCK = 16
-WINDOW = 5  # blocks: a passage fits wherever it starts in its first block
+WINDOW = 5  # blocks: a passage fits wherever it starts in its first block (summed as 2 + 2 + 1 in ``search``)
 RANK = 128
 OVERSAMPLE = 16
 STOP_SHARE = 0.2  # terms in more passages than this carry no weight in the latent space
@@ -220,49 +220,61 @@ class Index:
         self.masks = [_masks(p) for p in passages.words]
         self.answers = [(_masks(a), len(a)) for a in passages.answers]
 
-    def confirm(self, passage: int, run: list[int]) -> tuple[float, float]:
-        """(share of the passage, share of the answer) that the run has as a subsequence."""
+    def confirm(self, passage: int, run: list[int], distinct: set[int]) -> tuple[float, float] | None:
+        """(share of the passage, share of the answer) that the run has as a subsequence; None
+        if they confirm nothing.  The passage's words that occur in the run at all bound the
+        subsequence, and settle most candidates."""
+        masks, length = self.masks[passage], self.lengths[passage]
+        if sum(masks[w].bit_count() for w in masks.keys() & distinct) < PARAPHRASE * length:
+            return None
+        share = _common(masks, length, run) / length
+        if share < PARAPHRASE:
+            return None
         answer, n = self.answers[passage]
-        return (_common(self.masks[passage], self.lengths[passage], run) / self.lengths[passage],
-                _common(answer, n, run) / n)
+        replied = _common(answer, n, run) / n
+        return (share, replied) if share >= VERBATIM or replied >= ANSWER else None
 
     def search(self, flat: np.ndarray, at: np.ndarray) -> list[tuple[int, int, float, float, float]]:
         """(row, passage, cosine, share, answer share) of the confirmed candidates of some rows."""
         sizes = np.diff(at)
         blocks = -(-sizes // BLOCK)
-        first = np.cumsum(blocks) - blocks
+        # empty blocks part the rows, so that windows are sums of shifted block sums
+        first = np.cumsum(blocks + WINDOW - 1) - blocks - WINDOW + 1
+        total = int((blocks + WINDOW - 1).sum())
         useful = np.flatnonzero(flat >= 0)
-        useful = useful[self.weighty[flat[useful]]]
-        row = np.searchsorted(at, useful, side="right") - 1
+        term = flat[useful]
+        keep = self.weighty[term]
+        useful, term = useful[keep], term[keep]
+        row = np.repeat(np.arange(len(sizes)), sizes)[useful]
         block = first[row] + (useful - at[row]) // BLOCK
-        total = int(blocks.sum())
         sums = np.zeros((total + WINDOW, self.latent.shape[1]), np.float32)
-        if len(useful):
-            here, starts = np.unique(block, return_index=True)
-            for lo in range(0, len(here), 8192):  # bounds the gathered rows
-                a = starts[lo]
-                b = starts[lo + 8192] if lo + 8192 < len(here) else len(useful)
-                sums[here[lo:lo + 8192]] = np.add.reduceat(self.latent[flat[useful[a:b]]], starts[lo:lo + 8192] - a, axis=0)
-        row_of = np.repeat(np.arange(len(sizes)), blocks)
-        last = (first + blocks)[row_of]
-        windows = np.zeros((total, sums.shape[1]), np.float32)
-        for k in range(WINDOW):
-            inside = np.arange(total) + k < last
-            windows[inside] += sums[np.flatnonzero(inside) + k]
-        norms = np.linalg.norm(windows, axis=1)
-        some = np.flatnonzero(norms > 1e-6)
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        for lo in range(0, len(starts), 512):  # gathers a few megabytes at a time
+            here = starts[lo:lo + 512]
+            a, b = here[0], starts[lo + 512] if lo + 512 < len(starts) else len(term)
+            sums[block[here]] = np.add.reduceat(self.latent[term[a:b]], here - a, axis=0)
+        two = sums[:-1] + sums[1:]
+        windows = two[:total] + two[2:total + 2]
+        windows += sums[4:total + 4]
+        row_of = np.repeat(np.arange(len(sizes)), blocks + WINDOW - 1)
+        norms = np.sqrt(np.einsum("ij,ij->i", windows, windows))
+        some = np.flatnonzero((norms > 1e-6) & (np.arange(total) < (first + blocks)[row_of]))
         found: dict[tuple[int, int], tuple[float, float, float]] = {}
         for lo in range(0, len(some), 4096):
             part = some[lo:lo + 4096]
             cosine = (windows[part] / norms[part, None]) @ self.queries.T.astype(np.float32)
-            for w, p in zip(*np.nonzero(cosine >= COSINE)):
-                b, r = int(part[w]), int(row_of[part[w]])
-                start = int(at[r]) + (b - int(first[r])) * BLOCK
-                run = flat[max(int(at[r]), start - BLOCK):min(int(at[r + 1]), start + (WINDOW + 1) * BLOCK)]
-                share, answer = self.confirm(int(p), run[run >= 0].tolist())
-                if share >= VERBATIM or (share >= PARAPHRASE and answer >= ANSWER):
-                    key = r, int(p)
-                    found[key] = max(found.get(key, (0.0, 0.0, 0.0)), (share, answer, float(cosine[w, p])))
+            last = -1
+            for w, p in zip(*(x.tolist() for x in np.nonzero(cosine >= COSINE))):
+                if w != last:
+                    last, b, r = w, int(part[w]), int(row_of[part[w]])
+                    start = int(at[r]) + (b - int(first[r])) * BLOCK
+                    run = flat[max(int(at[r]), start - BLOCK):min(int(at[r + 1]), start + (WINDOW + 1) * BLOCK)]
+                    run = run[run >= 0].tolist()
+                    distinct = set(run)
+                shares = self.confirm(p, run, distinct)
+                if shares:
+                    key = r, p
+                    found[key] = max(found.get(key, (0.0, 0.0, 0.0)), (*shares, float(cosine[w, p])))
         return [(r, p, c, s, a) for (r, p), (s, a, c) in found.items()]
 
 
