@@ -35,21 +35,22 @@ def map_values(c: Column | str, mapping: Mapping) -> Column:
 
 
 def classify(p: Column | str, threshold: float | Column) -> Column:
-    """1 when p >= threshold, else 0."""
+    """1 when p >= threshold, else 0; NULL when p is NULL or NaN."""
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    return (_c(p) >= t).cast("int")
+    return (F.nanvl(_c(p).cast("double"), F.lit(None).cast("double")) >= t).cast("int")
 
 
 def recommendation(cls: Column | str) -> Column:
     """C11: recommendation text from the predicted class."""
-    return F.when(_c(cls) == 1, F.lit(RECOMMEND_YES)).otherwise(F.lit(RECOMMEND_NO))
+    return F.when(_c(cls) == 1, F.lit(RECOMMEND_YES)).when(_c(cls) == 0, F.lit(RECOMMEND_NO))
 
 
 def format_prediction(p: Column | str, threshold: float | Column) -> list[Column]:
     """The four-field prediction record; the class uses the unrounded p."""
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     cls = classify(p, t)
-    return [F.round(_c(p), 4).alias("probability_of_subscription"),
+    known = F.nanvl(_c(p).cast("double"), F.lit(None).cast("double"))
+    return [F.round(known, 4).alias("probability_of_subscription"),
             cls.alias("prediction_class"),
             recommendation(cls).alias("recommendation"),
             t.cast("double").alias("threshold_used")]

@@ -10,16 +10,10 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import map_values, recode_sentinel
 from ..settings import Settings
+from ..sources.files import CUSTOMER_SCHEMA
 
-# request schema: 19 required fields (4 int, 10 string, 5 double), dotted aliases
-CUSTOMER_FIELDS = [
-    ("age", "int"), ("job", "string"), ("marital", "string"), ("education", "string"),
-    ("default", "string"), ("housing", "string"), ("loan", "string"), ("contact", "string"),
-    ("month", "string"), ("day_of_week", "string"), ("campaign", "int"), ("pdays", "int"),
-    ("previous", "int"), ("poutcome", "string"), ("emp.var.rate", "double"),
-    ("cons.price.idx", "double"), ("cons.conf.idx", "double"), ("euribor3m", "double"),
-    ("nr.employed", "double"),
-]
+# request schema: the contact fields a request must carry, all required
+CUSTOMER_FIELDS = [(f.name, f.dataType.simpleString()) for f in CUSTOMER_SCHEMA.fields]
 
 
 def drop_leakage(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -66,7 +60,7 @@ def drop_constant(df: DataFrame, cols: Sequence[str]) -> list[str]:
 def require_non_empty(df: DataFrame, what: str = "Customer list") -> DataFrame:
     """Reject an empty batch (batch only; a stream is never 'empty')."""
     if df.isEmpty():
-        raise ValueError(f"{what} must not be empty.")
+        raise ValueError(f"{what}: there is no row to work on")
     return df
 
 
@@ -86,6 +80,8 @@ def validate_customers(df: DataFrame, fields=CUSTOMER_FIELDS) -> DataFrame:
             continue
         src = F.col(f"`{name}`")
         cast = src.try_cast(typ) if typ != "string" else src.cast("string")
+        if typ in ("double", "float"):
+            cast = F.nanvl(cast, F.lit(None).cast(typ))
         casts[name] = cast
         checks.append(F.when(src.isNull(), F.lit(f"{name}: field required"))
                        .when(cast.isNull(), F.lit(f"{name}: not a valid {typ}")))

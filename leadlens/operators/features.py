@@ -52,12 +52,12 @@ class FeatureEncoder:
     means: dict = field(default_factory=dict)
     stds: dict = field(default_factory=dict)
     categories: dict = field(default_factory=dict)
-    max_categories: int = 100_000
+    max_categories: int | None = None
 
     def fit(self, df: DataFrame) -> "FeatureEncoder":
-        if self.nominal:
-            # one-hot needs one column per category: refuse an id-like column before
-            # collecting its category set (HyperLogLog sketch, one cheap pass)
+        if self.nominal and self.max_categories is not None:
+            # one column per category is the caller's choice; with a limit, an id-like
+            # column is refused before its categories are collected (HyperLogLog sketch)
             approx = df.agg(*[F.approx_count_distinct(_q(c)).alias(f"a{i}")
                               for i, c in enumerate(self.nominal)]).first()
             wide = [c for i, c in enumerate(self.nominal) if approx[f"a{i}"] > self.max_categories]

@@ -53,7 +53,7 @@ def welch_statistics(df: DataFrame, features: Sequence[str], target: str) -> Dat
         F.when(two, F.round("g0.mean", 4)).alias("mean_group0"),
         F.when(two, F.round("g1.mean", 4)).alias("mean_group1"),
         F.when(two, t).alias("t_raw"), F.when(two, dof).alias("dof"),
-        F.when(~two, F.lit(f"Target '{target}' must have exactly 2 unique values."))
+        F.when(~two, F.lit(f"two groups are compared, but {target} does not have two values"))
          .alias("error"))
 
 

@@ -13,24 +13,33 @@ nd = discordant pairs = pairs ordered by (x, y) whose y is strictly decreasing
 2. those cross pairs are #{(i, j): part_i < part_j, y_i > y_j}.  Rows are
    range-partitioned again by (y desc, part, row hash); each partition counts, in
    order, earlier rows with a smaller part, and emits one histogram of its parts.
-   Earlier partitions enter through prefix sums of those histograms (Q x P
-   numbers; the partition count is capped at 1024, so at most 8 MB a pair).  Pairs with equal y and different
-   parts were counted in order and are subtracted with a group-count formula.
+   Earlier partitions enter through prefix sums over the (partition, part) grid of those
+   counts, two distributed windows.  Pairs with equal y and different parts were counted in
+   order and are subtracted with a group-count formula.
 
 Hot keys are split by the row hash, every pass is linear-logarithmic per
-partition, and nothing proportional to the data reaches the driver.
+partition, and nothing proportional to the data or the partitions reaches the driver.  Pair
+counts are summed as decimal(38,0): a value held by billions of rows overflows a long.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, shuffle_partitions
 
-MAX_PARTS = 1024
+def _pairs_of(n) -> F.Column:
+    """n * (n - 1) without overflow."""
+    wide = n.cast("decimal(19,0)")
+    return (wide * (wide - 1)).cast("decimal(38,0)")
+
+
+def _square(n) -> F.Column:
+    wide = n.cast("decimal(19,0)")
+    return (wide * wide).cast("decimal(38,0)")
 
 
 def count_earlier_smaller(a: np.ndarray) -> int:
@@ -76,10 +85,7 @@ def tau_b_pairs(df: DataFrame, pairs: list[tuple[str, str]],
     (pair, x, y) rows and every pass partitions by the pair first, so the job
     count does not grow with the number of pairs."""
     spark = df.sparkSession
-    # the pass-2 summary is n_parts x n_parts counts per pair: cap the partition
-    # count so it stays small (1024 -> 8 MB a pair); a partition then holds
-    # n / 1024 rows of three columns in the pandas pass
-    n_parts = min(num_partitions or shuffle_partitions(spark), MAX_PARTS)
+    n_parts = num_partitions or shuffle_partitions(spark)
     cols = sorted({c for p in pairs for c in p})
     base = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
     idx = {c: f"c{i}" for i, c in enumerate(cols)}
@@ -93,9 +99,8 @@ def tau_b_pairs(df: DataFrame, pairs: list[tuple[str, str]],
     # tie counts per pair (complete cases of that pair), exact integer sums;
     # every collect below returns one row per pair
     def tied(*keys):
-        c = F.col("count")
-        rows = data.groupBy("pair", *keys).count().groupBy("pair").agg(F.sum(c * (c - 1)).alias("t")).collect()
-        return {r["pair"]: r["t"] // 2 for r in rows}
+        rows = data.groupBy("pair", *keys).count().groupBy("pair").agg(F.sum(_pairs_of(F.col("count"))).alias("t")).collect()
+        return {r["pair"]: int(r["t"]) // 2 for r in rows}
 
     tx, ty, txy = tied("x"), tied("y"), tied("x", "y")
 
@@ -121,14 +126,14 @@ def tau_b_pairs(df: DataFrame, pairs: list[tuple[str, str]],
 
     tagged = materialize(ranged.mapInPandas(local, "pair int, y double, h long, part int, inv long"),
                          "kendall")
-    local_inv = {r["pair"]: r["s"] for r in tagged.groupBy("pair").agg(F.sum("inv").alias("s")).collect()}
+    local_inv = {r["pair"]: int(r["s"]) for r in tagged.groupBy("pair").agg(F.sum(F.col("inv").cast("decimal(28,0)")).alias("s")).collect()}
     n_rows = {r["pair"]: r["n"] for r in tagged.groupBy("pair").agg(F.count("*").alias("n")).collect()}
     # pairs with equal y in different parts (counted in pass-2 order, not discordant)
-    same_y = {r["pair"]: r["d"] // 2 for r in (
+    same_y = {r["pair"]: int(r["d"]) // 2 for r in (
         tagged.groupBy("pair", "y", "part").count()
               .groupBy("pair", "y").agg(F.sum("count").alias("t"),
-                                        F.sum(F.col("count") * F.col("count")).alias("s2"))
-              .groupBy("pair").agg(F.sum(F.col("t") * F.col("t") - F.col("s2")).alias("d"))).collect()}
+                                        F.sum(_square(F.col("count"))).alias("s2"))
+              .groupBy("pair").agg(F.sum(_square(F.col("t")) - F.col("s2")).alias("d"))).collect()}
 
     # pass 2: per pair, y-descending order, earlier rows with a smaller part
     ranged2 = tagged.repartitionByRange(n_parts, "pair", F.col("y").desc(), "part", "h") \
@@ -147,25 +152,35 @@ def tau_b_pairs(df: DataFrame, pairs: list[tuple[str, str]],
         out = []
         for lo, hi in _segments(keys):
             seg = parts[lo:hi]
-            out.append((qid, int(keys[lo]), count_earlier_smaller(seg),
-                        np.bincount(seg, minlength=n_parts).astype(np.int64).tolist()))
-        yield pd.DataFrame(out, columns=["q", "pair", "within", "hist"])
+            found, n = np.unique(seg, return_counts=True)
+            within = count_earlier_smaller(seg)
+            out += [(qid, int(keys[lo]), int(p), int(c), within if i == 0 else 0)
+                    for i, (p, c) in enumerate(zip(found, n))]
+        yield pd.DataFrame(out, columns=["q", "pair", "part", "n", "within"])
+
+    grid = materialize(ranged2.mapInPandas(cross, "q int, pair int, part int, n long, within long"), "kendall-grid")
+    # rows of earlier partitions (q' < q) in smaller parts (p' < p), by two prefix sums over the
+    # full grid of partitions and parts
+    axis = grid.groupBy("pair").agg(F.collect_set("q").alias("qs"), F.collect_set("part").alias("ps"))
+    full = axis.select("pair", F.explode("qs").alias("q"), "ps").select("pair", "q", F.explode("ps").alias("part"))
+    full = full.join(grid.drop("within"), ["pair", "q", "part"], "left").fillna(0, ["n"])
+    before_q = Window.partitionBy("pair", "part").orderBy("q").rowsBetween(Window.unboundedPreceding, -1)
+    before_p = Window.partitionBy("pair", "q").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    full = full.withColumn("earlier", F.coalesce(F.sum("n").over(before_q), F.lit(0)))
+    full = full.withColumn("smaller", F.coalesce(F.sum("earlier").over(before_p), F.lit(0)))
+    wide = "decimal(19,0)"
+    across = full.groupBy("pair").agg(F.sum((F.col("n").cast(wide) * F.col("smaller").cast(wide)).cast("decimal(38,0)")).alias("s"))
+    inside = grid.groupBy("pair").agg(F.sum(F.col("within").cast("decimal(28,0)")).alias("s"))
+    cross_pairs = {r["pair"]: int(r["s"]) for r in across.collect()}  # one row per pair
+    for r in inside.collect():
+        cross_pairs[r["pair"]] += int(r["s"])
 
-    # one row per (partition, pair) with a partition-count histogram: bounded by MAX_PARTS
-    summ = ranged2.mapInPandas(cross, "q int, pair int, within long, hist array<long>").collect()
     result = {}
     for j, key in enumerate(pairs):
-        carry = np.zeros(n_parts, dtype=np.int64)
-        cross_pairs = 0
-        for r in sorted((r for r in summ if r["pair"] == j), key=lambda r: r["q"]):
-            h = np.asarray(r["hist"], dtype=np.int64)
-            smaller = np.concatenate([[0], np.cumsum(carry)[:-1]])
-            cross_pairs += int(r["within"]) + int((h * smaller).sum())
-            carry += h
-        nd = int(local_inv.get(j, 0)) + cross_pairs - int(same_y.get(j, 0))
+        nd = local_inv.get(j, 0) + cross_pairs.get(j, 0) - same_y.get(j, 0)
         n = int(n_rows.get(j, 0))
         n0 = n * (n - 1) // 2
-        t1, t2, t3 = int(tx.get(j, 0)), int(ty.get(j, 0)), int(txy.get(j, 0))
+        t1, t2, t3 = tx.get(j, 0), ty.get(j, 0), txy.get(j, 0)
         sval = n0 - t1 - t2 + t3 - 2 * nd
         den = (n0 - t1) * (n0 - t2)
         result[key] = float(sval / np.sqrt(float(den))) if den > 0 else float("nan")

@@ -7,7 +7,7 @@ task reach the final merge.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import iso_text, lead_tier, relative_time, tier
@@ -61,6 +61,30 @@ def usage_summary(predictions: DataFrame, questions: DataFrame | None = None,
         "tier_high", "tier_medium", "tier_low")
 
 
+def usage_record(predictions: DataFrame, questions: DataFrame, prob: str = "probability",
+                 ts: str = "ts", tie: str = "event_id", text: str = "query",
+                 asked: str = "ts", asked_tie: str = "question_id", window: int = 100, n: int = 10) -> DataFrame:
+    """The whole analytics record as one row -- totals, average probability, a map of
+    the tier counts, the ten newest predictions (oldest first) and the ten newest questions
+    (newest first), each with its ISO time."""
+    def listed(df, order, *cols):
+        # at most n rows
+        return df.agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, *cols))),
+                                  lambda x: F.struct(*[x[c].alias(c) for c in cols])).alias("x"))
+
+    recent = latest(predictions, n, ts, tie).where(F.col(prob).isNotNull()).select(
+        F.col(ts).alias("__o1"), F.col(tie).alias("__o2"), F.round(F.col(prob) * 100, 1).alias("probability"), iso_text(ts).alias("timestamp"))
+    newest = latest(questions, n, asked, asked_tie).select(F.col(text).alias("query"), F.col(asked).alias("__o1"), F.col(asked_tie).alias("__o2"))
+    place = F.row_number().over(Window.orderBy(F.desc("__o1"), F.desc("__o2")))  # at most n rows
+    newest = newest.select(place.alias("__at"), "query", iso_text("__o1").alias("timestamp"))
+    summary = usage_summary(predictions, questions, prob, ts, tie, window)
+    return summary.select(
+        F.lit(True).alias("available"), "total_predictions", "total_questions", "avg_probability",
+        F.create_map(F.lit("high"), "tier_high", F.lit("medium"), "tier_medium", F.lit("low"), "tier_low").alias("tier_distribution"),
+        listed(recent, ["__o1", "__o2"], "probability", "timestamp").scalar().alias("recent_activity"),
+        listed(newest, ["__at"], "query", "timestamp").scalar().alias("recent_questions"))
+
+
 def with_relative_time(df: DataFrame, ts: str = "ts", now=None) -> DataFrame:
     """C7 applied to a log; ``now`` defaults to the newest timestamp in the log
     (a scalar subquery), which keeps results reproducible."""

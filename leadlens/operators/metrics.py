@@ -32,7 +32,9 @@ def grid_points(start: float, stop: float, step: float) -> list[float]:
 
 
 def _prepared(df: DataFrame, label: str, score: str) -> DataFrame:
-    return df.select(_q(label).cast("int").alias("__y"), _q(score).cast("double").alias("__s"))
+    """Label and score; a NaN score is unknown, like NULL, and never a positive."""
+    s = F.nanvl(_q(score).cast("double"), F.lit(None).cast("double"))
+    return df.select(_q(label).cast("int").alias("__y"), s.alias("__s"))
 
 
 def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:

@@ -63,12 +63,30 @@ def _long_matrix(spark: SparkSession, features: Sequence[str], m, decimals: int)
     return spark.createDataFrame(rows, schema)
 
 
+def _pearson(df: DataFrame, names: Sequence[str]) -> np.ndarray:
+    """k x k correlations in one aggregation; NaN in the row and column (diagonal included) of
+    a column without variance."""
+    k = len(names)
+    aggs = [F.covar_pop(_q(names[i]), _q(names[j])).alias(f"c{i}_{j}") for i in range(k) for j in range(i + 1, k)]
+    aggs += [F.stddev_pop(_q(n)).alias(f"s{i}") for i, n in enumerate(names)]
+    row = df.agg(*aggs).first()
+    m = np.full((k, k), np.nan)
+    varies = [row[f"s{i}"] is not None and row[f"s{i}"] > 0 for i in range(k)]
+    for i in range(k):
+        if varies[i]:
+            m[i, i] = 1.0
+        for j in range(i + 1, k):
+            if varies[i] and varies[j]:
+                m[i, j] = m[j, i] = row[f"c{i}_{j}"] / (row[f"s{i}"] * row[f"s{j}"])
+    return m
+
+
 def correlation_matrix(df: DataFrame, features: Sequence[str], method: str = "pearson",
                        decimals: int = 4) -> DataFrame:
     """Correlation matrix in long form (feature_a, feature_b, corr) over
-    complete cases, rounded to ``decimals``.
+    complete cases, rounded to ``decimals``; NULL where a column does not vary.
 
-    pearson  -- one aggregation of k(k-1)/2 ``corr`` (numerically stable updates);
+    pearson  -- one aggregation of covariances and deviations (numerically stable updates);
     spearman -- Pearson of average ranks (:func:`average_ranks`, skew-safe);
     kendall  -- tau-b from distributed inversion counts (:func:`kendall_tau_b`).
     """
@@ -77,32 +95,21 @@ def correlation_matrix(df: DataFrame, features: Sequence[str], method: str = "pe
     clean = complete_cases(df, features).select(*[_q(f).cast("double").alias(f) for f in features])
     k = len(features)
     if method == "pearson":
-        aggs = [F.corr(_q(features[i]), _q(features[j])).alias(f"c{i}_{j}")
-                for i in range(k) for j in range(i + 1, k)]
-        row = clean.agg(*aggs).first() if aggs else None
-        m = np.eye(k)
-        for i in range(k):
-            for j in range(i + 1, k):
-                v = row[f"c{i}_{j}"]
-                m[i, j] = m[j, i] = np.nan if v is None else v
-        return _long_matrix(spark, features, m, decimals)
+        return _long_matrix(spark, features, _pearson(clean, features), decimals)
     if method == "spearman":
         ranked = average_ranks(clean, features)
-        names = [f"__r{i}" for i in range(k)]
-        aggs = [F.corr(names[i], names[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(i + 1, k)]
-        row = ranked.agg(*aggs).first() if aggs else None
-        m = np.eye(k)
-        for i in range(k):
-            for j in range(i + 1, k):
-                v = row[f"c{i}_{j}"]
-                m[i, j] = m[j, i] = np.nan if v is None else v
-        return _long_matrix(spark, features, m, decimals)
+        return _long_matrix(spark, features, _pearson(ranked, [f"__r{i}" for i in range(k)]), decimals)
     if method == "kendall":
         from .kendall import tau_b_pairs
 
         pairs = [(features[i], features[j]) for i in range(k) for j in range(i + 1, k)]
         taus = tau_b_pairs(clean, pairs) if pairs else {}
-        m = np.eye(k)
+        ends = clean.agg(*[f(_q(c)).alias(f"{n}{i}") for i, c in enumerate(features)
+                           for n, f in (("lo", F.min), ("hi", F.max))]).first()
+        m = np.full((k, k), np.nan)
+        for i in range(k):
+            if ends[f"lo{i}"] is not None and ends[f"lo{i}"] < ends[f"hi{i}"]:
+                m[i, i] = 1.0
         for (a, b), v in taus.items():
             i, j = features.index(a), features.index(b)
             m[i, j] = m[j, i] = v

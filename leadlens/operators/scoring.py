@@ -1,8 +1,10 @@
 """Scoring (Q1-Q5) and linear attributions.
 
-``score_batch`` is a pure DataFrame transformation -- validation, sentinel recode,
+``score_rows`` is a pure DataFrame transformation -- validation, sentinel recode,
 encoder expressions, ``model.transform``, prediction record -- so the very same
-function scores a batch and a stream (``streaming.score_stream``).
+function scores a batch and a stream (``streaming.score_stream``).  Rows that lack a field
+of the encoder or hold a value of the wrong type are never scored: ``rejected_rows`` lists
+them with their errors.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import format_prediction, recode_sentinel
+from .cleaning import require_non_empty, validate_customers
 from .features import FeatureEncoder
 from .models import assemble
 
@@ -28,14 +31,40 @@ def with_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
     return out
 
 
-def score_batch(df: DataFrame, encoder: FeatureEncoder, model, threshold: float,
-                id_cols: Sequence[str] = (), pdays_col: str | None = "pdays",
-                sentinel: int = 999, fill: int = -1) -> DataFrame:
-    """Q1/Q2: ids + probability_of_subscription, prediction_class, recommendation,
-    threshold_used.  A single row is just a one-row DataFrame (no second path)."""
+def request_fields(encoder: FeatureEncoder) -> list[tuple[str, str]]:
+    """The fields that a row must carry to be scored, with their types."""
+    return ([(c, "double") for c in encoder.numerical]
+            + [(c, "string") for c in [*encoder.ordinal, *encoder.nominal]])
+
+
+def _checked(df: DataFrame, encoder: FeatureEncoder) -> DataFrame:
+    """``df`` with its fields checked (column ``_errors``), its own columns untouched."""
+    fields = request_fields(encoder)
+    names = [f"__in{i}" for i in range(len(df.columns))]
+    copy = df.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)])
+    checked = validate_customers(copy, fields)
+    return checked.select(*[F.col(n).alias(c) for c, n in zip(df.columns, names)], "_errors")
+
+
+def rejected_rows(df: DataFrame, encoder: FeatureEncoder, id_cols: Sequence[str] = ()) -> DataFrame:
+    """Ids and ``errors`` of the rows that ``score_rows`` leaves out."""
+    bad = _checked(df, encoder).where(F.size("_errors") > 0)
+    return bad.select(*id_cols, F.col("_errors").alias("errors"))
+
+
+def score_batch(df: DataFrame, encoder: FeatureEncoder, model, threshold: float, **kw) -> DataFrame:
+    """Q1/Q2: ``score_rows`` on a batch; an empty batch is an error."""
+    return score_rows(require_non_empty(df, "scoring"), encoder, model, threshold, **kw)
+
+
+def score_rows(df: DataFrame, encoder: FeatureEncoder, model, threshold: float,
+               id_cols: Sequence[str] = (), pdays_col: str | None = "pdays",
+               sentinel: int = 999, fill: int = -1) -> DataFrame:
+    """Ids + probability_of_subscription, prediction_class, recommendation, threshold_used of
+    the valid rows.  A single row is just a one-row DataFrame (no second path)."""
     from pyspark.ml.functions import vector_to_array
 
-    x = df
+    x = _checked(df, encoder).where(F.size("_errors") == 0).drop("_errors")
     if pdays_col and pdays_col in x.columns:
         x = x.withColumn(pdays_col, recode_sentinel(pdays_col, sentinel, fill))
     enc = encoder.transform(x, keep=list(id_cols))
@@ -80,7 +109,7 @@ def attribution_dependence(attr: DataFrame, id_col: str, feature: str, other: st
 
 
 def explain_row(attr: DataFrame, id_col: str, row_id) -> DataFrame:
-    """One row's contributions ordered by absolute size."""
+    """All contributions of one row ordered by absolute size."""
     return attr.where(F.col(id_col) == row_id).orderBy(F.desc(F.abs("attribution")), "feature")
 
 

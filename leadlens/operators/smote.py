@@ -182,9 +182,9 @@ def smote(df: DataFrame, feature_cols: Sequence[str], target: str, id_col: str,
           seed: int = 42, block_size: int = 512) -> DataFrame:
     """add synthetic minority rows until both classes have the same count.
 
-    Returns the input rows plus synthetic rows (``synthetic`` = true, ids from a
-    hash of (seed, id, copy)); other non-feature columns of synthetic rows are
-    copied from their source row.
+    Returns the input rows plus synthetic rows.  ``copy`` is 0 for input rows and counts a
+    source row's synthetic rows from 1, so (id, copy) is a key; ``synthetic`` marks them.  A
+    synthetic row keeps its source's id and other non-feature columns.
     """
     # one row per class
     counts = {r[target]: r["n"] for r in df.groupBy(target).agg(F.count("*").alias("n")).collect()}
@@ -192,7 +192,7 @@ def smote(df: DataFrame, feature_cols: Sequence[str], target: str, id_col: str,
         raise ValueError("SMOTE needs exactly two classes")
     minority = min(counts, key=lambda c: (counts[c], str(c)))
     n_min, n_maj = counts[minority], max(counts.values())
-    base = df.withColumn("synthetic", F.lit(False))
+    base = df.withColumn("synthetic", F.lit(False)).withColumn("copy", F.lit(0))
     n_syn = n_maj - n_min
     if n_syn == 0 or n_min < 2:
         return base
@@ -220,10 +220,7 @@ def smote(df: DataFrame, feature_cols: Sequence[str], target: str, id_col: str,
     for c in df.columns:
         if c in feature_cols:
             out_cols.append(F.col("__sv")[feature_cols.index(c)].alias(c))
-        elif c == id_col:
-            out_cols.append(F.xxhash64(F.lit(seed), F.col(id_col), F.col("__copy")).cast(
-                df.schema[id_col].dataType).alias(id_col))
         else:
             out_cols.append(F.col(f"`{c}`"))
-    synthetic = gen.select(*out_cols, F.lit(True).alias("synthetic"))
+    synthetic = gen.select(*out_cols, F.lit(True).alias("synthetic"), (F.col("__copy") + 1).cast("int").alias("copy"))
     return base.unionByName(synthetic)

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import format_prediction, lead_tier, percent_text
 from ..operators import cleaning, features, hypothesis, logs, metrics, multivariate, profiling
-from ..settings import CONTACTS_CATEGORICAL, CONTACTS_NUMERICAL, PRIORITY_ORDER, contacts_settings
+from ..settings import (CONTACTS_CATEGORICAL, CONTACTS_NUMERICAL, PRIORITY_ORDER, RECOMMEND_NO,
+                        RECOMMEND_YES, contacts_settings)
 from ..sources.logs import PROBABILITY_SQL, prediction_log
 from ..sources.tables import CONTACTS_SQL, contacts, read_table
 
@@ -541,6 +542,37 @@ def q_usage(spark, sf):
     return logs.usage_summary(_plog(spark, sf), questions)
 
 
+def _iso(column: str) -> str:
+    return f"strftime({column}, '%Y-%m-%dT%H:%M:%S.%f')"
+
+
+@query("usage_record", f"""{LOG_CTE},
+last AS (SELECT round(probability, 4) * 100 AS pct FROM plog WHERE probability IS NOT NULL ORDER BY ts DESC, event_id DESC LIMIT 100),
+act AS (SELECT event_id, ts, probability FROM plog ORDER BY ts DESC, event_id DESC LIMIT 10),
+ask AS (SELECT event_id, ts, user_id FROM plog WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 10)
+SELECT true AS available, (SELECT count(*) FROM plog) AS total_predictions,
+       (SELECT count(*) FROM plog WHERE event_type = 'click') AS total_questions,
+       coalesce(round(avg(pct), 1), 0.0) AS avg_probability,
+       'high=' || count(*) FILTER (WHERE pct >= 60) || ',medium=' || count(*) FILTER (WHERE pct >= 30 AND pct < 60)
+         || ',low=' || count(*) FILTER (WHERE pct < 30) AS tier_distribution,
+       (SELECT string_agg(printf('%.1f', round(probability * 100, 1)) || '@' || {_iso('ts')}, ';' ORDER BY ts, event_id)
+        FROM act WHERE probability IS NOT NULL) AS recent_activity,
+       (SELECT string_agg('user ' || user_id || '@' || {_iso('ts')}, ';' ORDER BY ts DESC, event_id DESC) FROM ask) AS recent_questions
+FROM last""")
+def q_usage_record(spark, sf):
+    """The whole analytics record; its map and arrays as text, so that any engine compares them.
+    Click events stand for questions, since they carry a time."""
+    plog = _plog(spark, sf)
+    asked = plog.where(F.col("event_type") == "click").select(
+        F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("query"), "ts", F.col("event_id").alias("question_id"))
+    r = logs.usage_record(plog, asked)
+    tiers = F.concat_ws(",", *[F.concat(F.lit(f"{k}="), F.col("tier_distribution")[k].cast("string")) for k in ("high", "medium", "low")])
+    acts = F.transform("recent_activity", lambda x: F.concat(F.format_string("%.1f", x["probability"]), F.lit("@"), x["timestamp"]))
+    asks = F.transform("recent_questions", lambda x: F.concat(x["query"], F.lit("@"), x["timestamp"]))
+    return r.withColumn("tier_distribution", tiers).withColumn("recent_activity", F.array_join(acts, ";")) \
+            .withColumn("recent_questions", F.array_join(asks, ";"))
+
+
 @query("recent_activity", f"""{LOG_CTE}
 SELECT event_id, probability, timestamp FROM (
   SELECT event_id, round(probability * 100, 1) AS probability,
@@ -564,7 +596,7 @@ def q_tiers(spark, sf):
 @query("prediction_records", f"""{LOG_CTE}
 SELECT event_id, round(probability, 4) AS probability_of_subscription,
        CAST(probability >= 0.5 AS INTEGER) AS prediction_class,
-       CASE WHEN probability >= 0.5 THEN 'Call — high-probability lead' ELSE 'Do not call — low probability' END AS recommendation,
+       CASE WHEN probability >= 0.5 THEN '{RECOMMEND_YES}' ELSE '{RECOMMEND_NO}' END AS recommendation,
        0.5 AS threshold_used,
        CASE WHEN round(probability, 4) * 100 >= 60 THEN 'High Priority'
             WHEN round(probability, 4) * 100 >= 30 THEN 'Medium Priority' ELSE 'Low Priority' END AS lead_tier,
@@ -745,8 +777,9 @@ def q_train_lr(spark, sf):
 
 @query("train_boosted")
 def q_train_gbt(spark, sf):
-    """Boosted trees with validation early stopping, compared with the logistic
-    model; the random forest at 300 x depth 15 is left to ``train_all`` callers."""
+    """Boosted trees, stopped after the configured rounds without validation gain, compared with
+    the logistic model; the random forest at 300 x depth 15 is left to ``train_all`` callers (its
+    node table needs more driver memory than a default session has)."""
     enc, data = model_data(spark, sf)
     results = model_ops.train_all(data, contacts_settings(), ["LogisticRegression", "XGBoost"], SEED)
     out = model_ops.model_comparison(spark, results)
@@ -767,29 +800,63 @@ def q_score(spark, sf):
                                id_cols=["contact_id"])
 
 
+def _requests(spark, sf):
+    """Contacts as scoring requests with fields taken away by fixed rules."""
+    c = clean_contacts(spark, sf)
+    gone = lambda name, k: F.when(F.col("contact_id") % k != 0, F.col(name)).alias(name)
+    return c.select("contact_id", gone("total_price", 7), gone("segment", 11),
+                    F.when(F.col("contact_id") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("acct_balance")).alias("acct_balance"),
+                    "previous", "pdays", "poutcome", "region", "priority", "month", "day_of_week")
+
+
+@query("score_requests", f"""{CLEAN_CTE}
+SELECT contact_id, errors = '' AS accepted, errors FROM (
+  SELECT contact_id, concat_ws(';',
+    CASE WHEN contact_id % 7 = 0 THEN 'total_price: field required' END,
+    CASE WHEN contact_id % 13 = 0 THEN 'acct_balance: not a valid double' END,
+    CASE WHEN contact_id % 11 = 0 THEN 'segment: field required' END) AS errors FROM clean)""")
+def q_score_requests(spark, sf):
+    """Scoring takes the valid requests only and lists the others with their errors."""
+    enc, _, r = _fit(spark, sf, "LogisticRegression")
+    asked = _requests(spark, sf)
+    good = scoring.score_batch(asked, enc, r["model"], r["threshold"], id_cols=["contact_id"])
+    good = good.where(F.col("prediction_class").isNotNull()).select("contact_id", F.lit(True).alias("accepted"), F.lit("").alias("errors"))
+    bad = scoring.rejected_rows(asked, enc, ["contact_id"])
+    return good.unionByName(bad.select("contact_id", F.lit(False).alias("accepted"), F.array_join("errors", ";").alias("errors")))
+
+
 def _attributions(spark, sf):
-    enc, data, r = _fit(spark, sf, "LogisticRegression")
+    """(attributions of the test rows, base, scored test rows); the split is built once."""
+    split = split_contacts(spark, sf)
+    enc = encoder_for(split.where(F.col("split") == "train"))
+    encoded = enc.transform(split, keep=["contact_id", "split", "y"])
+    r = model_ops.train_one("LogisticRegression", model_ops.assemble(encoded, enc.feature_names(), "y"), contacts_settings(), SEED)
     names = enc.feature_names()
-    enc_train = enc.transform(split_contacts(spark, sf).where(F.col("split") == "train"))
-    row = enc_train.agg(*[F.avg(F.col(f"`{n}`")).alias(f"m{i}") for i, n in enumerate(names)]).first()
+    row = encoded.where(F.col("split") == "train").agg(*[F.avg(F.col(f"`{n}`")).alias(f"m{i}") for i, n in enumerate(names)]).first()
     means = {n: row[f"m{i}"] for i, n in enumerate(names)}
     m = r["model"]
-    attr = scoring.linear_attributions(split_contacts(spark, sf).where(F.col("split") == "test"),
-                                       enc, m.coefficients.toArray().tolist(), m.intercept,
-                                       means, "contact_id")
-    return attr
+    coefficients = m.coefficients.toArray().tolist()
+    test = split.where(F.col("split") == "test")
+    attr = scoring.linear_attributions(test, enc, coefficients, m.intercept, means, "contact_id")
+    scored = scoring.score_rows(test, enc, m, r["threshold"], id_cols=["contact_id"])
+    return attr, scoring.attribution_base(coefficients, m.intercept, names, means), scored
 
 
 @query("attribution_rank")
 def q_attr_rank(spark, sf):
-    return scoring.attribution_rank(_attributions(spark, sf))
+    return scoring.attribution_rank(_attributions(spark, sf)[0])
 
 
 @query("explain_row")
 def q_explain(spark, sf):
-    attr = _attributions(spark, sf)
+    """All contributions of the first test contact; ``adds_up`` holds base + their sum against the
+    scored probability."""
+    attr, base, scored = _attributions(spark, sf)
     first_id = attr.select(F.min("contact_id")).first()[0]
-    return scoring.explain_row(attr, "contact_id", first_id).limit(10)
+    one = scoring.explain_row(attr, "contact_id", first_id)
+    margin = one.select(F.sum("attribution") + F.lit(base)).scalar()
+    given = scored.where(F.col("contact_id") == first_id).select("probability_of_subscription").scalar()
+    return one.withColumn("adds_up", F.abs(1 / (1 + F.exp(-margin)) - given) < 1e-3)
 
 
 @query("stream_tier_counts", f"""{LOG_CTE}

@@ -10,8 +10,8 @@ no ``spark.checkpoint.dir`` (tests, laptops).
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -51,12 +51,15 @@ def get_session(master: str | None = None, app_name: str = "leadlens",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and sink tables.
 
-    Uses ``spark.checkpoint.dir`` when the cluster names one.  Only when it is unset
-    (local runs and tests) a fresh temporary folder is created and registered.
+    Uses ``spark.checkpoint.dir`` when the cluster names one.  Where it is unset, a local
+    session (laptop, tests) gets a fresh temporary folder; on any other master that folder
+    could not be shared, so it is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="leadlens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
@@ -70,7 +73,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder for one written table; it is
     removed by :func:`cleanup_scratch` (also run when the interpreter exits)."""
     base = checkpoint_dir(spark)
-    path = os.path.join(base, f"{name}-{next(_counter)}-{os.getpid()}")
+    path = f"{base}/{name}-{next(_counter)}-{uuid.uuid4().hex}"
     _written.append(path)
     return path
 

@@ -30,6 +30,20 @@ RECOMMEND_YES = "Call — high-probability lead"
 RECOMMEND_NO = "Do not call — low probability"
 TIER_HIGH = 60                             # percent cut for "high"
 TIER_MEDIUM = 30                           # percent cut for "medium"
+TEST_SIZE, VAL_SIZE = 0.20, 0.10
+# model parameters by configuration key
+LOGISTIC_PARAMS = {"C": 1.0, "max_iter": 1000, "class_weight": "balanced", "solver": "lbfgs"}
+FOREST_PARAMS = {"n_estimators": 300, "max_depth": 15, "min_samples_split": 5, "min_samples_leaf": 2,
+                 "class_weight": "balanced"}
+XGB_PARAMS = {"n_estimators": 500, "learning_rate": 0.05, "max_depth": 6, "subsample": 0.8,
+              "colsample_bytree": 0.8, "scale_pos_weight": 8, "early_stopping_rounds": 50}
+LGBM_PARAMS = {"n_estimators": 500, "learning_rate": 0.05, "max_depth": 6, "num_leaves": 63,
+               "subsample": 0.8, "colsample_bytree": 0.8, "class_weight": "balanced",
+               "early_stopping_rounds": 50}
+# columns of the model comparison and fields of the model card
+COMPARISON_COLS = ["name", "val_roc_auc", "val_pr_auc", "val_f1", "test_roc_auc", "test_pr_auc", "test_f1",
+                   "threshold"]
+CARD_FIELDS = ["model_name", "val_pr_auc", "test_pr_auc", "tuned_threshold", "timestamp"]
 # ------------------------------------------------------------------------------
 
 # ordinal order of the order priority, used where the contacts view stands in
@@ -38,18 +52,10 @@ PRIORITY_ORDER = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 @dataclass(frozen=True)
 class ModelParams:
-    logistic_regression: dict = field(default_factory=lambda: {
-        "C": 1.0, "max_iter": 1000, "class_weight": "balanced", "solver": "lbfgs"})
-    random_forest: dict = field(default_factory=lambda: {
-        "n_estimators": 300, "max_depth": 15, "min_samples_split": 5,
-        "min_samples_leaf": 2, "class_weight": "balanced"})
-    xgboost: dict = field(default_factory=lambda: {
-        "n_estimators": 500, "learning_rate": 0.05, "max_depth": 6, "subsample": 0.8,
-        "colsample_bytree": 0.8, "scale_pos_weight": 8, "early_stopping_rounds": 50})
-    lightgbm: dict = field(default_factory=lambda: {
-        "n_estimators": 500, "learning_rate": 0.05, "max_depth": 6, "num_leaves": 63,
-        "subsample": 0.8, "colsample_bytree": 0.8, "class_weight": "balanced",
-        "early_stopping_rounds": 50})
+    logistic_regression: dict = field(default_factory=lambda: dict(LOGISTIC_PARAMS))
+    random_forest: dict = field(default_factory=lambda: dict(FOREST_PARAMS))
+    xgboost: dict = field(default_factory=lambda: dict(XGB_PARAMS))
+    lightgbm: dict = field(default_factory=lambda: dict(LGBM_PARAMS))
 
 
 @dataclass(frozen=True)
@@ -59,8 +65,8 @@ class Settings:
     target: str = "y"
     id_col: str = "contact_id"
     drop_cols: tuple = ("duration",)
-    test_size: float = 0.20
-    val_size: float = 0.10
+    test_size: float = TEST_SIZE
+    val_size: float = VAL_SIZE
     stratify: bool = True
     numerical: tuple = tuple(BANK_NUMERICAL)
     categorical: tuple = tuple(BANK_CATEGORICAL)

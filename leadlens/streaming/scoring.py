@@ -1,6 +1,6 @@
 """Structured Streaming paths.
 
-* ``score_stream`` -- readStream -> the same ``score_batch`` expressions -> a
+* ``score_stream`` -- readStream -> the same ``score_rows`` expressions -> a
   Parquet sink with a checkpoint (exactly-once file sink), append mode.
 * ``append_prediction_log`` -- the log append as a stream (T2).
 * ``tier_counts_stream`` -- live tier counts.  Three keys, so the state is
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import tier, utc_text
-from ..operators.scoring import score_batch
+from ..operators.scoring import rejected_rows, score_rows
 from ..session import is_file, scratch_path
 
 
@@ -40,8 +40,8 @@ def file_stream(spark: SparkSession, path: str, schema=None, max_files: int | No
 
 def score_stream(stream: DataFrame, encoder, model, threshold: float, sink_path: str,
                  checkpoint: str, id_cols=(), available_now: bool = True):
-    """Score records as they arrive; appends prediction records to Parquet."""
-    out = score_batch(stream, encoder, model, threshold, id_cols=id_cols)
+    """Score valid records as they arrive; appends prediction records to Parquet."""
+    out = score_rows(stream, encoder, model, threshold, id_cols=id_cols)
     out = out.withColumn("timestamp", F.current_timestamp()) \
              .withColumn("logged_at", utc_text("timestamp"))
     w = out.writeStream.format("parquet").option("path", sink_path) \
@@ -50,6 +50,15 @@ def score_stream(stream: DataFrame, encoder, model, threshold: float, sink_path:
     return w.start()
 
 
+def reject_stream(stream: DataFrame, encoder, sink_path: str, checkpoint: str, id_cols=(),
+                  available_now: bool = True):
+    """The error output of T1: ids and errors of the records that are not scored."""
+    w = rejected_rows(stream, encoder, id_cols).writeStream.format("parquet").option("path", sink_path) \
+        .option("checkpointLocation", checkpoint).outputMode("append")
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
 def append_prediction_log(records: DataFrame, sink_path: str, checkpoint: str,
                           available_now: bool = True):
     """A stream of log records appended to a Parquet table (exactly once)."""

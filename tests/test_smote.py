@@ -35,7 +35,7 @@ def test_smote_balances_classes(spark):
     counts = {r["y"]: r["count"] for r in out.groupBy("y").count().collect()}
     assert counts[0] == counts[1] == 180
     syn = out.where("synthetic")
-    assert syn.count() == 160 and syn.select("id").distinct().count() == 160
+    assert syn.count() == 160 and syn.select("id", "copy").distinct().count() == 160 and syn.where("copy < 1").count() == 0
     # synthetic rows lie on segments between minority rows: inside the minority bounding box
     lo = x[:20].min(0)
     hi = x[:20].max(0)
@@ -59,3 +59,11 @@ def test_exact_knn_with_heavy_ties(spark):
     for i in ids:
         cand = sorted((float(np.sqrt(((x[j] - x[i]) ** 2).sum())), j) for j in ids if j != i)
         assert [got[i][r] for r in range(1, 6)] == [j for _, j in cand[:5]]
+
+
+def test_int_ids_and_copies(spark):
+    df, x, cols = _fx5(spark)
+    out = smote(df.withColumn("id", df["id"].cast("int")), cols, "y", "id", k=5, seed=42)
+    rows = out.collect()
+    assert len({(r["id"], r["copy"]) for r in rows}) == len(rows) == 360
+    assert out.schema["id"].dataType.simpleString() == "int"
