@@ -267,8 +267,13 @@ def repeated(group: list[tuple[int, bytes, int, bool]]) -> list[tuple[int, int,
             else:
                 out += [(i, a, b) for a, b in _joined(found[i])]
         return out
-    owner, distance, a, b = window_marks([(key, right) for _, key, right, _ in group])
-    order = np.lexsort((b, a, distance))
+    parts = []
+    for lo in range(0, n, 1000):  # bounds the byte-level arrays
+        own, dist, x, y = window_marks([(key, right) for _, key, right, _ in group[lo:lo + 1000]])
+        parts.append(((own + lo).astype(np.int32), dist.astype(np.int16), x, y))
+    owner, distance, a, b = (np.concatenate(x) for x in zip(*parts))
+    del parts
+    order = np.lexsort((b, a, distance)).astype(np.int32 if len(a) < 1 << 31 else np.int64)
     same = (distance[order][1:] == distance[order][:-1]) & (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
     twice = np.zeros(len(order), bool)
     twice[order[1:][same]] = True
