@@ -31,6 +31,20 @@ RECOMMEND_NO = "Do not call — low probability"
 TIER_HIGH = 60                             # percent cut for "high"
 TIER_MEDIUM = 30                           # percent cut for "medium"
 TEST_SIZE, VAL_SIZE = 0.20, 0.10
+# display labels by code
+EDUCATION_LABELS = {
+    "illiterate": "No formal education", "basic.4y": "Primary school (4 years)", "basic.6y": "Middle school (6 years)",
+    "basic.9y": "Lower secondary (9 years)", "high.school": "High school", "professional.course": "Professional course",
+    "university.degree": "University degree", "unknown": "Unknown / Not disclosed"}
+JOB_LABELS = {
+    "admin.": "Admin", "blue-collar": "Blue-collar", "entrepreneur": "Entrepreneur", "housemaid": "Housemaid",
+    "management": "Management", "retired": "Retired", "self-employed": "Self-employed", "services": "Services",
+    "student": "Student", "technician": "Technician", "unemployed": "Unemployed", "unknown": "Unknown"}
+MARITAL_LABELS = {"married": "Married", "single": "Single", "divorced": "Divorced / Widowed", "unknown": "Not disclosed"}
+YES_NO_LABELS = {"no": "No", "yes": "Yes", "unknown": "Not disclosed"}
+CONTACT_LABELS = {"cellular": "Mobile phone", "telephone": "Landline"}
+POUTCOME_LABELS = {"nonexistent": "No previous campaign", "failure": "Previous campaign failed",
+                   "success": "Previous campaign succeeded"}
 # model parameters by configuration key
 LOGISTIC_PARAMS = {"C": 1.0, "max_iter": 1000, "class_weight": "balanced", "solver": "lbfgs"}
 FOREST_PARAMS = {"n_estimators": 300, "max_depth": 15, "min_samples_split": 5, "min_samples_leaf": 2,

@@ -92,13 +92,19 @@ def load_scorer(spark: SparkSession, base: str):
     return model, load_encoder(spark, f"{base}/encoder"), card
 
 
+def customers_of_json(df: DataFrame, col: str, schema: T.StructType = CUSTOMER_SCHEMA) -> DataFrame:
+    """S6 on a column of JSON texts, each an object or an array of objects."""
+    text = F.ltrim(F.col(col))
+    many = F.from_json(text, T.ArrayType(schema))
+    one = F.array(F.from_json(text, schema))
+    return df.select(F.explode(F.when(F.startswith(text, F.lit("[")), many).otherwise(one)).alias("c")).select("c.*")
+
+
 def read_customers_json(spark: SparkSession, text_or_path: str,
                         schema: T.StructType = CUSTOMER_SCHEMA) -> DataFrame:
     """Customers from inline JSON or a JSON file; a single object or an array
     of objects (a top-level array becomes one row per element)."""
     s = text_or_path.lstrip()
     if s.startswith("{") or s.startswith("["):
-        col = F.from_json(F.col("j"), T.ArrayType(schema)) if s.startswith("[") else \
-            F.array(F.from_json(F.col("j"), schema))
-        return spark.createDataFrame([(s,)], "j string").select(F.explode(col).alias("c")).select("c.*")
+        return customers_of_json(spark.createDataFrame([(s,)], "j string"), "j", schema)
     return spark.read.schema(schema).option("multiLine", True).json(text_or_path)
