@@ -34,8 +34,8 @@ _TOP, _BOTTOM, _WORD, _SHIFT = _U(1 << 48), _U(1 << 32), _U(16), _U(48)
 _MASK = _U((1 << 32) - 1)
 _ORDER2 = 18  # bits of the order-2 table
 _SURE = 15  # highest confidence
-_STEP = 24  # what one occurrence adds to a count of order 0
-_LIMIT = 1 << 16
+_STEP = _U(24)  # what one occurrence adds to a count
+_LIMIT = _U(1 << 16)
 
 
 class Model:
@@ -44,12 +44,13 @@ class Model:
     def __init__(self, vocabulary: int, lanes: int):
         self.next1, self.sure1 = np.zeros(vocabulary, np.int32), np.zeros(vocabulary, np.int8)
         self.next2, self.sure2 = np.zeros(1 << _ORDER2, np.int32), np.zeros(1 << _ORDER2, np.int8)
-        self.weights = np.ones((2 * (_SURE + 1) ** 2, 3), np.int64)
+        self.weights = np.ones((2 * (_SURE + 1) ** 2, 3), _U)
         self.weights[:, 0] = 2
-        self.counts = np.ones(vocabulary, np.int64)
-        self.cumulative = np.arange(vocabulary + 1, dtype=np.int64)
+        self.counts = np.ones(vocabulary, _U)
+        self.cumulative = np.arange(vocabulary + 1, dtype=_U)
+        self.unseen: list[np.ndarray] = []  # ids not yet in the counts
         self.last1, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.age, self.wait = 0, 1
+        self.wait = 1
 
     def predict(self, n: int):
         """Context of the weights, and the ids that order 2 and order 1 predict."""
@@ -63,21 +64,21 @@ class Model:
 
     def update(self, ids: np.ndarray, outcome: np.ndarray) -> None:
         n = len(ids)
-        self.weights += np.bincount(self.context * 3 + outcome, minlength=self.weights.size).reshape(-1, 3) * _STEP
+        self.weights += np.bincount(self.context * 3 + outcome, minlength=self.weights.size).reshape(-1, 3).astype(_U) * _STEP
         heavy = self.weights.sum(axis=1) > _LIMIT
         if heavy.any():
-            self.weights[heavy] = (self.weights[heavy] >> 1) + 1
+            self.weights[heavy] = (self.weights[heavy] >> _U(1)) + _U(1)
         for at, guess, sure, following, confidence in (
                 (self.at2, self.id2, self.conf2, self.next2, self.sure2),
                 (self.at1, self.id1, self.conf1, self.next1, self.sure1)):
             hit = guess == ids
             following[at] = np.where(hit | (sure > 1), guess, ids)
             confidence[at] = np.where(hit, np.minimum(sure + 1, _SURE), np.where(sure > 1, sure >> 1, 1))
-        self.counts += np.bincount(ids, minlength=len(self.counts)) * _STEP
-        self.age += 1
-        if self.age >= self.wait:  # order 0 is summed anew after 1, 2, 3, ... up to 8 steps
-            self.age, self.wait = 0, min(self.wait + 1, 8)
+        self.unseen.append(ids)
+        if len(self.unseen) >= self.wait:  # order 0 learns after 1, 2, 3, ... up to 8 steps
+            self.counts += np.bincount(np.concatenate(self.unseen), minlength=len(self.counts)).astype(_U) * _STEP
             np.cumsum(self.counts, out=self.cumulative[1:])
+            self.unseen, self.wait = [], min(self.wait + 1, 8)
         self.last2[:n] = self.at1
         self.last1[:n] = ids
 
@@ -94,16 +95,20 @@ def _narrow(low, span, cumulative, count, total):
     return low + cumulative * share, count * share
 
 
-def _settle(low: np.ndarray, span: np.ndarray):
-    """Lanes (indices) that must shift out a word, their range fixed if too small."""
-    same = (low ^ (low + span)) < _TOP
-    small = span < _BOTTOM
-    at = np.flatnonzero(same | small)
-    if len(at):
-        tight = at[~same[at]]
-        if len(tight):
-            span[tight] = (_U(0) - low[tight]) & _MASK
-    return at
+def _settle(low: np.ndarray, span: np.ndarray, at: np.ndarray | None = None):
+    """Lanes (indices; among ``at``, if given) that must shift out a word, their range fixed if
+    too small."""
+    lo, sp = (low, span) if at is None else (low[at], span[at])
+    same = (lo ^ (lo + sp)) < _TOP
+    due = np.flatnonzero(same | (sp < _BOTTOM))
+    if not len(due):
+        return due
+    tight = due[~same[due]]
+    found = due if at is None else at[due]
+    if len(tight):
+        tight = tight if at is None else at[tight]
+        span[tight] = (_U(0) - low[tight]) & _MASK
+    return found
 
 
 def encode(ids: np.ndarray, vocabulary: int, lanes: int = LANES) -> bytes:
@@ -124,12 +129,14 @@ def encode(ids: np.ndarray, vocabulary: int, lanes: int = LANES) -> bytes:
     words, used = np.zeros((lanes, 4 * steps + 4), np.uint16), np.zeros(lanes, np.int64)
 
     def shift(lo: np.ndarray, sp: np.ndarray, rows: np.ndarray | None) -> None:
-        while len(at := _settle(lo, sp)):
+        at = _settle(lo, sp)
+        while len(at):
             lane = at if rows is None else rows[at]
             words[lane, used[lane]] = (lo[at] >> _SHIFT).astype(np.uint16)
             used[lane] += 1
             lo[at] <<= _WORD
             sp[at] <<= _WORD
+            at = _settle(lo, sp, at)  # one word is enough for most
 
     for step in range(steps):
         m = lanes if step < last else lanes - 1
@@ -138,16 +145,17 @@ def encode(ids: np.ndarray, vocabulary: int, lanes: int = LANES) -> bytes:
         hit2 = model.id2 == now
         hit1 = (model.id1 == now) & ~hit2
         outcome = hit2 + 2 * hit1
-        total = (w0 + w1 + w2).astype(_U)
-        cumulative = np.where(hit2, w0, np.where(hit1, w0 + w2, 0)).astype(_U)
-        count = np.where(hit2, w2, np.where(hit1, w1, w0)).astype(_U)
-        lo, sp = _narrow(low[:m], span[:m], cumulative, count, total)
+        w02 = w0 + w2
+        cumulative = np.where(hit2, w0, np.where(hit1, w02, _U(0)))
+        count = np.where(hit2, w2, np.where(hit1, w1, w0))
+        lo, sp = _narrow(low[:m], span[:m], cumulative, count, w02 + w1)
         shift(lo, sp, None)
         miss = np.flatnonzero(outcome == 0)
         if len(miss):
             sym = now[miss]
             c = model.cumulative
-            mlo, msp = _narrow(lo[miss], sp[miss], c[sym].astype(_U), (c[sym + 1] - c[sym]).astype(_U), _U(c[-1]))
+            begin = c[sym]
+            mlo, msp = _narrow(lo[miss], sp[miss], begin, c[sym + 1] - begin, c[-1])
             shift(mlo, msp, miss)
             lo[miss], sp[miss] = mlo, msp
         low[:m], span[:m] = lo, sp
@@ -188,10 +196,12 @@ def decode(payload: bytes) -> np.ndarray:
         return got
 
     def shift(lo, sp, co, rows) -> None:
-        while len(i := _settle(lo, sp)):
+        i = _settle(lo, sp)
+        while len(i):
             co[i] = (co[i] << _WORD) | pull(i if rows is None else rows[i])
             lo[i] <<= _WORD
             sp[i] <<= _WORD
+            i = _settle(lo, sp, i)
 
     everyone = np.arange(lanes)
     for _ in range(4):
@@ -199,14 +209,15 @@ def decode(payload: bytes) -> np.ndarray:
     for step in range(steps):
         m = lanes if step < last else lanes - 1
         w0, w2, w1 = model.predict(m)
-        total = (w0 + w1 + w2).astype(_U)
+        w02 = w0 + w2
         lo, sp, co = low[:m], span[:m], code[:m]
-        value = ((co - lo) // (sp // total)).astype(np.int64)
-        outcome = (value >= w0).astype(np.int64) + (value >= w0 + w2)
-        hit2, hit1 = outcome == 1, outcome == 2
-        cumulative = np.where(hit2, w0, np.where(hit1, w0 + w2, 0)).astype(_U)
-        count = np.where(hit2, w2, np.where(hit1, w1, w0)).astype(_U)
-        lo, sp = _narrow(lo, sp, cumulative, count, total)
+        share = sp // (w02 + w1)
+        value = co - lo  # compared with the bounds' products, which spares a division
+        hit1 = value >= w02 * share
+        hit2 = (value >= w0 * share) & ~hit1
+        outcome = hit2 + 2 * hit1
+        lo = lo + np.where(hit2, w0, np.where(hit1, w02, _U(0))) * share
+        sp = np.where(hit2, w2, np.where(hit1, w1, w0)) * share
         co = co.copy()
         shift(lo, sp, co, None)
         now = np.where(hit2, model.id2, model.id1).astype(np.int64)
@@ -214,9 +225,10 @@ def decode(payload: bytes) -> np.ndarray:
         if len(miss):
             c = model.cumulative
             mlo, msp, mco = lo[miss], sp[miss], co[miss]
-            value = ((mco - mlo) // (msp // _U(c[-1]))).astype(np.int64)
-            sym = np.searchsorted(c, np.minimum(value, c[-1] - 1), side="right") - 1
-            mlo, msp = _narrow(mlo, msp, c[sym].astype(_U), (c[sym + 1] - c[sym]).astype(_U), _U(c[-1]))
+            value = (mco - mlo) // (msp // c[-1])
+            sym = np.searchsorted(c, np.minimum(value, c[-1] - _U(1)), side="right") - 1
+            begin = c[sym]
+            mlo, msp = _narrow(mlo, msp, begin, c[sym + 1] - begin, c[-1])
             shift(mlo, msp, mco, miss)
             lo[miss], sp[miss], co[miss] = mlo, msp, mco
             now[miss] = sym
