@@ -174,10 +174,9 @@ def latent_space(spark: SparkSession, passages: list[np.ndarray], idf: np.ndarra
                 pa.array(total.ravel()), width).cast(pa.list_(pa.float64()))], names=["row", "v"])
 
         parts = rows.mapInArrow(run, "row long, v array<double>").select("row", F.posexplode("v").alias("col", "v"))
+        cells = parts.groupBy("row", "col").agg(F.sum("v").alias("v")).toPandas()  # height x width numbers
         out = np.zeros((height, width))
-        for r in parts.groupBy("row").agg(F.collect_list(F.struct("col", "v")).alias("v")).collect():
-            for cell in r.v:
-                out[r.row, cell.col] += cell.v
+        out[cells["row"], cells["col"]] = cells["v"]
         return out
 
     g = np.random.default_rng(seed).normal(size=(n_terms, width))

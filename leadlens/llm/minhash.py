@@ -50,7 +50,7 @@ _CHUNK_NAMES = [f"c{i}" for i in range(CHUNKS)]
 PAIR_BATCH = 500
 #: A block of a group's grid: about so many documents, or shingles of theirs.
 BLOCK_NODES = 1024
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 500_000
 
 
 @contextmanager
