@@ -10,6 +10,7 @@ research questions, ``documents`` / ``embeddings`` for retrieval.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -229,15 +230,56 @@ def q_anova(spark, sf):
                      F.round("f_raw", 4).alias("f_statistic"))
 
 
-@query("summarise_features")
+def _simpson(f: str, upper: str, n: int = 20000) -> str:
+    """Integral of ``f`` (in x) from 0 to ``upper``, for a query that groups over range(0, n + 1) i."""
+    f = f.replace("{x}", f"(i * ({upper}) / {n})")
+    return f"sum(CASE WHEN i = 0 OR i = {n} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * ({f})) * any_value(({upper}) / {n}) / 3"
+
+
+_STEPS = "range(0, 20001) steps(i)"
+# upper tails as 1 - integral of the density (after a square-root substitution where it is
+# singular at 0)
+T_P = "greatest(0, 1 - 2 * " + _simpson(
+    "exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(dof * pi()) * power(1 + {x} * {x} / dof, -(dof + 1) / 2)", "abs(t)") + ")"
+CHI2_P = "greatest(0, 1 - " + _simpson(
+    "2 * power({x}, dof - 1) * exp(-{x} * {x} / 2 - (dof / 2.0) * ln(2) - lgamma(dof / 2.0))", "sqrt(chi)") + ")"
+F_P = "greatest(0, 1 - " + _simpson(
+    "2 * power({x}, d1 - 1) * power(1 - {x} * {x}, d2 / 2.0 - 1) * exp(lgamma((d1 + d2) / 2.0) - lgamma(d1 / 2.0) - lgamma(d2 / 2.0))",
+    "sqrt(d1 * f / (d1 * f + d2))") + ")"
+
+
+def _raw(sql: str, **columns: str) -> str:
+    """The statistics query ``sql`` without its rounding, as a derived table."""
+    body = sql.split(CLEAN_CTE, 1)[1].lstrip(",\n")
+    head, tail = body.rsplit("\nSELECT", 1)
+    source = " FROM " + re.split(r"\sFROM ", tail)[-1]
+    return head + "\n," + f"raw AS (SELECT feature, {', '.join(f'{e} AS {n}' for n, e in columns.items())}{source})"
+
+
+_T_RAW = _raw(ORACLES["welch_t_stats"], t="(m0 - m1) / sqrt(v0 / n0 + v1 / n1)",
+              dof="power(v0 / n0 + v1 / n1, 2) / (power(v0 / n0, 2) / (n0 - 1) + power(v1 / n1, 2) / (n1 - 1))")
+_CHI_RAW = _raw(ORACLES["chi2_stats"], dof="CAST(first(dof) AS DOUBLE)", chi="CASE WHEN first(dof) = 0 THEN 0.0 ELSE sum(term) END")
+_F_RAW = _raw(ORACLES["anova_priority_stats"], k="k", n="N", d1="CAST(k - 1 AS DOUBLE)", d2="CAST(N - k AS DOUBLE)",
+              f="(ssb / (k - 1)) / (ssw / (N - k))")
+
+
+@query("summarise_features", f"""WITH t AS ({CLEAN_CTE}, {_T_RAW} SELECT * FROM raw),
+c AS ({CLEAN_CTE}, {_CHI_RAW} SELECT * FROM raw),
+p AS (SELECT feature, 'numerical' AS type, any_value(t) AS statistic, {T_P} AS p FROM t, {_STEPS} GROUP BY feature
+      UNION ALL
+      SELECT feature, 'categorical', any_value(chi), CASE WHEN any_value(dof) = 0 THEN 1.0 ELSE {CHI2_P} END FROM c, {_STEPS} GROUP BY feature)
+SELECT feature, type, round(statistic, 4) AS statistic, round(p, 6) AS p_value, p < 0.05 AS significant, CAST(NULL AS VARCHAR) AS error FROM p""")
 def q_summarise(spark, sf):
     """Flagship: Welch t for numerical, chi-square for categorical, sorted by p."""
-    return hypothesis.summarise_features(clean_contacts(spark, sf), NUM, CAT, "y")
+    out = hypothesis.summarise_features(clean_contacts(spark, sf), NUM, CAT, "y")
+    return out.withColumn("p_value", F.round("p_value", 6))
 
 
-@query("anova_priority")
+@query("anova_priority", f"""WITH a AS ({CLEAN_CTE}, {_F_RAW} SELECT * FROM raw)
+SELECT feature, round(any_value(f), 4) AS f_statistic, round({F_P}, 6) AS p_value, any_value(k) AS n_groups, {F_P} < 0.05 AS significant FROM a, {_STEPS} GROUP BY feature""")
 def q_anova_full(spark, sf):
-    return hypothesis.anova_test(clean_contacts(spark, sf, history=False), ["total_price", "acct_balance"], "priority")
+    out = hypothesis.anova_test(clean_contacts(spark, sf, history=False), ["total_price", "acct_balance"], "priority")
+    return out.select("feature", "f_statistic", F.round("p_value", 6).alias("p_value"), "n_groups", "significant")
 
 
 _VIF = ["total_price", "acct_balance", "pdays"]
@@ -764,15 +806,22 @@ def model_data(spark, sf):
     return enc, data
 
 
+_FITTED: dict[tuple, tuple] = {}
+
+
 def _fit(spark, sf, name):
-    enc, data = model_data(spark, sf)
-    return enc, data, model_ops.train_one(name, data, contacts_settings(), SEED)
+    """(encoder, result) of a registry model on the contacts; one fit per application, folder and
+    model serves all queries that score or explain with it."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _FITTED:
+        enc, data = model_data(spark, sf)
+        _FITTED[key] = enc, model_ops.train_one(name, data, contacts_settings(), SEED)
+    return _FITTED[key]
 
 
 @query("train_logistic")
 def q_train_lr(spark, sf):
-    _, _, r = _fit(spark, sf, "LogisticRegression")
-    return model_ops.model_comparison(spark, [r])
+    return model_ops.model_comparison(spark, [_fit(spark, sf, "LogisticRegression")[1]])
 
 
 @query("train_boosted")
@@ -780,8 +829,7 @@ def q_train_gbt(spark, sf):
     """Boosted trees, stopped after the configured rounds without validation gain, compared with
     the logistic model; the random forest at 300 x depth 15 is left to ``train_all`` callers (its
     node table needs more driver memory than a default session has)."""
-    enc, data = model_data(spark, sf)
-    results = model_ops.train_all(data, contacts_settings(), ["LogisticRegression", "XGBoost"], SEED)
+    results = [_fit(spark, sf, name)[1] for name in ("LogisticRegression", "XGBoost")]
     out = model_ops.model_comparison(spark, results)
     best = model_ops.select_best(results)
     return out.withColumn("selected", F.col("name") == best["name"])
@@ -789,13 +837,13 @@ def q_train_gbt(spark, sf):
 
 @query("feature_importance")
 def q_importance(spark, sf):
-    enc, _, r = _fit(spark, sf, "LogisticRegression")
+    enc, r = _fit(spark, sf, "LogisticRegression")
     return model_ops.feature_importance(r["model"], enc.feature_names(), 20)
 
 
 @query("score_contacts")
 def q_score(spark, sf):
-    enc, _, r = _fit(spark, sf, "LogisticRegression")
+    enc, r = _fit(spark, sf, "LogisticRegression")
     return scoring.score_batch(clean_contacts(spark, sf), enc, r["model"], r["threshold"],
                                id_cols=["contact_id"])
 
@@ -817,7 +865,7 @@ SELECT contact_id, errors = '' AS accepted, errors FROM (
     CASE WHEN contact_id % 11 = 0 THEN 'segment: field required' END) AS errors FROM clean)""")
 def q_score_requests(spark, sf):
     """Scoring takes the valid requests only and lists the others with their errors."""
-    enc, _, r = _fit(spark, sf, "LogisticRegression")
+    enc, r = _fit(spark, sf, "LogisticRegression")
     asked = _requests(spark, sf)
     good = scoring.score_batch(asked, enc, r["model"], r["threshold"], id_cols=["contact_id"])
     good = good.where(F.col("prediction_class").isNotNull()).select("contact_id", F.lit(True).alias("accepted"), F.lit("").alias("errors"))
@@ -827,10 +875,9 @@ def q_score_requests(spark, sf):
 
 def _attributions(spark, sf):
     """(attributions of the test rows, base, scored test rows); the split is built once."""
+    enc, r = _fit(spark, sf, "LogisticRegression")
     split = split_contacts(spark, sf)
-    enc = encoder_for(split.where(F.col("split") == "train"))
     encoded = enc.transform(split, keep=["contact_id", "split", "y"])
-    r = model_ops.train_one("LogisticRegression", model_ops.assemble(encoded, enc.feature_names(), "y"), contacts_settings(), SEED)
     names = enc.feature_names()
     row = encoded.where(F.col("split") == "train").agg(*[F.avg(F.col(f"`{n}`")).alias(f"m{i}") for i, n in enumerate(names)]).first()
     means = {n: row[f"m{i}"] for i, n in enumerate(names)}
@@ -880,7 +927,7 @@ def q_stream_score(spark, sf):
     from ..session import scratch_path
     from ..streaming.scoring import file_stream, run_to_completion, score_stream
 
-    enc, _, r = _fit(spark, sf, "LogisticRegression")
+    enc, r = _fit(spark, sf, "LogisticRegression")
     base = scratch_path(spark, "score-stream")
     clean_contacts(spark, sf).write.parquet(os.path.join(base, "src"))
     src = file_stream(spark, os.path.join(base, "src"))
@@ -982,8 +1029,9 @@ def q_smote(spark, sf):
 def _tree_attributions(spark, sf):
     from ..operators.attribution import tree_attributions
 
-    enc, data = model_data(spark, sf)
-    r = model_ops.train_one("XGBoost", data, contacts_settings(), SEED)
+    enc, r = _fit(spark, sf, "XGBoost")
+    split = split_contacts(spark, sf)
+    data = model_ops.assemble(enc.transform(split, keep=["contact_id", "split", "y"]), enc.feature_names(), "y")
     test = data.where(F.col("split") == "test")
     return tree_attributions(test, r["model"], enc.feature_names(), "contact_id")
 

@@ -40,7 +40,7 @@ def q_encoder_file(spark, sf):
 @query("scorer_files", f"{SPLIT_CTE} SELECT contact_id, true AS same, 'LogisticRegression' AS card_name FROM split WHERE split = 'test'")
 def q_scorer_files(spark, sf):
     """A saved model, encoder and card score like the ones in memory."""
-    enc, data, r = _fit(spark, sf, "LogisticRegression")
+    enc, r = _fit(spark, sf, "LogisticRegression")
     path = scratch_path(spark, "scorer")
     files.save_scorer(spark, path, r["model"], enc, model_ops.model_card(r))
     model, encoder, card = files.load_scorer(spark, path)
@@ -59,7 +59,7 @@ _RUN_KEYS += [("metric", "tuned_threshold"), ("param", "C"), ("param", "class_we
 @query("run_log", "SELECT * FROM (VALUES " + ", ".join(f"('LogisticRegression', '{k}', '{n}', true)" for k, n in _RUN_KEYS) + ") v(model, kind, key, has_value)")
 def q_run_log(spark, sf):
     """Parameters and metrics of a run, appended and read back."""
-    _, _, r = _fit(spark, sf, "LogisticRegression")
+    _, r = _fit(spark, sf, "LogisticRegression")
     path = scratch_path(spark, "runs")
     model_ops.log_run(spark, r, path)
     return spark.read.parquet(path).select("model", "kind", "key", (F.length("value") > 0).alias("has_value"))
