@@ -43,7 +43,7 @@ from .suffixes import WINDOW, make_key, name_of
 CHUNK = 1 << 20  # bytes whose anchors are found at a time
 RUN_BYTES = 24 << 20
 RANGE_ENTRIES = 50_000
-HOT = 50_000
+HOT = 20_000
 
 _SCAN = "k long, h long, doc_id long, n_bytes long, sha256 string, grams array<long>"
 _PLACED = ("no long, doc_id long, body binary, names array<binary>, places array<int>, "

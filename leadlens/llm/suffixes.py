@@ -229,16 +229,6 @@ def window_marks(keys: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray,
     return owner, distance, *marks
 
 
-def _runs(distances: list[int]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for d in sorted(distances):
-        if out and d <= out[-1][1] + 1:
-            out[-1][1] = d
-        else:
-            out.append([d, d])
-    return [(a, b) for a, b in out]
-
-
 def repeated(group: list[tuple[int, bytes, int, bool]]) -> list[tuple[int, int, int]]:
     """(entry's index, first distance, last distance) of the repeated windows of entries with the
     same gram, in sorted order with shared prefixes."""
@@ -273,16 +263,27 @@ def repeated(group: list[tuple[int, bytes, int, bool]]) -> list[tuple[int, int,
         parts.append(((own + lo).astype(np.int32), dist.astype(np.int16), x, y))
     owner, distance, a, b = (np.concatenate(x) for x in zip(*parts))
     del parts
-    order = np.lexsort((b, a, distance)).astype(np.int32 if len(a) < 1 << 31 else np.int64)
-    same = (distance[order][1:] == distance[order][:-1]) & (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-    twice = np.zeros(len(order), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    twice |= np.array([many for *_, many in group])[owner]
-    by: dict[int, list[int]] = {}
-    for i, d in zip(owner[twice].tolist(), distance[twice].tolist()):
-        by.setdefault(i, []).append(d)
-    return [(i, first, last) for i, ds in by.items() for first, last in _runs(ds)]
+    many = np.array([m for *_, m in group])
+    twice = many[owner]
+    sizes = np.cumsum(np.bincount(distance, minlength=WINDOW + 1))
+    lo = 0
+    while lo <= WINDOW:  # equal windows lie at one distance: some distances at a time
+        before = int(sizes[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(sizes, before + 200_000, side="right")))
+        at = np.flatnonzero((distance >= lo) & (distance < hi))
+        at = at[np.lexsort((b[at], a[at], distance[at]))]
+        same = (distance[at[1:]] == distance[at[:-1]]) & (a[at[1:]] == a[at[:-1]]) & (b[at[1:]] == b[at[:-1]])
+        twice[at[1:][same]] = True
+        twice[at[:-1][same]] = True
+        lo = hi
+    owner, distance = owner[twice], distance[twice]
+    at = np.lexsort((distance, owner))
+    owner, distance = owner[at], distance[at]
+    if not len(owner):
+        return out
+    new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (distance[1:] > distance[:-1] + 1))))
+    end = np.append(new[1:], len(owner)) - 1
+    return list(zip(owner[new].tolist(), distance[new].tolist(), distance[end].tolist()))
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
