@@ -107,7 +107,7 @@ def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarra
     sizes = np.array([b.size // 4 for b in raw], np.int64)
     lo = 0
     while lo < len(raw):
-        hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:]), 400_000, side="right")))
+        hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:]), 100_000, side="right")))
         hi = min(hi, len(raw))
         flat = np.frombuffer(b"".join(raw[lo:hi]), np.int32)
         yield lo, flat, np.concatenate(([0], np.cumsum(sizes[lo:hi])))
