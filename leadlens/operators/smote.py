@@ -6,19 +6,19 @@ Exact kNN without a pair list over the whole class:
    Spark ML ``PCA``), so |u.x - u.z| <= ||x - z||;
 2. rank rows by the projection (skew-safe ``ordered_scan``) and cut the ranks
    into blocks of ``block_size`` rows;
-3. round 1: every row meets the rows of its own and the two adjacent blocks;
-   its k-th distance there, theta, bounds the true k-th distance from above;
+3. round 1: every block meets its own and the two adjacent blocks; a row's k-th
+   distance there, theta, bounds its true k-th distance from above;
 4. round 2: a row can only have a closer neighbour in a block whose projection
    range lies within theta of its own projection, because |u.x - u.z| <=
-   ||x - z||.  Those blocks are found by binary search over the per-block
-   (min, max) projection table (one row per block, broadcast), visited, and the
-   k best of both rounds kept -- exact after two rounds.
+   ||x - z||.  Blocks in reach of a block's rows are visited, rows out of reach
+   skipped, and the k best of both rounds kept -- exact after two rounds.
 
-Rows meet their candidates through a cogroup on (query block, candidate block):
-a group holds at most ``block_size`` rows on each side, the distances are computed
-with numpy in bounded chunks and only k rows per query leave the task; the final
-k per query come from ``row_number() <= k``.  Every round's result is
-written once to the shared checkpoint folder, so lineage stays short.
+A block travels as one row of binary matrices and meets one candidate block after
+the other, with a matrix product per pair and a running k best per row; the final
+k per row come from ``row_number() <= k``.  Every round's result is written once to
+the shared checkpoint folder, so lineage stays short.  With d features of which most
+are indicators, one projection prunes little, so the work stays close to one matrix
+product of the minority class with itself.
 
 Synthetic rows follow the usual rule x + u * (neighbour - x) with u in [0, 1);
 the number of copies per minority row, the neighbour picked for each copy and u
@@ -30,7 +30,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,67 +50,104 @@ def principal_direction(df: DataFrame, vec: str) -> list[float]:
     return (u / norm).tolist() if norm > 0 else [1.0] + [0.0] * (len(u) - 1)
 
 
-def exact_knn(df: DataFrame, id_col: str, vec: str, k: int, block_size: int = 512) -> DataFrame:
+_BLOCK = "blk long, n int, ids binary, s binary, v binary"
+
+
+def _matrices(rows: DataFrame) -> DataFrame:
+    """One row per block of (id, s, v): its ids, projections and vectors as binary arrays."""
+    def run(part: pa.Table) -> pa.Table:
+        order = np.argsort(np.asarray(part["id"]))
+        v = np.asarray(part["v"].combine_chunks().flatten(), float).reshape(part.num_rows, -1)[order]
+        return pa.table({"blk": part["blk"].slice(0, 1), "n": pa.array([part.num_rows], pa.int32()),
+                         "ids": pa.array([np.asarray(part["id"])[order].astype(np.int64).tobytes()], pa.binary()),
+                         "s": pa.array([np.asarray(part["s"], float)[order].tobytes()], pa.binary()),
+                         "v": pa.array([v.tobytes()], pa.binary())})
+
+    return rows.groupBy("blk").applyInArrow(run, _BLOCK)
+
+
+def _load(row: dict):
+    ids = np.frombuffer(row["ids"], np.int64)
+    return ids, np.frombuffer(row["s"], float), np.frombuffer(row["v"], float).reshape(len(ids), -1)
+
+
+def exact_knn(df: DataFrame, id_col: str, vec: str, k: int, block_size: int = 2048) -> DataFrame:
     """(id, nb_rank, nb_id, distance) -- the k nearest other rows of every row,
     ties broken by neighbour id."""
     spark = df.sparkSession
-    pts = df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    pts = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
     u = principal_direction(pts, "v")
     proj = F.aggregate(F.zip_with("v", F.array(*[F.lit(float(c)) for c in u]), lambda a, b: a * b),
                        F.lit(0.0), lambda acc, x: acc + x)
     ranked = ordered_scan(pts.withColumn("s", proj), by=[], order=["s", "id"], row_number="rn")
     n = ranked.count()
-    # keep the block table (one row per block) small enough to broadcast
-    block = max(block_size, -(-n // 50_000))
-    blocks = materialize(ranked.select("id", "v", "s", ((F.col("rn") - 1) / block).cast("long")
-                                       .alias("blk")), "knn-blocks")
-    stats = blocks.groupBy("blk").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).orderBy("blk").collect()
-    lo = np.array([r["lo"] for r in stats])
-    hi = np.array([r["hi"] for r in stats])
     need = min(k, n - 1)
     if need <= 0:
         return spark.createDataFrame([], "id long, nb_rank int, nb_id long, distance double")
-
-    def pairs_top(queries: DataFrame) -> DataFrame:
-        """queries: (qid, qv, qblk, cblk); k best candidates of the listed blocks."""
-        need_pairs = queries.select(F.col("qblk").alias("__nq"), F.col("cblk").alias("__nc")).distinct()
-        cand = blocks.join(need_pairs, blocks["blk"] == need_pairs["__nc"]).select(
-            F.col("id").alias("cid"), F.col("v").alias("cv"), F.col("__nc").alias("cblk"),
-            F.col("__nq").alias("qblk"))
-        local = queries.groupBy("qblk", "cblk").cogroup(cand.groupBy("qblk", "cblk")).applyInPandas(
-            _block_top_k(k), "qid long, cid long, distance double")
-        rnk = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "cid"))
-        return local.withColumn("nb_rank", rnk).where(F.col("nb_rank") <= k).drop("nb_rank")
+    blk = ((F.col("rn") - 1) / block_size).cast("long")
+    blocks = materialize(_matrices(ranked.select(blk.alias("blk"), "id", "s", "v")), "knn-blocks")
+    last = (n - 1) // block_size
+
+    def search(pairs: DataFrame, reach: DataFrame | None) -> DataFrame:
+        """k best per row of the blocks ``qblk`` among the rows of the blocks ``cblk`` (qblk, cblk);
+        ``reach`` (qblk, theta binary) limits a row to candidates within its theta."""
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            query = left.slice(0, 1).to_pylist()[0]
+            ids, s, v = _load(query)
+            theta = np.frombuffer(query["theta"], float) if "theta" in query else np.full(len(ids), np.inf)
+            best = [(np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64))]
+            for i in range(right.num_rows):
+                cid, cs, cv = _load(right.slice(i, 1).to_pylist()[0])
+                rows = np.flatnonzero((s - theta <= cs.max()) & (s + theta >= cs.min()))
+                if not len(rows):
+                    continue
+                d, c = _top_k(ids[rows], v[rows], cid, cv, k)
+                dist, cand = best.pop()
+                wide_d, wide_c = np.full((len(ids), d.shape[1]), np.inf), np.full((len(ids), d.shape[1]), -1, np.int64)
+                wide_d[rows], wide_c[rows] = d, c
+                dist, cand = np.hstack([dist, wide_d]), np.hstack([cand, wide_c])
+                order = np.lexsort((cand, dist), axis=1)[:, :k]
+                best.append((np.take_along_axis(dist, order, 1), np.take_along_axis(cand, order, 1)))
+            dist, cand = best.pop()
+            good = np.isfinite(dist)
+            return pa.table({"qid": pa.array(np.repeat(ids, dist.shape[1]).reshape(dist.shape)[good]),
+                             "cid": pa.array(cand[good]), "distance": pa.array(dist[good]),
+                             "qblk": pa.array(np.full(int(good.sum()), query["blk"], np.int64)),
+                             "s": pa.array(np.repeat(s, dist.shape[1]).reshape(dist.shape)[good])})
+
+        asked = blocks.withColumn("qblk", F.col("blk"))
+        if reach is not None:
+            asked = asked.join(reach, "qblk")
+        others = blocks.select(F.col("blk").alias("cblk"), *[F.col(c).alias(c) for c in ("n", "ids", "s", "v")])
+        given = pairs.join(others, "cblk")
+        return asked.groupBy("qblk").cogroup(given.groupBy("qblk")).applyInArrow(
+            run, "qid long, cid long, distance double, qblk long, s double")
 
     # round 1: own block and its neighbours -> an upper bound on the k-th distance
-    q1 = blocks.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("blk").alias("qblk"),
-                       F.explode(F.sequence(F.col("blk") - 1, F.col("blk") + 1)).alias("cblk")) \
-               .where((F.col("cblk") >= 0) & (F.col("cblk") < len(stats)))
-    top1 = materialize(pairs_top(q1), "knn-round1")
-    bound = top1.groupBy("qid").agg(F.max("distance").alias("theta"), F.count("*").alias("found"))
+    near = blocks.select((F.col("blk") + 0).alias("qblk")).select("qblk", F.explode(F.sequence(F.col("qblk") - 1, F.col("qblk") + 1)).alias("cblk"))
+    top1 = materialize(search(near.where((F.col("cblk") >= 0) & (F.col("cblk") <= last)), None), "knn-round1")
 
-    # round 2: every block whose projection range lies within theta of the row
+    # round 2: every block whose projection range lies within theta of one of the block's rows
     # (|u.x - u.z| <= ||x - z||), minus the blocks already seen -> exact
-    lo_b = spark.sparkContext.broadcast(lo)
-    hi_b = spark.sparkContext.broadcast(hi)
-
-    @F.pandas_udf("array<long>")
-    def window(s_, blk, theta, found):
-        lo_, hi_ = lo_b.value, hi_b.value
-        out = []
-        for sv, b, t, f in zip(s_, blk, theta, found):
-            if f is None or f < need or not np.isfinite(t):
-                first, last = 0, len(lo_) - 1
-            else:
-                first = int(np.searchsorted(hi_, sv - t, side="left"))
-                last = int(np.searchsorted(lo_, sv + t, side="right")) - 1
-            out.append([c for c in range(first, last + 1) if abs(c - b) > 1])
-        return pd.Series(out)
-
-    pend = blocks.join(bound, blocks["id"] == bound["qid"], "left") \
-                 .select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("blk").alias("qblk"),
-                         F.explode(window("s", "blk", "theta", "found")).alias("cblk"))
-    top2 = pairs_top(pend)
+    bound = top1.groupBy("qblk", "qid", "s").agg(F.max("distance").alias("t"), F.count(F.lit(1)).alias("found"))
+    theta = F.when(F.col("found") >= need, F.col("t")).otherwise(F.lit(float("inf")))
+
+    def thetas(part: pa.Table) -> pa.Table:
+        order = np.argsort(np.asarray(part["qid"]))
+        return pa.table({"qblk": part["qblk"].slice(0, 1), "theta": pa.array([np.asarray(part["theta"], float)[order].tobytes()], pa.binary())})
+
+    # a row without any candidate in round 1 would be missing here: it takes an infinite theta
+    every = ranked.select(blk.alias("qblk"), F.col("id").alias("qid"), "s").join(
+        bound.select("qid", theta.alias("theta")), "qid", "left").fillna(float("inf"), ["theta"])
+    every = materialize(every, "knn-theta")
+    reach = every.groupBy("qblk").applyInArrow(thetas, "qblk long, theta binary")
+    span = every.groupBy("qblk").agg(F.min(F.col("s") - F.col("theta")).alias("low"), F.max(F.col("s") + F.col("theta")).alias("high"),
+                                     F.min("s").alias("first"), F.max("s").alias("last"))
+    # one row per block on both sides
+    span = materialize(span, "knn-span")
+    ends = span.select(F.col("qblk").alias("cblk"), F.col("first").alias("cfirst"), F.col("last").alias("clast"))
+    in_reach = span.join(ends, (F.col("clast") >= F.col("low")) & (F.col("cfirst") <= F.col("high")) & (F.abs(F.col("qblk") - F.col("cblk")) > 1))
+    top2 = search(in_reach.select("qblk", "cblk"), reach)
     both = top1.unionByName(top2)
     rnk = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "cid"))
     final = both.withColumn("nb_rank", rnk).where(F.col("nb_rank") <= k)
@@ -118,59 +155,41 @@ def exact_knn(df: DataFrame, id_col: str, vec: str, k: int, block_size: int = 51
                                     F.col("cid").alias("nb_id"), "distance"), "knn")
 
 
-def _block_top_k(k: int, chunk: int = 1024):
-    """k best candidates of one block for each query: squared distances screened
-    with a matrix product, a shortlist of 2k re-ranked by exact differences (so
-    ties break by id exactly as a direct computation would).  Rows whose ties
-    could reach past the shortlist take a per-row path over every tied candidate."""
-    def fn(qp, cp):
-        empty = pd.DataFrame({"qid": pd.Series([], dtype="int64"), "cid": pd.Series([], dtype="int64"),
-                              "distance": pd.Series([], dtype="float64")})
-        if len(qp) == 0 or len(cp) == 0:
-            return empty
-        cv = np.vstack(cp["cv"].to_numpy()).astype(np.float64)
-        cid = cp["cid"].to_numpy().astype(np.int64)
-        cn = (cv * cv).sum(1)
-        n_c = len(cid)
-        out_q, out_c, out_d = [], [], []
-        qids_all = qp["qid"].to_numpy().astype(np.int64)
-        for lo in range(0, len(qp), chunk):
-            qv = np.vstack(qp["qv"].iloc[lo:lo + chunk].to_numpy()).astype(np.float64)
-            qids = qids_all[lo:lo + chunk]
-            qn = (qv * qv).sum(1)
-            approx = qn[:, None] + cn[None, :] - 2.0 * (qv @ cv.T)
-            approx[qids[:, None] == cid[None, :]] = np.inf          # not its own neighbour
-            kk = min(k, n_c)
-            m2 = min(2 * k, n_c)
-            short = np.argpartition(approx, m2 - 1, axis=1)[:, :m2]
-            pa = np.take_along_axis(approx, short, 1)
-            kth = np.partition(pa, kk - 1, axis=1)[:, kk - 1]
-            tol = 1e-9 * (1.0 + qn + cn.max())
-            # a candidate outside the shortlist could tie the k-th one
-            spill = (m2 < n_c) & (pa.max(1) <= kth + tol)
-            d = np.sqrt(((qv[:, None, :] - cv[short]) ** 2).sum(-1))
-            d[~np.isfinite(pa)] = np.inf
-            order = np.lexsort((cid[short], d), axis=1)[:, :kk]
-            top_c = np.take_along_axis(short, order, 1)
-            top_d = np.take_along_axis(d, order, 1)
-            fast = ~spill
-            keep = np.isfinite(top_d) & fast[:, None]
-            out_q.append(np.repeat(qids, kk).reshape(-1, kk)[keep])
-            out_c.append(cid[top_c][keep])
-            out_d.append(top_d[keep])
-            for r in np.flatnonzero(spill):
-                sel = np.flatnonzero(approx[r] <= kth[r] + tol[r])
-                sel = sel[np.isfinite(approx[r, sel])]
-                dd = np.sqrt(((cv[sel] - qv[r]) ** 2).sum(1))
-                o = np.lexsort((cid[sel], dd))[:kk]
-                out_q.append(np.full(len(o), qids[r]))
-                out_c.append(cid[sel][o])
-                out_d.append(dd[o])
-        if not out_q:
-            return empty
-        return pd.DataFrame({"qid": np.concatenate(out_q), "cid": np.concatenate(out_c),
-                             "distance": np.concatenate(out_d)})
-    return fn
+def _top_k(qids: np.ndarray, qv_all: np.ndarray, cid: np.ndarray, cv: np.ndarray, k: int, chunk: int = 512):
+    """(distances, ids), each rows x min(k, candidates), of the k best candidates of every row, by
+    distance, then id; infinite where there is none.
+
+    Squared distances are screened with a matrix product and a shortlist of 2k is re-ranked by
+    exact differences (so ties break by id exactly as a direct computation would).  Rows whose
+    ties could reach past the shortlist take a path over every tied candidate."""
+    cn = (cv * cv).sum(1)
+    n_c = len(cid)
+    kk, m2 = min(k, n_c), min(2 * k, n_c)
+    dist, cand = np.full((len(qids), kk), np.inf), np.full((len(qids), kk), -1, np.int64)
+    for lo in range(0, len(qids), chunk):
+        qv, ids = qv_all[lo:lo + chunk], qids[lo:lo + chunk]
+        qn = (qv * qv).sum(1)
+        approx = qn[:, None] + cn[None, :] - 2.0 * (qv @ cv.T)
+        approx[ids[:, None] == cid[None, :]] = np.inf  # not its own neighbour
+        short = np.argpartition(approx, m2 - 1, axis=1)[:, :m2]
+        pa_ = np.take_along_axis(approx, short, 1)
+        kth = np.partition(pa_, kk - 1, axis=1)[:, kk - 1]
+        tol = 1e-9 * (1.0 + qn + cn.max())
+        # a candidate outside the shortlist could tie the k-th one
+        spill = (m2 < n_c) & (pa_.max(1) <= kth + tol)
+        d = np.sqrt(((qv[:, None, :] - cv[short]) ** 2).sum(-1))
+        d[~np.isfinite(pa_)] = np.inf
+        order = np.lexsort((cid[short], d), axis=1)[:, :kk]
+        dist[lo:lo + chunk] = np.take_along_axis(d, order, 1)
+        cand[lo:lo + chunk] = cid[np.take_along_axis(short, order, 1)]
+        for r in np.flatnonzero(spill):
+            sel = np.flatnonzero(approx[r] <= kth[r] + tol[r])
+            sel = sel[np.isfinite(approx[r, sel])]
+            dd = np.sqrt(((cv[sel] - qv[r]) ** 2).sum(1))
+            o = np.lexsort((cid[sel], dd))[:kk]
+            dist[lo + r], cand[lo + r] = np.inf, -1
+            dist[lo + r, :len(o)], cand[lo + r, :len(o)] = dd[o], cid[sel][o]
+    return dist, cand
 
 
 def _unit(seed: int, *cols: Column) -> Column:
@@ -179,7 +198,7 @@ def _unit(seed: int, *cols: Column) -> Column:
 
 
 def smote(df: DataFrame, feature_cols: Sequence[str], target: str, id_col: str, k: int = 5,
-          seed: int = 42, block_size: int = 512) -> DataFrame:
+          seed: int = 42, block_size: int = 2048) -> DataFrame:
     """add synthetic minority rows until both classes have the same count.
 
     Returns the input rows plus synthetic rows.  ``copy`` is 0 for input rows and counts a
