@@ -10,8 +10,10 @@ no ``spark.checkpoint.dir`` (tests, laptops).
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -45,9 +47,28 @@ def get_session(master: str | None = None, app_name: str = "leadlens",
         builder = builder.config(key.replace("_", "."), value)
     spark = builder.getOrCreate()
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: Python stages pickle their
+    functions by module name, and a worker may start where the package is not installed."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="leadlens-pkg-"), "leadlens.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and sink tables.
 
@@ -67,6 +88,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 _written: list[str] = []
+_shipped: set[str] = set()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
