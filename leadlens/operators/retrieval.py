@@ -8,10 +8,10 @@
   reproducible across engines.  A real sentence model would be another function
   returning the same (ids..., embedding) shape.
 * ``vector_top_k`` -- exact cosine top-k.  The query side is shipped in batches
-  of a checked size; the corpus is never broadcast.  Each corpus Arrow batch is
-  scored with one matrix product and keeps k rows per query, and
+  of a checked size; the corpus is never broadcast.  Corpus slices are scored
+  with one matrix product each, a task keeps a running k best per query, and
   ``row_number() <= k`` (a partial ``WindowGroupLimit`` before the shuffle)
-  merges them.
+  merges the tasks.
 """
 
 from __future__ import annotations
@@ -123,10 +123,10 @@ def vector_top_k(queries: DataFrame, corpus: DataFrame, query_id: str, doc_ids:
 
     Output: query_id, rank, doc ids..., similarity (NULL for zero vectors).
     Ties are broken by the doc ids.  The queries are shipped to the tasks in
-    batches of at most ``max_broadcast`` rows (counted first); every corpus Arrow
-    batch is scored against a query batch with one matrix product and keeps k
+    batches of about ``max_broadcast`` rows (counted first); a task scores its
+    corpus slices against a query batch with one matrix product each and returns k
     rows per query, so no (query, document) pair is materialised as a row; the
-    final ``row_number() <= k`` merges the per-batch candidates.
+    final ``row_number() <= k`` merges the tasks' candidates.
     """
     spark = queries.sparkSession
     q = queries.select(F.col(query_id).alias("__qid"), F.col(vec).alias("__qv"))
@@ -159,17 +159,17 @@ def vector_top_k(queries: DataFrame, corpus: DataFrame, query_id: str, doc_ids:
 
 
 def _batch_top_k(bc, doc_ids: list[str], k: int, slice_rows: int = 1024):
-    """Per corpus slice (<= ``slice_rows`` rows): one matrix product against the
-    query batch, then the k best per query under (similarity desc, ids asc).
-    A 2k shortlist is ordered exactly; rows whose ties reach past it are sorted
-    in full, so the per-slice candidates always contain the global top k."""
-    def order_keys(keys, neg, cols):
-        return tuple(reversed([kk[cols] for kk in keys])) + (neg,)
+    """One matrix product of the query batch with each corpus slice (<= ``slice_rows`` rows),
+    and a running k best per query under (similarity desc, ids asc): a task returns k rows a
+    query, however many slices it reads.  A 2k shortlist of a slice is ordered exactly; rows
+    whose ties reach past it are sorted in full, so nothing of the top k is lost."""
+    def order(neg, keys):
+        return np.lexsort(tuple(reversed(keys)) + (neg,), axis=1)[:, :k]
 
     def fn(batches):
         qids, qmat = bc.value
         qn = np.sqrt((qmat * qmat).sum(1))
-        qid_arr = np.asarray(qids, dtype=object)
+        best_neg, best_keys = None, []
         for pdf in batches:
             for lo in range(0, len(pdf), slice_rows):
                 part = pdf.iloc[lo:lo + slice_rows]
@@ -177,42 +177,39 @@ def _batch_top_k(bc, doc_ids: list[str], k: int, slice_rows: int = 1024):
                 cn = np.sqrt((cmat * cmat).sum(1))
                 with np.errstate(divide="ignore", invalid="ignore"):
                     sim = (qmat @ cmat.T) / (qn[:, None] * cn[None, :])
-                sim = np.where(np.isfinite(sim), sim, np.nan)
-                neg = np.where(np.isnan(sim), np.inf, -sim)          # NULL similarity sorts last
+                neg = np.where(np.isfinite(sim), -sim, np.inf)       # NULL similarity sorts last
                 keys = [part[d].to_numpy() for d in doc_ids]
-                m = sim.shape[1]
-                kk = min(k, m)
-                m2 = min(2 * k, m)
+                m = neg.shape[1]
+                kk, m2 = min(k, m), min(2 * k, m)
                 short = np.argpartition(neg, m2 - 1, axis=1)[:, :m2]
                 vals = np.take_along_axis(neg, short, 1)
                 kth = np.partition(vals, kk - 1, axis=1)[:, kk - 1]
                 spill = (m2 < m) & (vals.max(1) <= kth)
-                # rows without spill: one row-wise lexsort over the shortlist
-                o = np.lexsort(order_keys(keys, vals, short), axis=1)[:, :kk]
-                best = np.take_along_axis(short, o, 1)
-                fast = np.flatnonzero(~spill)
-                rows_q = [np.repeat(fast, kk)]
-                rows_c = [best[fast].ravel()]
+                picked = np.take_along_axis(short, order(vals, [x[short] for x in keys]), 1)
                 for r in np.flatnonzero(spill):
-                    cols = np.arange(m)
-                    o1 = np.lexsort(order_keys(keys, neg[r, cols], cols))[:kk]
-                    rows_q.append(np.full(kk, r))
-                    rows_c.append(cols[o1])
-                rq = np.concatenate(rows_q)
-                rc = np.concatenate(rows_c)
-                out = {d: keys[j][rc] for j, d in enumerate(doc_ids)}
-                out["__qid"] = qid_arr[rq]
-                out["similarity"] = sim[rq, rc]
-                yield pd.DataFrame(out)[["__qid", *doc_ids, "similarity"]]
+                    picked[r] = np.lexsort(tuple(reversed(keys)) + (neg[r],))[:kk]
+                new_neg, new_keys = np.take_along_axis(neg, picked, 1), [x[picked] for x in keys]
+                if best_neg is not None:
+                    new_neg = np.hstack([best_neg, new_neg])
+                    new_keys = [np.hstack(p) for p in zip(best_keys, new_keys)]
+                    o = order(new_neg, new_keys)
+                    new_neg, new_keys = np.take_along_axis(new_neg, o, 1), [np.take_along_axis(x, o, 1) for x in new_keys]
+                best_neg, best_keys = new_neg, new_keys
+        if best_neg is not None:
+            out = {d: x.ravel() for d, x in zip(doc_ids, best_keys)}
+            out["__qid"] = np.repeat(np.asarray(qids, dtype=object), best_neg.shape[1])
+            out["similarity"] = np.where(np.isfinite(best_neg), -best_neg, np.nan).ravel()
+            yield pd.DataFrame(out)[["__qid", *doc_ids, "similarity"]]
     return fn
 
 
 def centroids(df: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
     """Per-key mean vector (element-wise), e.g. one query per label."""
-    ex = df.select(key, F.posexplode(vec).alias("__pos", "__x"))
-    per = ex.groupBy(key, "__pos").agg(F.avg(F.col("__x").cast("double")).alias("__m"))
-    return per.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__pos", "__m"))).alias("__s")) \
-              .select(key, F.transform("__s", lambda s: s["__m"]).alias(vec))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    mean = Summarizer.mean(array_to_vector(F.col(vec).cast("array<double>")))
+    return df.groupBy(key).agg(vector_to_array(mean).alias(vec))
 
 
 def assemble_context(top: DataFrame, chunks: DataFrame, query_id: str, doc_ids: Sequence[str],
