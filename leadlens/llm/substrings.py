@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from leadlens.session import materialize, shuffle_partitions
 
 from . import suffixes
-from .common import column, slices, table, texts, utf8
+from .common import column, mix64, slices, table, texts, utf8
 from .suffixes import WINDOW, make_key, name_of
 
 CHUNK = 1 << 20  # bytes whose anchors are found at a time
@@ -125,7 +125,8 @@ def _place(chosen: DataFrame, n_ranges: int) -> DataFrame:
                     for i in range(first, end):
                         body = raw[offsets[i]:offsets[i + 1]].tobytes()
                         at = np.array(at_lists[lo + i], np.int64) + begin[i - first]
-                        ranges = (g[at] >> np.uint64(33)).astype(np.int64) * n_ranges >> 31
+                        # hashed anew: anchors are chosen for their small gram hashes
+                        ranges = (mix64(~g[at]) >> np.uint64(33)).astype(np.int64) * n_ranges >> 31
                         hot = set(hot_lists[lo + i] or ())
                         hulls = []
                         for j, (q, x, y, r) in enumerate(zip(p[at].tolist(), a[at].tolist(), b[at].tolist(), ranges.tolist())):
