@@ -9,19 +9,41 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from leadlens.session import materialize
+
 SLICE_BYTES = 1 << 20
+TEXT_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Smaller Arrow batches for an action that moves large values."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def materialize_texts(df: DataFrame, name: str) -> DataFrame:
+    """``materialize`` for a plan that hands whole texts to Python: ``TEXT_ROWS`` rows a batch."""
+    with arrow_rows(df.sparkSession, TEXT_ROWS):
+        return materialize(df, name)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -34,9 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlens.session import materialize
 
-from .common import column, slices, table, texts
+from .common import column, materialize_texts, slices, table, texts
 from .shingles import SIGNS, words
 
 PASSAGE = 64
@@ -283,7 +282,7 @@ def _search_block(docs: DataFrame, items: list[tuple[int | None, str, str | None
     if not passages.item:
         return None
     n_terms = len(passages.vocabulary)
-    found = materialize(terms(docs, passages.vocabulary), "terms")
+    found = materialize_texts(terms(docs, passages.vocabulary), "terms")
     frequency, total = passage_frequencies(found, n_terms)
     idf = np.log((total + 1) / (frequency + 1)) + 0.1
     idf[frequency > STOP_SHARE * max(total, 100)] = 0

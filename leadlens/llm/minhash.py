@@ -26,7 +26,6 @@ and ``text`` are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 
 from leadlens.session import materialize
 
-from .common import column, mix64, slices, table, texts
+from .common import arrow_rows, column, materialize_texts, mix64, slices, table, texts
 from .components import components
 from .shingles import distinct, shingles
 
@@ -53,18 +52,6 @@ BLOCK_NODES = 1024
 BLOCK_SHINGLES = 500_000
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """Smaller Arrow batches for an action that moves large values."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def _factors() -> np.ndarray:
     seeds = np.arange(1, CHUNKS * _LANES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
     return mix64(seeds) | np.uint64(1)
@@ -258,7 +245,7 @@ def links(docs: DataFrame, nodes: DataFrame, similarity: int, shingle_words: int
         "key", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n"))
     # all buckets of one leader form a group; two nodes of a bucket are in its leader's group
     groups = materialize(keyed.join(buckets, "key").select("leader", "leader_n", "node", "n").distinct(), "groups")
-    sets = materialize(_sets(docs, groups, shingle_words), "sets")
+    sets = materialize_texts(_sets(docs, groups, shingle_words), "sets")
 
     star = groups.filter("node <> leader").filter(_sizes_allow(F.col("n"), F.col("leader_n"), similarity))
     with arrow_rows(spark, PAIR_BATCH):
@@ -272,7 +259,7 @@ def links(docs: DataFrame, nodes: DataFrame, similarity: int, shingle_words: int
 def near_duplicates(docs: DataFrame, similarity: int = 80, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links,
     itself included) and kept (it is that document)."""
-    sketch = materialize(sketches(docs, shingle_words), "sketches")
+    sketch = materialize_texts(sketches(docs, shingle_words), "sketches")
     some = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("set_a", "set_b", F.col("n_shingles").alias("n")).agg(
         F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in _CHUNK_NAMES])

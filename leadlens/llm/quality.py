@@ -32,7 +32,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from leadlens.session import materialize
 
-from .common import column, slices, table, texts, utf8
+from .common import column, materialize_texts, slices, table, texts, utf8
 from .shingles import shingles, words
 
 FEATURES = 256  # D
@@ -230,7 +230,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted.  ``labels``: (doc_id, label 0/1)."""
-    stats = materialize(statistics(docs), "statistics")
+    stats = materialize_texts(statistics(docs), "statistics")
     model = fit(stats, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from leadlens.session import materialize, shuffle_partitions
 
 from . import suffixes
-from .common import column, mix64, slices, table, texts, utf8
+from .common import column, materialize_texts, mix64, slices, table, texts, utf8
 from .suffixes import WINDOW, make_key, name_of
 
 CHUNK = 1 << 20  # bytes whose anchors are found at a time
@@ -222,7 +222,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
         F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.xxhash64("text").alias("h"), "doc_id", "text")
-    scan = materialize(_scan(docs), "anchors")
+    scan = materialize_texts(_scan(docs), "anchors")
 
     grams = scan.select("k", "h", F.posexplode("grams").alias("at", "gram"))
     again = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -233,7 +233,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     n_ranges = max(1, min(shuffle_partitions(spark), -(-entries // 1000)), -(-entries // RANGE_ENTRIES))
 
     chosen = docs.join(maybe.hint("shuffle_hash"), ["k", "h"])
-    placed = materialize(_place(chosen, n_ranges), "suffixes")
+    placed = materialize_texts(_place(chosen, n_ranges), "suffixes")
     found = _merged(placed.filter("run IS NOT NULL").select("range", "run"))
     if maybe.filter(F.size("hot") > 0).limit(1).count():
         found = found.unionByName(_hot(placed.filter("key IS NOT NULL").select("name", "key", "right")))
