@@ -101,11 +101,13 @@ def attribution_rank(attr: DataFrame, top_n: int | None = None) -> DataFrame:
 
 
 def attribution_dependence(attr: DataFrame, id_col: str, feature: str, other: str) -> DataFrame:
-    """Per row, the feature value, its attribution and the interacting feature's value."""
-    a = attr.where(F.col("feature") == feature).select(id_col, F.col("value").alias(feature),
-                                                       "attribution")
-    b = attr.where(F.col("feature") == other).select(id_col, F.col("value").alias(other))
-    return a.join(b, id_col)
+    """Per row, the feature value, its attribution and the interacting feature's value, in
+    one pass over the attributions."""
+    def of(name, column):
+        return F.max(F.when(F.col("feature") == name, F.col(column)))
+
+    return attr.where(F.col("feature").isin(feature, other)).groupBy(id_col).agg(
+        of(feature, "value").alias(feature), of(feature, "attribution").alias("attribution"), of(other, "value").alias(other))
 
 
 def explain_row(attr: DataFrame, id_col: str, row_id) -> DataFrame:

@@ -71,3 +71,12 @@ def test_additivity_on_spark_models(spark, kind, tmp_path):
     outs = model.transform(df).select("id", vector_to_array(out_col)[1].alias("o")).collect()
     for r in outs:
         assert base + sums[r["id"]] == pytest.approx(r["o"], abs=1e-9)
+
+
+def test_dependence_in_one_pass(spark):
+    from leadlens.operators.scoring import attribution_dependence
+
+    rows = [(1, "a", 2.0, 0.5), (1, "b", 3.0, -0.5), (2, "a", -1.0, 0.25), (2, "b", 0.0, 0.0), (2, "c", 9.0, 9.0)]
+    attr = spark.createDataFrame(rows, "id long, feature string, value double, attribution double")
+    got = attribution_dependence(attr, "id", "a", "b").orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, 2.0, 0.5, 3.0), (2, -1.0, 0.25, 0.0)]
