@@ -48,6 +48,7 @@ COSINE = 0.45
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
 MIN_WORDS = 5
 ITEM_BLOCK = 1000
+SUM_ROWS = 64  # rows of a matrix sum that travel together
 
 
 def hashes(items: list[str]) -> list[np.ndarray]:
@@ -163,19 +164,25 @@ def latent_space(spark: SparkSession, passages: list[np.ndarray], idf: np.ndarra
         return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
 
     def sums(f, height: int) -> np.ndarray:
-        """Sum over partitions of f(A), height x width."""
+        """Sum over partitions of f(A), height x width, in blocks of ``SUM_ROWS`` rows."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((height, width))
             for batch in batches:
                 for lo in range(0, batch.num_rows, 256):
                     total += f(matrix(batch.slice(lo, 256)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(height)), pa.FixedSizeListArray.from_arrays(
-                pa.array(total.ravel()), width).cast(pa.list_(pa.float64()))], names=["row", "v"])
+            starts = range(0, height, SUM_ROWS)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(starts), pa.int64()), pa.array([total[lo:lo + SUM_ROWS].tobytes() for lo in starts], pa.binary())],
+                names=["row", "v"])
+
+        def add(part: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(v, float) for v in part.column("v").to_pylist())  # one block of each partition
+            return pa.table({"row": part["row"].slice(0, 1), "v": pa.array([total.tobytes()], pa.binary())})
 
-        parts = rows.mapInArrow(run, "row long, v array<double>").select("row", F.posexplode("v").alias("col", "v"))
-        cells = parts.groupBy("row", "col").agg(F.sum("v").alias("v")).toPandas()  # height x width numbers
         out = np.zeros((height, width))
-        out[cells["row"], cells["col"]] = cells["v"]
+        for r in rows.mapInArrow(run, "row long, v binary").groupBy("row").applyInArrow(add, "row long, v binary").collect():
+            block = np.frombuffer(r.v, float).reshape(-1, width)
+            out[r.row:r.row + len(block)] = block
         return out
 
     g = np.random.default_rng(seed).normal(size=(n_terms, width))
