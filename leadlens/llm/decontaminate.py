@@ -4,7 +4,7 @@ Benchmark items are cut into passages of at most ``PASSAGE`` words.  Words are r
 digits and non-ASCII characters, with A-Z lower-cased; the vocabulary is that of the passages.
 
 1. ``terms`` turns every whole document into vocabulary numbers, written once.
-2. Passage frequencies over all documents give the idf of each term.
+2. Passage frequencies over all documents give the idf of each term, positive however common it is.
 3. A distributed randomised SVD of the passages' TF-IDF rows: partitions add up
    ``A'(A G)`` for a random G, its orthonormal basis Q is formed, and the sums ``(A Q)'(A Q)`` give
    the singular vectors, of at most ``RANK``.
@@ -43,7 +43,6 @@ BLOCK = 16
 WINDOW = 5  # blocks: a passage fits wherever it starts in its first block (summed as 2 + 2 + 1 in ``search``)
 RANK = 128
 OVERSAMPLE = 16
-STOP_SHARE = 0.2  # terms in more passages than this carry no weight in the latent space
 COSINE = 0.45
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
 MIN_WORDS = 5
@@ -218,7 +217,6 @@ class Index:
     def __init__(self, passages: Passages, idf: np.ndarray, vectors: np.ndarray):
         self.item = passages.item
         self.latent = (idf[:, None] * vectors).astype(np.float32)  # one row per term
-        self.weighty = idf > 0
         q = np.stack([self.latent[p].sum(axis=0) for p in passages.words])
         self.queries = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
         self.lengths = [len(p) for p in passages.words]
@@ -248,8 +246,6 @@ class Index:
         total = int((blocks + WINDOW - 1).sum())
         useful = np.flatnonzero(flat >= 0)
         term = flat[useful]
-        keep = self.weighty[term]
-        useful, term = useful[keep], term[keep]
         row = np.repeat(np.arange(len(sizes)), sizes)[useful]
         block = first[row] + (useful - at[row]) // BLOCK
         sums = np.zeros((total + WINDOW, self.latent.shape[1]), np.float32)
@@ -291,10 +287,8 @@ def _search_block(docs: DataFrame, items: list[tuple[int | None, str, str | None
     n_terms = len(passages.vocabulary)
     found = materialize_texts(terms(docs, passages.vocabulary), "terms")
     frequency, total = passage_frequencies(found, n_terms)
+    # positive for every term: in a group of copies an item's words are in a large share of all runs
     idf = np.log((total + 1) / (frequency + 1)) + 0.1
-    idf[frequency > STOP_SHARE * max(total, 100)] = 0
-    if not (idf > 0).any():
-        idf[:] = 1.0
     index = spark.sparkContext.broadcast(Index(passages, idf, latent_space(spark, passages.words, idf)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

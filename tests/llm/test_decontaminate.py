@@ -105,3 +105,16 @@ def test_query_finds_every_verbatim_item(spark):
     for (i, k), r in got.items():  # nothing else but near copies of an item
         run, item = dict(docs)[i], dict(items)[k]
         assert (i, k) in want or brute_common(item, run) / len(item) >= d.PARAPHRASE
+
+
+def test_item_on_a_third_of_the_short_documents(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    item = [word() for _ in range(15)]
+    page = [word() for _ in range(10)] + item + [word() for _ in range(10)]
+    reworded = [word() if i in (2, 7) else w for i, w in enumerate(item)]
+    docs = [(i, " ".join(page if i % 10 < 3 else [word() for _ in range(40)])) for i in range(300)]
+    docs.append((300, " ".join(reworded)))
+    items = [(1, " ".join(item))] + [(k, " ".join(word() for _ in range(20))) for k in range(2, 12)]
+    got = d.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, 1) for i in range(301) if i % 10 < 3 or i == 300}
