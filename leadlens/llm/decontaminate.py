@@ -11,7 +11,12 @@ digits and non-ASCII characters, with A-Z lower-cased; the vocabulary is that of
 4. Each document slides windows of ``WINDOW`` blocks of ``BLOCK`` words, one block at a time;
    windows and passages meet by cosine in the latent space (one matrix product per batch), and
    those at ``COSINE`` or more are candidates.
-5. A candidate is confirmed on the words around its window: the longest common subsequence with
+5. Candidates by words, which need no cosine: a run of ``span`` = length / ``VERBATIM`` words that has
+   ``VERBATIM`` of a passage in order holds all but a fifth of its word places, hence at least ``SEEDS``
+   (fewer on the shortest passages) of that fifth and ``SEEDS`` more.  The rarest places are taken,
+   and wherever enough of them stand within a span, the words around are compared.  No copy is lost, verbatim
+   or with up to a fifth of its words changed, whatever stands beside it.
+6. A candidate is confirmed on the words around its window: the longest common subsequence with
    the passage covers ``VERBATIM`` of the passage, or, for a paraphrase, ``PARAPHRASE`` of it while
    the answer also occurs (``ANSWER`` of the words of the item's ``answer``; without such a column the
    passage's last fifth stands for it).
@@ -35,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from .common import column, materialize_texts, slices, table, texts
+from .common import column, materialize_texts, ranges, slices, table, texts
 from .shingles import SIGNS, words
 
 PASSAGE = 64
@@ -47,6 +52,8 @@ COSINE = 0.45
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
 MIN_WORDS = 5
 ITEM_BLOCK = 1000
+SEEDS = 3  # rare words of a passage that must meet; any number loses nothing, more give fewer candidates
+SEED_HITS = 1_000_000  # occurrences of rare words that are sorted together
 SUM_ROWS = 64  # rows of a matrix sum that travel together
 
 
@@ -214,7 +221,7 @@ def _masks(sequence: np.ndarray) -> dict[int, int]:
 class Index:
     """What a task needs to search its documents."""
 
-    def __init__(self, passages: Passages, idf: np.ndarray, vectors: np.ndarray):
+    def __init__(self, passages: Passages, idf: np.ndarray, vectors: np.ndarray, frequency: np.ndarray):
         self.item = passages.item
         self.latent = (idf[:, None] * vectors).astype(np.float32)  # one row per term
         q = np.stack([self.latent[p].sum(axis=0) for p in passages.words])
@@ -222,6 +229,40 @@ class Index:
         self.lengths = [len(p) for p in passages.words]
         self.masks = [_masks(p) for p in passages.words]
         self.answers = [(_masks(a), len(a)) for a in passages.answers]
+        # rare words by passage: seed_term[seed_at[p]:seed_at[p + 1]], of which ``need`` meet in ``span`` words
+        seeds = []
+        self.need, self.span = np.zeros((2, len(self.lengths)), np.int64)
+        for i, p in enumerate(passages.words):
+            common = int(np.ceil(VERBATIM * len(p) - 1e-9))
+            places = min(len(p), len(p) - common + SEEDS)
+            self.need[i], self.span[i] = places - (len(p) - common), int(len(p) / VERBATIM + 1e-9)
+            seeds.append(np.unique(p[np.lexsort((p, frequency[p]))[:places]]))
+        self.seed_term = np.concatenate(seeds)
+        self.seed_at = np.concatenate(([0], np.cumsum([len(x) for x in seeds])))
+        self.is_seed = np.zeros(len(idf), bool)
+        self.is_seed[self.seed_term] = True
+
+    def near_copies(self, flat: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(row, passage, place of the first rare word) wherever a passage's rare words meet."""
+        place = np.flatnonzero(flat >= 0)
+        place = place[self.is_seed[flat[place]]]
+        place = place[np.argsort(flat[place], kind="stable")]
+        counts = np.bincount(flat[place], minlength=len(self.is_seed))
+        starts = np.cumsum(counts) - counts
+        hits = np.concatenate(([0], np.cumsum(counts[self.seed_term])))[self.seed_at]
+        stride = len(flat) + int(self.span.max()) + 1
+        lo = 0
+        while lo < len(self.lengths):
+            hi = max(lo + 1, int(np.searchsorted(hits, hits[lo] + SEED_HITS, side="right")) - 1)
+            term = self.seed_term[self.seed_at[lo]:self.seed_at[hi]]
+            passage = np.repeat(np.arange(lo, hi), np.diff(hits[lo:hi + 1]))
+            key = passage * stride + place[ranges(starts[term], counts[term])]
+            key.sort()
+            n = np.searchsorted(key, key + self.span[passage]) - np.arange(len(key))
+            enough = n >= self.need[passage]
+            p, w = passage[enough], key[enough] - passage[enough] * stride
+            yield from zip((np.searchsorted(at, w, side="right") - 1).tolist(), p.tolist(), w.tolist())
+            lo = hi
 
     def confirm(self, passage: int, run: list[int], distinct: set[int]) -> tuple[float, float] | None:
         """(share of the passage, share of the answer) that the run has as a subsequence; None
@@ -276,6 +317,18 @@ class Index:
                 if shares:
                     key = r, p
                     found[key] = max(found.get(key, (0.0, 0.0, 0.0)), (*shares, float(cosine[w, p])))
+        for r, p, w in self.near_copies(flat, at):
+            best = found.get((r, p), (0.0, 0.0, 0.0))
+            if best[0] == 1.0:
+                continue
+            start, span = int(at[r]), int(self.span[p])
+            run = flat[max(start, w - span + 1):min(int(at[r + 1]), w + span)]
+            run = run[run >= 0].tolist()
+            shares = self.confirm(p, run, set(run))
+            if shares and shares[0] >= VERBATIM:
+                b = int(first[r]) + (max(start, w - span + 1) - start) // BLOCK
+                cosine = float(windows[b] @ self.queries[p]) / max(float(norms[b]), 1e-6)
+                found[r, p] = max(best, (*shares, cosine))
         return [(r, p, c, s, a) for (r, p), (s, a, c) in found.items()]
 
 
@@ -289,7 +342,7 @@ def _search_block(docs: DataFrame, items: list[tuple[int | None, str, str | None
     frequency, total = passage_frequencies(found, n_terms)
     # positive for every term: in a group of copies an item's words are in a large share of all runs
     idf = np.log((total + 1) / (frequency + 1)) + 0.1
-    index = spark.sparkContext.broadcast(Index(passages, idf, latent_space(spark, passages.words, idf)))
+    index = spark.sparkContext.broadcast(Index(passages, idf, latent_space(spark, passages.words, idf), frequency))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

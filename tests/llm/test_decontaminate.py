@@ -118,3 +118,54 @@ def test_item_on_a_third_of_the_short_documents(spark):
     items = [(1, " ".join(item))] + [(k, " ".join(word() for _ in range(20))) for k in range(2, 12)]
     got = d.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, 1) for i in range(301) if i % 10 < 3 or i == 300}
+
+
+def test_a_thousand_short_and_long_items_against_brute_force(spark):
+    rng = random.Random(4)
+    texts = [brute_words(r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").orderBy("doc_id").limit(300).collect()]
+    vocabulary = [w for t in texts for w in t]
+    items, docs = [], [list(t) for t in texts]
+    for k in range(1000):
+        item = [rng.choice(vocabulary) for _ in range(rng.choice([5, 6, 7, 8, 9, 12, 20, 40, 60]))]
+        items.append((k, " ".join(item)))
+        doc, near = docs[k % len(docs)], list(item)
+        if k % 5 == 0:  # a near copy: a fifth of the words replaced
+            for j in rng.sample(range(len(item)), len(item) // 5):
+                near[j] = "other"
+        at = rng.choice([0, len(doc)])  # not inside an earlier one
+        doc[at:at] = near + ([item[0]] * 60 if k % 7 == 0 else [])
+    joined = [" " + " ".join(t) + " " for t in docs]
+    want = {(i, k) for i, t in enumerate(joined) for k, item in items if " " + item + " " in t}
+    assert len(want) > 750
+    got = {(r.doc_id, r.item_id): r for r in d.leaks(
+        spark.createDataFrame([(i, t) for i, t in enumerate(joined)], "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert want <= set(got)
+    for i, k in got:
+        item = items[k][1].split()
+        assert (i, k) in want or brute_common(item, docs[i]) / len(item) >= d.PARAPHRASE
+
+
+@pytest.mark.parametrize("hits", [1_000_000, 50])
+def test_near_copies_meet_their_passages(hits, monkeypatch):
+    monkeypatch.setattr(d, "SEED_HITS", hits)
+    rng = random.Random(5)
+    word = lambda: f"w{min(int(rng.expovariate(0.02)), 400)}"
+    items = [[word() for _ in range(rng.randint(5, 64))] for _ in range(60)]
+    passages = d.Passages([(k, " ".join(t), None) for k, t in enumerate(items)])
+    n = len(passages.vocabulary)
+    idf, frequency = np.ones(n), np.bincount(np.concatenate(passages.words), minlength=n)
+    index = d.Index(passages, idf, np.random.default_rng(0).normal(size=(n, 3)), frequency)
+    rows, want = [], set()
+    for r in range(60):
+        near = list(items[r])
+        for j in rng.sample(range(len(near)), len(near) // 5):
+            near[j] = word()
+        before, after = ([word() for _ in range(rng.randint(0, 150))] for _ in range(2))
+        rows.append(before + near + after)
+        want.add((r, r))
+    place = {int(v): i for i, v in enumerate(passages.vocabulary)}
+    terms = [[place.get(int(h), -1) for h in hashes] for hashes in d.hashes([" ".join(t) for t in rows])]
+    flat, at = np.array(sum(terms, []), np.int32), np.concatenate(([0], np.cumsum([len(t) for t in terms])))
+    got = {(r, p): s for r, p, _, s, _ in index.search(flat, at) if s >= d.VERBATIM}
+    assert want <= set(got)
