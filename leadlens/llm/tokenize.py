@@ -5,8 +5,8 @@ character, whatever comes earlier, around a line feed between two non-blank char
 between a letter or digit and the full stops and commas after it.  A text's ids are therefore
 the concatenation of the ids of such pieces.  Arrow splits a slice of texts, each distinct piece
 is encoded once by the ``tokenizers`` library (a bounded cache keeps pieces across slices and
-tasks) and numpy gathers the ids.  Texts in which white space meets white space take the
-library's direct path.  The result equals ``Tokenizer.encode(text, add_special_tokens=False)``
+tasks) and numpy gathers the ids.  Texts in which white space meets white space, or that
+hold an added token of the vocabulary (``<|endoftext|>``), take the library's direct path.  The result equals ``Tokenizer.encode(text, add_special_tokens=False)``
 of each whole text.
 """
 
@@ -47,7 +47,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        # the library finds these in the raw text, before it cuts it
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.leading_blank = leading_blank
         # marks between pieces that go into one call: tokens of their own that no piece
         # without the mark's character can produce
@@ -120,7 +121,9 @@ class WordTokenizer:
         n = len(array)
         if n == 0:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        marked = np.asarray(pc.match_substring(array, _LINE))
+        marked = np.zeros(n, bool)
+        for mark in (_LINE, *self.added):
+            marked |= np.asarray(pc.match_substring(array, mark))
         if self.leading_blank:  # a first piece has no blank either; its line feed goes below
             text = pc.binary_join_element_wise(_LINE, pc.replace_substring(array, "\n", " " + _LINE), "")
         else:

@@ -87,3 +87,29 @@ def test_groups_bound_memory_and_keep_sequences_apart(spark):
     got = packing.pack(docs, vocabulary_path("word_bpe_49k.json"), window=64, group_ids=1000).collect()
     check_gapless([r.sequence_id for r in got], [r.offset for r in got], [r.length for r in got], 64)
     assert sum(r.length for r in got) == sum(n + 1 for n in range(200))
+
+
+ADDED = ["end <|endoftext|> next", "<|endoftext|>", "a<|endoftext|>b, c.", "x <|startoftext|> y", "<|startoftext|><|endoftext|>.", "a\n<|endoftext|>\nb",
+         "<|ENDOFTEXT|> a", "<|endoftext |>", "< |endoftext|>", "plain text, here."]
+
+
+@pytest.mark.parametrize("vocabulary,blank", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_added_tokens_as_the_library_encodes_them(vocabulary, blank):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary_path(vocabulary))
+    tok = WordTokenizer(vocabulary_path(vocabulary), blank)
+    for _ in range(2):  # then from the cache
+        ids, ends = tok.encode(pa.array(ADDED * 2))
+        for i, text in enumerate(ADDED * 2):
+            assert ids[ends[i]:ends[i + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_packing_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary_path("word_bpe_49k.json"))
+    docs = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string")
+    got = {r.doc_id: list(r.ids)[:-1] for r in packing.pack(docs, vocabulary_path("word_bpe_49k.json"), with_ids=True).collect()}
+    assert got == {i: plain.encode(t, add_special_tokens=False).ids for i, t in enumerate(ADDED)}

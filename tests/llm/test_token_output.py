@@ -69,3 +69,10 @@ def test_query(spark):
 
     rows = [tuple(r) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()]
     assert [tuple(r) for r in token_output.query(spark, SF_SMALL).orderBy("start").collect()] == expect(rows)
+
+
+def test_added_tokens_read_back(spark, tmp_path):
+    rows = [(1, "end <|endoftext|> next"), (2, "a<|endoftext|>"), (3, "later <|startoftext|> text")]
+    path = str(tmp_path / "out")
+    token_output.write(spark.createDataFrame(rows, "doc_id long, text string"), path, vocabulary_path("byte_bpe_50k.json"))
+    assert [tuple(r) for r in token_output.documents_of(spark, path).orderBy("start").collect()] == expect(rows)
