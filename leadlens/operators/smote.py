@@ -13,9 +13,10 @@ Exact kNN without a pair list over the whole class:
    ||x - z||.  Blocks in reach of a block's rows are visited, rows out of reach
    skipped, and the k best of both rounds kept -- exact after two rounds.
 
-A block travels as one row of binary matrices and meets one candidate block after
-the other, with a matrix product per pair and a running k best per row; the final
-k per row come from ``row_number() <= k``.  Every round's result is written once to
+A block travels as one row of binary matrices and meets at most ``GROUP_BLOCKS``
+candidate blocks in one cell, one after the other, with a matrix product per pair and
+a running k best per row; a cell returns those within theta, and the final k per row
+come from ``row_number() <= k``.  Every round's result is written once to
 the shared checkpoint folder, so lineage stays short.  With d features of which most
 are indicators, one projection prunes little, so the work stays close to one matrix
 product of the minority class with itself.
@@ -50,6 +51,9 @@ def principal_direction(df: DataFrame, vec: str) -> list[float]:
     return (u / norm).tolist() if norm > 0 else [1.0] + [0.0] * (len(u) - 1)
 
 
+#: Candidate blocks that meet a block of rows in one cell; round 1 has three.
+GROUP_BLOCKS = 8
+
 _BLOCK = "blk long, n int, ids binary, s binary, v binary"
 
 
@@ -109,18 +113,23 @@ def exact_knn(df: DataFrame, id_col: str, vec: str, k: int, block_size: int = 20
                 order = np.lexsort((cand, dist), axis=1)[:, :k]
                 best.append((np.take_along_axis(dist, order, 1), np.take_along_axis(cand, order, 1)))
             dist, cand = best.pop()
-            good = np.isfinite(dist)
+            good = np.isfinite(dist) & (dist <= theta[:, None] * (1 + 1e-9))
             return pa.table({"qid": pa.array(np.repeat(ids, dist.shape[1]).reshape(dist.shape)[good]),
                              "cid": pa.array(cand[good]), "distance": pa.array(dist[good]),
                              "qblk": pa.array(np.full(int(good.sum()), query["blk"], np.int64)),
                              "s": pa.array(np.repeat(s, dist.shape[1]).reshape(dist.shape)[good])})
 
         asked = blocks.withColumn("qblk", F.col("blk"))
+        group = F.lit(0).cast("long")  # round 1: one cell a block
         if reach is not None:
             asked = asked.join(reach, "qblk")
+            group = F.floor(F.col("cblk") / GROUP_BLOCKS)
+        pairs = pairs.withColumn("cgrp", group)
+        cells = pairs.select(F.col("qblk").alias("row"), F.col("cgrp").alias("qgrp")).distinct()
+        asked = asked.join(cells, F.col("qblk") == F.col("row")).drop("row")
         others = blocks.select(F.col("blk").alias("cblk"), *[F.col(c).alias(c) for c in ("n", "ids", "s", "v")])
         given = pairs.join(others, "cblk")
-        return asked.groupBy("qblk").cogroup(given.groupBy("qblk")).applyInArrow(
+        return asked.groupBy("qblk", "qgrp").cogroup(given.groupBy("qblk", "cgrp")).applyInArrow(
             run, "qid long, cid long, distance double, qblk long, s double")
 
     # round 1: own block and its neighbours -> an upper bound on the k-th distance

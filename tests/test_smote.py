@@ -67,3 +67,27 @@ def test_int_ids_and_copies(spark):
     rows = out.collect()
     assert len({(r["id"], r["copy"]) for r in rows}) == len(rows) == 360
     assert out.schema["id"].dataType.simpleString() == "int"
+
+
+def test_cells_hold_few_blocks_however_little_is_pruned(spark, monkeypatch):
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    apply = PandasCogroupedOps.applyInArrow
+
+    def bounded(self, func, schema):
+        def run(left, right):
+            if left.num_rows > 1 or right.num_rows > 8:
+                raise ValueError(f"{left.num_rows} and {right.num_rows} blocks in one group")
+            return func(left, right)
+        return apply(self, run, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", bounded)
+    x = np.random.default_rng(6).integers(0, 2, (240, 12)).astype(float)  # indicators: every block is in reach
+    pts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {}
+    for r in exact_knn(pts, "id", "v", 5, block_size=4).collect():
+        got.setdefault(r["id"], {})[r["nb_rank"]] = r["nb_id"]
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    for i in range(240):
+        order = [j for j in np.lexsort((np.arange(240), d[i])) if j != i][:5]
+        assert [got[i][r] for r in range(1, 6)] == order
