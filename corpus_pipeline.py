@@ -4,9 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 of ``documents``.  ``run`` writes every stage's rows as Parquet in the shared checkpoint folder and
 reads them back, so a lost executor costs at most one stage.
 
-Decisions reach rows by doc_id where a stage compares documents, and row by row elsewhere, so rows
-with a null doc_id pass through near-duplicate removal and are judged by all other stages; rows
-that repeat both doc_id and text are copies, of which one stays.
+Decisions reach rows by doc_id (a row's own number where doc_ids repeat) where a stage compares
+documents, and row by row elsewhere, so rows with a null doc_id pass through near-duplicate removal
+and are judged by all other stages; rows that repeat both doc_id and text are copies, of which one
+stays, and rows that share only the doc_id are documents of their own.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from leadlens.llm import decontaminate, minhash, packing, pii, quality
 from leadlens.llm.common import materialize_texts, table
 from leadlens.llm.tokenize import vocabulary_path
+from leadlens.operators.ordered import ordered_scan
 from leadlens.session import materialize
 
 
@@ -32,13 +34,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest doc_id) of each group of near duplicates: five-word shingles,
     similarity 0.8 or more."""
-    found = minhash.near_duplicates(docs, similarity=80)
-    gone = materialize(found.filter("NOT kept").select("doc_id").distinct(), "duplicates")
-    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
     repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if repeated.isEmpty():
-        return kept
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(kept.filter("doc_id IS NULL"))
+        return _drop_near_duplicates(docs, "doc_id")
+    # rows that share a doc_id can differ in their text: each takes a number of its own, in doc_id's order
+    apart = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
+    numbered = ordered_scan(apart, by=[], order=["doc_id", "text"], row_number="__number")
+    return _drop_near_duplicates(numbered, "__number").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+
+
+def _drop_near_duplicates(docs: DataFrame, key: str) -> DataFrame:
+    found = minhash.near_duplicates(docs.select(F.col(key).alias("doc_id"), "text"), similarity=80)
+    gone = materialize(found.filter("NOT kept").select(F.col("doc_id").alias(key)).distinct(), "duplicates")
+    return docs.join(gone.hint("shuffle_hash"), key, "left_anti").select(*docs.columns)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

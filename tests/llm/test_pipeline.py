@@ -92,3 +92,12 @@ def test_edges(spark, tmp_path):
         spark.createDataFrame([], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
         out = cp.run(spark, base).collect()
         assert sorted(str(r.doc_id) for r in out) == ([] if sf == "b" else ["1", "3", "4", "None"])
+
+
+def test_near_duplicates_of_repeated_doc_ids(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, one), (5, one + " tail"), (5, two), (5, two), (7, three), (7, three + " tail"), (9, two + " tail"), (None, one), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    got = cp.drop_near_duplicates(spark, docs, "")
+    assert got.dtypes == docs.dtypes
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(0, one), (0, one), (1, one), (5, two), (7, three)])
