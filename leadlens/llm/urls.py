@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadlens.session import materialize
@@ -74,7 +74,11 @@ def templates(urls: DataFrame, depth: int = DEPTH, support: int = SUPPORT, z: fl
         "template", F.lit(""))
     grown = materialize(grown, "urls")
     levels = grown.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(min(levels, depth)):
+    if levels > depth:
+        levels = max(depth, _levels(grown, support))
+    # segments that the template stands for; below ``depth`` only those up to the last branch
+    grown = grown.withColumn("deep", F.least(F.size("segments"), F.lit(depth)))
+    for level in range(levels):
         here = grown.withColumn("segment", F.get("segments", F.lit(level)))
         children = here.filter("segment IS NOT NULL").groupBy("host", "template", "segment").agg(
             F.count(F.lit(1)).alias("n"), F.sum("good").alias("g"), F.sum("bad").alias("b"))
@@ -88,12 +92,29 @@ def templates(urls: DataFrame, depth: int = DEPTH, support: int = SUPPORT, z: fl
         error = F.sqrt(pooled * (1 - pooled) * (1 / own + 1 / others))
         stays = children.join(parents, ["host", "template"]).filter(others >= 5).filter(
             F.abs(p - q) > z * error).select("host", "template", "segment", F.col("segment").alias("kept"))
-        grown = here.join(stays, ["host", "template", "segment"], "left").withColumn(
-            "template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(
-                F.concat("template", F.lit("/"), F.coalesce("kept", F.lit("*"))))).drop("segment", "kept")
-        grown = materialize(grown, "urls")
-    tail = F.when(F.size("segments") > depth, F.lit("/**")).otherwise(F.lit(""))
-    return grown.withColumn("template", F.concat("template", tail)).drop("segments")
+        grown = here.join(stays, ["host", "template", "segment"], "left")
+        if level < depth:
+            longer = F.col("segment").isNotNull()
+            between = F.lit("")
+        else:
+            longer = F.col("kept").isNotNull()
+            between = F.repeat(F.lit("/*"), F.lit(level) - F.col("deep"))
+        grown = grown.withColumn("template", F.when(longer, F.concat(
+            "template", between, F.lit("/"), F.coalesce("kept", F.lit("*")))).otherwise(F.col("template")))
+        if level >= depth:
+            grown = grown.withColumn("deep", F.when(longer, F.lit(level + 1)).otherwise(F.col("deep")))
+        grown = materialize(grown.drop("segment", "kept"), "urls")
+    tail = F.when(F.size("segments") > F.col("deep"), F.lit("/**")).otherwise(F.lit(""))
+    return grown.withColumn("template", F.concat("template", tail)).drop("segments", "deep")
+
+
+def _levels(grown: DataFrame, support: int) -> int:
+    """Levels at which a branch can stay: some host has ``support`` urls that long, and ten labels."""
+    sizes = grown.groupBy("host", F.size("segments").alias("size")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("good") + F.col("bad")).alias("labels"))
+    longer = Window.partitionBy("host").orderBy(F.col("size").desc())  # one row per length of a host's paths
+    sums = sizes.select("size", F.sum("n").over(longer).alias("n"), F.sum("labels").over(longer).alias("labels"))
+    return sums.filter((F.col("n") >= support) & (F.col("labels") >= 10)).agg(F.max("size")).first()[0] or 0
 
 
 def judge(urls: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str]] = RULES,

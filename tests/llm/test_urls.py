@@ -101,3 +101,19 @@ def test_query_uses_no_python_on_the_executors(spark):
     labels = [(str(r.doc_id), r.quality) for r in spark.read.parquet(f"{SF_SMALL}/labels.parquet").collect()]
     rows = sorted(((*tuple(r)[:6], round(r.purity, 9)) for r in got.collect()), key=repr)
     assert rows == brute(keyed, labels)
+
+
+def test_branches_below_the_sixth_segment(spark):
+    pages, labels = [], []
+    for i in range(400):
+        branch, other = ("spam", "news")[i % 2], ("x", "y")[i // 2 % 2]
+        pages.append((i, f"http://a.net/a/b/c/d/e/f/{other}/{branch}/{i}", str(i)))
+        labels.append((str(i), int(branch == "news")))
+    pages.append((900, "http://a.net/" + "z/" * 50, None))
+    got = run(spark, pages, labels)
+    verdicts = {r[0]: (r[4], r[5]) for r in got}
+    top = verdicts[0][1].split("/spam")[0]
+    for i in range(400):
+        branch, verdict = (("spam", "block"), ("news", "allow"))[i % 2]
+        assert verdicts[i] == (verdict, f"{top}/{branch}/**")
+    assert top == "/*/*/*/*/*/*/*" and verdicts[900][1] == "/*/*/*/*/*/*/**"
