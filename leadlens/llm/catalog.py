@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, minhash, packing, pii, quality, substrings, token_output, topk, urls
+from . import (chat, decontaminate, exact_dedup, minhash, negatives, packing, pii, quality, substrings, token_output, topk, urls,
+               whitening)
 
 QUERIES = {
     "op1_token_output": token_output.query,
@@ -15,8 +16,13 @@ QUERIES = {
     "op8_url_filter": urls.query,
     "op9_pii": pii.query,
     "op10_near_duplicates": minhash.query,
+    "op11_whitening": whitening.query,
+    "op12_hard_negatives": negatives.query,
+    "op13_exact_dedup": exact_dedup.query,
 }
 
 ORACLES: dict[str, str] = {
     "op4_top_k": topk.SQL,
+    "op12_hard_negatives": negatives.SQL,
+    "op13_exact_dedup": exact_dedup.SQL,
 }
