@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from leadlens.session import materialize
+from leadlens.session import materialize, shuffle_partitions
 
 SLICE_BYTES = 1 << 20
 TEXT_ROWS = 2000
@@ -44,6 +44,13 @@ def materialize_texts(df: DataFrame, name: str) -> DataFrame:
         return materialize(df, name)
 
 
+def dealt_by_bytes(df: DataFrame, keys: list[str], n_bytes: int, task_bytes: int) -> DataFrame:
+    """``df`` dealt by ``keys`` into partitions of about ``task_bytes`` where the session's number of
+    shuffle partitions would make larger ones."""
+    parts = -(-n_bytes // task_bytes)
+    return df.repartition(parts, *keys) if parts > shuffle_partitions(df.sparkSession) else df
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -72,6 +72,25 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return r, grams[p], p - start, lo - start, hi - start
 
 
+def fold_periods(raw: np.ndarray, offsets: np.ndarray, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Anchors in a row with equal hulls (a stretch of short period, such as one repeated byte) as
+    their first one, with the distance to their last; 0 for all others."""
+    row, gram, p, lo, hi = found
+    step = np.diff(p)
+    same = (row[1:] == row[:-1]) & (gram[1:] == gram[:-1]) & (np.diff(lo) == step) & (np.diff(hi) == step)
+    at = np.flatnonzero(same)
+    start = offsets[row]
+    for q in np.unique(step[at]).tolist():  # equal hulls: no byte differs from the one q places on
+        pairs = at[step[at] == q]
+        a, b = lo[pairs] + start[pairs], hi[pairs] + start[pairs] + WINDOW
+        first, end = int(a.min()), int(b.max())
+        differ = np.concatenate(([0], np.cumsum(raw[first:end] != raw[first + q:end + q])))
+        same[pairs] = differ[b - first] == differ[a - first]
+    leader = np.flatnonzero(np.concatenate((np.ones(min(1, len(p)), bool), ~same)))
+    last = np.append(leader[1:], len(p)) - 1 if len(p) else leader
+    return tuple(x[leader] for x in found) + (p[last] - p[leader],)
+
+
 def make_key(text: bytes, p: int, lo: int, hi: int) -> tuple[bytes, int]:
     """(key, length of its part from the anchor on)."""
     right = text[p:hi + WINDOW]

@@ -43,6 +43,7 @@ def corpus(seed):
             parts += [piece, text(rng.choice([0, 1, 40]))]
         rows.append((i, "".join(parts)))
     rows += [(70, None), (71, ""), (72, "x" * 700), (73, "x" * 199), (74, "ab" * 300), (75, "x" * 200), (None, shared[5] + "tail"),
+             (78, "y" * 3000), (79, "abc" * 900 + shared[2] + "abc" * 300), (80, "z" * 450 + "q" + "z" * 450), (81, ("k" * 70 + "-") * 30),
              (76, "unique " + text(900)), (76, "unique " + text(500)), (77, "same row " * 60), (77, "same row " * 60)]
     return rows
 
@@ -50,6 +51,7 @@ def corpus(seed):
 @pytest.mark.parametrize("seed,hot", [(1, 50_000), (2, 1), (3, 4)])
 def test_equals_brute_force(spark, seed, hot, monkeypatch):
     rows = corpus(seed)
+    monkeypatch.setattr(substrings, "HEAVY", {1: 1000, 2: 7, 3: 1}[seed])  # salted grams
     if seed == 3:
         monkeypatch.setattr(substrings, "CHUNK", 300)  # long texts in chunks, short slices
         monkeypatch.setattr(substrings, "RUN_BYTES", 3000)  # many runs a range
@@ -96,6 +98,20 @@ def test_anchors_serve_every_window_once():
     assert (p >= hi).all() and (p + suffixes.GRAM <= lo + WINDOW).all()
 
 
+def test_a_period_is_one_entry_and_hot_hulls_leave_a_task_once(spark):
+    raw = np.frombuffer(b"x" * 400_000, np.uint8)
+    (_, _, found), = substrings.anchors_of(raw, np.array([0, len(raw)]))
+    assert len(found[0]) <= 3 and found[5].max() > 390_000
+    docs = spark.createDataFrame([(i, "w" * 5000 + "the same text, but for its number " * 20) for i in range(300)], "doc_id long, text string")
+    rows = docs.repartition(4).selectExpr("doc_id", "text", "array_repeat(0, 0) AS none")
+    at = "transform(sequence(0, 60), x -> x)"
+    placed = substrings._place(rows.selectExpr("doc_id", "text", f"{at} AS at", f"{at} AS hot"), 4)
+    hot = placed.filter("key IS NOT NULL").groupBy("name").count().collect()
+    assert hot and max(r["count"] for r in hot) <= 4
+    got = substrings.remove_repeats(spark.createDataFrame([(1, "x" * 10_000_000), (2, "x" * 300)], "doc_id long, text string"))
+    assert [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in got.orderBy("doc_id").collect()] == [(1, 10_000_000, 10_000_000, 1), (2, 300, 300, 1)]
+
+
 def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in substrings.query(spark, SF_SMALL).collect()), key=repr) == brute(rows)
