@@ -36,13 +36,14 @@ from pyspark.sql import functions as F
 
 from leadlens.session import materialize
 
-from .common import column, materialize_texts, slices, table, texts, utf8
+from .common import column, dealt_by_bytes, materialize_texts, slices, table, texts, utf8
 
 TABLE_BYTES = 32 << 20
 TABLE_ROWS = 200_000
 LEAF_BYTES = 32 << 20
 ROW_BYTES = 200  # what a record costs besides its content
 BATCH_BYTES = 8 << 20
+TASK_BYTES = 128 << 20
 BROADCAST_BUCKETS = 100_000
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -217,7 +218,7 @@ def classes(found: DataFrame, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
         pending = materialize(spill, "exact-spill")
     out = None
     for leaf in leaves:
-        part = leaf.groupBy("bucket").applyInArrow(_compare(False), _CLASSES).select("rec", "rep", "n", "top")
+        part = dealt_by_bytes(leaf, ["bucket"], total, TASK_BYTES).groupBy("bucket").applyInArrow(_compare(False), _CLASSES).select("rec", "rep", "n", "top")
         out = part if out is None else out.unionByName(part)
     out = materialize(out, "exact-classes")
     for fold in reversed(folds):

@@ -42,8 +42,9 @@ SCALE = 256
 POSITIVES = 5
 NEGATIVES = 3
 LOW, HIGH = 50, 95  # per cent of the positive's score
-GROUP_ROWS = 8192
-ANCHOR_ROWS = 8192
+GROUP_ROWS = 4096
+ANCHOR_ROWS = 4096
+MAX_TASKS = 20_000
 BLOCK_ROWS = 1024
 TILE = (256, 1024)
 LEAF = 16
@@ -240,9 +241,12 @@ def negatives_of(k: int, low: int, high: int):
 
 
 def _grid(anchors: DataFrame, candidates: DataFrame, n_anchors: int, n_groups: int, run, schema: str) -> DataFrame:
-    """``run`` over every (anchor block, group of candidates)."""
+    """``run`` over every (anchor block, group of candidates).  A cell is small in bytes and large in
+    work, so cells are dealt one to a task, not by their size."""
+    tasks = min(n_anchors * n_groups, MAX_TASKS)
     a = anchors.withColumn("a", F.col("part").cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
     c = candidates.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n_anchors - 1))))
+    a, c = a.repartition(tasks, "a", "g"), c.repartition(tasks, "a", "g")
     return a.groupBy("a", "g").cogroup(c.groupBy("a", "g")).applyInArrow(run, schema)
 
 
