@@ -2,7 +2,7 @@
 
 The fitted trees are read from the model's own saved node table (a Spark ML
 write + ``spark.read.parquet``), collected once (bounded by the model size, like
-the model itself) and broadcast.  Rows are processed by ``mapInPandas``: the
+the model itself) and broadcast.  Rows are processed by ``mapInArrow``: the
 TreeSHAP recursion walks each tree once per Arrow batch and every path operation
 is a numpy operation over all rows of the batch, so the per-row work is
 vectorised and the table is never gathered.
@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +38,15 @@ class Tree:
 
 
 def model_trees(model, scratch: str) -> list[Tree]:
-    """Trees of a Spark ML RandomForest / GBT classification model."""
+    """Trees of boosted trees, or of a Spark ML RandomForest / GBT classification model."""
     from pyspark.sql import SparkSession
 
+    from .boosting import BoostedTrees
+
+    if isinstance(model, BoostedTrees):
+        return [Tree(t.left, t.right, t.feature, t.threshold, [None] * len(t.feature), t.rows.astype(float), t.value, 1.0)
+                for t in model.trees]
+
     session = SparkSession.getActiveSession()
     path = os.path.join(scratch, "model")
     model.write().overwrite().save(path)
@@ -200,19 +206,18 @@ def tree_attributions(df: DataFrame, model, feature_cols: Sequence[str], id_col:
 
     def fn(batches):
         ts = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.vstack(pdf["__x"].to_numpy()).astype(float)
+        m = len(names)
+        for batch in batches:
+            n = batch.num_rows
+            x = np.asarray(batch.column(1).flatten(), float).reshape(n, m)
             phi = np.zeros_like(x)
             for t in ts:
                 phi += t.weight * tree_shap(t, x)
-            m = len(names)
-            yield pd.DataFrame({
-                id_col: np.repeat(pdf[id_col].to_numpy(), m),
-                "feature": np.tile(np.array(names, dtype=object), len(pdf)),
-                "value": x.ravel(), "attribution": phi.ravel()})
+            # ids stay in Arrow: integers with a null, or above 2^53, keep their value
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(np.repeat(np.arange(n), m))), pa.array(np.tile(np.array(names, dtype=object), n), pa.string()),
+                 pa.array(x.ravel()), pa.array(phi.ravel())], names=[id_col, "feature", "value", "attribution"])
 
     src = df.select(F.col(id_col), vector_to_array(features_col).alias("__x"))
     id_type = df.schema[id_col].dataType.simpleString()
-    return src.mapInPandas(fn, f"{id_col} {id_type}, feature string, value double, attribution double")
+    return src.mapInArrow(fn, f"`{id_col}` {id_type}, feature string, value double, attribution double")

@@ -121,6 +121,18 @@ def cleanup_scratch(spark: SparkSession | None = None) -> int:
     return removed
 
 
+def remove_scratch(df) -> None:
+    """Delete the written table that ``df`` (a result of :func:`materialize`) reads, once a later
+    one has taken its place."""
+    spark = df.sparkSession
+    for path in {os.path.dirname(f) for f in df.inputFiles()}:
+        known = [p for p in _written if path.endswith(p.split("://")[-1].lstrip("/"))]
+        for p in known:
+            _written.remove(p)
+            fs, at = _fs_path(spark, p)
+            fs.delete(at, True)
+
+
 atexit.register(cleanup_scratch)
 
 

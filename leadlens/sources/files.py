@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.boosting import BoostedTrees
 from ..operators.features import FeatureEncoder
 
 # FX1: the raw contact table, declared instead of inferred
@@ -72,8 +73,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def save_scorer(spark: SparkSession, base: str, model, encoder: FeatureEncoder, card: dict) -> None:
-    """Model (Spark ML writer), encoder and model card under one folder."""
-    model.write().overwrite().save(f"{base}/model")
+    """Model (Spark ML writer, or the boosted trees' own), encoder and model card under one folder."""
+    if isinstance(model, BoostedTrees):
+        model.save(spark, f"{base}/model")
+    else:
+        model.write().overwrite().save(f"{base}/model")
     save_encoder(spark, encoder, f"{base}/encoder")
     card = dict(card, model_class=type(model).__name__)
     spark.createDataFrame([(json.dumps(card),)], "card string").coalesce(1) \
@@ -88,7 +92,10 @@ def load_scorer(spark: SparkSession, base: str):
         if not _exists(spark, f"{base}/{name}"):
             raise FileNotFoundError(f"Missing artifact: {base}/{name}. Train and save a model first.")
     card = json.loads(spark.read.text(f"{base}/card").first()[0])
-    model = getattr(classification, card["model_class"]).load(f"{base}/model")
+    if card["model_class"] == BoostedTrees.__name__:
+        model = BoostedTrees.load(spark, f"{base}/model")
+    else:
+        model = getattr(classification, card["model_class"]).load(f"{base}/model")
     return model, load_encoder(spark, f"{base}/encoder"), card
 
 
