@@ -20,6 +20,7 @@ from ..functions.scalar import format_prediction, lead_tier, percent_text
 from ..operators import cleaning, features, hypothesis, logs, metrics, multivariate, profiling
 from ..settings import (CONTACTS_CATEGORICAL, CONTACTS_NUMERICAL, PRIORITY_ORDER, RECOMMEND_NO,
                         RECOMMEND_YES, contacts_settings)
+from ..session import materialize
 from ..sources.logs import PROBABILITY_SQL, prediction_log
 from ..sources.tables import CONTACTS_SQL, contacts, read_table
 
@@ -809,14 +810,32 @@ def model_data(spark, sf):
 _FITTED: dict[tuple, tuple] = {}
 
 
-def _fit(spark, sf, name):
-    """(encoder, result) of a registry model on the contacts; one fit per application, folder and
-    model serves all queries that score or explain with it."""
-    key = (spark.sparkContext.applicationId, sf, name)
+def _version(spark, sf) -> tuple:
+    """Files, sizes and times of the tables that the contacts come from."""
+    found = []
+    for name in ("orders", "customer", "nation", "region"):
+        m = F.col("_metadata")
+        rows = read_table(spark, sf, name).select(m.file_path.alias("f"), m.file_size.alias("s"), m.file_modification_time.alias("t"))
+        found += [tuple(r) for r in rows.groupBy().agg(F.count_distinct("f"), F.sum_distinct("s"), F.max("t")).collect()]
+    return tuple(found)
+
+
+def _encoded(spark, sf):
+    """(encoder, written encoded split): the lazy split is evaluated once for all fits."""
+    key = (spark.sparkContext.applicationId, sf, _version(spark, sf))
     if key not in _FITTED:
         enc, data = model_data(spark, sf)
-        _FITTED[key] = enc, model_ops.train_one(name, data, contacts_settings(), SEED)
-    return _FITTED[key]
+        _FITTED[key] = enc, materialize(data.select("contact_id", "features", "label", "split"), "encoded-split")
+    return (*_FITTED[key], key)
+
+
+def _fit(spark, sf, name):
+    """(encoder, result) of a registry model on the contacts; one fit per application, state of the
+    tables and model serves all queries that score or explain with it."""
+    enc, data, key = _encoded(spark, sf)
+    if (*key, name) not in _FITTED:
+        _FITTED[(*key, name)] = enc, model_ops.train_one(name, data, contacts_settings(), SEED)
+    return _FITTED[(*key, name)]
 
 
 @query("train_logistic")
@@ -824,17 +843,79 @@ def q_train_lr(spark, sf):
     return model_ops.model_comparison(spark, [_fit(spark, sf, "LogisticRegression")[1]])
 
 
+#: The registry models whose trees fit a default session's driver; see ``train_forest`` for the other.
+_COMPARED = ("LogisticRegression", "XGBoost", "LightGBM")
+
+
 @query("train_boosted")
 def q_train_gbt(spark, sf):
-    """Boosted trees, stopped after the configured rounds without validation gain, compared with
-    the logistic model; the random forest at 300 x depth 15 is left to ``train_all`` callers (its
-    node table needs more driver memory than a default session has)."""
-    results = [_fit(spark, sf, name)[1] for name in ("LogisticRegression", "XGBoost")]
+    """Both boosted configurations (level-wise; leaf-wise with at most num_leaves leaves), stopped
+    after the configured rounds without validation gain, compared with the logistic model."""
+    results = [_fit(spark, sf, name)[1] for name in _COMPARED]
     out = model_ops.model_comparison(spark, results)
     best = model_ops.select_best(results)
     return out.withColumn("selected", F.col("name") == best["name"])
 
 
+@query("train_leaf_wise")
+def q_train_leaf_wise(spark, sf):
+    """The leaf-wise trees up to the best round: leaves, depth in use, gain, training rows."""
+    model = _fit(spark, sf, "LightGBM")[1]["model"]
+    rows = [(i, t.n_leaves, float(t.gain.sum()), int(t.rows[0])) for i, t in enumerate(model.trees)]
+    return spark.createDataFrame(rows, "tree int, leaves int, gain double, n_rows long")
+
+
+def _saved(spark, sf):
+    """Folder with the run log and the best of the compared models."""
+    from ..operators import lifecycle
+    from ..session import scratch_path
+
+    enc, _, key = _encoded(spark, sf)
+    if (*key, "saved") not in _FITTED:
+        base = scratch_path(spark, "lifecycle")
+        lifecycle.save_results(spark, [_fit(spark, sf, name)[1] for name in _COMPARED], enc, base)
+        _FITTED[(*key, "saved")] = base
+    return _FITTED[(*key, "saved")]
+
+
+@query("train_all_saved")
+def q_train_all_saved(spark, sf):
+    """The run log of all compared models and the card of the saved best one; ``agrees``
+    holds the card's values against the log's."""
+    from ..operators import lifecycle
+    from ..sources.files import load_scorer
+
+    base = _saved(spark, sf)
+    log = lifecycle.logged(spark, base)
+    card = load_scorer(spark, f"{base}/best")[2]
+    given = {"val_pr_auc": card["val_pr_auc"], "test_pr_auc": card["test_pr_auc"], "tuned_threshold": card["tuned_threshold"]}
+    on_card = F.coalesce(*[F.when(F.col("key") == k, F.lit(str(v))) for k, v in given.items()])
+    saved = F.col("model") == card["model_name"]
+    return log.select("model", "kind", "key", "value", saved.alias("saved"),
+                      F.when(saved & on_card.isNotNull(), F.col("value") == on_card).alias("agrees"))
+
+
+@query("evaluate_saved")
+def q_evaluate_saved(spark, sf):
+    """M9: metrics, confusion counts and importances of the reloaded best model on the test rows, and
+    the same metrics as logged when it was trained."""
+    from ..operators import lifecycle
+
+    base = _saved(spark, sf)
+    _, data, _ = _encoded(spark, sf)
+    tables = lifecycle.evaluate_saved(spark, base, data.where(F.col("split") == "test"))
+    m = tables["metrics"]
+    found = m.select(F.inline(F.array(*[F.struct(F.lit("metrics").alias("part"), F.lit(c).alias("key"), F.col(c).cast("double").alias("value"))
+                                        for c in m.columns])))
+    best = q_train_all_saved(spark, sf).where("saved AND kind = 'metric' AND key LIKE 'test_%'")
+    logged = best.select(F.lit("logged").alias("part"), F.substring("key", 6, 100).alias("key"), F.col("value").cast("double").alias("value"))
+    c = tables["confusion"]
+    counts = c.select(F.inline(F.array(*[F.struct(F.lit("confusion").alias("part"), F.lit(k).alias("key"), F.col(k).cast("double").alias("value"))
+                                         for k in c.columns])))
+    weight = tables["importance"].select(F.lit("importance").alias("part"), F.col("feature").alias("key"), F.col("importance").alias("value"))
+    return found.unionByName(logged).unionByName(counts).unionByName(weight)
+
+
 @query("feature_importance")
 def q_importance(spark, sf):
     enc, r = _fit(spark, sf, "LogisticRegression")
@@ -1030,9 +1111,7 @@ def _tree_attributions(spark, sf):
     from ..operators.attribution import tree_attributions
 
     enc, r = _fit(spark, sf, "XGBoost")
-    split = split_contacts(spark, sf)
-    data = model_ops.assemble(enc.transform(split, keep=["contact_id", "split", "y"]), enc.feature_names(), "y")
-    test = data.where(F.col("split") == "test")
+    test = _encoded(spark, sf)[1].where(F.col("split") == "test")
     return tree_attributions(test, r["model"], enc.feature_names(), "contact_id")
 
 
