@@ -7,6 +7,8 @@
   ``numpy.bincount`` in an Arrow-batched pandas UDF): it runs offline and is
   reproducible across engines.  A real sentence model would be another function
   returning the same (ids..., embedding) shape.
+* ``weighted`` -- counts times inverse document frequency, unit length; the frequencies are a table
+  saved with the index.
 * ``vector_top_k`` -- exact cosine top-k.  The query side is shipped in batches
   of a checked size; the corpus is never broadcast.  Corpus slices are scored
   with one matrix product each, a task keeps a running k best per query, and
@@ -21,10 +23,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from .ordered import ordered_scan
 
 MAX_BROADCAST_QUERIES = 4096
@@ -116,93 +121,148 @@ def embed_chunks(df: DataFrame, id_cols: Sequence[str], text_col: str = "text",
     return df.select(*keep, emb.alias("embedding"))
 
 
+def document_frequencies(embedded: DataFrame, vec: str = "embedding") -> DataFrame:
+    """The weighting model of an index: (bucket, df, n, idf) with idf = ln((1 + n) / (1 + df)) + 1 over
+    the rows of ``embedded``; one row per bucket that occurs."""
+    used = embedded.where(F.col(vec).isNotNull())
+    n = used.select(F.count(F.lit(1)).alias("n"))
+    seen = used.select(F.posexplode(vec).alias("bucket", "count")).where("count > 0")
+    df = seen.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
+    return df.crossJoin(F.broadcast(n)).select(  # one row
+        "bucket", "df", "n", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def weighted(embedded: DataFrame, model: DataFrame, dims: int, vec: str = "embedding") -> DataFrame:
+    """R2: counts times idf, scaled to length 1 (a zero vector stays zero).  A bucket that the model
+    does not know has the idf of df = 0.  The model has at most ``dims`` rows and becomes one array."""
+    unseen = F.log1p(F.max("n").cast("double")) + 1
+    row = model.agg(F.sort_array(F.collect_list(F.struct("bucket", "idf"))).alias("w"), F.coalesce(unseen, F.lit(1.0)).alias("unseen"))
+    known = F.map_from_entries(F.col("__m.w"))
+    idf = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda b: F.coalesce(F.element_at(known, b), F.col("__m.unseen")))
+    array = row.select(F.struct("w", "unseen").alias("__m")).select(idf.alias("__idf"))
+    both = embedded.crossJoin(F.broadcast(array))  # one row
+    product = F.zip_with(F.col(vec), F.col("__idf"), lambda c, w: c * w)
+    out = both.withColumn("__p", product)
+    norm = F.sqrt(F.aggregate("__p", F.lit(0.0), lambda a, x: a + x * x))
+    return out.withColumn("__n", norm).withColumn(
+        vec, F.when(F.col("__n") > 0, F.transform("__p", lambda x: x / F.col("__n"))).otherwise(F.col("__p"))).drop("__idf", "__p", "__n")
+
+
+def usable_vectors(df: DataFrame, vec: str) -> DataFrame:
+    """Rows whose vector is there and holds no NULL; others take no part in a search."""
+    return df.where(F.col(vec).isNotNull() & F.forall(F.col(vec), lambda x: x.isNotNull()))
+
+
 def vector_top_k(queries: DataFrame, corpus: DataFrame, query_id: str, doc_ids: Sequence[str],
                  vec: str = "embedding", k: int = 5,
                  max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
     """For every query the k most cosine-similar corpus rows.
 
     Output: query_id, rank, doc ids..., similarity (NULL for zero vectors).
-    Ties are broken by the doc ids.  The queries are shipped to the tasks in
-    batches of about ``max_broadcast`` rows (counted first); a task scores its
-    corpus slices against a query batch with one matrix product each and returns k
-    rows per query, so no (query, document) pair is materialised as a row; the
-    final ``row_number() <= k`` merges the tasks' candidates.
+    Ties are broken by the doc ids (NULL first).  Rows without a vector, or with a NULL in it,
+    take no part; ids keep their type and value (they never leave Arrow), NULL ids included.
+    The queries are shipped to the tasks in batches of about ``max_broadcast`` rows (counted
+    first); a task scores its corpus slices against a query batch with one matrix product each
+    and returns k rows per query, so no (query, document) pair is materialised as a row; the
+    final ``row_number() <= k`` merges the tasks' candidates.  ``vector_index`` searches a written
+    index without shipping queries.
     """
     spark = queries.sparkSession
-    q = queries.select(F.col(query_id).alias("__qid"), F.col(vec).alias("__qv"))
+    q = usable_vectors(queries, vec).select(F.col(query_id).alias("__qid"), F.col(vec).cast("array<double>").alias("__qv"))
     n_q = q.count()
     n_batches = max(1, math.ceil(n_q / max_broadcast))
     id_fields = [corpus.schema[d] for d in doc_ids]
     qid_type = queries.schema[query_id].dataType
-    out_schema = T.StructType([T.StructField("__qid", qid_type)] + id_fields +
-                              [T.StructField("similarity", T.DoubleType())])
+    names = [f"__d{i}" for i in range(len(doc_ids))]
+    out_schema = T.StructType([T.StructField("__qn", T.LongType())] + [T.StructField(n, f.dataType) for n, f in zip(names, id_fields)]
+                              + [T.StructField("similarity", T.DoubleType())])
+    given = usable_vectors(corpus, vec).select(*[F.col(d).alias(n) for d, n in zip(doc_ids, names)],
+                                               F.col(vec).cast("array<double>").alias("__cv"))
     results = None
     for b in range(n_batches):
-        qb = q if n_batches == 1 else q.where(F.pmod(F.xxhash64("__qid"), F.lit(n_batches)) == b)
-        rows = qb.collect()                       # at most max_broadcast query vectors
+        qb = q if n_batches == 1 else q.where(F.pmod(F.xxhash64("__qv"), F.lit(n_batches)) == b)
+        rows = qb.collect()                       # about max_broadcast query vectors
         if not rows:
             continue
-        qids = [r["__qid"] for r in rows]
-        qmat = np.array([np.asarray(r["__qv"], dtype=np.float64) for r in rows])
-        bc = spark.sparkContext.broadcast((qids, qmat))
-        scored = corpus.select(*doc_ids, F.col(vec).alias("__cv")).mapInPandas(
-            _batch_top_k(bc, list(doc_ids), k), out_schema)
-        w = Window.partitionBy("__qid").orderBy(F.desc_nulls_last("similarity"),
-                                                *[F.asc(d) for d in doc_ids])
+        qmat = np.array([r["__qv"] for r in rows], dtype=np.float64)
+        bc = spark.sparkContext.broadcast(qmat)
+        scored = given.mapInArrow(_batch_top_k(bc, names, k), out_schema)
+        w = Window.partitionBy("__qn").orderBy(F.desc_nulls_last("similarity"), *[F.asc(n) for n in names])
         top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        ids = spark.createDataFrame([(i, r["__qid"]) for i, r in enumerate(rows)],
+                                    T.StructType([T.StructField("__qn", T.LongType()), T.StructField("__qid", qid_type)]))
+        top = top.join(F.broadcast(ids), "__qn")
         results = top if results is None else results.unionByName(top)
     if results is None:
         return spark.createDataFrame([], T.StructType([T.StructField(query_id, qid_type),
                                                        T.StructField("rank", T.IntegerType())] + id_fields +
                                                       [T.StructField("similarity", T.DoubleType())]))
-    return results.select(F.col("__qid").alias(query_id), "rank", *doc_ids, "similarity")
+    return results.select(F.col("__qid").alias(query_id), "rank", *[F.col(n).alias(d) for n, d in zip(names, doc_ids)], "similarity")
+
 
+def best_of(distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k smallest entries of every row; ties to the first columns."""
+    m = distance.shape[1]
+    if m <= k:
+        return tuple(x.ravel() for x in np.indices(distance.shape))
+    kth = np.partition(distance, k - 1, axis=1)[:, k - 1:k]
+    less, same = distance < kth, distance == kth
+    same &= np.cumsum(same, axis=1) <= k - less.sum(axis=1, keepdims=True)
+    return np.nonzero(less | same)
 
-def _batch_top_k(bc, doc_ids: list[str], k: int, slice_rows: int = 1024):
-    """One matrix product of the query batch with each corpus slice (<= ``slice_rows`` rows),
-    and a running k best per query under (similarity desc, ids asc): a task returns k rows a
-    query, however many slices it reads.  A 2k shortlist of a slice is ordered exactly; rows
-    whose ties reach past it are sorted in full, so nothing of the top k is lost."""
-    def order(neg, keys):
-        return np.lexsort(tuple(reversed(keys)) + (neg,), axis=1)[:, :k]
 
+def _batch_top_k(bc, names: list[str], k: int, slice_rows: int = 1024):
+    """One matrix product of the query batch with each corpus slice (<= ``slice_rows`` rows, in the
+    order of their ids), and a running k best per query under (similarity desc, ids asc): a task
+    returns k rows a query, however many slices it reads."""
     def fn(batches):
-        qids, qmat = bc.value
+        qmat = bc.value
         qn = np.sqrt((qmat * qmat).sum(1))
-        best_neg, best_keys = None, []
-        for pdf in batches:
-            for lo in range(0, len(pdf), slice_rows):
-                part = pdf.iloc[lo:lo + slice_rows]
-                cmat = np.vstack(part["__cv"].to_numpy()).astype(np.float64)
+        best = None
+        by_id = [(n, "ascending") for n in names]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, slice_rows):
+                part = pa.Table.from_batches([batch.slice(lo, slice_rows)])
+                part = part.take(pc.sort_indices(part.select(names), sort_keys=by_id, null_placement="at_start")) if names else part
+                cmat = matrix(part["__cv"], qmat.shape[1])
                 cn = np.sqrt((cmat * cmat).sum(1))
                 with np.errstate(divide="ignore", invalid="ignore"):
                     sim = (qmat @ cmat.T) / (qn[:, None] * cn[None, :])
                 neg = np.where(np.isfinite(sim), -sim, np.inf)       # NULL similarity sorts last
-                keys = [part[d].to_numpy() for d in doc_ids]
-                m = neg.shape[1]
-                kk, m2 = min(k, m), min(2 * k, m)
-                short = np.argpartition(neg, m2 - 1, axis=1)[:, :m2]
-                vals = np.take_along_axis(neg, short, 1)
-                kth = np.partition(vals, kk - 1, axis=1)[:, kk - 1]
-                spill = (m2 < m) & (vals.max(1) <= kth)
-                picked = np.take_along_axis(short, order(vals, [x[short] for x in keys]), 1)
-                for r in np.flatnonzero(spill):
-                    picked[r] = np.lexsort(tuple(reversed(keys)) + (neg[r],))[:kk]
-                new_neg, new_keys = np.take_along_axis(neg, picked, 1), [x[picked] for x in keys]
-                if best_neg is not None:
-                    new_neg = np.hstack([best_neg, new_neg])
-                    new_keys = [np.hstack(p) for p in zip(best_keys, new_keys)]
-                    o = order(new_neg, new_keys)
-                    new_neg, new_keys = np.take_along_axis(new_neg, o, 1), [np.take_along_axis(x, o, 1) for x in new_keys]
-                best_neg, best_keys = new_neg, new_keys
-        if best_neg is not None:
-            out = {d: x.ravel() for d, x in zip(doc_ids, best_keys)}
-            out["__qid"] = np.repeat(np.asarray(qids, dtype=object), best_neg.shape[1])
-            out["similarity"] = np.where(np.isfinite(best_neg), -best_neg, np.nan).ravel()
-            yield pd.DataFrame(out)[["__qid", *doc_ids, "similarity"]]
+                row, col = best_of(neg, k)
+                found = part.select(names).take(pa.array(col))
+                found = found.append_column("__qn", pa.array(row, pa.int64())).append_column("__neg", pa.array(neg[row, col]))
+                if best is not None:
+                    found = pa.concat_tables([best, found])
+                    found = found.take(pc.sort_indices(found, sort_keys=[("__qn", "ascending"), ("__neg", "ascending"), *by_id],
+                                                       null_placement="at_start"))
+                    qs = found["__qn"].to_numpy()
+                    place = np.arange(len(qs)) - np.searchsorted(qs, qs)
+                    found = found.filter(pa.array(place < k))
+                best = found.combine_chunks()
+        if best is not None and best.num_rows:
+            neg = best["__neg"].to_numpy()
+            out = best.select(["__qn", *names]).append_column(
+                "similarity", pa.array(-neg, pa.float64(), mask=~np.isfinite(neg)))
+            yield from out.combine_chunks().to_batches()
     return fn
 
 
+def matrix(lists: pa.ChunkedArray, dims: int) -> np.ndarray:
+    """Rows of a list column; shorter rows with zeros, longer ones cut to ``dims``."""
+    array = lists.combine_chunks()
+    array = array.combine_chunks() if isinstance(array, pa.ChunkedArray) else array
+    n = np.asarray(pc.list_value_length(array)).astype(np.int64)
+    flat = np.asarray(array.flatten(), float)
+    if (n == dims).all():
+        return flat.reshape(len(n), dims)
+    out = np.zeros((len(n), dims))
+    row = np.repeat(np.arange(len(n)), n)
+    column = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    out[row[column < dims], column[column < dims]] = flat[column < dims]
+    return out
+
+
 def centroids(df: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
     """Per-key mean vector (element-wise), e.g. one query per label."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -233,6 +293,24 @@ def conversation_history(conv: DataFrame, conv_id: str = "conv_id", turn: str =
                     (F.col("__users") - F.col("__user")).alias("prior_user_turns"))
 
 
+def build_weighted_index(docs: DataFrame, path: str, size: int = 512, overlap: int = 64, dims: int = 256,
+                         hash_fn: str = "xxhash64") -> DataFrame:
+    """Chunks with weighted embeddings under ``path``/chunks and their weighting model under
+    ``path``/idf, which queries need as well (:func:`weighted_queries`)."""
+    spark = docs.sparkSession
+    counts = materialize(build_index(docs, None, size, overlap, dims, hash_fn), "term-counts")
+    document_frequencies(counts).write.mode("overwrite").parquet(f"{path}/idf")
+    write_index(weighted(counts, spark.read.parquet(f"{path}/idf"), dims), f"{path}/chunks")
+    return read_index(spark, f"{path}/chunks")
+
+
+def weighted_queries(queries: DataFrame, path: str, id_cols: Sequence[str], text_col: str = "text", dims: int = 256,
+                     hash_fn: str = "xxhash64") -> DataFrame:
+    """Questions embedded with the weights of the index under ``path``."""
+    model = read_index(queries.sparkSession, f"{path}/idf")
+    return weighted(embed_chunks(queries, id_cols, text_col, dims, hash_fn), model, dims)
+
+
 def write_index(chunks_with_vectors: DataFrame, path: str) -> None:
     """Persist (doc_id, chunk_id, text, embedding) as Parquet."""
     chunks_with_vectors.write.mode("overwrite").parquet(path)

@@ -741,6 +741,52 @@ def q_vector_top_k(spark, sf):
     return top.select("query_label", "rank", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+_BIG_ID = 9007199254740992  # 2^53: larger ids are no longer exact as doubles
+_COSINE_SQL = """list_sum(list_transform(list_zip(q.v, e.v), lambda p: p[1] * p[2]))
+         / (sqrt(list_sum(list_transform(q.v, lambda x: x * x))) * sqrt(list_sum(list_transform(e.v, lambda x: x * x))))"""
+
+
+@query("vector_top_k_nulls", f"""WITH
+e AS (SELECT CASE WHEN vec_id % 17 <> 0 THEN {_BIG_ID} + vec_id END AS id, vec_id AS k,
+             list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v
+      FROM embeddings WHERE vec_id % 10 <> 3),
+q AS (SELECT {_BIG_ID} + vec_id AS query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v
+      FROM embeddings WHERE vec_id % 50 = 0),
+r AS (SELECT query_id, e.id AS vec_id, {_COSINE_SQL} AS sim FROM q, e)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(sim, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC NULLS LAST, vec_id NULLS FIRST) AS rank FROM r)
+WHERE rank <= {TOP_K}""")
+def q_vector_top_k_nulls(spark, sf):
+    """R4 with ids above 2^53, every seventeenth id and every tenth vector NULL."""
+    emb = read_table(spark, sf, "embeddings")
+    big = F.col("vec_id") + F.lit(_BIG_ID)
+    corpus = emb.select(F.when(F.col("vec_id") % 17 != 0, big).alias("vec_id"),
+                        F.when(F.col("vec_id") % 10 != 3, F.col("embedding")).alias("embedding"))
+    queries = emb.where("vec_id % 50 = 0").select(big.alias("query_id"), "embedding")
+    top = retrieval.vector_top_k(queries, corpus, "query_id", ["vec_id"], "embedding", TOP_K)
+    return top.select("query_id", "rank", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("cell_index_top_k", f"""WITH
+e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+q AS (SELECT vec_id AS query_id, v FROM e WHERE vec_id % 50 = 0),
+r AS (SELECT query_id, e.vec_id, {_COSINE_SQL} AS sim FROM q, e)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(sim, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC NULLS LAST, vec_id) AS rank FROM r)
+WHERE rank <= {TOP_K}""")
+def q_cell_index(spark, sf):
+    """An index in cells written and searched; the queries are a table like the corpus."""
+    from ..operators import vector_index
+    from ..session import scratch_path
+
+    emb = read_table(spark, sf, "embeddings")
+    path = scratch_path(spark, "cell-index")
+    vector_index.build_cells(emb, ["vec_id"], path, n_cells=16)
+    queries = emb.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    top = vector_index.search_cells(spark, path, queries, "query_id", "embedding", TOP_K)
+    return top.select("query_id", "rank", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
 def _bucket_sql(text: str) -> str:
     return (f"SELECT *, CAST(('0x' || substr(md5(tk), 1, 8)) AS BIGINT) % {DIMS} AS b FROM "
             f"(SELECT *, unnest(tok) AS tk FROM (SELECT *, {TOKENS_SQL} AS tok FROM "
@@ -762,6 +808,22 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER B
         WHERE rank <= {TOP_K})"""
 
 
+@query("weighted_embeddings", rf"""{CHUNKS_CTE},
+cb AS (SELECT doc_id, chunk_id, b, count(*) AS n FROM ({_bucket_sql('text').replace('__src', 'chunks')}) GROUP BY ALL),
+m AS (SELECT b, ln((1 + (SELECT count(*) FROM chunks)) / (1 + count(*))) + 1 AS idf FROM cb GROUP BY b),
+w AS (SELECT doc_id, chunk_id, b, n * idf AS x FROM cb JOIN m USING (b))
+SELECT doc_id, chunk_id, CAST(b AS INTEGER) AS bucket, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id, chunk_id)), 6) AS weight
+FROM w""")
+def q_weighted_embeddings(spark, sf):
+    """R2: the weighted vectors of a written index, entry by entry."""
+    from ..session import scratch_path
+
+    idx = retrieval.build_weighted_index(read_table(spark, sf, "documents"), scratch_path(spark, "weighted-index"), CHUNK, OVERLAP,
+                                         DIMS, "md5")
+    return idx.select("doc_id", "chunk_id", F.posexplode("embedding").alias("bucket", "weight")).where("weight > 0") \
+              .withColumn("weight", F.round("weight", 6))
+
+
 def retrieve_benchmark(spark, sf):
     idx = retrieval.embed_chunks(doc_chunks(spark, sf), None, "text", DIMS, "md5")
     qs = retrieval.embed_chunks(read_table(spark, sf, "benchmark"), ["item_id"], "text", DIMS, "md5")
