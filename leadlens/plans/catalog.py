@@ -753,7 +753,8 @@ e AS (SELECT CASE WHEN vec_id % 17 <> 0 THEN {_BIG_ID} + vec_id END AS id, vec_i
 q AS (SELECT {_BIG_ID} + vec_id AS query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v
       FROM embeddings WHERE vec_id % 50 = 0),
 r AS (SELECT query_id, e.id AS vec_id, {_COSINE_SQL} AS sim FROM q, e)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(sim, 6) AS similarity FROM (
+SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(rank AS INTEGER) AS rank, coalesce(CAST(vec_id AS VARCHAR), 'none') AS vec_id,
+       round(sim, 6) AS similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC NULLS LAST, vec_id NULLS FIRST) AS rank FROM r)
 WHERE rank <= {TOP_K}""")
 def q_vector_top_k_nulls(spark, sf):
@@ -764,7 +765,9 @@ def q_vector_top_k_nulls(spark, sf):
                         F.when(F.col("vec_id") % 10 != 3, F.col("embedding")).alias("embedding"))
     queries = emb.where("vec_id % 50 = 0").select(big.alias("query_id"), "embedding")
     top = retrieval.vector_top_k(queries, corpus, "query_id", ["vec_id"], "embedding", TOP_K)
-    return top.select("query_id", "rank", "vec_id", F.round("similarity", 6).alias("similarity"))
+    # ids as texts: a comparison as numbers could go through doubles
+    return top.select(F.col("query_id").cast("string").alias("query_id"), "rank",
+                      F.coalesce(F.col("vec_id").cast("string"), F.lit("none")).alias("vec_id"), F.round("similarity", 6).alias("similarity"))
 
 
 @query("cell_index_top_k", f"""WITH
