@@ -89,6 +89,10 @@ class FeatureEncoder:
             names += [f"ohe__{c}_{v}" for v in cats]
         return names
 
+    def nominal_features(self) -> list[list[str]]:
+        """The one-hot columns of each nominal column."""
+        return [[f"ohe__{c}_{v}" for v in (self.categories[c][1:] if self.drop_first else self.categories[c])] for c in self.nominal]
+
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         return df.select(*[_q(k) for k in keep], *self.columns())
 
@@ -225,12 +229,15 @@ def build_features(df: DataFrame, settings, id_col: str, out_path: str | None =
     encoded = enc.transform(split, keep=[id_col, "split", settings.target])
     use_smote = settings.smote_enabled if smote is None else smote
     if use_smote:
+        from ..session import materialize
         from .smote import smote as smote_op
 
+        # read by the neighbour search and by the result: written once
+        encoded = materialize(encoded, "encoded")
         train = encoded.where(F.col("split") == "train")
         rest = encoded.where(F.col("split") != "train")
         balanced = smote_op(train, enc.feature_names(), settings.target, id_col,
-                            k=settings.smote_k, seed=settings.seed)
+                            k=settings.smote_k, seed=settings.seed, nominal=enc.nominal_features())
         encoded = balanced.unionByName(rest, allowMissingColumns=True)
     if out_path:
         from ..sources.files import write_splits

@@ -21,6 +21,8 @@ the shared checkpoint folder, so lineage stays short.  With d features of which
 are indicators, one projection prunes little, so the work stays close to one matrix
 product of the minority class with itself.
 
+Where the nominal columns behind the indicators are known, ``neighbours`` indexes them instead.
+
 Synthetic rows follow the usual rule x + u * (neighbour - x) with u in [0, 1);
 the number of copies per minority row, the neighbour picked for each copy and u
 all come from seeded hashes of (seed, id, copy) -- reproducible, no ``rand()``.
@@ -207,9 +209,13 @@ def _unit(seed: int, *cols: Column) -> Column:
 
 
 def smote(df: DataFrame, feature_cols: Sequence[str], target: str, id_col: str, k: int = 5,
-          seed: int = 42, block_size: int = 2048) -> DataFrame:
+          seed: int = 42, block_size: int = 2048, nominal: Sequence[Sequence[str]] | None = None,
+          method: str = "exact", radius: float | None = None) -> DataFrame:
     """add synthetic minority rows until both classes have the same count.
 
+    ``nominal`` names the one-hot columns of each nominal column, by which neighbours are indexed;
+    ``method="lsh"`` takes approximate neighbours within ``radius`` (rows without any get no copies).
+
     Returns the input rows plus synthetic rows.  ``copy`` is 0 for input rows and counts a
     source row's synthetic rows from 1, so (id, copy) is a key; ``synthetic`` marks them.  A
     synthetic row keeps its source's id and other non-feature columns.
@@ -227,7 +233,11 @@ def smote(df: DataFrame, feature_cols: Sequence[str], target: str, id_col: str,
     kk = min(k, n_min - 1)
     feats = [F.col(f"`{c}`").cast("double") for c in feature_cols]
     mino = df.where(F.col(target) == minority).withColumn("__v", F.array(*feats))
-    nn = exact_knn(mino, id_col, "__v", kk, block_size)
+    from .neighbours import knn
+
+    position = {c: i for i, c in enumerate(feature_cols)}
+    groups = [[position[c] for c in g] for g in nominal or () if g]
+    nn = knn(mino, id_col, "__v", kk, method, groups, block_size, radius)
 
     # copies per row: n_syn // n_min, plus one for the first n_syn % n_min rows in hash order
     keyed = mino.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))))

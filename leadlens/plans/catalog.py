@@ -1167,11 +1167,41 @@ def q_smote(spark, sf):
 
     split = split_contacts(spark, sf)
     enc = encoder_for(split.where(F.col("split") == "train"))
-    train = enc.transform(split.where(F.col("split") == "train"), keep=["contact_id", "y"])
-    out = smote(train, enc.feature_names(), "y", "contact_id", k=5, seed=SEED)
+    train = materialize(enc.transform(split.where(F.col("split") == "train"), keep=["contact_id", "y"]), "encoded-train")
+    out = smote(train, enc.feature_names(), "y", "contact_id", k=5, seed=SEED, nominal=enc.nominal_features())
     return out.groupBy("y", "synthetic").agg(F.count("*").alias("n"))
 
 
+_SCALED = ", ".join(f"(CAST({c} AS DOUBLE) - (SELECT avg(CAST({c} AS DOUBLE)) FROM t)) / (SELECT stddev_pop(CAST({c} AS DOUBLE)) FROM t) AS {c}"
+                    for c in NUM)
+_APART = (" + ".join(f"2 * CAST(a.{c} <> b.{c} AS INTEGER)" for c in _NOMINAL) + " + (a.o - b.o) * (a.o - b.o) + "
+          + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in NUM))
+
+
+@query("smote_neighbours", f"""{SPLIT_CTE},
+t AS (SELECT * FROM split WHERE split = 'train'),
+m AS (SELECT contact_id, {_SCALED}, CAST(list_position({PRIORITY_ORDER}, priority) AS DOUBLE) AS o, {", ".join(_NOMINAL)}
+      FROM t WHERE y = (SELECT y FROM t GROUP BY y ORDER BY count(*), CAST(y AS VARCHAR) LIMIT 1)),
+d AS (SELECT a.contact_id, b.contact_id AS nb_id, sqrt({_APART}) AS distance FROM m a JOIN m b ON a.contact_id <> b.contact_id)
+SELECT contact_id, CAST(nb_rank AS INTEGER) AS nb_rank, nb_id, round(distance, 6) AS distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY contact_id ORDER BY distance, nb_id) AS nb_rank FROM d)
+WHERE nb_rank <= 5""")
+def q_smote_neighbours(spark, sf):
+    """The five nearest minority rows of every minority row of the encoded training split."""
+    from ..operators.neighbours import knn
+
+    split = split_contacts(spark, sf)
+    enc = encoder_for(split.where(F.col("split") == "train"))
+    train = materialize(enc.transform(split.where(F.col("split") == "train"), keep=["contact_id", "y"]), "encoded-train")
+    sizes = {r.y: r.n for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
+    minority = min(sizes, key=lambda c: (sizes[c], str(c)))
+    names = enc.feature_names()
+    position = {c: i for i, c in enumerate(names)}
+    rows = train.where(F.col("y") == minority).select("contact_id", F.array(*[F.col(f"`{c}`") for c in names]).alias("v"))
+    found = knn(rows, "contact_id", "v", 5, nominal=[[position[c] for c in g] for g in enc.nominal_features()])
+    return found.select(F.col("id").alias("contact_id"), "nb_rank", "nb_id", F.round("distance", 6).alias("distance"))
+
+
 def _tree_attributions(spark, sf):
     from ..operators.attribution import tree_attributions
 
