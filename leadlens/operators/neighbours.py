@@ -23,6 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ from .ordered import ordered_scan
 from .smote import exact_knn, principal_direction
 
 BLOCK_ROWS = 512
+FAR_ROWS = 2048
 CELL_ROWS = 4096
 CELL_BLOCKS = 8
 WILD = 2        # rounds by equal tuples with columns left out
@@ -60,21 +62,34 @@ class Shape:
         return out
 
 
-def _pack(rows: DataFrame, key: list[str]) -> DataFrame:
+def _slots(rows: int) -> int:
+    """Groups of about ``CELL_ROWS`` rows: small tuples and cells share a group, which is one call."""
+    return max(1, -(-int(rows) // CELL_ROWS))
+
+
+def _pack(rows: DataFrame, n: int) -> DataFrame:
     """One row per block (grp, no) of (id, codes, s, z)."""
     def run(part: pa.Table) -> pa.Table:
+        part = part.take(pc.sort_indices(part, sort_keys=[("grp", "ascending"), ("no", "ascending"), ("id", "ascending")]))
         n = part.num_rows
-        order = np.argsort(np.asarray(part["id"]))
-        s = np.asarray(part["s"], float)[order]
-        codes = np.asarray(part["codes"].combine_chunks().flatten()).reshape(n, -1)[order]
-        z = np.asarray(part["z"].combine_chunks().flatten(), float).reshape(n, -1)[order]
-        return pa.table({"grp": part["grp"].slice(0, 1), "no": part["no"].slice(0, 1), "n": pa.array([n], pa.int32()),
-                         "low": [float(s.min())], "high": [float(s.max())],
-                         "codes": pa.array([codes.astype("<i4").tobytes()], pa.binary()),
-                         "ids": pa.array([np.asarray(part["id"])[order].astype("<i8").tobytes()], pa.binary()),
-                         "s": pa.array([s.tobytes()], pa.binary()), "z": pa.array([z.tobytes()], pa.binary())})
+        names, no = part["grp"].to_pylist(), np.asarray(part["no"])
+        new = [i for i in range(n) if i == 0 or no[i] != no[i - 1] or names[i] != names[i - 1]]
+        ids, s = np.asarray(part["id"]).astype("<i8"), np.asarray(part["s"], float)
+        codes = np.asarray(part["codes"].combine_chunks().flatten()).reshape(n, -1).astype("<i4")
+        z = np.asarray(part["z"].combine_chunks().flatten(), float).reshape(n, -1)
+        spans = list(zip(new, [*new[1:], n]))
 
-    return rows.groupBy(*key).applyInArrow(run, _BLOCK)
+        def blobs(x):
+            return pa.array([np.ascontiguousarray(x[a:b]).tobytes() for a, b in spans], pa.binary())
+
+        return pa.table({"grp": pa.array([names[a] for a, _ in spans]), "no": pa.array([int(no[a]) for a, _ in spans], pa.int64()),
+                         "n": pa.array([b - a for a, b in spans], pa.int32()), "low": pa.array([float(s[a:b].min()) for a, b in spans]),
+                         "high": pa.array([float(s[a:b].max()) for a, b in spans]), "codes": blobs(codes), "ids": blobs(ids), "s": blobs(s),
+                         "z": blobs(z)})
+
+    slot = F.pmod(F.xxhash64("grp", "no"), F.lit(_slots(n)))
+    return rows.withColumn("slot", slot).groupBy("slot").applyInArrow(
+        lambda part: run(part.drop_columns(["slot"])), _BLOCK)
 
 
 class Rows:
@@ -136,44 +151,66 @@ def nearest(q: Rows, c: Rows, d: np.ndarray, found: np.ndarray, k: int, least: i
     return visited
 
 
-def _merge(parts: DataFrame, k: int) -> DataFrame:
+def _merge(parts: DataFrame, k: int, slots: int) -> DataFrame:
     """The k best per row of each block from several candidates' lists of the block."""
-    def run(part: pa.Table) -> pa.Table:
-        d = [np.frombuffer(b.as_py(), float).reshape(-1, k) for b in part["d"]]
-        c = [np.frombuffer(b.as_py(), "<i8").reshape(-1, k) for b in part["c"]]
+    def one(d: list[np.ndarray], c: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         dist, ident = np.hstack(d), np.hstack(c)
         order = np.lexsort((ident, dist), axis=1)
         dist, ident = np.take_along_axis(dist, order, 1), np.take_along_axis(ident, order, 1)
         # a pair that two lists share counts once (infinite entries may repeat)
         again = np.zeros(dist.shape, bool)
-        again[:, 1:] = (ident[:, 1:] == ident[:, :-1]) & np.isfinite(dist[:, 1:])
+        again[:, 1:] = (ident[:, 1:] == ident[:, :-1]) & np.isfinite(dist[:, 1:]) & (ident[:, 1:] != _MOST)
         dist = np.where(again, np.inf, dist)
         order = np.lexsort((ident, dist), axis=1)[:, :k]
-        return pa.table({"uid": part["uid"].slice(0, 1), "d": pa.array([np.take_along_axis(dist, order, 1).tobytes()], pa.binary()),
-                         "c": pa.array([np.take_along_axis(ident, order, 1).tobytes()], pa.binary()),
-                         "visited": pa.array([sum(part["visited"].to_pylist())], pa.int64())})
+        return np.take_along_axis(dist, order, 1), np.take_along_axis(ident, order, 1)
+
+    def run(part: pa.Table) -> pa.Table:
+        by_uid: dict[int, list[dict]] = {}
+        for r in part.select(["uid", "d", "c", "visited"]).to_pylist():
+            by_uid.setdefault(r["uid"], []).append(r)
+        out: dict[str, list] = {"uid": [], "d": [], "c": [], "visited": []}
+        for uid, rows in by_uid.items():
+            d = [np.frombuffer(r["d"], float).reshape(-1, k) for r in rows]
+            c = [np.frombuffer(r["c"], "<i8").reshape(-1, k) for r in rows]
+            dist, ident = one(d, c) if len(rows) > 1 else (d[0], c[0])
+            for name, value in zip(out, (uid, dist.tobytes(), ident.tobytes(), sum(r["visited"] for r in rows))):
+                out[name].append(value)
+        return _best_table(out)
+
+    return parts.withColumn("slot", F.pmod("uid", F.lit(slots))).groupBy("slot").applyInArrow(run, _BEST)
+
+
+def _best_table(out: dict[str, list]) -> pa.Table:
+    return pa.table({"uid": pa.array(out["uid"], pa.int64()), "d": pa.array(out["d"], pa.binary()),
+                     "c": pa.array(out["c"], pa.binary()), "visited": pa.array(out["visited"], pa.int64())})
 
-    return parts.groupBy("uid").applyInArrow(run, _BEST)
 
+def _cells(shape: Shape, k: int, least: int, most: int, unit: int, left_key: list[str], right_key: list[str]):
+    """The query blocks (with their best so far) of every cell in a group against its candidate
+    blocks; a list per query block and cell."""
+    def by_key(side: pa.Table, key: list[str]) -> dict[tuple, list[dict]]:
+        cells: dict[tuple, list[dict]] = {}
+        for r in side.to_pylist():
+            cells.setdefault(tuple(r[c] for c in key), []).append(r)
+        return cells
 
-def _cell(shape: Shape, k: int, least: int, most: int, unit: int):
-    """Query blocks (with their best so far) against candidate blocks; a list per query block."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"uid": [], "d": [], "c": [], "visited": []}
-        asked = left.to_pylist()
-        if asked and right.num_rows:
-            c = Rows(shape, right.to_pylist())
+        candidates = by_key(right, right_key)
+        for key, asked in by_key(left, left_key).items():
+            if key not in candidates:
+                continue
+            q, c = Rows(shape, asked), Rows(shape, candidates[key])
+            d = np.concatenate([np.frombuffer(b["d"], float).reshape(-1, k) for b in asked])
+            found = np.concatenate([np.frombuffer(b["c"], "<i8").reshape(-1, k) for b in asked])
+            visited = nearest(q, c, d, found, k, least, most, unit)
+            at = 0
             for b in asked:
-                q = Rows(shape, [b])
-                d = np.frombuffer(b["d"], float).reshape(-1, k).copy()
-                found = np.frombuffer(b["c"], "<i8").reshape(-1, k).copy()
-                visited = nearest(q, c, d, found, k, least, most, unit)
-                out["uid"].append(b["uid"])
-                out["d"].append(d.tobytes())
-                out["c"].append(found.tobytes())
-                out["visited"].append(visited)
-        return pa.table({"uid": pa.array(out["uid"], pa.int64()), "d": pa.array(out["d"], pa.binary()),
-                         "c": pa.array(out["c"], pa.binary()), "visited": pa.array(out["visited"], pa.int64())})
+                rows = len(b["d"]) // (8 * k)
+                for name, value in zip(out, (b["uid"], d[at:at + rows].tobytes(), found[at:at + rows].tobytes(), visited)):
+                    out[name].append(value)
+                visited, at = 0, at + rows
+        return _best_table(out)
 
     return run
 
@@ -200,11 +237,13 @@ def _offsets(step: int) -> list[int]:
     return [o for a in range(2 ** step, 2 ** (step + 1)) for o in (-a, a)]
 
 
-def _along(blocks: DataFrame, best: DataFrame, shape: Shape, k: int, least: int, most: int, unit: int, asked: DataFrame | None = None) -> DataFrame:
+def _along(blocks: DataFrame, best: DataFrame, shape: Shape, k: int, least: int, most: int, unit: int, slots: int,
+           asked: DataFrame | None = None) -> DataFrame:
     """Blocks of ``asked`` (all) against the blocks of the same ``grp`` in reach along the projection, by
     doubling offsets; returns the improved best lists."""
     asked = blocks if asked is None else asked
-    ranges = blocks.select(F.col("grp").alias("cgrp"), F.col("no").alias("cno"), F.col("low").alias("clow"), F.col("high").alias("chigh"))
+    ranges = blocks.select(F.col("grp").alias("cgrp"), F.col("no").alias("cno"), F.col("low").alias("clow"), F.col("high").alias("chigh"),
+                           F.col("n").alias("cn"))
     # columns of their own, so that both sides of a cell can come from one table
     others = blocks.select(F.col("grp").alias("cgrp"), F.col("no").alias("cno"), *[F.col(c).alias(c) for c in _DATA])
     step, going = 0, None
@@ -216,20 +255,24 @@ def _along(blocks: DataFrame, best: DataFrame, shape: Shape, k: int, least: int,
         pairs = q.withColumn("off", F.explode(F.array(*[F.lit(o) for o in _offsets(step)]))).withColumn("cno", F.col("no") + F.col("off"))
         pairs = pairs.join(ranges, (F.col("grp") == F.col("cgrp")) & (pairs["cno"] == ranges["cno"])).drop(ranges["cno"])
         pairs = pairs.where((F.col("clow") <= F.col("high") + F.col("reach")) & (F.col("chigh") >= F.col("low") - F.col("reach")))
-        pairs = materialize(pairs.select("uid", "cgrp", "cno", F.floor(F.col("off") / CELL_BLOCKS).alias("part")), "knn-pairs")
-        if pairs.isEmpty():
+        pairs = materialize(pairs.select("uid", "cgrp", "cno", F.floor(F.col("off") / CELL_BLOCKS).alias("part"), "cn"), "knn-pairs")
+        total = pairs.agg(F.sum("cn")).first()[0]
+        if total is None:
             return best
-        cells = pairs.select(F.col("uid"), F.col("part")).distinct()
-        left = asked.select("uid", *_DATA).join(best.select("uid", "d", "c"), "uid").join(cells, "uid")
-        right = pairs.withColumnRenamed("uid", "quid").withColumnRenamed("part", "qpart").join(others, ["cgrp", "cno"])
-        new = left.groupBy("uid", "part").cogroup(right.groupBy("quid", "qpart")).applyInArrow(
-            _cell(shape, k, least, most, unit), _BEST)
-        best = materialize(_merge(best.unionByName(new), k), "knn-best")
+        groups = F.lit(_slots(total))
+        cells = pairs.select("uid", "part").distinct()
+        left = asked.select("uid", *_DATA).join(best.select("uid", "d", "c"), "uid").join(cells, "uid").withColumn(
+            "slot", F.pmod(F.xxhash64("uid", "part"), groups))
+        right = pairs.withColumnRenamed("uid", "quid").withColumnRenamed("part", "qpart").join(others, ["cgrp", "cno"]).withColumn(
+            "qslot", F.pmod(F.xxhash64("quid", "qpart"), groups))
+        new = left.groupBy("slot").cogroup(right.groupBy("qslot")).applyInArrow(
+            _cells(shape, k, least, most, unit, ["uid", "part"], ["quid", "qpart"]), _BEST)
+        best = materialize(_merge(best.unionByName(new), k, slots), "knn-best")
         going = pairs.select("uid").distinct() if step else None
         step += 1
 
 
-def _wild(blocks: DataFrame, best: DataFrame, shape: Shape, k: int, m: int, unit: int) -> DataFrame:
+def _wild(blocks: DataFrame, best: DataFrame, shape: Shape, k: int, m: int, unit: int, slots: int) -> DataFrame:
     """Blocks in reach against blocks whose tuples differ in exactly ``m`` columns."""
     n_columns = len(shape.nominal)
     parts = F.split("grp", ",")
@@ -242,7 +285,9 @@ def _wild(blocks: DataFrame, best: DataFrame, shape: Shape, k: int, m: int, unit
     open_keys = q.groupBy("key").agg(F.sum("n").alias("qn"))
     c = blocks.select("uid", "n", F.explode(keys).alias("ckey")).join(open_keys, F.col("ckey") == F.col("key"), "left_semi")
     sizes = materialize(c.groupBy("ckey").agg(F.sum("n").alias("cn")).join(open_keys, F.col("ckey") == F.col("key")).select(
-        "ckey", F.ceil(F.col("cn") / CELL_ROWS).cast("int").alias("cp"), F.ceil(F.col("qn") / CELL_ROWS).cast("int").alias("qp")), "knn-keys")
+        "ckey", "cn", F.ceil(F.col("cn") / CELL_ROWS).cast("int").alias("cp"), F.ceil(F.col("qn") / CELL_ROWS).cast("int").alias("qp")), "knn-keys")
+    groups = F.lit(_slots(sizes.agg(F.sum(F.col("cn") * F.col("qp"))).first()[0] or 0))
+    sizes = sizes.drop("cn")
     q = q.join(sizes.withColumnRenamed("ckey", "key"), "key").withColumn("a", F.pmod(F.xxhash64("uid"), F.col("qp")).cast("int")) \
          .withColumn("b", F.explode(F.sequence(F.lit(0), F.col("cp") - 1)))
     c = c.join(sizes, "ckey").withColumn("cb", F.pmod(F.xxhash64("uid"), F.col("cp")).cast("int")) \
@@ -251,8 +296,11 @@ def _wild(blocks: DataFrame, best: DataFrame, shape: Shape, k: int, m: int, unit
     mine = blocks.select(F.col("uid").alias("cuid"), *[F.col(c).alias(c) for c in _DATA])
     left = q.select("uid", "key", "a", "b").join(data.join(best.select("uid", "d", "c"), "uid"), "uid")
     right = c.select(F.col("uid").alias("cuid"), "ckey", "ca", "cb").join(mine, "cuid")
-    new = left.groupBy("key", "a", "b").cogroup(right.groupBy("ckey", "ca", "cb")).applyInArrow(_cell(shape, k, m, m, unit), _BEST)
-    return materialize(_merge(best.unionByName(new), k), "knn-best")
+    left = left.withColumn("slot", F.pmod(F.xxhash64("key", "a", "b"), groups))
+    right = right.withColumn("cslot", F.pmod(F.xxhash64("ckey", "ca", "cb"), groups))
+    new = left.groupBy("slot").cogroup(right.groupBy("cslot")).applyInArrow(
+        _cells(shape, k, m, m, unit, ["key", "a", "b"], ["ckey", "ca", "cb"]), _BEST)
+    return materialize(_merge(best.unionByName(new), k, slots), "knn-best")
 
 
 def _lists(blocks: DataFrame, best: DataFrame, k: int) -> DataFrame:
@@ -307,16 +355,17 @@ def nominal_knn(df: DataFrame, id_col: str, vec: str, k: int, nominal: Sequence[
     pts = pts.withColumn("s", s).withColumn("grp", F.concat_ws(",", F.transform("codes", lambda c: c.cast("string"))))
     ranked = ordered_scan(pts, by=["grp"], order=["s", "id"], row_number="rn").withColumn("no", F.floor((F.col("rn") - 1) / block_rows))
     uid = F.xxhash64("grp", "no", "ids")
-    blocks = materialize(_pack(ranked.select("grp", "no", "id", "codes", "s", "z"), ["grp", "no"]).withColumn("uid", uid), "knn-blocks")
+    blocks = materialize(_pack(ranked.select("grp", "no", "id", "codes", "s", "z"), n).withColumn("uid", uid), "knn-blocks")
     best = materialize(_empty_best(blocks, k), "knn-best")
-    best = _along(blocks, best, shape, k, 0, 0, unit)
+    slots = _slots(n)
+    best = _along(blocks, best, shape, k, 0, 0, unit, slots)
     wild = min(WILD, len(nominal))
     for m in range(1, wild + 1):
-        best = _wild(blocks, best, shape, k, m, unit)
+        best = _wild(blocks, best, shape, k, m, unit, slots)
     lists = materialize(_lists(blocks, best, k), "knn-lists")
     visited = best.agg(F.sum("visited")).first()[0]
     if wild < len(nominal):
-        far, more = _far(ranked, lists, shape, k, wild + 1, unit, block_rows)
+        far, more = _far(ranked, lists, shape, k, wild + 1, unit, n)
         if far is not None:
             both = lists.select("id", "nb_id", "distance").unionByName(far.select("id", "nb_id", "distance")).distinct()
             w = Window.partitionBy("id").orderBy("distance", "nb_id")
@@ -326,7 +375,7 @@ def nominal_knn(df: DataFrame, id_col: str, vec: str, k: int, nominal: Sequence[
     return lists, int(visited)
 
 
-def _far(ranked: DataFrame, lists: DataFrame, shape: Shape, k: int, m: int, unit: int, block_rows: int):
+def _far(ranked: DataFrame, lists: DataFrame, shape: Shape, k: int, m: int, unit: int, n: int):
     """Rows whose k-th distance still reaches tuples ``m`` or more columns away, against all rows in
     projection order: (their best lists from there, pairs visited)."""
     kth = lists.where(F.col("nb_rank") == k).select("id", F.col("distance").alias("t"))
@@ -337,11 +386,11 @@ def _far(ranked: DataFrame, lists: DataFrame, shape: Shape, k: int, m: int, unit
         return None, 0
     everyone = ranked.select("id", "codes", "s", "z")
     line = ordered_scan(everyone, by=[], order=["s", "id"], row_number="rn").withColumn(
-        "no", F.floor((F.col("rn") - 1) / block_rows)).withColumn("grp", F.lit(""))
+        "no", F.floor((F.col("rn") - 1) / FAR_ROWS)).withColumn("grp", F.lit(""))
     uid = F.xxhash64("grp", "no", "ids")
-    blocks = materialize(_pack(line.select("grp", "no", "id", "codes", "s", "z"), ["grp", "no"]).withColumn("uid", uid), "knn-line")
+    blocks = materialize(_pack(line.select("grp", "no", "id", "codes", "s", "z"), n).withColumn("uid", uid), "knn-line")
     some = line.join(open_rows.select("id"), "id", "left_semi").select("grp", "no", "id", "codes", "s", "z")
-    asked = materialize(_pack(some, ["grp", "no"]).withColumn("uid", F.xxhash64("no", "ids", F.lit(1))), "knn-asked")
+    asked = materialize(_pack(some, n).withColumn("uid", F.xxhash64("no", "ids", F.lit(1))), "knn-asked")
     # start from the distances known: k entries of each row, ids of their own (-1) so that none is found twice
     given = asked.select("uid", F.explode(_ids_of("ids")).alias("id")).join(open_rows, "id", "left")
 
@@ -354,7 +403,7 @@ def _far(ranked: DataFrame, lists: DataFrame, shape: Shape, k: int, m: int, unit
                          "c": pa.array([np.full(d.shape, _MOST, "<i8").tobytes()], pa.binary()), "visited": pa.array([0], pa.int64())})
 
     best = materialize(given.groupBy("uid").applyInArrow(start, _BEST), "knn-best")
-    best = _along(blocks, best, shape, k, m, len(shape.nominal), unit, asked)
+    best = _along(blocks, best, shape, k, m, len(shape.nominal), unit, _slots(n), asked)
     found = _lists(asked, best, k).where(F.col("nb_id") != _MOST)
     return found, best.agg(F.sum("visited")).first()[0]
 

@@ -46,6 +46,7 @@ def lists(df):
 @pytest.mark.parametrize("n,kw", [(300, {}), (120, {"unseen": True}), (500, {"hot": True})])
 def test_equals_brute_force(spark, n, kw, monkeypatch):
     monkeypatch.setattr(neighbours, "CELL_ROWS", 40)
+    monkeypatch.setattr(neighbours, "FAR_ROWS", 16)
     x = make(n, **kw)
     got, visited = neighbours.nominal_knn(frame(spark, x), "id", "v", 5, GROUPS, block_rows=16)
     assert lists(got) == brute(x, 5)
