@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -91,6 +93,70 @@ def test_field_adds_what_the_patterns_miss_and_no_more(weights):
         assert added(clean) == []
 
 
+def planted(rng, kind):
+    def d(n):
+        return "".join(rng.choice("0123456789") for _ in range(n))
+
+    def name():
+        return "".join(rng.choice("abcdefghijklmnoprstuv") for _ in range(rng.randint(3, 8)))
+
+    if kind == "email":
+        a = rng.choice([name(), f"{name()}.{name()}", f"{name()}.{name()}.{d(2)}", f"{name()}_{name()}", f"{name()}-{d(3)}"])
+        b = rng.choice([f"{name()}.com", f"{name()}.{name()}.org", f"{name()}.co.uk", f"{name()}.{name()}.net"])
+        return rng.choice([f"{a} (at) {b}", f"{a}[at]{b}", f"{a} [at] {b}", f"{a} (AT) {b.replace('.', ' (DOT) ')}",
+                           f"{a} at {b.replace('.', ' dot ')}", f"{a} [at] {b.replace('.', ' [dot] ')}"])
+    if kind == "phone":
+        a, b, c = rng.choice("23456789") + d(2), rng.choice("23456789") + d(2), d(4)
+        return rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"1-{a}-{b}-{c}", f"020 7946 {d(4)}",
+                           f"0{rng.choice('1367')} {d(2)} {d(2)} {d(2)} {d(2)}"])
+    if kind == "ip":
+        return rng.choice(["[.]", "(.)"]).join(str(rng.randint(1, 254)) for _ in range(4))
+    if kind == "card":
+        x = "4" + d(14)
+        x += next(c for c in "0123456789" if pii.luhn(x + c))
+        return ".".join(x[i:i + 4] for i in range(0, 16, 4))
+    return rng.choice([  # look-alikes
+        f"on 20{d(2)}-0{rng.randint(1, 9)}-1{d(1)} at 1{d(1)}:3{d(1)}", f"version {d(1)}.{d(2)}.{d(1)}", f"costs {d(1)},{d(3)}.00 or {d(2)}.5 %",
+        f"key {''.join(rng.choice('0123456789abcdef') for _ in range(40))}", f"meet me at {rng.randint(1, 12)} or dot the line",
+        f"rows {d(2)} {d(2)} {d(2)} {d(2)} {d(2)} {d(2)} {d(2)}", f"isbn 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}",
+        f"quad 9{d(2)}[.]8{d(2)}[.]77[.]300", f"user{d(3)}@@host.com", f"between {d(4)} and {d(4)}, {d(4)} people",
+        f"section {d(1)}.{d(1)}.{d(1)}b, p. {d(3)}-{d(3)}"])
+
+
+def test_planted_forms_on_a_table_are_found_and_look_alikes_left(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for i in range(1000):
+        kind = ["email", "phone", "ip", "card", "none"][i % 5]
+        span = planted(rng, kind)
+        rows.append((i, f"some words before {span}, and after"))
+        want[i] = (kind, 18, 18 + len(span))
+    rows += [(2000 + i, "mail a.b@c.com or 10.0.0.1 or +1 (386) 555-3733") for i in range(30)]
+    got = {r.doc_id: {(s.kind, s.start, s.end) for s in r.base + r.added}
+           for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in pii.KINDS:
+        mine = [i for i, w in want.items() if w[0] == kind]
+        assert sum(want[i] in got[i] for i in mine) / len(mine) >= 0.9, kind
+    clean = [i for i, w in want.items() if w[0] == "none"]
+    assert sum(bool(got[i]) for i in clean) / len(clean) <= 0.02
+
+
+def test_long_runs_and_lines_of_numbers_take_seconds(weights):
+    digits = "7" * 1_000_000
+    line = " ".join(str(i % 97) for i in range(340_000))
+    dotted = ".".join(str(i % 250) for i in range(250_000))
+    for text in (digits, line, dotted, "4" * 500_000 + ".1.2.3 " + "@" * 100_000):
+        t = time.time()
+        base = pii.base_spans(text)
+        pii.added_spans(text, base, weights)
+        assert time.time() - t < 10
+    assert len(pii.base_spans(dotted)) == 62_500 and pii.base_spans("1" * 40 + "2.3.4.5 9.8.7.6.5.4.3.2") == brute("1" * 40 + "2.3.4.5 9.8.7.6.5.4.3.2")
+    # a span in the middle of a long line of tokens is found all the same
+    text = "a 1 b " * 30_000 + "call (386) 555-3733 ok" + " c 2 d" * 30_000
+    at = text.index("(386)")
+    assert (3, at, at + 14) in pii.added_spans(text, [], weights)
+
+
 def test_find_mask_and_edges(spark, weights):
     rows = [(1, "mail a.b@c.com, 10.0.0.1 and +1 (386) 555-3733!"), (2, None), (2, ""), (None, "x@y.z"), (4, "word " * 30000 + "a@b.co\n" * 50)]
     docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id int, text string, base string").repartition(3)
