@@ -52,6 +52,55 @@ def q_scorer_files(spark, sf):
     return both.select("a.contact_id", F.forall(F.array(*same), lambda x: x).alias("same"), F.lit(card["model_name"]).alias("card_name"))
 
 
+@query("pipeline_artifact", f"{SPLIT_CTE} SELECT contact_id, true AS same FROM split WHERE split = 'test'")
+def q_pipeline_artifact(spark, sf):
+    """Encoder and model saved and loaded as one pipeline score raw contacts alike."""
+    from pyspark.ml.functions import vector_to_array
+
+    enc, r = _fit(spark, sf, "LogisticRegression")
+    path = scratch_path(spark, "pipeline")
+    files.save_pipeline(path, enc, r["model"])
+    test = split_contacts(spark, sf).where(F.col("split") == "test")
+    p = F.round(vector_to_array("probability")[1], 9)
+    given = r["model"].transform(model_ops.assemble(enc.transform(test, keep=["contact_id", "y"]), enc.feature_names(), "y"))
+    loaded = files.load_pipeline(spark, path).transform(test)
+    both = given.select("contact_id", p.alias("a")).join(loaded.select("contact_id", p.alias("b")), "contact_id")
+    return both.select("contact_id", (F.col("a") == F.col("b")).alias("same"))
+
+
+_MIXED = """CASE event_id % 5 WHEN 0 THEN 'not json' WHEN 1 THEN '{"other": true}' WHEN 2 THEN '{"output": {"p": "high"}}'
+  WHEN 3 THEN concat('{"output": {"p": ', CAST(event_id % 100 AS STRING), ', "tags": [7, ', CAST(event_id AS STRING), ']}}')
+  ELSE concat('{"output": {"p": ', CAST(event_id % 50 AS STRING), '}, "input": ', props, '}') END"""
+
+
+@query("dynamic_log", """SELECT event_id,
+  CAST(CASE event_id % 5 WHEN 3 THEN event_id % 100 WHEN 4 THEN event_id % 50 ELSE -1 END AS INTEGER) AS p,
+  CAST(CASE WHEN event_id % 5 = 3 THEN event_id ELSE -1 END AS BIGINT) AS tag,
+  CAST(CASE WHEN event_id % 5 = 4 THEN CAST(json_extract_string(props, '$.k') AS INTEGER) ELSE -1 END AS INTEGER) AS k,
+  event_id % 5 <> 0 AS is_json, strftime(ts, '%Y-%m-%d %H:%M:%S UTC') AS logged_at
+FROM events""")
+def q_dynamic_log(spark, sf):
+    """Records of five shapes in one VARIANT column, written, read back and taken apart."""
+    ev = read_table(spark, sf, "events").withColumn("record", F.expr(_MIXED))
+    path = scratch_path(spark, "dynamic-log")
+    both = ev.withColumn("id_text", F.col("event_id").cast("string"))
+    log_tables.append_prediction_log(log_tables.variant_records(both, ["record", "id_text"], "ts"), path)
+    log = log_tables.read_log(spark, path)
+    field = log_tables.log_field
+    return log.select(field("id_text", "$", "bigint").alias("event_id"), field("record", "$.output.p", "int", -1).alias("p"),
+                      field("record", "$.output.tags[1]", "bigint", -1).alias("tag"), field("record", "$.input.k", "int", -1).alias("k"),
+                      F.col("record").isNotNull().alias("is_json"), "logged_at")
+
+
+@query("dynamic_log_summary", """SELECT count(*) AS records, count(p) AS scored, CAST(sum(CASE WHEN p >= 25 THEN 1 ELSE 0 END) AS BIGINT) AS positive,
+  coalesce(round(avg(p), 6), 0.0) AS mean_probability
+FROM (SELECT CAST(CASE event_id % 5 WHEN 3 THEN event_id % 100 WHEN 4 THEN event_id % 50 END AS DOUBLE) AS p FROM events)""")
+def q_dynamic_log_summary(spark, sf):
+    """Totals over records of which some lack the field or hold another type there."""
+    ev = read_table(spark, sf, "events").withColumn("record", F.expr(_MIXED))
+    return log_tables.variant_summary(log_tables.variant_records(ev, ["record"], "ts"), "record", "$.output.p", 25.0)
+
+
 _RUN_KEYS = [("metric", f"{s}_{m}") for s in ("val", "test") for m in ("accuracy", "f1", "pr_auc", "precision", "recall", "roc_auc")]
 _RUN_KEYS += [("metric", "tuned_threshold"), ("param", "C"), ("param", "class_weight"), ("param", "max_iter"), ("param", "solver")]
 

@@ -99,6 +99,24 @@ def load_scorer(spark: SparkSession, base: str):
     return model, load_encoder(spark, f"{base}/encoder"), card
 
 
+def save_pipeline(base: str, encoder: FeatureEncoder, model) -> None:
+    """Encoder and a Spark ML model as one ``PipelineModel`` under ``base``."""
+    from pyspark.ml import PipelineModel
+
+    from ..operators.encoder_stage import EncoderStage
+
+    PipelineModel([EncoderStage(encoder=encoder), model]).write().overwrite().save(base)
+
+
+def load_pipeline(spark: SparkSession, base: str):
+    """The saved ``PipelineModel``: its ``transform`` takes raw contacts."""
+    from pyspark.ml import PipelineModel
+
+    if not _exists(spark, base):
+        raise FileNotFoundError(f"Missing artifact: {base}. Save a pipeline first.")
+    return PipelineModel.load(base)
+
+
 def customers_of_json(df: DataFrame, col: str, schema: T.StructType = CUSTOMER_SCHEMA) -> DataFrame:
     """S6 on a column of JSON texts, each an object or an array of objects."""
     text = F.ltrim(F.col(col))

@@ -53,5 +53,32 @@ def append_research_log(records: DataFrame, path: str) -> None:
     records.write.mode("append").parquet(path)
 
 
+# -- records without a schema ------------------------------------------------------
+
+
+def variant_records(records: DataFrame, fields: list[str], ts_col: str | None = None) -> DataFrame:
+    """JSON texts as VARIANT columns with the log's times.  Records of any shape go into one table;
+    a text that is not JSON becomes NULL."""
+    ts = F.col(ts_col) if ts_col else F.current_timestamp()
+    return records.select(*[F.try_parse_json(F.col(f"`{c}`")).alias(c) for c in fields], ts.alias("timestamp"),
+                          utc_text(ts).alias("logged_at"))
+
+
+def log_field(column: str, path: str, kind: str, default=None):
+    """A field of a VARIANT column; ``default`` where the record, the path or the type is missing."""
+    found = F.try_variant_get(F.col(column), path, kind)
+    return found if default is None else F.coalesce(found, F.lit(default).cast(kind))
+
+
+def variant_summary(log: DataFrame, column: str = "output", path: str = "$.probability_of_subscription",
+                    cut: float = 0.5) -> DataFrame:
+    """One row over records of any shape: records, those with a probability, positive ones, and the mean
+    of the probabilities there are (0 without any)."""
+    p = log_field(column, path, "double")
+    return log.agg(F.count(F.lit(1)).alias("records"), F.count(p).alias("scored"),
+                   F.sum(F.when(p >= cut, 1).otherwise(0)).cast("long").alias("positive"),
+                   F.coalesce(F.round(F.avg(p), 6), F.lit(0.0)).alias("mean_probability"))
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

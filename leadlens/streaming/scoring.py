@@ -4,9 +4,9 @@
   Parquet sink with a checkpoint (exactly-once file sink), append mode.
 * ``append_prediction_log`` -- the log append as a stream (T2).
 * ``tier_counts_stream`` -- live tier counts.  Three keys, so the state is
-  bounded without a watermark; each micro-batch's updated totals are appended
-  with their epoch through ``foreachBatch`` (a file sink cannot take update
-  mode) and read back as the latest total per tier.
+  bounded without a watermark.  The totals live in the query's state store alone:
+  there is no sink, and ``latest_tier_counts`` reads them from the checkpoint with
+  the ``statestore`` source, so an epoch adds no table rows or files of its own.
 
 Tests and the registered query drive them with ``trigger(availableNow=True)``
 over a Parquet file source, which makes a stream run to completion
@@ -68,37 +68,30 @@ def append_prediction_log(records: DataFrame, sink_path: str, checkpoint: str,
     return w.start()
 
 
-def tier_counts_stream(stream: DataFrame, sink_path: str, checkpoint: str,
-                       prob: str = "probability", available_now: bool = True,
-                       state_partitions: int = 4):
-    """Running counts per tier (high / medium / low), rewritten each batch.
+def state_session(spark: SparkSession, partitions: int = 4) -> SparkSession:
+    """A session of the same application whose streams keep their state in ``partitions`` state-store
+    partitions (fixed in a checkpoint when its query first starts); the given session's settings
+    stay as they are."""
+    other = spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
+        other.conf.set(key, spark.conf.get(key))
+    other.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    return other
 
-    The state holds three keys, so it is kept in ``state_partitions`` state-store
-    partitions (fixed in the checkpoint when the query first starts) instead of
-    one per shuffle partition; map-side partial aggregation absorbs the volume.
+
+def tier_counts_stream(stream: DataFrame, checkpoint: str, prob: str = "probability", available_now: bool = True):
+    """Running counts per tier (high / medium / low), kept in the state under ``checkpoint``.
+
+    The state holds three keys: start the stream from a :func:`state_session` to keep it in a few
+    partitions instead of one per shuffle partition; map-side partial aggregation absorbs the
+    volume.
     """
     pct = F.round(F.col(prob), 4) * 100
-    counts = stream.where(F.col(prob).isNotNull()).groupBy(tier(pct).alias("tier")) \
-                   .agg(F.count("*").alias("n"))
-
-    def upsert(batch: DataFrame, epoch_id: int) -> None:
-        # update mode: the batch holds the new totals of the tiers that changed
-        # (<= 3 rows).  Appending them tagged with the epoch keeps the sink
-        # idempotent -- a replayed epoch writes the same values again -- and the
-        # reader takes the latest total per tier.
-        batch.select("tier", "n", F.lit(epoch_id).cast("long").alias("epoch")) \
-             .coalesce(1).write.mode("append").parquet(sink_path)
-
-    w = counts.writeStream.outputMode("update").foreachBatch(upsert) \
-              .option("checkpointLocation", checkpoint)
+    named = stream.where(F.col(prob).isNotNull()).select(tier(pct).alias("tier"))
+    counts = named.groupBy("tier").agg(F.count("*").alias("n"))
+    w = counts.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    spark = stream.sparkSession
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
-    try:
-        return w.start()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    return w.start()
 
 
 def run_to_completion(query) -> None:
@@ -109,15 +102,14 @@ def run_to_completion(query) -> None:
 
 def tier_counts_from_table(spark: SparkSession, table_path: str, prob_expr,
                            base: str | None = None) -> DataFrame:
-    """Run T3 over a Parquet table as a file stream and return the sink as a batch."""
+    """Run T3 over a Parquet table as a file stream and return its totals as a batch."""
     base = base or scratch_path(spark, "tier-stream")
-    src = file_stream(spark, table_path).select(prob_expr.alias("probability"))
-    q = tier_counts_stream(src, os.path.join(base, "sink"), os.path.join(base, "ckpt"))
-    run_to_completion(q)
-    return latest_tier_counts(spark, os.path.join(base, "sink"))
+    src = file_stream(state_session(spark), table_path).select(prob_expr.alias("probability"))
+    run_to_completion(tier_counts_stream(src, os.path.join(base, "ckpt")))
+    return latest_tier_counts(spark, os.path.join(base, "ckpt"))
 
 
-def latest_tier_counts(spark: SparkSession, sink_path: str) -> DataFrame:
-    """Current totals from the upsert log written by ``tier_counts_stream``."""
-    log = spark.read.parquet(sink_path)
-    return log.groupBy("tier").agg(F.max_by("n", "epoch").alias("n"))
+def latest_tier_counts(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Totals after the last epoch, from the state store under ``checkpoint``."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select(F.col("key.tier").alias("tier"), F.col("value.count").alias("n"))

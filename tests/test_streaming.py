@@ -8,7 +8,7 @@ from leadlens.operators import models, scoring
 from leadlens.operators.features import FeatureEncoder
 from leadlens.operators.logs import tier_distribution
 from leadlens.streaming.scoring import (file_stream, latest_tier_counts, run_to_completion,
-                                        score_stream, tier_counts_stream)
+                                        score_stream, state_session, tier_counts_stream)
 
 
 def _fixture(spark):
@@ -36,16 +36,25 @@ def test_stream_scoring_matches_batch(spark, tmp_path):
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
 
 
-def test_tier_counts_stream(spark, tmp_path):
-    probs = spark.createDataFrame([(i / 100.0,) for i in range(100)] * 3, "probability double")
-    src = str(tmp_path / "p")
-    probs.repartition(3).write.parquet(src)
-    q = tier_counts_stream(file_stream(spark, src, max_files=1), str(tmp_path / "sink"),
-                           str(tmp_path / "ckpt"))
-    run_to_completion(q)
-    live = {r["tier"]: r["n"] for r in latest_tier_counts(spark, str(tmp_path / "sink")).collect()}
-    batch = {r["tier"]: r["n"] for r in tier_distribution(probs).collect()}
-    assert live == batch == {"high": 120, "medium": 90, "low": 90}
+def test_tier_counts_live_in_the_state_store(spark, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    src, checkpoint = str(tmp_path / "p"), str(tmp_path / "ckpt")
+    small = state_session(spark, 2)
+    seen = []
+    for epoch in range(12):
+        probs = spark.createDataFrame([(i / 100.0,) for i in range(100)] + [(None,)], "probability double")
+        probs.coalesce(1).write.mode("append").parquet(src)
+        run_to_completion(tier_counts_stream(file_stream(small, src, max_files=1), checkpoint))
+        live = {r["tier"]: r["n"] for r in latest_tier_counts(spark, checkpoint).collect()}
+        assert live == {"high": 40 * (epoch + 1), "medium": 30 * (epoch + 1), "low": 30 * (epoch + 1)}
+        seen.append(latest_tier_counts(spark, checkpoint).count())
+    assert set(seen) == {3}                     # three rows, however many epochs
+    assert not os.path.exists(str(tmp_path / "sink"))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    batch = {r["tier"]: r["n"] for r in tier_distribution(spark.read.parquet(src).where("probability IS NOT NULL")).collect()}
+    assert live == batch
+    states = [n for n in os.listdir(os.path.join(checkpoint, "state", "0")) if n.isdigit()]
+    assert len(states) == 2
 
 
 def test_prediction_log_stream_appends_once(spark, tmp_path):
