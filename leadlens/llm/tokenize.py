@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 
 from .common import ranges, slices
 
-#: Pieces that a Python worker keeps, some 60 bytes each; later ones are encoded per slice.
-CACHE_PIECES = 1_500_000
+#: Pieces that a Python worker keeps, some 200 bytes each; later ones are encoded per slice.
+CACHE_PIECES = 600_000
 
 #: Stands for a line feed before a piece.
 _LINE = "\ue000"
@@ -55,7 +55,7 @@ class WordTokenizer:
         self.mark = "\t" if leading_blank else "|"
         self.mark_id, self.line_id = (self.tok.encode(m, add_special_tokens=False).ids[0] if m else 0
                                       for m in (self.mark, "\n" if leading_blank else ""))
-        self.known = pa.array([], pa.string())
+        self.known: dict[str, int] = {}  # one table for all slices
         self.store = _Store()
 
     def _direct(self, items: list[str]) -> list[np.ndarray]:
@@ -105,14 +105,17 @@ class WordTokenizer:
 
     def _look_up(self, pieces: pa.Array) -> "_Store":
         """A store that holds the ids of ``pieces`` in their order."""
-        at = pc.index_in(pieces, value_set=self.known)
-        missing = np.asarray(pc.is_null(at))
-        at = np.asarray(pc.fill_null(at, 0)).astype(np.int64)
-        new = pieces.filter(pa.array(missing))
-        here = self.store.then(self._pieces(new.to_pylist()))
-        at[missing] = len(self.known) + np.arange(len(new))
-        if len(self.known) < CACHE_PIECES:
-            self.known = pa.concat_arrays([self.known, new])
+        items = pieces.to_pylist()
+        at = np.fromiter((self.known.get(p, -1) for p in items), np.int64, len(items))
+        missing = np.flatnonzero(at < 0)
+        if not len(missing):
+            return _Store(self.store.ids, self.store.starts[at], self.store.lengths[at])
+        new = [items[i] for i in missing.tolist()]
+        size = len(self.known)
+        here = self.store.then(self._pieces(new))
+        at[missing] = size + np.arange(len(new))
+        if size < CACHE_PIECES:
+            self.known.update(zip(new, range(size, size + len(new))))
             self.store = here
         return _Store(here.ids, here.starts[at], here.lengths[at])
 
