@@ -7,6 +7,10 @@ happens where the documents lie: a group is the documents of one input partition
 ``GROUP_IDS`` ids, so nothing is shuffled, memory is bounded by the group and a lost task is
 repeated alone.  A group leaves about one window partly filled.
 
+A sequence is padded to the window's length, except one whose ids are a power of two in number, which
+stays as it is: ``padded_length`` says so for each piece's sequence.  Every group may leave one
+window partly filled, so very many tiny partitions pad more: coalesce them first.
+
 Defined results: a null text is the empty text (its end id alone); a null doc_id stays null;
 repeated rows are packed once each; an empty table gives no pieces; columns other than
 ``doc_id`` and ``text`` are ignored, whatever their names.
@@ -30,7 +34,7 @@ END_ID = 2
 GROUP_IDS = 8_000_000
 
 _SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
-           "sequence_id long, `offset` long")
+           "sequence_id long, `offset` long, padded_length long")
 
 
 class OpenWindows:
@@ -107,10 +111,19 @@ def pack_group(lengths: np.ndarray, window: int, first: int) -> tuple[np.ndarray
     return doc, start, length, sequence, offset, new
 
 
+def padded_lengths(sequence: np.ndarray, length: np.ndarray, window: int) -> np.ndarray:
+    """For each piece the padded length of its sequence."""
+    if not len(sequence):
+        return np.zeros(0, np.int64)
+    used = np.bincount(sequence - sequence.min(), length).astype(np.int64)
+    return np.where(used & (used - 1) == 0, used, window)[sequence - sequence.min()]
+
+
 def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID,
          group_ids: int = GROUP_IDS, with_ids: bool = False) -> DataFrame:
     """One row per piece: its document, start in it, length, crc32 of its ids, the document's
-    ids in all, the sequence and the offset there (gapless from 0).  ``with_ids`` adds the ids.
+    ids in all, the sequence, the offset there (gapless from 0) and the sequence's length with
+    padding.  ``with_ids`` adds the ids.
     ``sequence_id`` is unique, not dense: the task's partition in the upper bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,8 +140,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
             parts = [ids[a:b] for a, b in zip(lo.tolist(), (lo + length).tolist())]
             columns = [doc_ids.take(pa.array(doc)), pa.array(start), pa.array(length),
                        pa.array([crc32_ids(p) for p in parts], pa.int64()), pa.array(lengths[doc]),
-                       pa.array(sequence), pa.array(offset)]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+                       pa.array(sequence), pa.array(offset), pa.array(padded_lengths(sequence, length, window))]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length"]
             if with_ids:
                 columns.append(pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32())))
                 names.append("ids")

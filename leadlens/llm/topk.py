@@ -2,8 +2,9 @@
 
 Vectors are turned into blocks of at most ``BLOCK_ROWS`` rows in vertical layout (one run of
 values per dimension).  Queries form blocks of about ``QUERY_ROWS``.  A join on (group of data
-blocks, query block) brings each query block to groups of about ``GROUP_BLOCKS`` data blocks;
-a task holds one such pair at a time.
+blocks, query block) brings each query block to groups of about ``GROUP_BLOCKS`` data blocks, so
+both sides of a pair have about as many rows and what is copied per pair of rows is least; a
+task holds one such pair at a time.
 
 Inside, scores accumulate one block of ``DIMS`` dimensions after the other.  What the later
 dimensions can still add is at most the product of the remaining norms (Cauchy-Schwarz), so a
@@ -37,8 +38,9 @@ from .common import column, table
 K = 10
 SCALE = 1024
 BLOCK_ROWS = 4096
-QUERY_ROWS = 1024
-GROUP_BLOCKS = 16
+QUERY_ROWS = 4096
+GROUP_BLOCKS = 1
+MAX_TASKS = 20_000
 DIMS = 8
 
 _BLOCK = "part long, block long, n int, dims int, ids binary, vectors binary"
@@ -180,6 +182,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
                 out += [(query, int(v), int(s)) for s, v in zip(best.scores[i], best.ids[i])]
         return pa.table([pa.array([o[j] for o in out], pa.int64()) for j in range(3)], names=names)
 
+    # a cell is small in bytes and large in work: cells are dealt one to a task, not by their size
+    tasks = min(n_groups * n_query_blocks, MAX_TASKS)
+    d, q = d.repartition(tasks, "g", "qb"), q.repartition(tasks, "g", "qb")
     found = d.groupBy("g", "qb").cogroup(q.groupBy("g", "qb")).applyInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(

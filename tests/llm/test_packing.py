@@ -69,6 +69,11 @@ def test_pack_whole_documents(spark):
     path = vocabulary_path("word_bpe_49k.json")
     got = packing.pack(docs, path, window=32, with_ids=True).collect()
     check_gapless([r.sequence_id for r in got], [r.offset for r in got], [r.length for r in got], 32)
+    used = defaultdict(int)
+    for r in got:
+        used[r.sequence_id] += r.length
+    assert all(r.padded_length == (used[r.sequence_id] if used[r.sequence_id] in (1, 2, 4, 8, 16) else 32) for r in got)
+    assert packing.padded_lengths(np.array([9, 9, 7, 8]), np.array([3, 5, 6, 4096]), 4096).tolist() == [8, 8, 4096, 4096]
     tok = Tokenizer.from_file(path)
     want = sorted((str(d), tok.encode(t or "", add_special_tokens=False).ids + [2]) for d, t, _ in rows)
     joined = defaultdict(list)
