@@ -31,6 +31,9 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, shuffle_partitions
 
+PART_ROWS = 500_000  # rows of all pairs that one task counts, whatever the size of the table
+
+
 def _pairs_of(n) -> F.Column:
     """n * (n - 1) without overflow."""
     wide = n.cast("decimal(19,0)")
@@ -85,9 +88,10 @@ def tau_b_pairs(df: DataFrame, pairs: list[tuple[str, str]],
     (pair, x, y) rows and every pass partitions by the pair first, so the job
     count does not grow with the number of pairs."""
     spark = df.sparkSession
-    n_parts = num_partitions or shuffle_partitions(spark)
     cols = sorted({c for p in pairs for c in p})
     base = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    base = materialize(base, "kendall-columns")  # read by every count below
+    n_parts = num_partitions or max(shuffle_partitions(spark), -(-base.count() * len(pairs) // PART_ROWS))
     idx = {c: f"c{i}" for i, c in enumerate(cols)}
     stacked = F.explode(F.array(*[
         F.struct(F.lit(j).alias("pair"), F.col(idx[a]).alias("x"), F.col(idx[b]).alias("y"))

@@ -20,6 +20,21 @@ from .features import FeatureEncoder
 from .models import assemble
 
 
+class LinearScorer:
+    """A logistic model given by its coefficients (from a card, a table or another system); scores like
+    a fitted Spark ML classifier, in the JVM alone."""
+
+    def __init__(self, coefficients: Sequence[float], intercept: float):
+        self.coefficients, self.intercept = [float(c) for c in coefficients], float(intercept)
+
+    def transform(self, df: DataFrame, features_col: str = "features") -> DataFrame:
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+
+        terms = F.zip_with(vector_to_array(features_col), F.array(*[F.lit(c) for c in self.coefficients]), lambda x, c: x * c)
+        p = 1 / (1 + F.exp(-(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) + F.lit(self.intercept))))
+        return df.withColumn("probability", array_to_vector(F.array(1 - p, p)))
+
+
 def with_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
     """Q5: fill fields a form omits -- missing columns are added, NULLs coalesced."""
     out = df

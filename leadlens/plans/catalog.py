@@ -1083,6 +1083,112 @@ def q_stream_score(spark, sf):
     return spark.read.parquet(os.path.join(base, "sink")).drop("timestamp", "logged_at")
 
 
+def _fixed_names() -> list[str]:
+    return [f"num__{c}" for c in NUM] + ["ord__priority"] + [f"ohe__{c}_{v}" for c in _NOMINAL for v in _DOMAINS[c]]
+
+
+#: Coefficients of a model that is given, not fitted, so that SQL can score as well.
+_FIXED = [((7 * i) % 13 - 6) / 10 for i in range(len(_fixed_names()))]
+_FIXED_BASE, _FIXED_CUT = -0.25, 0.4
+_FIXED_MARGIN = " + ".join(f'({c}) * "{n}"' for c, n in zip(_FIXED, _fixed_names())) + f" + ({_FIXED_BASE})"
+
+
+def _fixed_sql(where: str) -> str:
+    return f"""WITH enc AS ({_encoder_sql(None)}),
+p AS (SELECT contact_id, 1 / (1 + exp(-({_FIXED_MARGIN}))) AS p FROM enc{where})
+SELECT contact_id, round(p, 4) AS probability_of_subscription, CAST(p >= {_FIXED_CUT} AS INTEGER) AS prediction_class,
+       CASE WHEN p >= {_FIXED_CUT} THEN '{RECOMMEND_YES}' ELSE '{RECOMMEND_NO}' END AS recommendation, {_FIXED_CUT} AS threshold_used
+FROM p"""
+
+
+def _fixed_parts(spark, sf):
+    """(encoder with all categories of the oracle, scorer, contacts)."""
+    split = split_contacts(spark, sf)
+    enc = encoder_for(split.where(F.col("split") == "train"))
+    for c in _NOMINAL:  # a small table may lack a category; it still has its coefficient
+        enc.categories[c] = _DOMAINS[c]
+    return enc, scoring.LinearScorer(_FIXED, _FIXED_BASE), split
+
+
+@query("score_given_model", _fixed_sql(""))
+def q_score_given(spark, sf):
+    """Q1, Q2: every contact scored by a model of given coefficients, value by value."""
+    enc, model, _ = _fixed_parts(spark, sf)
+    return scoring.score_batch(clean_contacts(spark, sf), enc, model, _FIXED_CUT, id_cols=["contact_id"])
+
+
+@query("stream_given_model", _fixed_sql(""))
+def q_stream_given(spark, sf):
+    """The same contacts as a file stream of several batches."""
+    import os
+
+    from ..session import scratch_path
+    from ..streaming.scoring import file_stream, run_to_completion, score_stream
+
+    enc, model, _ = _fixed_parts(spark, sf)
+    base = scratch_path(spark, "given-stream")
+    clean_contacts(spark, sf).repartition(4).write.parquet(os.path.join(base, "src"))
+    q = score_stream(file_stream(spark, os.path.join(base, "src"), max_files=1), enc, model, _FIXED_CUT, os.path.join(base, "sink"),
+                     os.path.join(base, "ckpt"), id_cols=["contact_id"])
+    run_to_completion(q)
+    return spark.read.parquet(os.path.join(base, "sink")).drop("timestamp", "logged_at")
+
+
+def _given_attribution_sql() -> str:
+    names = _fixed_names()
+    means = ", ".join(f'avg(CASE WHEN split = \'train\' THEN "{n}" END) AS m{i}' for i, n in enumerate(names))
+    items = ", ".join(f"{{'feature': '{n}', 'value': \"{n}\", 'attribution': ({c}) * (\"{n}\" - m{i})}}"
+                      for i, (n, c) in enumerate(zip(names, _FIXED)))
+    return f"""WITH enc AS ({_encoder_sql(None)}), st2 AS (SELECT {means} FROM enc),
+e AS (SELECT contact_id, unnest([{items}]) AS f FROM enc, st2 WHERE split = 'test')
+SELECT contact_id, f.feature AS feature, round(f.value, 6) + 0.0 AS value, round(f.attribution, 6) + 0.0 AS attribution FROM e"""
+
+
+@query("attributions_given_model", _given_attribution_sql())
+def q_attributions_given(spark, sf):
+    """Every contribution of the given model to every test contact's margin."""
+    enc, model, split = _fixed_parts(spark, sf)
+    names = enc.feature_names()
+    train = enc.transform(split.where(F.col("split") == "train"))
+    row = train.agg(*[F.avg(F.col(f"`{n}`")).alias(f"m{i}") for i, n in enumerate(names)]).first()
+    means = {n: row[f"m{i}"] for i, n in enumerate(names)}
+    attr = scoring.linear_attributions(split.where(F.col("split") == "test"), enc, model.coefficients, model.intercept, means, "contact_id")
+    # + 0.0: no negative zeros
+    return attr.select("contact_id", "feature", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("value", "attribution")])
+
+
+@query("explain_given_model", f"""WITH a AS ({_given_attribution_sql()})
+SELECT feature, value, attribution, CAST(row_number() OVER (ORDER BY abs(attribution) DESC, feature) AS INTEGER) AS place
+FROM a WHERE contact_id = (SELECT min(contact_id) FROM a)""")
+def q_explain_given(spark, sf):
+    """The first test contact's contributions, largest first."""
+    from pyspark.sql import Window
+
+    attr = q_attributions_given(spark, sf)
+    first = attr.select(F.min("contact_id")).first()[0]
+    one = scoring.explain_row(attr, "contact_id", first)  # one row per feature
+    place = F.row_number().over(Window.orderBy(F.desc(F.abs("attribution")), "feature"))
+    return one.select("feature", "value", "attribution", place.alias("place"))
+
+
+@query("attribution_rank_given_model", f"""WITH a AS ({_given_attribution_sql()})
+SELECT feature, round(avg(abs(attribution)), 4) AS mean_abs_attribution FROM a GROUP BY feature""")
+def q_rank_given(spark, sf):
+    """Mean absolute contribution per feature."""
+    rank = scoring.attribution_rank(q_attributions_given(spark, sf))
+    return rank.select("feature", F.round("mean_abs_attribution", 4).alias("mean_abs_attribution"))
+
+
+@query("dependence_given_model", f"""WITH a AS ({_given_attribution_sql()})
+SELECT contact_id, max(value) FILTER (WHERE feature = 'num__total_price') AS num__total_price,
+       max(attribution) FILTER (WHERE feature = 'num__total_price') AS attribution,
+       max(value) FILTER (WHERE feature = 'num__acct_balance') AS num__acct_balance
+FROM a GROUP BY contact_id""")
+def q_dependence_given(spark, sf):
+    """A feature's value and contribution beside another feature's value, per test contact."""
+    return scoring.attribution_dependence(q_attributions_given(spark, sf), "contact_id", "num__total_price", "num__acct_balance")
+
+
 # --- sources round trips and sampling -------------------------------------------
 
 @query("sample_contacts", f"""{WITH_CONTACTS}
