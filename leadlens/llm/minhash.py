@@ -154,28 +154,48 @@ def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _cells(groups: DataFrame) -> DataFrame:
-    """Rows (leader, node, n, near) dealt to the cells of their group's grid.
+def _blocks(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """The nodes of groups (leader, node, n, near) in blocks of their group: one row per block with its
+    nodes' sets, and the number of blocks of far and of near nodes.
 
     A group's nodes fall into blocks of about ``BLOCK_NODES`` nodes or ``BLOCK_SHINGLES`` shingles,
-    those linked with the leader (near, the leader itself too) apart from the others.  A cell holds
-    two blocks (``bi <= bj``); cells of two near blocks are left out, and groups without others."""
+    those linked with the leader (near, the leader itself too) behind the others; groups without
+    others are left out."""
     def blocks(near):
         size = F.sum(F.when(F.col("near") == near, 1).otherwise(0))
         sum_n = F.sum(F.when(F.col("near") == near, F.col("n")).otherwise(0))
         return F.ceil(F.greatest(size / BLOCK_NODES, sum_n / BLOCK_SHINGLES)).cast("int")
 
     mixed = groups.groupBy("leader").agg(blocks(True).alias("major"), blocks(False).alias("minor")).filter("minor > 0")
-    rows = groups.join(mixed, "leader")
+    rows = groups.join(materialize(mixed, "mixed"), "leader")  # written: a large group can be split in the join
     share = F.xxhash64("node")
     block = F.when(F.col("near"), F.col("minor") + F.pmod(share, F.col("major"))).otherwise(
         F.pmod(share, F.col("minor"))).cast("int")
-    rows = rows.withColumn("block", block)
-    partner = F.when(F.col("near"), F.sequence(F.lit(0), F.col("minor") - 1)).otherwise(
+    rows = rows.select("leader", "major", "minor", block.alias("block"), "node",
+                       F.when(F.col("near"), F.col("leader")).otherwise(F.col("node")).alias("component")).join(sets, "node")
+
+    def pack(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        order = np.argsort(np.asarray(part["node"]), kind="stable")
+        blobs = [part["shingles"][int(i)].as_buffer() for i in order]
+        return pa.table({c: part[c].slice(0, 1) for c in ("leader", "major", "minor", "block")} | {
+            "node": pa.array([np.asarray(part["node"])[order].tobytes()], pa.binary()),
+            "component": pa.array([np.asarray(part["component"])[order].tobytes()], pa.binary()),
+            "size": pa.array([np.array([x.size // 8 for x in blobs], np.int64).tobytes()], pa.binary()),
+            "shingles": pa.array([b"".join(blobs)], pa.binary())})
+
+    schema = "leader long, major int, minor int, block int, node binary, component binary, size binary, shingles binary"
+    return rows.groupBy("leader", "block").applyInArrow(pack, schema)
+
+
+def _cells(blocks: DataFrame) -> DataFrame:
+    """Block rows dealt to the cells of their group's grid: a cell holds two blocks (``bi <= bj``);
+    cells of two near blocks are left out."""
+    near = F.col("block") >= F.col("minor")
+    partner = F.when(near, F.sequence(F.lit(0), F.col("minor") - 1)).otherwise(
         F.sequence(F.lit(0), F.col("minor") + F.col("major") - 1))
-    rows = rows.withColumn("other", F.explode(partner))
-    return rows.select("leader", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
-                       "block", "node", F.when(F.col("near"), F.col("leader")).otherwise(F.col("node")).alias("component"))
+    rows = blocks.withColumn("other", F.explode(partner))
+    return rows.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
 
 
 def cell_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, component: np.ndarray,
@@ -222,16 +242,19 @@ def _across(groups: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Links (a, b) of nodes that their group's leader is not linked with (leader, node, n, near)."""
 
     def run(cell: pa.Table) -> pa.Table:
-        shingle_sets = [np.frombuffer(s, np.uint64) for s in cell.column("shingles").to_pylist()]
-        block = np.asarray(cell.column("block"))
-        bi, bj = cell.column("bi")[0].as_py(), cell.column("bj")[0].as_py()
-        node = np.asarray(cell.column("node"))
-        found = cell_links(shingle_sets, np.flatnonzero(block == bi), np.flatnonzero(block == bj),
-                           np.asarray(cell.column("component")), similarity)
+        parts = sorted(cell.to_pylist(), key=lambda r: r["block"])  # one or two blocks
+        node, component, sizes, block = (np.concatenate(x) for x in zip(*[
+            (np.frombuffer(r["node"], np.int64), np.frombuffer(r["component"], np.int64), np.frombuffer(r["size"], np.int64),
+             np.full(len(r["node"]) // 8, r["block"])) for r in parts]))
+        values = np.frombuffer(b"".join(r["shingles"] for r in parts), np.uint64)
+        ends = np.cumsum(sizes)
+        shingle_sets = [values[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+        bi, bj = parts[0]["bi"], parts[0]["bj"]
+        found = cell_links(shingle_sets, np.flatnonzero(block == bi), np.flatnonzero(block == bj), component, similarity)
         return pa.table({"a": pa.array([int(node[i]) for i, _ in found], pa.int64()),
                          "b": pa.array([int(node[j]) for _, j in found], pa.int64())})
 
-    rows = _cells(groups).join(sets, "node")
+    rows = _cells(materialize(_blocks(groups, sets), "blocks"))
     return rows.groupBy("leader", "bi", "bj").applyInArrow(run, "a long, b long")
 
 

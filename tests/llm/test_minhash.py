@@ -81,6 +81,16 @@ def test_empty_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in got) == [(0, None, True), (2, 2, True), (2, 2, True), (4, 4, True)]
 
 
+def test_cells_are_rows_of_blocks(spark):
+    """Sets travel in their block's row: rows grow with blocks, not with nodes."""
+    made = []
+    for n in (4_000, 16_000):
+        groups = spark.range(n).selectExpr("0L AS leader", "id AS node", "2L AS n", "id = 0 AS near")
+        sets = spark.range(n).selectExpr("id AS node", "cast('0123456701234568' AS binary) AS shingles")
+        made.append(minhash._cells(minhash._blocks(groups, sets)).count())
+    assert made[0] <= 4_000 / 50 and made[1] <= 16_000 / 50
+
+
 def test_chained_components(spark):
     n = 40
     edges = [(i, i + 1) for i in range(n)] + [(100, 101), (101, 100), (200, 200)]
