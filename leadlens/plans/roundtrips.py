@@ -39,7 +39,7 @@ def q_encoder_file(spark, sf):
 
 @query("scorer_files", f"{SPLIT_CTE} SELECT contact_id, true AS same, 'LogisticRegression' AS card_name FROM split WHERE split = 'test'")
 def q_scorer_files(spark, sf):
-    """A saved model, encoder and card score like the ones in memory."""
+    """A saved model, encoder and card score like the ones in memory."""
     enc, r = _fit(spark, sf, "LogisticRegression")
     path = scratch_path(spark, "scorer")
     files.save_scorer(spark, path, r["model"], enc, model_ops.model_card(r))
