@@ -198,9 +198,11 @@ def tree_attributions(df: DataFrame, model, feature_cols: Sequence[str], id_col:
     from pyspark.ml.functions import vector_to_array
 
     from ..session import scratch_path
+    from .boosting import BoostedTrees
 
     spark = df.sparkSession
-    trees = model_trees(model, scratch or scratch_path(spark, "trees"))
+    saved = not isinstance(model, BoostedTrees)  # whose nodes are at hand
+    trees = model_trees(model, scratch or (scratch_path(spark, "trees") if saved else ""))
     bc = spark.sparkContext.broadcast(trees)
     names = list(feature_cols)
 

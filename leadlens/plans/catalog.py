@@ -887,11 +887,16 @@ def _version(spark, sf) -> tuple:
 
 def _encoded(spark, sf):
     """(encoder, written encoded split): the lazy split is evaluated once for all fits."""
+    from ..session import path_exists, scratch_path
+
     key = (spark.sparkContext.applicationId, sf, _version(spark, sf))
-    if key not in _FITTED:
+    if key not in _FITTED or not path_exists(spark, _FITTED[key][1]):  # the scratch folder may have been cleaned
         enc, data = model_data(spark, sf)
-        _FITTED[key] = enc, materialize(data.select("contact_id", "features", "label", "split"), "encoded-split")
-    return (*_FITTED[key], key)
+        path = scratch_path(spark, "encoded-split")
+        data.select("contact_id", "features", "label", "split").write.parquet(path)
+        _FITTED[key] = enc, path
+    enc, path = _FITTED[key]
+    return enc, spark.read.parquet(path), key
 
 
 def _fit(spark, sf, name):
@@ -933,10 +938,10 @@ def q_train_leaf_wise(spark, sf):
 def _saved(spark, sf):
     """Folder with the run log and the best of the compared models."""
     from ..operators import lifecycle
-    from ..session import scratch_path
+    from ..session import path_exists, scratch_path
 
     enc, _, key = _encoded(spark, sf)
-    if (*key, "saved") not in _FITTED:
+    if (*key, "saved") not in _FITTED or not path_exists(spark, f"{_FITTED[(*key, 'saved')]}/best"):
         base = scratch_path(spark, "lifecycle")
         lifecycle.save_results(spark, [_fit(spark, sf, name)[1] for name in _COMPARED], enc, base)
         _FITTED[(*key, "saved")] = base

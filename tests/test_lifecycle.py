@@ -71,3 +71,14 @@ def test_queries_agree_with_the_log(spark):
     for key in ("accuracy", "f1", "pr_auc", "roc_auc"):
         assert found["metrics", key] == pytest.approx(found["logged", key], abs=1e-9)
     assert any(part == "importance" for part, _ in found)
+
+
+def test_queries_outlive_a_cleaned_scratch_folder(spark):
+    from leadlens.session import cleanup_scratch
+
+    q = entry_mod.queries()
+    before = q["train_leaf_wise"](spark, SF_SMALL).count()
+    cleanup_scratch(spark)
+    assert q["train_leaf_wise"](spark, SF_SMALL).count() == before
+    assert q["train_all_saved"](spark, SF_SMALL).where("agrees").count() == 3
+    assert q["tree_attribution_rank"](spark, SF_SMALL).count() == 37
