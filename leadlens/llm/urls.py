@@ -145,9 +145,9 @@ def judge(urls: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str]
 
 
 def document_key(url: Column) -> Column:
-    """The number that ends a url's path, by which a page names its document; null if none."""
+    """The whole number that ends a url's path, by which a page names its document; null if none."""
     _, path = host_and_path(url)
-    number = F.regexp_extract(path, r"([0-9]{1,18})(?:\.[A-Za-z]+)?/?$", 1)
+    number = F.regexp_extract(path, r"([0-9]+)(?:\.[A-Za-z]+)?/?$", 1)
     return F.nullif(F.regexp_replace(number, r"^0+(?=[0-9])", ""), F.lit(""))
 
 

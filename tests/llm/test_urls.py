@@ -117,3 +117,11 @@ def test_branches_below_the_sixth_segment(spark):
         branch, verdict = (("spam", "block"), ("news", "allow"))[i % 2]
         assert verdicts[i] == (verdict, f"{top}/{branch}/**")
     assert top == "/*/*/*/*/*/*/*" and verdicts[900][1] == "/*/*/*/*/*/*/**"
+
+
+def test_a_document_is_named_by_its_whole_number(spark):
+    given = [("http://a.b/x/0042.html", "42"), ("http://a.b/x/42/", "42"), ("http://a.b/9" + "0" * 17 + "42", "9" + "0" * 17 + "42"),
+            ("http://a.b/" + "0" * 30 + "7", "7"), ("http://a.b/000", "0"), ("http://a.b/x7y", None), (None, None)]
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(given)], "i int, url string")
+    got = [r.k for r in df.select("i", urls.document_key(df.url).alias("k")).orderBy("i").collect()]
+    assert got == [k for _, k in given]
