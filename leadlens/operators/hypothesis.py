@@ -1,8 +1,8 @@
 """Hypothesis tests per feature.
 
-All features of one kind are tested in one pass: the table is unpivoted to
-(feature, value, target) and aggregated once by (feature, target) -- sufficient
-statistics (count, mean, sample variance) or cell counts.  The per-feature
+All features of one kind are tested in one pass: numeric columns are aggregated as
+they are by target (count, mean, sample variance), categorical ones are unpivoted to
+(feature, value, target) for their cell counts.  The per-feature
 closed forms then run on a table with one row per feature, and only the
 p-values go through a pandas UDF.
 """
@@ -18,18 +18,18 @@ from ..functions.distributions import chi2_pvalue, f_pvalue, t_pvalue
 from .profiling import unpivot_strings
 
 
-def _numeric_long(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    cols = [F.col(f"`{f}`").cast("double").alias(f) for f in features]
-    return (df.select(F.col(f"`{target}`").alias(target), *cols)
-              .unpivot([target], list(features), "feature", "value")
-              .where(F.col("value").isNotNull() & ~F.isnan("value") & F.col(target).isNotNull()))
-
-
 def group_moments(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """(feature, target, n, mean, var) with the sample variance (ddof = 1)."""
-    return (_numeric_long(df, features, target).groupBy("feature", target)
-            .agg(F.count("*").alias("n"), F.avg("value").alias("mean"),
-                 F.var_samp("value").alias("var")))
+    """(feature, target, n, mean, var) with the sample variance (ddof = 1): one aggregation by target
+    over the columns as they are, then one row per feature and target."""
+    aggs = []
+    for i, f in enumerate(features):
+        x = F.col(f"`{f}`").cast("double")
+        x = F.when(~F.isnan(x), x)
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_samp(x).alias(f"v{i}")]
+    wide = df.where(F.col(f"`{target}`").isNotNull()).groupBy(F.col(f"`{target}`").alias(target)).agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("mean"), F.col(f"v{i}").alias("var"))
+                     for i, f in enumerate(features)])
+    return wide.select(F.col(f"`{target}`"), F.inline(rows)).where(F.col("n") > 0).select("feature", F.col(f"`{target}`"), "n", "mean", "var")
 
 
 def welch_statistics(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
