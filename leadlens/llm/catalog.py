@@ -22,6 +22,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_chat_format": chat.SQL,
     "op4_top_k": topk.SQL,
     "op12_hard_negatives": negatives.SQL,
     "op13_exact_dedup": exact_dedup.SQL,

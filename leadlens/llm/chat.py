@@ -29,7 +29,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlens.session import materialize
@@ -126,6 +126,13 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     return turns.mapInArrow(run, _SEGMENT)
 
 
+def _text_of(segment: str) -> Column:
+    """The unescaped text of a segment column, by which turns of one number and role follow each other."""
+    head = F.locate("\n", F.col(segment))
+    shown = F.substr(F.col(segment), head + 1, F.length(segment) - head - len(CLOSE))
+    return F.regexp_replace(shown, _ESCAPED.pattern, "$1$2")
+
+
 def digests(segments: DataFrame) -> DataFrame:
     """Per conversation, from its segments alone: conv_id, n_turns, turns_sha256, loss_chars,
     loss_sha256, formatted_chars."""
@@ -161,7 +168,8 @@ def digests(segments: DataFrame) -> DataFrame:
         if done:
             yield out()
 
-    ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "segment")
+    ordered = segments.repartition("conv_id").withColumn("text", _text_of("segment"))
+    ordered = ordered.sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.select("conv_id", "segment", "loss_start", "loss_length").mapInArrow(
         run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
@@ -173,3 +181,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     return digests(materialize(format_turns(given.unionByName(extra)), "chat"))
+
+
+#: What a text or role becomes inside a segment, in SQL.
+_SQL_ESCAPE = r"""regexp_replace({0}, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')"""
+_SQL_ROLE = _SQL_ESCAPE.format(r"replace(replace(role, '\', '\\'), chr(10), '\n')")
+
+SQL = rf"""WITH given AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+shown AS (
+  SELECT *, {_SQL_ROLE} AS shown_role,
+         CASE WHEN regexp_matches(text, '</?s>|\[/?INST\]|[<\[]\\+(/?s>|/?INST\])') THEN {_SQL_ESCAPE.format('text')} ELSE text END AS shown_text
+  FROM given)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = '{LOSS_ROLE}'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = '{LOSS_ROLE}'), '')) AS loss_sha256,
+       CAST(sum(length(shown_role) + length(shown_text) + {len(OPEN) + 1 + len(CLOSE)}) AS BIGINT) AS formatted_chars
+FROM shown GROUP BY conv_id"""

@@ -1,6 +1,7 @@
 import hashlib
 from collections import defaultdict
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -38,10 +39,16 @@ def expect(rows):
 def test_digests(spark):
     rows = [(1, 2, "assistant", "second </s>"), (1, 0, "user", None), (1, 1, "assistant", "é\n[INST]"), (2, 0, None, "x"),
             (2, 0, "assistant", "tie"), (2, None, "system", "first"), (None, 0, "assistant", "lost"), (2, 0, "assistant", "tie"),
-            (3, 0, "ro\nle\\n</s>", "<\\/s>" * 2000)]
+            (3, 0, "ro\nle\\n</s>", "<\\/s>" * 2000),
+            *((4, 0, "assistant", x) for x in ("<s>", "<b", "a\t", "a", "<INST] <s>", "<\\INST]", "[\\\\/s>"))]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id int, turn int, role string, text string, segment int").repartition(4)
     got = chat.digests(chat.format_turns(df)).collect()
     assert sorted(map(tuple, got), key=repr) == expect(rows)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id INT, turn INT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    extra = [(-1, i, r, "</s>[INST] ok [/INST]") for i, r in enumerate(("user", "assistant"))]
+    assert sorted(con.execute(chat.SQL).fetchall(), key=repr) == expect(rows + extra)
     assert chat.digests(chat.format_turns(df.limit(0))).collect() == []
 
 
