@@ -38,6 +38,8 @@ CHECKED = {
     "logit_summary": (5, {"p_value": (0, 1), "std_err": (0, 1e9)}),
     "train_logistic": (1, {"val_pr_auc": (0.2, 1), "test_roc_auc": (0.3, 1), "threshold": (0, 1)}),
     "train_boosted": (3, {"val_pr_auc": (0.2, 1), "test_roc_auc": (0.3, 1), "threshold": (0, 1)}),
+    "train_forest": (1, {"trees": (300, 300), "val_pr_auc": (0.2, 1), "test_roc_auc": (0.3, 1), "threshold": (0, 1)}),
+    "forest_attributions": (300, {"score": (0, 1), "base": (0, 1), "adds_up": (True, True)}),
     "train_leaf_wise": (None, {"leaves": (2, 63), "gain": (0, 1e9), "n_rows": (1, 1500)}),
     "train_all_saved": (3 * 13 + 4 + 7 + 8, {}),
     "evaluate_saved": (None, {"value": (0, 1e6)}),
