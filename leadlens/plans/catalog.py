@@ -324,9 +324,46 @@ def q_corr_spearman(spark, sf):
     return multivariate.correlation_matrix(clean_contacts(spark, sf), _CORR, "spearman")
 
 
-@query("logit_summary")
+def _logit_sql(features: list[str], units: list[float], rounds: int = 9) -> str:
+    """Newton steps of the binomial logit, each a weighted Gram matrix solved by elimination with the
+    identity beside it; features are in ``units`` until the end."""
+    k = len(features) + 1
+    ks = range(k)
+    col = "a{}_{}".format
+    xs = ", ".join(["CAST(1 AS DOUBLE) AS x0"] + [f"CAST({f} AS DOUBLE) / {u!r} AS x{i}" for i, (f, u) in enumerate(zip(features, units), 1)])
+    steps = [f"obs AS MATERIALIZED (SELECT {xs}, CAST(y AS DOUBLE) AS y FROM clean WHERE "
+             + " AND ".join(f"{f} IS NOT NULL" for f in [*features, "y"]) + ")",
+             "beta0 AS MATERIALIZED (SELECT " + ", ".join(f"CAST(0 AS DOUBLE) AS b{i}" for i in ks) + ")"]
+    for it in range(1, rounds + 1):
+        eta = " + ".join(f"b{i} * x{i}" for i in ks)
+        gram = [f"sum(p * (1 - p) * x{r} * x{c}) AS {col(r, c)}" for r in ks for c in ks]
+        gram += [f"CAST({int(r == c)} AS DOUBLE) AS {col(r, k + c)}" for r in ks for c in ks]
+        gram += [f"sum((y - p) * x{r}) AS {col(r, 2 * k)}" for r in ks]
+        steps.append(f"e{it}_0 AS MATERIALIZED (SELECT {', '.join(gram)} FROM (SELECT obs.*, 1 / (1 + exp(-({eta}))) AS p FROM obs, beta{it - 1}))")
+        for j in ks:
+            cells = [(f"{col(r, c)} / {col(j, j)}" if r == j else f"{col(r, c)} - {col(r, j)} * {col(j, c)} / {col(j, j)}") + f" AS {col(r, c)}"
+                     for r in ks for c in range(2 * k + 1)]
+            steps.append(f"e{it}_{j + 1} AS MATERIALIZED (SELECT {', '.join(cells)} FROM e{it}_{j})")
+        last = "SELECT " + ", ".join([f"b{i} + {col(i, 2 * k)} AS b{i}" for i in ks] + [f"sqrt({col(i, k + i)}) AS s{i}" for i in ks])
+        steps.append(f"beta{it} AS MATERIALIZED ({last} FROM beta{it - 1}, e{it}_{k})")
+    terms = _union([f"SELECT '{t}' AS term, b{i} / {u!r} AS coef, s{i} / {u!r} AS std_err FROM beta{rounds}"
+                    for i, (t, u) in enumerate(zip(["const", *features], [1.0, *units]))])
+    tail = "greatest(0, 1 - 2 * " + _simpson("exp(-{x} * {x} / 2) / sqrt(2 * pi())", "abs(z)") + ")"
+    body = ",\n".join(steps)
+    return f"""{CLEAN_CTE},
+{body},
+terms AS (SELECT *, coef / std_err AS z FROM ({terms}))
+SELECT term, printf('%.3e', any_value(coef)) AS coef, printf('%.3e', any_value(std_err)) AS std_err,
+       round(any_value(z), 3) AS z, round({tail}, 5) AS p_value
+FROM terms, {_STEPS} GROUP BY term"""
+
+
+@query("logit_summary", _logit_sql(NUM, [{"total_price": 1e5, "acct_balance": 1e4, "pdays": 1e3}.get(f, 1.0) for f in NUM]))
 def q_logit(spark, sf):
-    return multivariate.logit_summary(clean_contacts(spark, sf), NUM, "y")
+    """Coefficients and errors to four digits, as text (their sizes differ by powers of ten)."""
+    out = multivariate.logit_summary(clean_contacts(spark, sf), NUM, "y")
+    return out.select("term", F.format_string("%.3e", "coef").alias("coef"), F.format_string("%.3e", "std_err").alias("std_err"),
+                      F.round("z", 3).alias("z"), F.round("p_value", 5).alias("p_value"))
 
 
 # --- step 4: features ----------------------------------------------------------
