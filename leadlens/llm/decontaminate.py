@@ -21,8 +21,10 @@ digits and non-ASCII characters, with A-Z lower-cased; the vocabulary is that of
    the answer also occurs (``ANSWER`` of the words of the item's ``answer``; without such a column the
    passage's last fifth stands for it).
 
-The benchmark is read in blocks of ``ITEM_BLOCK`` items, so what goes to every task is bounded
-(vocabulary and vectors of one block); more items mean more passes over the documents.
+The benchmark is read in blocks of ``ITEM_BLOCK`` items, and ``PASS_BLOCKS`` blocks share one vocabulary
+and one reading of the documents, so what goes to every task is bounded (the vocabulary of a pass,
+then the vectors of one block); more items mean more passes over the documents, and every block one
+over their written numbers.
 
 Defined results: items with fewer than ``MIN_WORDS`` words (null and empty texts included) match
 nothing; null or empty documents match nothing; repeated items are told apart only by item_id;
@@ -52,6 +54,7 @@ COSINE = 0.45
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
 MIN_WORDS = 5
 ITEM_BLOCK = 1000
+PASS_BLOCKS = 20  # blocks that share one reading of the documents
 SEEDS = 3  # rare words of a passage that must meet; any number loses nothing, more give fewer candidates
 SEED_HITS = 1_000_000  # occurrences of rare words that are sorted together
 SUM_ROWS = 64  # rows of a matrix sum that travel together
@@ -332,23 +335,43 @@ class Index:
         return [(r, p, c, s, a) for (r, p), (s, a, c) in found.items()]
 
 
-def _search_block(docs: DataFrame, items: list[tuple[int | None, str, str | None]]) -> DataFrame | None:
+def _search_pass(docs: DataFrame, blocks: list[Passages]) -> DataFrame | None:
+    """Matches of some blocks of passages: the documents are read, and their words numbered and counted,
+    once for all of them; each block searches the written numbers with an index of its own."""
     spark = docs.sparkSession
-    passages = Passages(items)
-    if not passages.item:
+    blocks = [passages for passages in blocks if passages.item]
+    if not blocks:
         return None
-    n_terms = len(passages.vocabulary)
-    found = materialize_texts(terms(docs, passages.vocabulary), "terms")
-    frequency, total = passage_frequencies(found, n_terms)
-    # positive for every term: in a group of copies an item's words are in a large share of all runs
-    idf = np.log((total + 1) / (frequency + 1)) + 0.1
-    index = spark.sparkContext.broadcast(Index(passages, idf, latent_space(spark, passages.words, idf), frequency))
+    vocabulary = np.unique(np.concatenate([passages.vocabulary for passages in blocks]))
+    found = materialize_texts(terms(docs, vocabulary), "terms")
+    frequencies, total = passage_frequencies(found, len(vocabulary))
+    out = None
+    for passages in blocks:
+        place = np.searchsorted(vocabulary, passages.vocabulary)
+        frequency = frequencies[place]
+        # positive for every term: in a group of copies an item's words are in a large share of all runs
+        idf = np.log((total + 1) / (frequency + 1)) + 0.1
+        index = Index(passages, idf, latent_space(spark, passages.words, idf), frequency)
+        part = _search_block(found, index, place if len(blocks) > 1 else None, len(vocabulary))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _search_block(found: DataFrame, index: Index, place: np.ndarray | None, n_terms: int) -> DataFrame:
+    """Matches of one block in the numbered documents, where its own terms have the numbers ``place``
+    (None: the same numbers)."""
+    index = found.sparkSession.sparkContext.broadcast((index, place))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search, place = index.value
+        if place is not None:
+            own = np.full(n_terms + 1, -1, np.int32)  # the last one is for number -1
+            own[place] = np.arange(len(place))
         for batch in batches:
             ids = column(batch, "doc_id").to_pylist()
-            rows = [(ids[lo + r], index.value.item[p], c, s, a)
-                    for lo, flat, at in _rows_of(batch) for r, p, c, s, a in index.value.search(flat, at)]
+            rows = [(ids[lo + r], search.item[p], c, s, a)
+                    for lo, flat, at in _rows_of(batch)
+                    for r, p, c, s, a in search.search(flat if place is None else own[flat], at)]
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[i] for r in rows], pa.int64() if i < 2 else pa.float64()) for i in range(5)],
@@ -364,10 +387,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"),
                              F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), answer.alias("answer"))
     n_blocks = max(1, -(-items.count() // ITEM_BLOCK))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
     out = None
-    for block in range(n_blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
-        found = _search_block(docs, [tuple(r) for r in part.orderBy("item_id", "text").collect()])
+    for first in range(0, n_blocks, PASS_BLOCKS):
+        blocks = range(first, min(first + PASS_BLOCKS, n_blocks))
+        given: dict[int, list] = {block: [] for block in blocks}
+        for *item, block in items.filter(F.col("block").between(blocks[0], blocks[-1])).orderBy("item_id", "text").collect():
+            given[block].append(tuple(item))
+        found = _search_pass(docs, [Passages(part) for part in given.values()])
         if found is not None:
             out = found if out is None else out.unionByName(found)
     if out is None:

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from leadlens.session import materialize
 
@@ -243,19 +243,35 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def annotate(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with all its columns and ``quality_score``, row by row."""
-    schema = StructType([*docs.schema.fields, StructField("quality_score", DoubleType())])
+def measured(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with all its columns and, as ``name``, the statistics of its text."""
+    schema = StructType([*docs.schema.fields, StructField(name, ArrayType(DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = texts(batch)
-            scores = [model.score(statistics_of(text.slice(lo, hi - lo))) for lo, hi in slices(text)]
-            yield batch.append_column("quality_score", pa.array(np.concatenate(scores) if scores else np.zeros(0)))
+            parts = [statistics_of(text.slice(lo, hi - lo)).ravel() for lo, hi in slices(text)]
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * N_STATISTICS
+            yield batch.append_column(name, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts) if parts else np.zeros(0))))
 
     return docs.mapInArrow(run, schema)
 
 
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more: texts are read once, and their statistics,
+    written beside them, serve the fit and the scores."""
+    name = "statistics"
+    while name in docs.columns:
+        name += "_"
+    table = materialize_texts(measured(docs, name), "statistics")
+    model = fit(table.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("x")), labels)
+
+    def score(x: pa.Array) -> pa.Array:
+        return pa.array(model.score(_matrix(x)))
+
+    return table.filter(F.arrow_udf(score, "double")(F.col(name)) >= threshold).drop(name)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return classify(table(spark, sf_dir, "documents"), labels)

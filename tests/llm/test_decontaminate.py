@@ -74,9 +74,10 @@ def make(seed=2):
     return docs, [(k, " ".join(t)) for k, t in enumerate(items)], want
 
 
-@pytest.mark.parametrize("blocks", [1000, 7])
-def test_leaks_and_clean_documents(spark, blocks, monkeypatch):
+@pytest.mark.parametrize("blocks, shared", [(1000, 20), (7, 20), (9, 2)])
+def test_leaks_and_clean_documents(spark, blocks, shared, monkeypatch):
     monkeypatch.setattr(d, "ITEM_BLOCK", blocks)
+    monkeypatch.setattr(d, "PASS_BLOCKS", shared)
     docs, items, want = make()
     docs += [(900, None), (901, ""), (None, items[3][1]), (902, items[4][1] + " tail"), (902, items[4][1] + " tail")]
     items += [(90, None), (91, ""), (92, "too short"), (4, items[4][1])]

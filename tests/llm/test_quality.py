@@ -82,6 +82,20 @@ def test_edges(spark):
     assert quality.classify(docs.filter(F.lit(False)), one).collect() == []
 
 
+def test_kept_rows_are_those_that_classify_accepts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("statistics", F.lit("own")).withColumn("x", F.col("doc_id") * 2)
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    kept = quality.keep(docs, labels)
+    assert kept.columns == docs.columns
+    want = {r.doc_id for r in quality.classify(docs, labels).filter("predicted = 1").collect()}
+    got = kept.collect()
+    assert len(got) == len(want) > 0 and {r.doc_id for r in got} == want
+    assert all(r.statistics == "own" and r.x == 2 * r.doc_id for r in got)
+    assert quality.keep(docs.limit(0), labels).collect() == []
+    odd = spark.createDataFrame([(None, None), (1, ""), (1, "a" * 300_000)], "doc_id long, text string")
+    assert quality.keep(odd, labels.limit(0)).count() == 3
+
+
 @pytest.mark.parametrize("doc", [0, 17, -5])
 def test_fold_is_the_crc_of_the_text(spark, doc):
     assert spark.range(1).select(quality.fold(F.lit(doc))).first()[0] == zlib.crc32(str(doc).encode()) % 5
