@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlens.llm import decontaminate, minhash, packing, pii, quality
-from leadlens.llm.common import materialize_texts, table
+from leadlens.llm.common import table
 from leadlens.llm.tokenize import vocabulary_path
 from leadlens.operators.ordered import ordered_scan
 from leadlens.session import materialize
@@ -26,9 +26,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the quality classifier does not reject.  It learns from the labelled rows of
     ``docs`` outside the held-out fifth."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    model = quality.fit(materialize_texts(quality.statistics(docs), "statistics"), labels)
-    scored = quality.annotate(docs, model)
-    return scored.filter(F.col("quality_score") >= quality.THRESHOLD).drop("quality_score")
+    return quality.keep(docs, labels)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
