@@ -185,3 +185,30 @@ def test_one_class_gives_no_tree(spark):
     x, _, w = make(50)
     model = boosting.fit(frame(spark, x, np.ones(50), w), None, BoostParams(rounds=5))
     assert model.trees == [] and model.margins(x).shape == (50,)
+
+
+def test_histograms_of_a_block_equal_row_by_row_sums():
+    rng = np.random.default_rng(5)
+    widths, n = [9, 2, 1, 2], 700
+    first = np.concatenate(([0], np.cumsum(widths)))
+    bins = np.column_stack([rng.integers(0, w, n) for w in widths]).astype(np.uint8)
+    at = rng.choice([0, 2, 3], n)  # no row in node 1
+    g, h = rng.integers(-2 ** 36, 2 ** 36, n).astype(float), rng.integers(0, 2 ** 36, n).astype(float)
+    want, got = np.zeros((4, 3, int(first[-1])), np.int64), np.ones((4, 3, int(first[-1])), np.int64)
+    for i in range(len(widths)):
+        for k, v in enumerate((g, h, np.ones(n))):
+            np.add.at(want, (at, k, first[i] + bins[:, i]), v.astype(np.int64))
+    boosting._histograms(bins, at, g, h, got, first)
+    assert (got == want + 1).all()
+
+
+def test_cut_points_take_few_literals_of_the_driver(spark, monkeypatch):
+    x, y, w = make(200)
+    t = frame(spark, x, y, w).select(vector_to_array("features").alias("x"))
+    calls, lit = [], F.lit
+    monkeypatch.setattr(F, "lit", lambda v: calls.append(v) or lit(v))
+    import pyspark.sql.functions.builtin as builtin
+
+    monkeypatch.setattr(builtin, "lit", F.lit)
+    boosting.bin_cuts(t, 4, 255)
+    assert len(calls) < 50  # 255 a feature before
