@@ -114,22 +114,31 @@ def nearest(q: Rows, c: Rows, d: np.ndarray, found: np.ndarray, k: int, least: i
     """Improve the k best (distances ``d``, ids ``found``; both rows x k, in place) of the rows of ``q`` by
     rows of ``c`` that differ in ``least`` to ``most`` nominal columns.  Returns the pairs looked at."""
     visited = 0
-    cn = (c.v * c.v).sum(1)
-    for lo in range(0, len(q.ids), 256):
-        at = np.arange(lo, min(len(q.ids), lo + 256))
-        theta = _theta(d[at], k)
-        gap = q.s[at][:, None] - c.s[None]
+    start = _theta(d, k)
+    asking = np.flatnonzero(start * (1 + _TOL) + _TOL >= unit * least)  # others are near enough already
+    asking = asking[np.argsort(q.s[asking], kind="stable")]
+    line = np.argsort(c.s, kind="stable")
+    along, cn_all = c.s[line], (c.v * c.v).sum(1)
+    for lo in range(0, len(asking), 256):
+        at = asking[lo:lo + 256]
+        theta = start[at]  # every row is asked once
+        slack = _TOL * (1 + np.where(np.isfinite(theta), theta, 0))
+        reach = np.sqrt(np.maximum(theta + slack - unit * least, 0)).max() * (1 + _TOL) + _TOL
+        some = line[np.searchsorted(along, q.s[at[0]] - reach):np.searchsorted(along, q.s[at[-1]] + reach, side="right")]
+        if not len(some):
+            continue
+        ids, codes, v, cn = c.ids[some], c.codes[some], c.v[some], cn_all[some]
+        gap = q.s[at][:, None] - c.s[some][None]
         differ = np.zeros(gap.shape, np.int16)
         for g in range(q.codes.shape[1]):
-            differ += q.codes[at, g][:, None] != c.codes[:, g]
-        slack = _TOL * (1 + np.where(np.isfinite(theta), theta, 0))
+            differ += q.codes[at, g][:, None] != codes[:, g]
         use = (differ >= least) & (differ <= most) & (gap * gap + unit * differ <= (theta + slack)[:, None])
-        use &= q.ids[at][:, None] != c.ids
+        use &= q.ids[at][:, None] != ids
         visited += int(use.sum())
         if not use.any():
             continue
         qn = (q.v[at] * q.v[at]).sum(1)
-        rough = np.where(use, qn[:, None] + cn - 2 * (q.v[at] @ c.v.T), np.inf)
+        rough = np.where(use, qn[:, None] + cn - 2 * (q.v[at] @ v.T), np.inf)
         bound = theta
         if rough.shape[1] > k:
             bound = np.minimum(bound, np.partition(rough, k - 1, axis=1)[:, k - 1])
@@ -137,11 +146,11 @@ def nearest(q: Rows, c: Rows, d: np.ndarray, found: np.ndarray, k: int, least: i
         r, j = np.nonzero(near)
         if not len(r):
             continue
-        exact = np.sqrt(((q.v[at[r]] - c.v[j]) ** 2).sum(-1))
+        exact = np.sqrt(((q.v[at[r]] - v[j]) ** 2).sum(-1))
         held = np.nonzero(np.isfinite(d[at]))
         row = np.concatenate((r, held[0]))
         dist = np.concatenate((exact, d[at][held]))
-        ident = np.concatenate((c.ids[j], found[at][held]))
+        ident = np.concatenate((ids[j], found[at][held]))
         order = np.lexsort((ident, dist, row))
         row, dist, ident = row[order], dist[order], ident[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)

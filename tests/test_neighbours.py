@@ -84,3 +84,34 @@ def test_lsh_recall_and_arguments(spark):
         neighbours.knn(df, "id", "v", 5, method="lsh")
     with pytest.raises(ValueError):
         neighbours.knn(df, "id", "v", 5, method="other")
+
+
+def test_only_rows_in_reach_are_compared():
+    import types
+
+    import numpy as np
+
+    from leadlens.operators import neighbours
+
+    class Watched(np.ndarray):
+        looked = 0
+
+        def __getitem__(self, key):
+            Watched.looked += 1
+            return super().__getitem__(key)
+
+    rng = np.random.default_rng(1)
+
+    def side(n, first):
+        z = rng.normal(size=(n, 2))
+        return types.SimpleNamespace(ids=np.arange(first, first + n), s=z[:, 0], v=z, codes=np.ones((n, 1), "<i4").view(Watched))
+
+    q, c = side(300, 0), side(400, 1000)
+    d, found = np.full((300, 2), 0.5), np.full((300, 2), -1, np.int64)
+    assert neighbours.nearest(q, c, d, found, 2, 1, 1, 2) == 0  # all have two neighbours nearer than the root of 2
+    assert Watched.looked == 0 and (found == -1).all()
+    d[:] = np.inf
+    neighbours.nearest(q, c, d, found, 2, 0, 0, 2)
+    every = np.sqrt(((q.v[:, None] - c.v[None]) ** 2).sum(-1))
+    np.testing.assert_allclose(d, np.sort(every, 1)[:, :2])
+    assert (found == 1000 + np.argsort(every, 1)[:, :2]).all()
