@@ -34,6 +34,8 @@ _TOP, _BOTTOM, _WORD, _SHIFT = _U(1 << 48), _U(1 << 32), _U(16), _U(48)
 _MASK = _U((1 << 32) - 1)
 _ORDER2 = 18  # bits of the order-2 table
 _SURE = 15  # highest confidence
+_GUIDE = 16  # bits of the cells that a search in the cumulative counts starts from
+CONTEXTS = 2 * (_SURE + 1) ** 2
 _STEP = _U(24)  # what one occurrence adds to a count
 _LIMIT = _U(1 << 16)
 
@@ -42,44 +44,73 @@ class Model:
     """Predictions for one step of all lanes; ``update`` learns the step's ids."""
 
     def __init__(self, vocabulary: int, lanes: int):
-        self.next1, self.sure1 = np.zeros(vocabulary, np.int32), np.zeros(vocabulary, np.int8)
-        self.next2, self.sure2 = np.zeros(1 << _ORDER2, np.int32), np.zeros(1 << _ORDER2, np.int8)
-        self.weights = np.ones((2 * (_SURE + 1) ** 2, 3), _U)
-        self.weights[:, 0] = 2
+        # order 2, then order 1: an id and, in the lowest four bits, the confidence in it
+        self.next = np.zeros((1 << _ORDER2) + vocabulary, np.int32)
+        self.weights = np.ones((3, CONTEXTS), _U)  # "neither", order 2, order 1
+        self.weights[0] = 2
+        self.below = np.zeros((3, CONTEXTS), _U)  # weights of the outcomes before each
+        self._add_up()
         self.counts = np.ones(vocabulary, _U)
         self.cumulative = np.arange(vocabulary + 1, dtype=_U)
+        self.guide: tuple | None = None  # of the cumulative counts, see ``find``
         self.unseen: list[np.ndarray] = []  # ids not yet in the counts
         self.last1, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.wait = 1
 
-    def predict(self, n: int):
-        """Context of the weights, and the ids that order 2 and order 1 predict."""
-        self.at1 = self.last1[:n]
-        self.at2 = ((self.at1 * 40503 + self.last2[:n] * 2654435761) >> 7) & ((1 << _ORDER2) - 1)
-        self.id2, self.id1 = self.next2[self.at2], self.next1[self.at1]
-        self.conf2, self.conf1 = self.sure2[self.at2], self.sure1[self.at1]
-        self.context = ((self.conf2.astype(np.int64) << 4 | self.conf1) << 1) | (self.id2 == self.id1)
-        weights = self.weights[self.context]
-        return weights[:, 0], weights[:, 1], weights[:, 2]
-
-    def update(self, ids: np.ndarray, outcome: np.ndarray) -> None:
+    def _add_up(self) -> None:
+        self.below[1] = self.weights[0]
+        np.add(self.weights[0], self.weights[1], out=self.below[2])
+        self.total = self.below[2] + self.weights[2]
+
+    def predict(self, n: int) -> np.ndarray:
+        """The weights' contexts; sets the ids that order 2 and order 1 predict."""
+        at1 = self.last1[:n]
+        self.at = np.concatenate((((at1 * 40503 + self.last2[:n] * 2654435761) >> 7) & ((1 << _ORDER2) - 1), at1 + (1 << _ORDER2)))
+        self.entry = self.next.take(self.at)
+        self.guess, self.sure = self.entry >> 4, self.entry & _SURE
+        self.id2, self.id1 = self.guess[:n], self.guess[n:]
+        return ((self.sure[:n] << 4 | self.sure[n:]) << 1 | (self.id2 == self.id1)).astype(np.int64)
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The ids whose range of cumulative counts holds the values."""
+        c = self.cumulative
+        if self.guide is None:
+            wide = max(0, int(c[-1]).bit_length() - _GUIDE)
+            cells = (int(c[-1]) >> wide) + 2
+            below = np.bincount(((c[1:] - _U(1)) >> _U(wide)).astype(np.int64), minlength=cells)
+            self.guide = _U(wide), np.concatenate(([0], np.cumsum(below)))  # ids that end at or before a cell's start
+        wide, first = self.guide
+        cell = (value >> wide).astype(np.int64)
+        low, high = first.take(cell), first.take(cell + 1)
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            lo, hi = low[open_], high[open_]
+            middle = (lo + hi) >> 1
+            after = c.take(middle + 1) <= value[open_]
+            lo, hi = np.where(after, middle + 1, lo), np.where(after, hi, middle)
+            low[open_], high[open_] = lo, hi
+            open_ = open_[lo < hi]
+        return low
+
+    def update(self, ids: np.ndarray, key: np.ndarray) -> None:
+        """``key``: outcome * CONTEXTS + context."""
         n = len(ids)
-        self.weights += np.bincount(self.context * 3 + outcome, minlength=self.weights.size).reshape(-1, 3).astype(_U) * _STEP
-        heavy = self.weights.sum(axis=1) > _LIMIT
+        self.weights += np.bincount(key, minlength=3 * CONTEXTS).reshape(3, CONTEXTS).astype(_U) * _STEP
+        self._add_up()
+        heavy = self.total > _LIMIT
         if heavy.any():
-            self.weights[heavy] = (self.weights[heavy] >> _U(1)) + _U(1)
-        for at, guess, sure, following, confidence in (
-                (self.at2, self.id2, self.conf2, self.next2, self.sure2),
-                (self.at1, self.id1, self.conf1, self.next1, self.sure1)):
-            hit = guess == ids
-            following[at] = np.where(hit | (sure > 1), guess, ids)
-            confidence[at] = np.where(hit, np.minimum(sure + 1, _SURE), np.where(sure > 1, sure >> 1, 1))
+            self.weights[:, heavy] = (self.weights[:, heavy] >> _U(1)) + _U(1)
+            self._add_up()
+        both = np.concatenate((ids, ids)).astype(np.int32)
+        sure = self.sure
+        missed = np.where(sure > 1, (self.entry ^ sure) | (sure >> 1), both << 4 | 1)
+        self.next[self.at] = np.where(self.guess == both, self.entry + (sure < _SURE), missed)
         self.unseen.append(ids)
         if len(self.unseen) >= self.wait:  # order 0 learns after 1, 2, 3, ... up to 8 steps
             self.counts += np.bincount(np.concatenate(self.unseen), minlength=len(self.counts)).astype(_U) * _STEP
             np.cumsum(self.counts, out=self.cumulative[1:])
-            self.unseen, self.wait = [], min(self.wait + 1, 8)
-        self.last2[:n] = self.at1
+            self.unseen, self.wait, self.guide = [], min(self.wait + 1, 8), None
+        self.last2[:n] = self.last1[:n]
         self.last1[:n] = ids
 
 
@@ -120,19 +151,19 @@ def encode(ids: np.ndarray, vocabulary: int, lanes: int = LANES) -> bytes:
     if n == 0:
         return MAGIC + struct.pack("<4I", vocabulary, 0, 0, crc)
     steps, lanes = _run_length(n, lanes)
-    grid = np.zeros(steps * lanes, np.int64)
+    grid = np.zeros(steps * lanes, np.uint32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     last = n - (lanes - 1) * steps  # ids of the last lane
     model = Model(vocabulary, lanes)
     low, span = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-    words, used = np.zeros((lanes, 4 * steps + 4), np.uint16), np.zeros(lanes, np.int64)
+    words, used = np.zeros((4 * steps + 4, lanes), np.uint16), np.zeros(lanes, np.int64)
 
     def shift(lo: np.ndarray, sp: np.ndarray, rows: np.ndarray | None) -> None:
         at = _settle(lo, sp)
         while len(at):
             lane = at if rows is None else rows[at]
-            words[lane, used[lane]] = (lo[at] >> _SHIFT).astype(np.uint16)
+            words[used[lane], lane] = (lo[at] >> _SHIFT).astype(np.uint16)
             used[lane] += 1
             lo[at] <<= _WORD
             sp[at] <<= _WORD
@@ -140,17 +171,14 @@ def encode(ids: np.ndarray, vocabulary: int, lanes: int = LANES) -> bytes:
 
     for step in range(steps):
         m = lanes if step < last else lanes - 1
-        now = grid[step, :m]
-        w0, w2, w1 = model.predict(m)
+        now = grid[step, :m].astype(np.int64)
+        context = model.predict(m)
         hit2 = model.id2 == now
         hit1 = (model.id1 == now) & ~hit2
-        outcome = hit2 + 2 * hit1
-        w02 = w0 + w2
-        cumulative = np.where(hit2, w0, np.where(hit1, w02, _U(0)))
-        count = np.where(hit2, w2, np.where(hit1, w1, w0))
-        lo, sp = _narrow(low[:m], span[:m], cumulative, count, w02 + w1)
+        key = context + hit2 * CONTEXTS + hit1 * (2 * CONTEXTS)
+        lo, sp = _narrow(low[:m], span[:m], model.below.take(key), model.weights.take(key), model.total.take(context))
         shift(lo, sp, None)
-        miss = np.flatnonzero(outcome == 0)
+        miss = np.flatnonzero(~(hit2 | hit1))
         if len(miss):
             sym = now[miss]
             c = model.cumulative
@@ -159,13 +187,14 @@ def encode(ids: np.ndarray, vocabulary: int, lanes: int = LANES) -> bytes:
             shift(mlo, msp, miss)
             lo[miss], sp[miss] = mlo, msp
         low[:m], span[:m] = lo, sp
-        model.update(now, outcome)
+        model.update(now, key)
     final = low + _MASK  # its upper 32 bits name a value inside the range
     rows = np.arange(lanes)
-    words[rows, used] = (final >> _SHIFT).astype(np.uint16)
-    words[rows, used + 1] = ((final >> _U(32)) & _U(0xFFFF)).astype(np.uint16)
+    words[used, rows] = (final >> _SHIFT).astype(np.uint16)
+    words[used + 1, rows] = ((final >> _U(32)) & _U(0xFFFF)).astype(np.uint16)
     used += 2
-    body = words[np.arange(words.shape[1]) < used[:, None]]
+    longest = int(used.max())
+    body = np.ascontiguousarray(words[:longest].T)[np.arange(longest) < used[:, None]]
     return MAGIC + struct.pack("<4I", vocabulary, n, lanes, crc) + used.astype("<u4").tobytes() + body.astype("<u2").tobytes()
 
 
@@ -184,16 +213,16 @@ def decode(payload: bytes) -> np.ndarray:
     last = n - (lanes - 1) * steps
     ends = np.cumsum(used)
     at = ends - used
-    body = np.append(body, np.zeros(8, np.uint16)).astype(_U)  # a lane's end reads as zeros
+    body = np.append(body, np.zeros(8, np.uint16))  # a lane's end reads as zeros
     model = Model(vocabulary, lanes)
     low, span = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
     code = np.zeros(lanes, _U)
-    out = np.zeros((steps, lanes), np.int64)
+    out = np.zeros((steps, lanes), np.uint32)
 
     def pull(lane: np.ndarray) -> np.ndarray:
-        got = np.where(at[lane] < ends[lane], body[np.minimum(at[lane], len(body) - 1)], _U(0))
-        at[lane] += 1
-        return got
+        here = at[lane]
+        at[lane] = here + 1
+        return np.where(here < ends[lane], body.take(here, mode="clip"), 0).astype(_U)
 
     def shift(lo, sp, co, rows) -> None:
         i = _settle(lo, sp)
@@ -208,25 +237,24 @@ def decode(payload: bytes) -> np.ndarray:
         code = (code << _WORD) | pull(everyone)
     for step in range(steps):
         m = lanes if step < last else lanes - 1
-        w0, w2, w1 = model.predict(m)
-        w02 = w0 + w2
+        context = model.predict(m)
         lo, sp, co = low[:m], span[:m], code[:m]
-        share = sp // (w02 + w1)
+        share = sp // model.total.take(context)
         value = co - lo  # compared with the bounds' products, which spares a division
-        hit1 = value >= w02 * share
-        hit2 = (value >= w0 * share) & ~hit1
-        outcome = hit2 + 2 * hit1
-        lo = lo + np.where(hit2, w0, np.where(hit1, w02, _U(0))) * share
-        sp = np.where(hit2, w2, np.where(hit1, w1, w0)) * share
+        hit1 = value >= model.below[2].take(context) * share
+        hit2 = (value >= model.below[1].take(context) * share) & ~hit1
+        key = context + hit2 * CONTEXTS + hit1 * (2 * CONTEXTS)
+        lo = lo + model.below.take(key) * share
+        sp = model.weights.take(key) * share
         co = co.copy()
         shift(lo, sp, co, None)
         now = np.where(hit2, model.id2, model.id1).astype(np.int64)
-        miss = np.flatnonzero(outcome == 0)
+        miss = np.flatnonzero(~(hit2 | hit1))
         if len(miss):
             c = model.cumulative
             mlo, msp, mco = lo[miss], sp[miss], co[miss]
             value = (mco - mlo) // (msp // c[-1])
-            sym = np.searchsorted(c, np.minimum(value, c[-1] - _U(1)), side="right") - 1
+            sym = model.find(np.minimum(value, c[-1] - _U(1)))
             begin = c[sym]
             mlo, msp = _narrow(mlo, msp, begin, c[sym + 1] - begin, c[-1])
             shift(mlo, msp, mco, miss)
@@ -234,8 +262,8 @@ def decode(payload: bytes) -> np.ndarray:
             now[miss] = sym
         low[:m], span[:m], code[:m] = lo, sp, co
         out[step, :m] = now
-        model.update(now, outcome)
-    ids = np.ascontiguousarray(out.T).reshape(-1)[:n].astype(np.uint32)
+        model.update(now, key)
+    ids = np.ascontiguousarray(out.T).reshape(-1)[:n]
     if crc32_ids(ids) != crc:
         raise ValueError("a block of ids is damaged")
     return ids

@@ -76,3 +76,30 @@ def test_added_tokens_read_back(spark, tmp_path):
     path = str(tmp_path / "out")
     token_output.write(spark.createDataFrame(rows, "doc_id long, text string"), path, vocabulary_path("byte_bpe_50k.json"))
     assert [tuple(r) for r in token_output.documents_of(spark, path).orderBy("start").collect()] == expect(rows)
+
+
+def test_known_pieces_are_compared_whole_and_ids_found_by_cells(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from leadlens.llm import tokenize
+
+    path = vocabulary_path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    texts = ["plain words, and éàß ñandú!!", "ends.$$$ here### 3.5% it's don't.,", "w" * 300 + ". " + "é" * 40 + "?", "one\nTwo!!\nthree ***"]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(tokenize, "_STEP_PIECES", 2)
+    for keys in (tokenize._keys, lambda pieces: np.zeros(len(pieces), np.uint64)):  # all keys alike
+        monkeypatch.setattr(tokenize, "_keys", keys)
+        tok = tokenize.WordTokenizer(path, True)
+        for _ in range(3):
+            ids, ends = tok.encode(pa.array(texts))
+            assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want
+        assert len(tok.known.pieces) == len(set(tok.known.index)) > 0
+        assert max(map(len, tok.known.pieces.to_pylist())) <= tokenize._LONG
+
+    model = rangecoder.Model(500, 8)
+    model.counts += (np.arange(500) % 7 == 0).astype(np.uint64) * np.uint64(100_000)
+    np.cumsum(model.counts, out=model.cumulative[1:])
+    value = np.unique(np.concatenate((model.cumulative[:-1], model.cumulative[1:] - np.uint64(1), model.cumulative[:-1] // np.uint64(2))))
+    assert np.array_equal(model.find(value), np.searchsorted(model.cumulative, value, side="right") - 1)
