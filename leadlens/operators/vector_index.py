@@ -8,14 +8,15 @@ is nearer than |q - centroid| - radius, so
 1. each query visits its nearest cells until they hold k rows, which bounds its k-th distance;
 2. it then visits exactly the other cells whose lower bound does not exceed that distance.
 
-Queries are a DataFrame and are never collected: query blocks meet cell blocks by a join on the
-cell.  Cells that no query visits are left out by their folder.  Cosine similarity is
+Queries are a DataFrame and are never collected: parts of a cell's queries meet groups of its blocks, and
+both are shuffled into as many tasks as keep a task's share below ``TASK_BYTES``.  Cells that no query visits are left out by their folder.  Cosine similarity is
 1 - distance^2 / 2, so the order is that of ``vector_top_k``; zero vectors have no direction and lie
 in cell -1, which is visited when the others hold fewer than k rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -25,12 +26,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import materialize, shuffle_partitions
 from .retrieval import best_of, matrix, read_index, usable_vectors
 
 BLOCK_ROWS = 4096
 SAMPLE_ROWS = 20_000  # rows that the centroids are fitted on
-QUERY_ROWS = 1024
+QUERY_ROWS = 1024  # queries of one matrix product
+#: Bytes of vectors in a part of a cell's queries and in a group of its blocks: what is shuffled falls with
+#: them, the memory of a task grows with them; and bytes that a task is to read.
+PART_BYTES, GROUP_BYTES, TASK_BYTES = 8 << 20, 32 << 20, 64 << 20
 SLACK = 1e-9  # rounding of distances
 
 
@@ -47,13 +51,27 @@ def fit_centroids(corpus: DataFrame, vec: str, n_cells: int, seed: int = 42) ->
 
     rows = usable_vectors(corpus, vec).select(F.col(vec).cast("array<double>").alias("v"))
     rows = rows.where(F.exists("v", lambda x: x != 0))
-    some = rows.orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(SAMPLE_ROWS).select(array_to_vector("v").alias("v"))
+    rows = rows.select("v", F.xxhash64("v", F.lit(seed)).alias("k"))
+    some = first_rows(rows, SAMPLE_ROWS).select(array_to_vector("v").alias("v"), F.col("w").cast("double").alias("w"))
     if some.isEmpty():
         return np.zeros((0, 0))
-    model = KMeans(k=n_cells, featuresCol="u", maxIter=10, seed=seed).fit(Normalizer(inputCol="v", outputCol="u").transform(some))
+    model = KMeans(k=n_cells, featuresCol="u", weightCol="w", maxIter=10, seed=seed).fit(Normalizer(inputCol="v", outputCol="u").transform(some))
     return unit_rows(np.array(model.clusterCenters()))
 
 
+def first_rows(rows: DataFrame, n: int) -> DataFrame:
+    """(v, k, w): the first ``n`` of the (v, k) in the order of the hash k, equal ones as one row that counts
+    them.  Only rows of the hash's lowest ranges, some ``n`` distinct ones, are shuffled."""
+    part = F.shiftright("k", 48)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # at most 65,536 rows
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    last = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("b")).where(F.col("b") < n).agg(F.max("part")).first()[0]
+    near = rows.where(part <= F.lit(last)).groupBy("k", "v").agg(F.count(F.lit(1)).alias("w")).orderBy("k", "v").limit(n)
+    before = Window.orderBy("k", "v").rowsBetween(Window.unboundedPreceding, -1)  # at most n rows
+    near = near.withColumn("b", F.coalesce(F.sum("w").over(before), F.lit(0))).where(F.col("b") < n)
+    return near.select("v", "k", F.least("w", F.lit(n) - F.col("b")).alias("w"))
+
+
 def build_cells(corpus: DataFrame, ids: Sequence[str], path: str, vec: str = "embedding", n_cells: int = 64,
                 centroids: np.ndarray | None = None) -> None:
     """Write the index under ``path``: ``cells`` (folders by cell, blocks of ids and unit vectors) and
@@ -137,34 +155,53 @@ def search_cells(spark: SparkSession, path: str, queries: DataFrame, query_id: s
     by_id = [(n, "ascending") for n in names]
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The k best rows of one cell's block for each of a block of queries."""
-        q = unit_rows(matrix(left["__v"], dims))
-        best = []
-        for i in range(right.num_rows):
-            rows = pa.Table.from_struct_array(right["ids"].chunk(0)[i].values) if right["ids"].num_chunks == 1 else \
-                pa.Table.from_struct_array(right["ids"].combine_chunks()[i].values)
-            c = np.frombuffer(right["x"][i].as_py(), float).reshape(rows.num_rows, -1)
-            order = pc.sort_indices(rows, sort_keys=by_id, null_placement="at_start")
-            rows, c = rows.take(order), c[order.to_numpy()]
-            s = q @ c.T
-            s[~(q != 0).any(axis=1)] = np.nan
-            s[:, ~(c != 0).any(axis=1)] = np.nan
-            r, col = best_of(np.where(np.isnan(s), np.inf, -s), k)
-            best.append(rows.take(pa.array(col)).append_column("__d", pa.array(-s[r, col], from_pandas=True))
-                        .add_column(0, "__qn", left["__qn"].combine_chunks().take(pa.array(r))))
-        return pa.concat_tables(best)
+        """The k best rows of a group of one cell's blocks for each of a part of the queries."""
+        asked_v = unit_rows(matrix(left["__v"], dims))
+        rows = pa.concat_tables([pa.Table.from_struct_array(chunk.flatten()) for chunk in right["ids"].chunks])
+        c = np.concatenate([np.frombuffer(x.as_py(), float) for x in right["x"]]).reshape(rows.num_rows, -1)
+        order = pc.sort_indices(rows, sort_keys=by_id, null_placement="at_start").to_numpy()
+        found = []
+        for at in range(0, len(asked_v), QUERY_ROWS):
+            q = asked_v[at:at + QUERY_ROWS]
+            best = place = None  # queries x k: negative similarities and places in the order of ids
+            for lo in range(0, len(order), BLOCK_ROWS):
+                some = c[order[lo:lo + BLOCK_ROWS]]
+                s = -(q @ some.T)
+                s[~(q != 0).any(axis=1)] = np.inf
+                s[:, ~(some != 0).any(axis=1)] = np.inf
+                r, col = best_of(np.where(np.isnan(s), np.inf, s), k)
+                near, where = s[r, col].reshape(len(q), -1), (col + lo).reshape(len(q), -1)
+                if best is not None:
+                    near, where = np.concatenate((best, near), axis=1), np.concatenate((place, where), axis=1)
+                    r, col = best_of(near, k)
+                    near, where = near[r, col].reshape(len(q), -1), where[r, col].reshape(len(q), -1)
+                best, place = near, where
+            found.append((np.repeat(np.arange(at, at + len(q)), best.shape[1]), place.ravel(), best.ravel()))
+        of, at, far = (np.concatenate(x) for x in zip(*found))
+        hits = rows.take(pa.array(order[at])).append_column("__d", pa.array(far, mask=~np.isfinite(far)))
+        return hits.add_column(0, "__qn", left["__qn"].combine_chunks().take(pa.array(of)))
 
     def search(pairs: DataFrame) -> DataFrame:
-        wanted = [r.cell for r in pairs.select("cell").distinct().collect()]  # at most one per cell
-        asked_of = pairs.withColumn("part", F.pmod(F.xxhash64("__qn"), F.greatest(F.lit(1), F.ceil(F.lit(n_queries) / QUERY_ROWS))))
-        blocks = cells.where(F.col("cell").isin(wanted)).withColumn("b", F.xxhash64("x"))
-        # every (cell, query part) with every block of the cell
-        per = asked_of.select(F.col("cell").alias("pc"), F.col("part").alias("pp")).distinct()
-        given = blocks.join(per, F.col("cell") == F.col("pc")).select(
-            F.col("pc").alias("gcell"), F.col("pp").alias("gpart"), F.col("b").alias("gb"), "ids", "x")
-        names_of = blocks.select(F.col("cell").alias("bc"), F.col("b").alias("tb")).distinct()
-        tagged = asked_of.join(names_of, F.col("cell") == F.col("bc")).select("__qn", "__v", "cell", "part", "tb")
-        return tagged.groupBy("cell", "part", "tb").cogroup(given.groupBy("gcell", "gpart", "gb")).applyInArrow(
+        asked_in = {r.cell: r["count"] for r in pairs.groupBy("cell").count().collect()}  # at most one row per cell
+        size = {r.cell: r.n for r in table if r.cell in asked_in}
+        if not size:
+            return spark.createDataFrame([], out)
+        row = 8 * max(1, dims)
+        n_parts = max(1, math.ceil(n_queries / max(QUERY_ROWS, PART_BYTES // row)))
+        groups = {cell: math.ceil(n / max(BLOCK_ROWS, GROUP_BYTES // row)) for cell, n in size.items()}
+        n_bytes = row * sum(asked_in[cell] * groups[cell] + n_parts * n for cell, n in size.items())
+        units = n_parts * sum(groups.values())
+        n_tasks = max(1, min(units, max(shuffle_partitions(spark), math.ceil(n_bytes / TASK_BYTES))))
+        groups_of = F.element_at(F.create_map(*[F.lit(x) for pair in groups.items() for x in pair]), F.col("cell"))
+        part = F.pmod(F.xxhash64("__qn"), F.lit(n_parts)).cast("int")
+        tagged = pairs.select("__qn", "__v", "cell", part.alias("part"), F.explode(F.sequence(F.lit(0), groups_of - 1)).alias("group"))
+        # every (cell, part) with every block of the cell
+        per = pairs.select(F.col("cell").alias("gcell"), part.alias("gpart")).distinct()
+        blocks = cells.where(F.col("cell").isin(list(size)))
+        given = blocks.join(F.broadcast(per), F.col("cell") == F.col("gcell")).select(
+            "gcell", "gpart", F.pmod(F.xxhash64("ids", "x"), groups_of).cast("int").alias("ggroup"), "ids", "x")
+        key, gkey = ["cell", "part", "group"], ["gcell", "gpart", "ggroup"]
+        return tagged.repartition(n_tasks, *key).groupBy(*key).cogroup(given.repartition(n_tasks, *gkey).groupBy(*gkey)).applyInArrow(
             lambda left, right: meet(left, right) if left.num_rows and right.num_rows else out_empty(), out)
 
     def out_empty() -> pa.Table:

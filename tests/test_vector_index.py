@@ -101,3 +101,26 @@ def test_weights_are_saved_with_the_index(spark, tmp_path):
                                    ["qid"], dims=64, hash_fn="md5")
     best = retrieval.vector_top_k(q, spark.read.parquet(f"{path}/chunks"), "qid", ["doc_id"], k=1)
     assert {r["qid"]: r["doc_id"] for r in best.where(F.col("similarity") > 0).collect()}[0] == 1
+
+
+def test_first_rows_by_hash_with_copies_counted(spark):
+    vectors = [[float(i % 90), 1.0] for i in range(300)] + [[5.0, 5.0]] * 400
+    rows = spark.createDataFrame([(v,) for v in vectors], "v array<double>").select("v", F.xxhash64("v", F.lit(42)).alias("k")).repartition(5)
+    ordered = [tuple(r) for r in rows.orderBy("k", "v").collect()]
+    for n in (1, 37, 250, 600, 5000):
+        got = vector_index.first_rows(rows, n).orderBy("k", "v").collect()
+        assert [(r.v, r.k) for r in got for _ in range(r.w)] == ordered[:n]
+    assert vector_index.first_rows(rows.where("false"), 5).collect() == []
+
+
+def test_groups_of_blocks_and_parts_of_queries(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vector_index, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(vector_index, "QUERY_ROWS", 3)
+    queries, corpus = make(seed=6, n=200)
+    queries += [(50 + i, corpus[i * 3][1]) for i in range(20)]
+    q, c = frames(spark, queries, corpus)
+    vector_index.build_cells(c, ["vec_id"], str(tmp_path / "c"), n_cells=4)
+    for part, group in ((1 << 20, 1 << 20), (64 * 5, 64 * 20)):
+        monkeypatch.setattr(vector_index, "PART_BYTES", part)
+        monkeypatch.setattr(vector_index, "GROUP_BYTES", group)
+        assert shown(vector_index.search_cells(spark, str(tmp_path / "c"), q, "qid", k=4).collect()) == want_of(queries, corpus, 4)
