@@ -19,10 +19,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -33,6 +32,7 @@ from ..session import materialize
 from .ordered import ordered_scan
 
 MAX_BROADCAST_QUERIES = 4096
+COUNT_ROWS = 1024  # token lists that are counted at a time
 
 
 def tokens(text: Column) -> Column:
@@ -73,40 +73,40 @@ def token_buckets(text: Column, dims: int, hash_fn: str = "xxhash64") -> Column:
     return F.transform(toks, lambda t: F.pmod(F.xxhash64(t), F.lit(dims)).cast("int"))
 
 
+def _bucket_counts(array: pa.Array, bucket_of, dims: int) -> Iterator[pa.Array]:
+    """Counts per bucket of the lists of an Arrow column, for at most ``COUNT_ROWS`` lists at a time."""
+    for lo in range(0, len(array), COUNT_ROWS):
+        part = array.slice(lo, COUNT_ROWS)
+        lengths = np.asarray(pc.fill_null(pc.list_value_length(part), 0)).astype(np.int64)
+        rows = np.repeat(np.arange(len(part)), lengths)
+        counts = np.bincount(rows * dims + bucket_of(part.flatten()), minlength=len(part) * dims)
+        ends = pa.array(np.arange(len(part) + 1) * dims, pa.int32(), mask=np.append(~np.asarray(part.is_valid()), False))
+        yield pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64()))
+
+
+def _counter(bucket_of, dims: int):
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def counts(lists: pa.Array) -> pa.Array:
+        parts = list(_bucket_counts(lists, bucket_of, dims))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
+    return counts
+
+
 def _md5_bucket_counter(dims: int):
-    """Term counts per md5 bucket from token arrays: every distinct token of an
-    Arrow batch is hashed once, then one bincount covers the batch."""
+    """Term counts per md5 bucket from token arrays, which stay in Arrow: only the distinct tokens of a
+    slice become Python strings, to be hashed once."""
     import hashlib
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def counts(token_lists: pd.Series) -> pd.Series:
-        valid = token_lists.notna().to_numpy()
-        lists = [t if v else [] for t, v in zip(token_lists, valid)]
-        lengths = np.fromiter((len(t) for t in lists), dtype=np.int64, count=len(lists))
-        flat = np.concatenate([np.asarray(t, dtype=object) for t in lists]) if lengths.sum() else \
-            np.empty(0, dtype=object)
-        codes, uniques = pd.factorize(flat)
-        buckets = np.fromiter((int(hashlib.md5(u.encode("utf-8")).hexdigest()[:8], 16) % dims
-                               for u in uniques), dtype=np.int64, count=len(uniques))
-        rows = np.repeat(np.arange(len(lists), dtype=np.int64), lengths)
-        mat = np.bincount(rows * dims + buckets[codes], minlength=len(lists) * dims).reshape(len(lists), dims)
-        return pd.Series([m if v else None for m, v in zip(mat, valid)])
-    return counts
+    def bucket_of(tokens: pa.Array) -> np.ndarray:
+        coded = tokens.dictionary_encode()
+        buckets = np.fromiter((int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16) % dims for t in coded.dictionary.to_pylist()),
+                              np.int64, len(coded.dictionary))
+        return buckets[np.asarray(coded.indices)]
+    return _counter(bucket_of, dims)
 
 
 def _bincounter(dims: int):
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def bincount(buckets: pd.Series) -> pd.Series:
-        # one bincount for the whole Arrow batch: key = row * dims + bucket
-        valid = buckets.notna().to_numpy()
-        lists = [np.asarray(b, dtype=np.int64) if v else np.empty(0, dtype=np.int64)
-                 for b, v in zip(buckets, valid)]
-        lengths = np.fromiter((len(x) for x in lists), dtype=np.int64, count=len(lists))
-        flat = np.concatenate(lists) if lists else np.empty(0, dtype=np.int64)
-        rows = np.repeat(np.arange(len(lists), dtype=np.int64), lengths)
-        counts = np.bincount(rows * dims + flat, minlength=len(lists) * dims).reshape(len(lists), dims)
-        return pd.Series([c if v else None for c, v in zip(counts, valid)])
-    return bincount
+    return _counter(lambda buckets: np.asarray(buckets).astype(np.int64), dims)
 
 
 def embed_chunks(df: DataFrame, id_cols: Sequence[str], text_col: str = "text",

@@ -102,3 +102,30 @@ def test_read_documents_whole_files(spark, tmp_path):
     idx = retrieval.build_index(spark.createDataFrame([(r["doc_id"], r["text"]) for r in docs],
                                                       "doc_id long, text string"), size=4, overlap=1, dims=16)
     assert idx.count() == 3            # a: 6 tokens -> windows at 0 and 3; b: 2 tokens -> one window
+
+
+def test_tokens_are_counted_in_arrow_slices(monkeypatch):
+    import hashlib
+    import tracemalloc
+    from collections import Counter
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(retrieval, "COUNT_ROWS", 3)
+    lists = [["a", "b", "a"], [], None, ["é", "a"], ["b"] * 5, None, []]
+    bucket = {t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 16 for t in ("a", "b", "é")}
+    want = [None if x is None else [Counter(bucket[t] for t in x)[i] for i in range(16)] for x in lists]
+    counts = retrieval._md5_bucket_counter(16).func
+    assert counts(pa.array(lists, pa.list_(pa.string()))).to_pylist() == want
+    assert counts(pa.array(lists, pa.list_(pa.string())).slice(2, 4)).to_pylist() == want[2:6]
+    assert counts(pa.array([], pa.list_(pa.string()))).to_pylist() == []
+    ids = [None if x is None else [bucket[t] for t in x] for x in lists]
+    assert retrieval._bincounter(16).func(pa.array(ids, pa.list_(pa.int32()))).to_pylist() == want
+
+    monkeypatch.setattr(retrieval, "COUNT_ROWS", 256)
+    many = pa.array([[f"w{i % 97}" for i in range(500)]] * 4000)  # 2 M tokens, as Python strings over 100 MB
+    tracemalloc.start()
+    found = counts(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 4000 and sum(found[7].as_py()) == 500 and peak < 20e6
