@@ -80,8 +80,8 @@ def _bucket_counts(array: pa.Array, bucket_of, dims: int) -> Iterator[pa.Array]:
         lengths = np.asarray(pc.fill_null(pc.list_value_length(part), 0)).astype(np.int64)
         rows = np.repeat(np.arange(len(part)), lengths)
         counts = np.bincount(rows * dims + bucket_of(part.flatten()), minlength=len(part) * dims)
-        ends = pa.array(np.arange(len(part) + 1) * dims, pa.int32(), mask=np.append(~np.asarray(part.is_valid()), False))
-        yield pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64()))
+        ends = pa.array(np.arange(len(part) + 1) * dims, pa.int32())
+        yield pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64()), mask=part.is_null())
 
 
 def _counter(bucket_of, dims: int):
