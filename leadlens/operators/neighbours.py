@@ -5,15 +5,19 @@ columns lie at least ``unit * m`` apart (unit 2, or 1 where a row has no categor
 rows are indexed by their *tuple* of categories and tuples are visited in order of m:
 
 * round 0: a row's own tuple.  Rows of a tuple are sorted by their projection on the numeric
-  part's principal direction and cut into blocks; a block meets its neighbours first and then, by
-  doubling offsets, only blocks that the k-th distance so far still reaches;
+  part's principal direction and cut into blocks; ``CELL_BLOCKS`` blocks in a row are a piece, whose
+  rows meet where the blocks are made.  Then a block meets those of other pieces, by doubling offsets,
+  only as far as the k-th distance so far still reaches;
 * rounds 1 and 2: tuples that differ in exactly m columns, found by equality of the tuple with those
-  columns left out; only blocks with a row whose k-th distance reaches ``unit * m`` ask;
-* last, the few rows whose k-th distance reaches further meet all rows in projection order, again
-  by doubling offsets and only as far as they reach.
+  columns left out; only rows whose k-th distance reaches ``unit * m`` ask, and no other row of their
+  blocks travels;
+* last, the few rows whose k-th distance reaches further meet all rows in their reach in projection
+  order, again by doubling offsets.
 
 Every join is an equality join on a key of bounded groups: a key with many rows is cut into pieces
-of about ``CELL_ROWS`` rows.  The result counts the pairs whose distance was computed.
+of about ``CELL_ROWS`` rows.  The lists of rows that ask no more are written round by round; tables
+and shuffles of a round are let go before the next.  The result counts the pairs whose distance was
+computed.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import free_shuffles, materialize, remove_scratch
 from .ordered import ordered_scan
 from .smote import exact_knn, principal_direction
 
@@ -35,6 +39,7 @@ BLOCK_ROWS = 512
 FAR_ROWS = 2048
 CELL_ROWS = 4096
 CELL_BLOCKS = 8
+REACH_BUCKETS = 256
 WILD = 2        # rounds by equal tuples with columns left out
 _TOL = 1e-9     # relative rounding of squared distances
 
@@ -67,8 +72,9 @@ def _slots(rows: int) -> int:
     return max(1, -(-int(rows) // CELL_ROWS))
 
 
-def _pack(rows: DataFrame, n: int) -> DataFrame:
-    """One row per block (grp, no) of (id, codes, s, z)."""
+def _pack(rows: DataFrame, n: int, search: tuple[Shape, int, int] | None = None) -> DataFrame:
+    """One row per block (grp, no) of (id, codes, s, z); with ``search`` (shape, k, unit) also the k best
+    of each of its rows among the rows of its piece."""
     def run(part: pa.Table) -> pa.Table:
         part = part.take(pc.sort_indices(part, sort_keys=[("grp", "ascending"), ("no", "ascending"), ("id", "ascending")]))
         n = part.num_rows
@@ -82,27 +88,56 @@ def _pack(rows: DataFrame, n: int) -> DataFrame:
         def blobs(x):
             return pa.array([np.ascontiguousarray(x[a:b]).tobytes() for a, b in spans], pa.binary())
 
-        return pa.table({"grp": pa.array([names[a] for a, _ in spans]), "no": pa.array([int(no[a]) for a, _ in spans], pa.int64()),
-                         "n": pa.array([b - a for a, b in spans], pa.int32()), "low": pa.array([float(s[a:b].min()) for a, b in spans]),
-                         "high": pa.array([float(s[a:b].max()) for a, b in spans]), "codes": blobs(codes), "ids": blobs(ids), "s": blobs(s),
-                         "z": blobs(z)})
-
-    slot = F.pmod(F.xxhash64("grp", "no"), F.lit(_slots(n)))
+        out = {"grp": pa.array([names[a] for a, _ in spans]), "no": pa.array([int(no[a]) for a, _ in spans], pa.int64()),
+               "n": pa.array([b - a for a, b in spans], pa.int32()), "low": pa.array([float(s[a:b].min()) for a, b in spans]),
+               "high": pa.array([float(s[a:b].max()) for a, b in spans]), "codes": blobs(codes), "ids": blobs(ids), "s": blobs(s),
+               "z": blobs(z)}
+        if search:
+            shape, k, unit = search
+            d, c, visited = np.full((n, k), np.inf), np.full((n, k), -1, "<i8"), []
+            pieces: dict[tuple, list[tuple]] = {}
+            for a, b in spans:
+                pieces.setdefault((names[a], no[a] // CELL_BLOCKS), []).append((a, b))
+            for blocks in pieces.values():
+                first, last = blocks[0][0], blocks[-1][1]
+                rows = Rows(shape, ids[first:last], s[first:last], codes[first:last], z[first:last])
+                for a, b in blocks:
+                    own = rows.some(slice(a - first, b - first))
+                    seen = nearest(own, own, d[a:b], c[a:b], k, 0, 0, unit)
+                    if len(blocks) > 1:
+                        others = rows.some(np.r_[0:a - first, b - first:last - first])
+                        seen += nearest(own, others, d[a:b], c[a:b], k, 0, 0, unit)
+                    d[a:b], c[a:b] = _once([d[a:b]], [c[a:b]], k)
+                    visited.append(seen)
+            out |= {"d": blobs(d), "c": blobs(c), "visited": pa.array(visited, pa.int64())}
+        return pa.table(out)
+
+    slot = F.pmod(F.xxhash64("grp", F.floor(F.col("no") / CELL_BLOCKS) if search else F.col("no")), F.lit(_slots(n)))
     return rows.withColumn("slot", slot).groupBy("slot").applyInArrow(
-        lambda part: run(part.drop_columns(["slot"])), _BLOCK)
+        lambda part: run(part.drop_columns(["slot"])), _BLOCK + (", d binary, c binary, visited long" if search else ""))
 
 
 class Rows:
-    """Blocks above each other."""
+    """Ids, projections, categories and full vectors of some rows."""
+
+    def __init__(self, shape: Shape, ids: np.ndarray, s: np.ndarray, codes: np.ndarray, z: np.ndarray):
+        self.ids, self.s, self.codes, self.v = ids, s, codes, shape.vectors(codes, z)
 
-    def __init__(self, shape: Shape, blocks: list[dict], prefix: str = ""):
+    @classmethod
+    def of(cls, shape: Shape, blocks: list[dict]) -> "Rows":
+        """Blocks above each other."""
         def all_of(name, kind):
-            return np.concatenate([np.frombuffer(b[prefix + name], kind) for b in blocks])
+            return np.concatenate([np.frombuffer(b[name], kind) for b in blocks])
+
+        ids = all_of("ids", "<i8")
+        n = len(ids)
+        return cls(shape, ids, all_of("s", float), all_of("codes", "<i4").reshape(n, len(shape.nominal)),
+                   all_of("z", float).reshape(n, len(shape.numeric)))
 
-        self.ids, self.s = all_of("ids", "<i8"), all_of("s", float)
-        n = len(self.ids)
-        self.codes = all_of("codes", "<i4").reshape(n, len(shape.nominal))
-        self.v = shape.vectors(self.codes, all_of("z", float).reshape(n, len(shape.numeric)))
+    def some(self, at) -> "Rows":
+        out = object.__new__(Rows)
+        out.ids, out.s, out.codes, out.v = self.ids[at], self.s[at], self.codes[at], self.v[at]
+        return out
 
 
 def _theta(best: np.ndarray, k: int) -> np.ndarray:
@@ -160,19 +195,21 @@ def nearest(q: Rows, c: Rows, d: np.ndarray, found: np.ndarray, k: int, least: i
     return visited
 
 
+def _once(d: list[np.ndarray], c: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best per row of lists beside each other."""
+    dist, ident = np.hstack(d), np.hstack(c)
+    order = np.lexsort((ident, dist), axis=1)
+    dist, ident = np.take_along_axis(dist, order, 1), np.take_along_axis(ident, order, 1)
+    # a pair that two lists share counts once (infinite entries may repeat)
+    again = np.zeros(dist.shape, bool)
+    again[:, 1:] = (ident[:, 1:] == ident[:, :-1]) & np.isfinite(dist[:, 1:]) & (ident[:, 1:] != _MOST)
+    dist = np.where(again, np.inf, dist)
+    order = np.lexsort((ident, dist), axis=1)[:, :k]
+    return np.take_along_axis(dist, order, 1), np.take_along_axis(ident, order, 1)
+
+
 def _merge(parts: DataFrame, k: int, slots: int) -> DataFrame:
     """The k best per row of each block from several candidates' lists of the block."""
-    def one(d: list[np.ndarray], c: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        dist, ident = np.hstack(d), np.hstack(c)
-        order = np.lexsort((ident, dist), axis=1)
-        dist, ident = np.take_along_axis(dist, order, 1), np.take_along_axis(ident, order, 1)
-        # a pair that two lists share counts once (infinite entries may repeat)
-        again = np.zeros(dist.shape, bool)
-        again[:, 1:] = (ident[:, 1:] == ident[:, :-1]) & np.isfinite(dist[:, 1:]) & (ident[:, 1:] != _MOST)
-        dist = np.where(again, np.inf, dist)
-        order = np.lexsort((ident, dist), axis=1)[:, :k]
-        return np.take_along_axis(dist, order, 1), np.take_along_axis(ident, order, 1)
-
     def run(part: pa.Table) -> pa.Table:
         by_uid: dict[int, list[dict]] = {}
         for r in part.select(["uid", "d", "c", "visited"]).to_pylist():
@@ -181,7 +218,7 @@ def _merge(parts: DataFrame, k: int, slots: int) -> DataFrame:
         for uid, rows in by_uid.items():
             d = [np.frombuffer(r["d"], float).reshape(-1, k) for r in rows]
             c = [np.frombuffer(r["c"], "<i8").reshape(-1, k) for r in rows]
-            dist, ident = one(d, c) if len(rows) > 1 else (d[0], c[0])
+            dist, ident = _once(d, c, k) if len(rows) > 1 else (d[0], c[0])
             for name, value in zip(out, (uid, dist.tobytes(), ident.tobytes(), sum(r["visited"] for r in rows))):
                 out[name].append(value)
         return _best_table(out)
@@ -209,7 +246,7 @@ def _cells(shape: Shape, k: int, least: int, most: int, unit: int, left_key: lis
         for key, asked in by_key(left, left_key).items():
             if key not in candidates:
                 continue
-            q, c = Rows(shape, asked), Rows(shape, candidates[key])
+            q, c = Rows.of(shape, asked), Rows.of(shape, candidates[key])
             d = np.concatenate([np.frombuffer(b["d"], float).reshape(-1, k) for b in asked])
             found = np.concatenate([np.frombuffer(b["c"], "<i8").reshape(-1, k) for b in asked])
             visited = nearest(q, c, d, found, k, least, most, unit)
@@ -248,9 +285,12 @@ def _offsets(step: int) -> list[int]:
 
 def _along(blocks: DataFrame, best: DataFrame, shape: Shape, k: int, least: int, most: int, unit: int, slots: int,
            asked: DataFrame | None = None) -> DataFrame:
-    """Blocks of ``asked`` (all) against the blocks of the same ``grp`` in reach along the projection, by
-    doubling offsets; returns the improved best lists."""
-    asked = blocks if asked is None else asked
+    """Blocks of ``asked`` (all, whose pieces have met) against the blocks of the same ``grp`` in reach along
+    the projection, by doubling offsets; returns the improved best lists."""
+    met = F.lit(False)
+    if asked is None:
+        asked, met = blocks, F.floor(F.col("no") / CELL_BLOCKS) == F.floor(F.col("cno") / CELL_BLOCKS)
+    start = best
     ranges = blocks.select(F.col("grp").alias("cgrp"), F.col("no").alias("cno"), F.col("low").alias("clow"), F.col("high").alias("chigh"),
                            F.col("n").alias("cn"))
     # columns of their own, so that both sides of a cell can come from one table
@@ -260,15 +300,23 @@ def _along(blocks: DataFrame, best: DataFrame, shape: Shape, k: int, least: int,
         reach = _reach(best, k, unit * least)
         q = asked.select("uid", "grp", "no", "low", "high").join(reach, "uid")
         if going is not None:
-            q = q.join(going, "uid", "left_semi")
+            q = q.join(going.select("uid").distinct(), "uid", "left_semi")
         pairs = q.withColumn("off", F.explode(F.array(*[F.lit(o) for o in _offsets(step)]))).withColumn("cno", F.col("no") + F.col("off"))
         pairs = pairs.join(ranges, (F.col("grp") == F.col("cgrp")) & (pairs["cno"] == ranges["cno"])).drop(ranges["cno"])
         pairs = pairs.where((F.col("clow") <= F.col("high") + F.col("reach")) & (F.col("chigh") >= F.col("low") - F.col("reach")))
-        pairs = materialize(pairs.select("uid", "cgrp", "cno", F.floor(F.col("off") / CELL_BLOCKS).alias("part"), "cn"), "knn-pairs")
-        total = pairs.agg(F.sum("cn")).first()[0]
+        pairs = materialize(pairs.select("uid", "cgrp", "cno", F.floor(F.col("off") / CELL_BLOCKS).alias("part"), "cn", met.alias("met")), "knn-pairs")
+        total, fresh = pairs.agg(F.sum("cn"), F.sum(F.when(~F.col("met"), F.col("cn")))).first()
+        if going is not None:
+            remove_scratch(going)
         if total is None:
+            remove_scratch(pairs)
             return best
-        groups = F.lit(_slots(total))
+        going = pairs
+        step += 1
+        if fresh is None:
+            continue
+        pairs = pairs.where("NOT met").drop("met")
+        groups = F.lit(_slots(fresh))
         cells = pairs.select("uid", "part").distinct()
         left = asked.select("uid", *_DATA).join(best.select("uid", "d", "c"), "uid").join(cells, "uid").withColumn(
             "slot", F.pmod(F.xxhash64("uid", "part"), groups))
@@ -276,21 +324,51 @@ def _along(blocks: DataFrame, best: DataFrame, shape: Shape, k: int, least: int,
             "qslot", F.pmod(F.xxhash64("quid", "qpart"), groups))
         new = left.groupBy("slot").cogroup(right.groupBy("qslot")).applyInArrow(
             _cells(shape, k, least, most, unit, ["uid", "part"], ["quid", "qpart"]), _BEST)
-        best = materialize(_merge(best.unionByName(new), k, slots), "knn-best")
-        going = pairs.select("uid").distinct() if step else None
-        step += 1
+        before, best = best, materialize(_merge(best.unionByName(new), k, slots), "knn-best")
+        if before is not start:
+            remove_scratch(before)
+        free_shuffles(best.sparkSession)
 
 
-def _wild(blocks: DataFrame, best: DataFrame, shape: Shape, k: int, m: int, unit: int, slots: int) -> DataFrame:
-    """Blocks in reach against blocks whose tuples differ in exactly ``m`` columns."""
+def _open(state: DataFrame, k: int, beyond: int) -> DataFrame:
+    """The rows of blocks with their lists (``state``) whose squared k-th distance reaches ``beyond``, as blocks
+    of these rows alone."""
+    kinds = {"ids": "<i8", "s": float, "codes": "<i4", "z": float, "d": float, "c": "<i8"}
+
+    def run(batches):
+        for batch in batches:
+            out: dict[str, list] = {f: [] for f in ("uid", "grp", "n", *kinds, "visited")}
+            for r in batch.to_pylist():
+                ask = np.flatnonzero(_asks(np.frombuffer(r["d"], float).reshape(-1, k), k, beyond))
+                if not len(ask):
+                    continue
+                n = len(r["ids"]) // 8
+                for name in ("uid", "grp"):
+                    out[name].append(r[name])
+                out["n"].append(len(ask))
+                out["visited"].append(0)
+                for name, kind in kinds.items():
+                    x = np.frombuffer(r[name], kind)
+                    out[name].append(np.ascontiguousarray(x.reshape(n, len(x) // n)[ask]).tobytes())
+            types = {"uid": pa.int64(), "grp": pa.string(), "n": pa.int32(), "visited": pa.int64()}
+            yield pa.RecordBatch.from_arrays([pa.array(v, types.get(f, pa.binary())) for f, v in out.items()], names=list(out))
+
+    names = ["uid", "grp", *kinds]
+    return state.select(*names).mapInArrow(run, "uid long, grp string, n int, " + ", ".join(f"{f} binary" for f in kinds) + ", visited long")
+
+
+def _asks(d: np.ndarray, k: int, beyond: int) -> np.ndarray:
+    return _theta(d, k) * (1 + _TOL) + _TOL >= beyond
+
+
+def _wild(blocks: DataFrame, asked: DataFrame, shape: Shape, k: int, m: int, unit: int, slots: int) -> DataFrame:
+    """The rows of ``asked``, as blocks, against blocks whose tuples differ in exactly ``m`` columns; returns
+    the improved best lists of ``asked``."""
     n_columns = len(shape.nominal)
     parts = F.split("grp", ",")
     keys = F.array(*[F.concat_ws(",", F.lit(str(i)), *[F.lit("*") if g in left_out else parts[g] for g in range(n_columns)])
                      for i, left_out in enumerate(combinations(range(n_columns), m))])
-    asked = _reach(best, k, unit * m).select("uid")
-    q = materialize(blocks.join(asked, "uid").select("uid", "n", F.explode(keys).alias("key")), "knn-asked")
-    if q.isEmpty():
-        return best
+    q = asked.select("uid", "n", F.explode(keys).alias("key"))
     open_keys = q.groupBy("key").agg(F.sum("n").alias("qn"))
     c = blocks.select("uid", "n", F.explode(keys).alias("ckey")).join(open_keys, F.col("ckey") == F.col("key"), "left_semi")
     sizes = materialize(c.groupBy("ckey").agg(F.sum("n").alias("cn")).join(open_keys, F.col("ckey") == F.col("key")).select(
@@ -301,42 +379,38 @@ def _wild(blocks: DataFrame, best: DataFrame, shape: Shape, k: int, m: int, unit
          .withColumn("b", F.explode(F.sequence(F.lit(0), F.col("cp") - 1)))
     c = c.join(sizes, "ckey").withColumn("cb", F.pmod(F.xxhash64("uid"), F.col("cp")).cast("int")) \
          .withColumn("ca", F.explode(F.sequence(F.lit(0), F.col("qp") - 1)))
-    data = blocks.select("uid", *_DATA)
     mine = blocks.select(F.col("uid").alias("cuid"), *[F.col(c).alias(c) for c in _DATA])
-    left = q.select("uid", "key", "a", "b").join(data.join(best.select("uid", "d", "c"), "uid"), "uid")
+    left = q.select("uid", "key", "a", "b").join(asked.select("uid", *_DATA, "d", "c"), "uid")
     right = c.select(F.col("uid").alias("cuid"), "ckey", "ca", "cb").join(mine, "cuid")
     left = left.withColumn("slot", F.pmod(F.xxhash64("key", "a", "b"), groups))
     right = right.withColumn("cslot", F.pmod(F.xxhash64("ckey", "ca", "cb"), groups))
     new = left.groupBy("slot").cogroup(right.groupBy("cslot")).applyInArrow(
         _cells(shape, k, m, m, unit, ["key", "a", "b"], ["ckey", "ca", "cb"]), _BEST)
-    return materialize(_merge(best.unionByName(new), k, slots), "knn-best")
+    best = materialize(_merge(asked.select("uid", "d", "c", "visited").unionByName(new), k, slots), "knn-best")
+    remove_scratch(sizes)
+    return best
 
 
-def _lists(blocks: DataFrame, best: DataFrame, k: int) -> DataFrame:
-    """(id, nb_rank, nb_id, distance) from the best lists."""
+def _lists(state: DataFrame, k: int, below: int | None = None) -> DataFrame:
+    """(id, nb_rank, nb_id, distance) from blocks with their best lists; with ``below`` only of rows whose
+    squared k-th distance does not reach it."""
     def run(batches):
         for batch in batches:
             for ids, d, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 ids = np.frombuffer(ids, "<i8")
                 d, c = np.frombuffer(d, float).reshape(-1, k), np.frombuffer(c, "<i8").reshape(-1, k)
-                r, p = np.nonzero(np.isfinite(d))
+                given = np.isfinite(d)
+                if below is not None:
+                    given &= ~_asks(d, k, below)[:, None]
+                r, p = np.nonzero(given)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array((p + 1).astype(np.int32)), pa.array(c[r, p]), pa.array(d[r, p])],
                                                  names=["id", "nb_rank", "nb_id", "distance"])
 
-    return blocks.select("uid", "ids").join(best.select("uid", "d", "c"), "uid").select("ids", "d", "c").mapInArrow(
-        run, "id long, nb_rank int, nb_id long, distance double")
+    return state.select("ids", "d", "c").mapInArrow(run, "id long, nb_rank int, nb_id long, distance double")
 
 
-def _empty_best(blocks: DataFrame, k: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            n = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([np.full((x, k), np.inf).tobytes() for x in n], pa.binary()),
-                 pa.array([np.full((x, k), -1, "<i8").tobytes() for x in n], pa.binary()), pa.array([0] * len(n), pa.int64())],
-                names=["uid", "d", "c", "visited"])
-
-    return blocks.select("uid", "n").mapInArrow(run, _BEST)
+def _with_best(blocks: DataFrame, best: DataFrame) -> DataFrame:
+    return blocks.drop("d", "c", "visited").join(best.select("uid", "d", "c"), "uid")
 
 
 def nominal_knn(df: DataFrame, id_col: str, vec: str, k: int, nominal: Sequence[Sequence[int]],
@@ -345,6 +419,7 @@ def nominal_knn(df: DataFrame, id_col: str, vec: str, k: int, nominal: Sequence[
     id; the number of pairs whose distance was computed).  ``nominal`` lists the positions of each
     one-hot column; vectors that are not one-hot there go to :func:`smote.exact_knn`."""
     block_rows = block_rows or BLOCK_ROWS
+    spark = df.sparkSession
     pts = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
     sums = [F.aggregate(F.array(*[F.col("v")[i] for i in g]), F.lit(0.0), lambda a, x: a + x) for g in nominal]
     flags = F.array(*[F.col("v")[i] for g in nominal for i in g]) if nominal else F.array().cast("array<double>")
@@ -364,36 +439,71 @@ def nominal_knn(df: DataFrame, id_col: str, vec: str, k: int, nominal: Sequence[
     pts = pts.withColumn("s", s).withColumn("grp", F.concat_ws(",", F.transform("codes", lambda c: c.cast("string"))))
     ranked = ordered_scan(pts, by=["grp"], order=["s", "id"], row_number="rn").withColumn("no", F.floor((F.col("rn") - 1) / block_rows))
     uid = F.xxhash64("grp", "no", "ids")
-    blocks = materialize(_pack(ranked.select("grp", "no", "id", "codes", "s", "z"), n).withColumn("uid", uid), "knn-blocks")
-    best = materialize(_empty_best(blocks, k), "knn-best")
+    packed = _pack(ranked.select("grp", "no", "id", "codes", "s", "z"), n, (shape, k, unit))
+    blocks = materialize(packed.withColumn("uid", uid), "knn-blocks")
+    free_shuffles(spark)
+    first = blocks.select("uid", "d", "c", "visited")
     slots = _slots(n)
-    best = _along(blocks, best, shape, k, 0, 0, unit, slots)
-    wild = min(WILD, len(nominal))
-    for m in range(1, wild + 1):
-        best = _wild(blocks, best, shape, k, m, unit, slots)
-    lists = materialize(_lists(blocks, best, k), "knn-lists")
+    best = _along(blocks, first, shape, k, 0, 0, unit, slots)
     visited = best.agg(F.sum("visited")).first()[0]
-    if wild < len(nominal):
-        far, more = _far(ranked, lists, shape, k, wild + 1, unit, n)
-        if far is not None:
-            both = lists.select("id", "nb_id", "distance").unionByName(far.select("id", "nb_id", "distance")).distinct()
+    state, used = blocks, []
+    if best is not first:
+        state = materialize(_with_best(blocks, best), "knn-state")
+        used += [best, state]
+    lists = []
+    for m in range(1, min(WILD, len(nominal)) + 1):
+        lists.append(materialize(_lists(state, k, unit * m), "knn-lists"))
+        asked = materialize(_open(state, k, unit * m), "knn-asked")
+        if asked.isEmpty():
+            remove_scratch(asked)
+            state = None
+            break
+        best = _wild(blocks, asked, shape, k, m, unit, slots)
+        visited += best.agg(F.sum("visited")).first()[0]
+        state = materialize(_with_best(asked, best), "knn-state")
+        remove_scratch(asked)
+        remove_scratch(best)
+        used.append(state)
+        free_shuffles(spark)
+    if state is not None:
+        more = m + 1 if m < len(nominal) else None
+        lists.append(materialize(_lists(state, k, unit * more if more else None), "knn-lists"))
+        asked = materialize(_open(state, k, unit * more), "knn-open") if more else None
+        if asked is not None and not asked.isEmpty():
+            known = materialize(_lists(asked, k), "knn-known")
+            found, seen = _far(ranked, asked, shape, k, more, unit, n)
+            both = known.select("id", "nb_id", "distance").unionByName(found.select("id", "nb_id", "distance")).distinct()
             w = Window.partitionBy("id").orderBy("distance", "nb_id")
-            lists = materialize(both.withColumn("nb_rank", F.row_number().over(w).cast("int")).where(F.col("nb_rank") <= k).select(
-                "id", "nb_rank", "nb_id", "distance"), "knn-lists")
-            visited += more
-    return lists, int(visited)
-
-
-def _far(ranked: DataFrame, lists: DataFrame, shape: Shape, k: int, m: int, unit: int, n: int):
-    """Rows whose k-th distance still reaches tuples ``m`` or more columns away, against all rows in
-    projection order: (their best lists from there, pairs visited)."""
-    kth = lists.where(F.col("nb_rank") == k).select("id", F.col("distance").alias("t"))
-    open_rows = ranked.select("id").join(kth, "id", "left").where(
-        F.col("t").isNull() | (F.col("t") * F.col("t") * (1 + _TOL) + _TOL >= unit * m)).select("id", "t")
-    open_rows = materialize(open_rows, "knn-open")
-    if open_rows.isEmpty():
-        return None, 0
-    everyone = ranked.select("id", "codes", "s", "z")
+            lists.append(materialize(both.withColumn("nb_rank", F.row_number().over(w).cast("int")).where(F.col("nb_rank") <= k).select(
+                "id", "nb_rank", "nb_id", "distance"), "knn-lists"))
+            visited += seen
+            remove_scratch(known)
+            remove_scratch(found)
+        if asked is not None:
+            remove_scratch(asked)
+    for table in (*used, blocks, ranked):
+        remove_scratch(table)
+    free_shuffles(spark)
+    out = lists[0]
+    for part in lists[1:]:
+        out = out.unionByName(part)
+    return out, int(visited)
+
+
+def _far(ranked: DataFrame, asked: DataFrame, shape: Shape, k: int, m: int, unit: int, n: int):
+    """Rows of ``asked``, whose k-th distance still reaches tuples ``m`` or more columns away, against all rows
+    in their reach in projection order: (their best lists from there, pairs visited)."""
+    def rows(batches):
+        for batch in batches:
+            for ids, s, d in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                t = np.frombuffer(d, float).reshape(-1, k)[:, k - 1]
+                reach = np.sqrt(np.maximum(t * t * (1 + _TOL) + _TOL - unit * m, 0)) * (1 + _TOL) + _TOL
+                s = np.frombuffer(s, float)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, "<i8")), pa.array(t), pa.array(s - reach), pa.array(s + reach)],
+                                                 names=["id", "t", "low", "high"])
+
+    open_rows = materialize(asked.select("ids", "s", "d").mapInArrow(rows, "id long, t double, low double, high double"), "knn-open")
+    everyone = _in_reach(ranked.select("id", "codes", "s", "z"), open_rows)
     line = ordered_scan(everyone, by=[], order=["s", "id"], row_number="rn").withColumn(
         "no", F.floor((F.col("rn") - 1) / FAR_ROWS)).withColumn("grp", F.lit(""))
     uid = F.xxhash64("grp", "no", "ids")
@@ -401,7 +511,7 @@ def _far(ranked: DataFrame, lists: DataFrame, shape: Shape, k: int, m: int, unit
     some = line.join(open_rows.select("id"), "id", "left_semi").select("grp", "no", "id", "codes", "s", "z")
     asked = materialize(_pack(some, n).withColumn("uid", F.xxhash64("no", "ids", F.lit(1))), "knn-asked")
     # start from the distances known: k entries of each row, ids of their own (-1) so that none is found twice
-    given = asked.select("uid", F.explode(_ids_of("ids")).alias("id")).join(open_rows, "id", "left")
+    given = asked.select("uid", F.explode(_ids_of("ids")).alias("id")).join(open_rows.select("id", "t"), "id", "left")
 
     def start(part: pa.Table) -> pa.Table:
         order = np.argsort(np.asarray(part["id"]))
@@ -411,10 +521,26 @@ def _far(ranked: DataFrame, lists: DataFrame, shape: Shape, k: int, m: int, unit
         return pa.table({"uid": part["uid"].slice(0, 1), "d": pa.array([d.tobytes()], pa.binary()),
                          "c": pa.array([np.full(d.shape, _MOST, "<i8").tobytes()], pa.binary()), "visited": pa.array([0], pa.int64())})
 
-    best = materialize(given.groupBy("uid").applyInArrow(start, _BEST), "knn-best")
-    best = _along(blocks, best, shape, k, m, len(shape.nominal), unit, _slots(n), asked)
-    found = _lists(asked, best, k).where(F.col("nb_id") != _MOST)
-    return found, best.agg(F.sum("visited")).first()[0]
+    first = materialize(given.groupBy("uid").applyInArrow(start, _BEST), "knn-best")
+    best = _along(blocks, first, shape, k, m, len(shape.nominal), unit, _slots(n), asked)
+    found = materialize(_lists(_with_best(asked, best), k).where(F.col("nb_id") != _MOST), "knn-far")
+    seen = best.agg(F.sum("visited")).first()[0]
+    for table in (*([first] if best is not first else []), best, asked, blocks, line, open_rows):
+        remove_scratch(table)
+    return found, seen
+
+
+def _in_reach(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """The rows whose ``s`` lies in a bucket that a span (low, high) touches; buckets by quantiles."""
+    cuts = rows.agg(F.percentile_approx("s", [i / REACH_BUCKETS for i in range(1, REACH_BUCKETS)])).first()[0] or []
+    cuts = F.array(*[F.lit(float(c)) for c in sorted({c for c in cuts if c == c})]).cast("array<double>")
+
+    def bucket(x):
+        return F.size(F.filter(cuts, lambda c: c <= x))
+
+    touched = spans.select(F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))).alias("b")).distinct()
+    some = [r.b for r in touched.collect()]  # at most REACH_BUCKETS
+    return rows.where(F.coalesce(bucket(F.col("s")).isin(some), F.lit(True)))
 
 
 _MOST = (1 << 63) - 1

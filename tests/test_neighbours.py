@@ -115,3 +115,30 @@ def test_only_rows_in_reach_are_compared():
     every = np.sqrt(((q.v[:, None] - c.v[None]) ** 2).sum(-1))
     np.testing.assert_allclose(d, np.sort(every, 1)[:, :2])
     assert (found == 1000 + np.argsort(every, 1)[:, :2]).all()
+
+
+def test_only_rows_that_ask_travel_and_only_lists_are_left(spark, monkeypatch):
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    from leadlens import session
+
+    apply = PandasCogroupedOps.applyInArrow
+
+    def bounded(self, func, schema):
+        def run(left, right):
+            rows = sum(len(b) // 8 for b in {b.as_py() for b in left["ids"]})  # a block may ask by many keys
+            if rows > 30:
+                raise ValueError(f"{rows} rows ask")
+            return func(left, right)
+        return apply(self, run, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", bounded)
+    x = make(500, seed=5)
+    for g in GROUPS:  # dense tuples, where only the rows far out (a 50th) ask other tuples
+        x[:, g] = 0
+        x[:, g[0]] = 1
+    x[:200, GROUPS[0][:2]] = 0, 1
+    before = len(session._written)
+    got, _ = neighbours.nominal_knn(frame(spark, x), "id", "v", 5, GROUPS, block_rows=64)
+    assert [p for p in session._written[before:] if "/knn-lists-" not in p] == []
+    assert lists(got) == brute(x, 5)
