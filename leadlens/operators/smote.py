@@ -232,33 +232,53 @@ def smote(df: DataFrame, feature_cols: Sequence[str], target: str, id_col: str,
         return base
     kk = min(k, n_min - 1)
     feats = [F.col(f"`{c}`").cast("double") for c in feature_cols]
-    mino = df.where(F.col(target) == minority).withColumn("__v", F.array(*feats))
+    mino = df.where(F.col(target) == minority)
     from .neighbours import knn
 
     position = {c: i for i, c in enumerate(feature_cols)}
     groups = [[position[c] for c in g] for g in nominal or () if g]
-    nn = knn(mino, id_col, "__v", kk, method, groups, block_size, radius)
+    nn = knn(mino.select(id_col, F.array(*feats).alias("__v")), id_col, "__v", kk, method, groups, block_size, radius)
 
     # copies per row: n_syn // n_min, plus one for the first n_syn % n_min rows in hash order
-    keyed = mino.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))))
-    ranked = ordered_scan(keyed, by=[], order=["__h", id_col], row_number="__r")
+    hashed = F.coalesce(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), F.lit(""))
     per, extra = divmod(n_syn, n_min)
-    copies = F.lit(per) + F.when(F.col("__r") <= extra, 1).otherwise(0)
-    rows = ranked.where(copies > 0).select("*", F.explode(F.sequence(F.lit(0), copies - 1)).alias("__copy"))
+    rows = _with_extra(mino.withColumn("__h", hashed), extra)
+    copies = F.lit(per) + F.col("__extra")
+    rows = rows.where(copies > 0).select("*", F.explode(F.sequence(F.lit(0), copies - 1)).alias("__copy"))
     rows = rows.withColumn("__pick", (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("__copy")),
                                              F.lit(kk)) + 1).cast("int")) \
                .withColumn("__u", _unit(seed + 1, F.col(id_col), F.col("__copy")))
     picked = rows.join(nn.select(F.col("id").alias(id_col), F.col("nb_rank").alias("__pick"), "nb_id"),
                        [id_col, "__pick"])
-    nbv = mino.select(F.col(id_col).alias("nb_id"), F.col("__v").alias("__nv"))
+    nbv = mino.select(F.col(id_col).alias("nb_id"), F.array(*feats).alias("__nv"))
     gen = picked.join(nbv, "nb_id")
-    new_v = F.zip_with("__v", "__nv", lambda x, z: x + F.col("__u") * (z - x))
-    gen = gen.withColumn("__sv", new_v)
     out_cols = []
     for c in df.columns:
-        if c in feature_cols:
-            out_cols.append(F.col("__sv")[feature_cols.index(c)].alias(c))
+        if c in position:
+            x = F.col(f"`{c}`").cast("double")
+            out_cols.append((x + F.col("__u") * (F.col("__nv")[position[c]] - x)).alias(c))
         else:
             out_cols.append(F.col(f"`{c}`"))
     synthetic = gen.select(*out_cols, F.lit(True).alias("synthetic"), (F.col("__copy") + 1).cast("int").alias("copy"))
     return base.unionByName(synthetic)
+
+
+def _with_extra(rows: DataFrame, wanted: int) -> DataFrame:
+    """``__extra``: 1 for the first ``wanted`` rows in the order of ``__h``, else 0.  The last of them is found
+    from counts, so no row is sorted or written."""
+    if not wanted:
+        return rows.withColumn("__extra", F.lit(0))
+    start = F.substring("__h", 1, 4)
+    for digits, n in sorted(map(tuple, rows.groupBy(start).count().collect())):  # at most 65,537
+        if wanted <= n:
+            break
+        wanted -= n
+    for cut, n in sorted(map(tuple, rows.where(start == digits).groupBy("__h").count().collect())):  # a 65,536th of the ids
+        if wanted <= n:
+            break
+        wanted -= n
+    if wanted == n:
+        return rows.withColumn("__extra", (F.col("__h") <= cut).cast("int"))
+    place = F.row_number().over(Window.partitionBy("__h").orderBy("__h"))  # copies of one id
+    some = rows.where(F.col("__h") == cut).withColumn("__extra", (place <= wanted).cast("int"))
+    return rows.where(F.col("__h") != cut).withColumn("__extra", (F.col("__h") < cut).cast("int")).unionByName(some)

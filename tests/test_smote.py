@@ -91,3 +91,24 @@ def test_cells_hold_few_blocks_however_little_is_pruned(spark, monkeypatch):
     for i in range(240):
         order = [j for j in np.lexsort((np.arange(240), d[i])) if j != i][:5]
         assert [got[i][r] for r in range(1, 6)] == order
+
+
+def test_extra_copies_go_to_the_first_hashes_without_a_sort(spark, monkeypatch):
+    from leadlens.operators import smote as module
+
+    def no_scan(*args, **kwargs):
+        raise AssertionError("rows were sorted")
+
+    df, x, cols = _fx5(spark)
+    twice = df.unionByName(df.where("y = 1 AND id = 3")).unionByName(df.where("y = 1 AND id = 3"))
+    lists = spark.createDataFrame([(i, r, (i + r) % 20, 1.0) for i in range(20) for r in range(1, 6)], "id long, nb_rank int, nb_id long, distance double")
+    monkeypatch.setattr(module, "ordered_scan", no_scan)
+    monkeypatch.setattr("leadlens.operators.neighbours.knn", lambda *a: lists)
+    out = module.smote(df.where("id < 95"), cols, "y", "id")  # 75 to 20: two copies each, three for 15
+    import hashlib
+    order = sorted(range(20), key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())
+    got = {r["id"]: r["n"] for r in out.where("synthetic").groupBy("id").agg(F.count("*").alias("n")).collect()}
+    assert got == {i: 3 if order.index(i) < 15 else 2 for i in range(20)}
+    for wanted in (0, 1, 7, 8, 9, 10, 22):
+        some = module._with_extra(twice.where("y = 1").withColumn("__h", F.md5(F.concat(F.lit("42:"), F.col("id").cast("string")))), wanted)
+        assert some.count() == 22 and some.agg(F.sum("__extra")).first()[0] == wanted
