@@ -82,3 +82,25 @@ def test_queries_outlive_a_cleaned_scratch_folder(spark):
     assert q["train_leaf_wise"](spark, SF_SMALL).count() == before
     assert q["train_all_saved"](spark, SF_SMALL).where("agrees").count() == 3
     assert q["tree_attribution_rank"](spark, SF_SMALL).count() == 37
+
+
+def test_every_held_out_row_is_scored_once(spark, tmp_path, monkeypatch):
+    met, real = spark.sparkContext.accumulator(0), models.probability
+
+    def counted(model, df):
+        @F.udf("double")
+        def seen(p):
+            met.add(1)
+            return p
+        return real(model, df).withColumn("p", seen("p"))
+
+    for module in (models, lifecycle):
+        monkeypatch.setattr(module, "probability", counted)
+    enc, data = _data(spark)
+    base = str(tmp_path / "life")
+    lifecycle.train_all_saved(spark, data, enc, Settings(), base, ["LogisticRegression"])
+    assert met.value == 50 + 100
+    tables = lifecycle.evaluate_saved(spark, base, data.where(F.col("split") == "test"))
+    for name in ("metrics", "confusion", "roc", "report"):
+        assert tables[name].count()
+    assert met.value == 50 + 100 + 100
